@@ -48,7 +48,7 @@ def under(path: Column, folder: str) -> Column:
 
 
 def _rooted(path: Column) -> Column:
-    return F.concat(F.lit("/"), F.ltrim(F.lit("/"), F.lower(path)))
+    return F.concat(F.lit("/"), F.ltrim(F.lower(path), F.lit("/")))
 
 
 def is_vendored(path: Column) -> Column:
@@ -415,14 +415,15 @@ def retag(tags: Column, add: Column, remove: Column) -> Column:
 
 def instant(text: Column) -> Column:
     """Epoch seconds (double) of an ISO-8601 time or a number; null if neither."""
-    return F.coalesce(F.try_to_number(text, F.lit("9999999999999")).cast("double"), text.try_cast("double"), F.unix_micros(F.try_to_timestamp(text)).cast("double") / 1e6)
+    return F.coalesce(text.try_cast("double"), F.unix_micros(F.try_to_timestamp(text)).cast("double") / 1e6)
 
 
 def duration(text: Column) -> Column:
     """Seconds of 90, 90s, 30m or 2h; negative ones count as 0; null if malformed."""
     number = F.regexp_extract(F.trim(text), r"^(-?\d+(?:\.\d+)?)\s*([smh]?)$", 1).try_cast("double")
     unit = F.regexp_extract(F.trim(text), r"^(-?\d+(?:\.\d+)?)\s*([smh]?)$", 2)
-    return F.greatest(F.lit(0.0), number * F.when(unit == "h", 3600.0).when(unit == "m", 60.0).otherwise(1.0))
+    seconds = number * F.when(unit == "h", 3600.0).when(unit == "m", 60.0).otherwise(1.0)
+    return F.when(seconds < 0, 0.0).otherwise(seconds)
 
 
 def age_said(seconds: Column) -> Column:

@@ -70,7 +70,7 @@ def pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 1)
     rows = files.withColumn("head", head).withColumn("body", F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 2))
     top = spark_path(path)
-    rows = rows.withColumn("path", F.ltrim(F.lit("/"), F.expr(f"substring(file, instr(file, '{top}') + {len(top)})")))
+    rows = rows.withColumn("path", F.ltrim(F.expr(f"substring(file, instr(file, '{top}') + {len(top)})"), F.lit("/")))
     found = rows.select("path", *head_fields("head"), "body")
     good = F.col("id").isNotNull() & F.col("kind").isNotNull()
     return found.where(good), found.where(~good).select("path")
