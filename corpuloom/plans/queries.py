@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import binary, edit, fixed, text
-from ..operators import context, metrics, mining, paths, search, traces, vault
+from ..operators import aliases, context, metrics, mining, paths, search, traces, vault
 from ..streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -677,3 +677,139 @@ def rel_nation_totals(spark, sf):
     """JN family at volume: the planner broadcasts the table of nations by its size."""
     c, o, n = (table(spark, sf, t) for t in ("customer", "orders", "nation"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# --- More operators on whole tables
+
+
+@query(f"WITH h AS (SELECT 1 FROM pages WHERE {_any(_ROOTED, fixed.DOCUMENTATION_MARKERS)} LIMIT 201) SELECT least(count(*), 200) AS hidden, count(*) > 200 AS at_least FROM h")
+def fts_hidden_vendored(spark, sf):
+    """FTS-07, AGG-15: hits that a path filter hides, counted to the cap."""
+    out = search.hidden_count(table(spark, sf, "pages"), text.provenance(F.col("url")).isin("documentation", "vendored"))
+    return out.select(F.col("hidden").cast("long"), "at_least")
+
+
+@query(None)
+def fts_sample_prose(spark, sf):
+    """FTS-16: twenty passages that read as prose; sampling is the feature."""
+    return search.sample_prose(_docs(spark, sf), "doc_id", "text", "path", "seed-1", 20).select("doc_id", "draw")
+
+
+@query(r"""WITH s AS (SELECT c.conv_id, c.turn, regexp_matches(lower(c.text), '(^|[^\p{L}\p{N}_])the') AS shares, CASE WHEN length(c.text) > 600 THEN 'strong' WHEN length(c.text) > 200 THEN 'partial' ELSE 'weak' END AS band FROM conversations c)
+SELECT shares, band, count(*) AS n FROM s GROUP BY 1, 2""")
+def trj_band_crosstab(spark, sf):
+    """TRJ-09, AGG-30: messages by a shared term and by band."""
+    rows = table(spark, sf, "conversations")
+    shares = text.term_coverage(F.col("text"), F.array(F.lit("the"))) > 0
+    size = F.length("text")
+    band = F.when(size > 600, "strong").when(size > 200, "partial").otherwise("weak")
+    return rows.groupBy(shares.alias("shares"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id AS run_id, 'doc' || (event_id % 400) AS a FROM events WHERE event_type = 'view'), c AS (SELECT DISTINCT user_id AS run_id, 'doc' || (event_id % 37) || 'x' AS a FROM events WHERE event_type = 'click'),
+l AS (SELECT c.run_id, c.a AS cited FROM c ANTI JOIN s ON c.run_id = s.run_id AND c.a = s.a)
+SELECT l.run_id, cited, min(s.a) AS meant FROM l JOIN s USING (run_id) WHERE abs(length(cited) - length(s.a)) <= 1 AND damerau_levenshtein(cited, s.a) = 1 GROUP BY 1, 2 HAVING count(*) = 1""")
+def trj_address_corruption(spark, sf):
+    """TRJ-03, JN-11: cited addresses one edit from one served address of their run."""
+    e = table(spark, sf, "events").withColumnRenamed("user_id", "run_id")
+    s = e.where("event_type = 'view'").select("run_id", F.concat(F.lit("doc"), (F.col("event_id") % 400).cast("string")).alias("address")).distinct()
+    c = e.where("event_type = 'click'").select("run_id", F.concat(F.lit("doc"), (F.col("event_id") % 37).cast("string"), F.lit("x")).alias("address")).distinct()
+    return traces.corruption(s, c)
+
+
+@query("""WITH f AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS served, count(*) FILTER (event_type = 'purchase') AS cited FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN served = 0 THEN 'unknown' WHEN cited = 0 THEN 'uncited' WHEN cited * 3 < served THEN 'weak' END AS refusal FROM f""")
+def trj_refusal_rule(spark, sf):
+    """TRJ-07: an ordered rule over a run's counts."""
+    f = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("served"), F.count_if(F.col("event_type") == "purchase").alias("cited"))
+    rule = F.when(F.col("served") == 0, "unknown").when(F.col("cited") == 0, "uncited").when(F.col("cited") * 3 < F.col("served"), "weak")
+    return f.select("user_id", rule.alias("refusal"))
+
+
+@query("""WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n, contains(text, chr(0)) AS zero FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN zero THEN 'binary' ELSE 'text' END AS kind, CASE WHEN n > 0 AND NOT zero THEN 'utf-8' END AS encoding FROM b""")
+def bin_sniff(spark, sf):
+    """BIN-01 to BIN-03: what each text's bytes are."""
+    files = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return files.select("doc_id", binary.sniff(F.col("content"), 1 << 30).alias("s")).select("doc_id", "s.kind", "s.encoding")
+
+
+@query("SELECT doc_id, sha256(encode(text)[1:65536] || encode(chr(0) || octet_length(encode(text)))) AS head_hash FROM documents WHERE octet_length(encode(text)) <= 65536 UNION ALL SELECT doc_id, NULL FROM documents WHERE octet_length(encode(text)) > 65536")
+def hsh_head_hash(spark, sf):
+    """HSH-01; null where the SQL has no form for a cut within bytes."""
+    content = F.col("text").cast("binary")
+    return table(spark, sf, "documents").select("doc_id", F.when(F.octet_length("text") <= binary.HASH_BYTES, binary.head_hash(content)).alias("head_hash"))
+
+
+@query(None)
+def hsh_entry_digest(spark, sf):
+    """HSH-06, AGG-16: the digest of a path index, alike for any partitioning."""
+    return paths.digest(_entries(spark, sf))
+
+
+@query(None)
+def ali_mint(spark, sf):
+    """ALI-01: an alias for every source; a session's addresses."""
+    return aliases.mint(table(spark, sf, "documents").select(F.concat("source", F.lit("#L0-"), "lang").alias("address")), seed="s")
+
+
+@query(None)
+def ali_resolve(spark, sf):
+    """ALI-03, JN-12: lower-case spellings of every alias without its hyphen."""
+    minted = ali_mint(spark, sf)
+    return aliases.resolve(minted.select(F.lower(F.replace("alias", F.lit("-"), F.lit(""))).alias("written")), minted)
+
+
+@query(None)
+def win_ordered_fold_budget(spark, sf):
+    """WIN-01, AGG-32: calls of each source in order, while the budget of those accepted lasts."""
+    calls = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("chars"))
+    return context.budgeted(calls, "source", "doc_id", "chars", 20, 30_000)
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Z]{4,}') THEN 'long summary' END AS fault FROM documents")
+def vlt_validate(spark, sf):
+    """VLT-02's shape: a rule table over every page, faults as an array."""
+    rules = [(F.col("text").rlike("[A-Z]{4,}"), "long summary")]
+    found = F.array_compact(F.array(*[F.when(rule, F.lit(said)) for rule, said in rules]))
+    return table(spark, sf, "documents").select("doc_id", F.get(found, F.lit(0)).alias("fault"))
+
+
+@query("""WITH p AS (SELECT doc_id AS id, lang || 's/' || source || '.md' AS target, md5(text) AS h FROM documents), prior AS (SELECT target, count(*) AS version, max(id) AS holder FROM p GROUP BY 1)
+SELECT id, target, CASE WHEN id = holder THEN 'active' ELSE 'superseded' END AS status, version FROM p JOIN prior USING (target)""")
+def vlt_lifecycle(spark, sf):
+    """VLT-03, VLT-04: the newest page of a place is active, older ones superseded."""
+    p = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("lang", F.lit("s/"), "source", F.lit(".md")).alias("target"))
+    prior = p.groupBy("target").agg(F.count(F.lit(1)).alias("version"), F.max("id").alias("holder"))
+    return p.join(prior, "target").select("id", "target", F.when(F.col("id") == F.col("holder"), "active").otherwise("superseded").alias("status"), "version")
+
+
+@query("SELECT doc_id, list_sort(list_filter(list_distinct(['a', lang, source, 'new']), lambda x: x <> 'en'))::VARCHAR AS tags FROM documents")
+def vlt_retag(spark, sf):
+    """SET-08, ARR-01."""
+    tags = text.retag(F.array(F.lit("a"), F.col("lang"), F.col("source")), F.array(F.lit("new")), F.array(F.lit("en")))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(tags, ", "), F.lit("]")).alias("tags"))
+
+
+@query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?s)```(python|repl|py)?[ \t]*\n.*?```') THEN 'blocks' WHEN regexp_matches(text, '```(python|repl|py)?[ \t]*\n') THEN 'rescued' WHEN regexp_matches(text, '(?m)^\s*FINAL:\s*.+$') THEN 'final' ELSE 'nudge' END AS stage FROM conversations")
+def str_reply_stage(spark, sf):
+    """STR-14, STR-15."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.reply_stage(F.col("text")).alias("stage"))
+
+
+@query("SELECT doc_id, strlen(text) - strlen(regexp_replace(text, '[“”„‘’‚]', '', 'g')) > 0 AS smart, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 50) || chr(10) || '... [' || (length(text) - 100) || ' characters left out] ...' || chr(10) || substr(text, length(text) - 49, 50) END AS cut FROM documents")
+def str_truncate(spark, sf):
+    """STR-12, STR-13."""
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", (text.smart_quotes(t) > 0).alias("smart"), text.truncate_middle(t, 100).alias("cut"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def jsn_props(spark, sf):
+    """JSN-02: permissive decoding of a JSON column."""
+    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE label = 1 ORDER BY vec_id")
+def ext_vector_label(spark, sf):
+    """A vector table by label (an extension)."""
+    return table(spark, sf, "embeddings").where("label = 1").select("vec_id").orderBy("vec_id")
