@@ -19,7 +19,9 @@ vectorised numpy.
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -36,8 +38,9 @@ from .common import documents, table_path
 
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 1 << 17
-#: Words whose ids a worker remembers; the memory is emptied when full.
-MEMO_WORDS = 1 << 18
+#: Words whose ids a worker remembers, twice over; those not met for as long are forgotten.
+MEMO_WORDS = 300_000
+_MARKS = string.punctuation
 _BLOCK = "shard int, block int, start long, doc_ids array<long>, ends array<long>, bits int, packed binary"
 
 
@@ -81,26 +84,45 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+class _Words(dict):
+    """Ids of words as 32-bit little-endian bytes, made when first asked for."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self.tokenizer, self.model, self.most, self.older = tokenizer, tokenizer.model, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            base = word.rstrip(_MARKS)
+            if len(base) < len(word) and base and base[-1].isalnum() and base[-1] != "\u0130":  # that letter's lower case ends in a mark of its own
+                ids = self[base] + self[word[len(base) :]]
+            elif word.isascii() and word.isalpha():  # such a word is one piece to the merges
+                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.most:  # words that are not met again before the next time are forgotten
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """Encodes texts by the tokenizers library, word by word at spaces and line ends.
+    """Encodes texts by the tokenizers library, word by word, remembering words.
 
-    The tokenizer drops white space before it merges and merges nothing across
-    it, so a text's ids are its words' ids in order; words are remembered.
+    The tokenizer lower-cases, drops white space, splits letters from marks
+    and merges nothing across these places, so a text may be cut at spaces,
+    line ends and before the marks at a word's end, and A-Z lower-cased: its
+    ids are those of the pieces in order. All else is left to the library.
     """
 
     def __init__(self, path: str, memo: int = MEMO_WORDS):
-        self.tokenizer, self.memo, self.known = _tokenizer(path), memo, {}
+        self.known = _Words(_tokenizer(path), memo)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = [w for w in (text or "").replace("\n", " ").split(" ") if w]
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > self.memo:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        return np.array(list(chain.from_iterable(map(known.__getitem__, words))), np.uint32)
+        plain = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, plain.replace("\n", " ").split(" "))), "<u4")
 
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
@@ -154,39 +176,42 @@ def shards(spark: SparkSession, path: str) -> dict[int, int]:
     return {shard: before for (shard, _), before in zip(sizes, accumulate((n for _, n in sizes), initial=0), strict=False)}
 
 
+def _unpacked(batch: pa.RecordBatch, base: dict[int, int]) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray]]:
+    """(doc_ids, starts, ends within the block, ids) of every block of a batch."""
+    for row in batch.to_pylist():
+        ends = np.array(row["ends"])
+        begins = np.concatenate([[0], ends[:-1]])
+        yield row["doc_ids"], (begins + base[row["shard"]] + row["start"]).tolist(), ends, unpack(row["packed"], row["bits"], 0, int(ends[-1]))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids array<long>) of every document of a folder; start counts the ids of all documents before it."""
-    blocks = spark.read.schema(StructType.fromDDL(_BLOCK)).parquet(path)
-    base = shards(spark, path)
+    """(doc_id, start, ids array<int>) of every document of a folder; start counts the ids of all documents before it."""
+    blocks, base = spark.read.schema(StructType.fromDDL(_BLOCK)).parquet(path), shards(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(row["packed"], row["bits"], 0, row["ends"][-1])
-                begins = [0, *row["ends"][:-1]]
-                for at in range(0, len(begins), 256):
-                    b, e = begins[at : at + 256], row["ends"][at : at + 256]
-                    lists = pa.ListArray.from_arrays(pa.array([b[0] - b[0], *(x - b[0] for x in e)], pa.int32()), pa.array(ids[b[0] : e[-1]].astype(np.int64)))
-                    starts = pa.array([base[row["shard"]] + row["start"] + x for x in b], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][at : at + 256], pa.int64()), starts, lists], ["doc_id", "start", "ids"])
+            for docs, starts, ends, ids in _unpacked(batch, base):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), lists], ["doc_id", "start", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return blocks.mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of documents read back."""
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of a folder, unpacked and summed in one pass."""
+    blocks, base = spark.read.schema(StructType.fromDDL(_BLOCK)).parquet(path), shards(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            flat, offsets = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets)
-            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for docs, starts, ends, ids in _unpacked(batch, base):
+                raw, sizes = memoryview(ids.astype("<u4").tobytes()), np.diff(ends, prepend=0)
+                crcs = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return coded.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "tokens")
     write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return digests(read(spark, path))
+    return read_digests(spark, path)
