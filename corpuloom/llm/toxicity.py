@@ -215,11 +215,15 @@ def fit(rows: list[tuple[str | None, int | None]]) -> Model:
         at.append(np.array(sorted(place.setdefault(f, len(place)) for f in sorted(features(words))), np.int32))
         fixed.append(fixed_votes(low, words))
         lengths.append(np.log1p(len(words)))
-    names, flat = list(place), np.concatenate(at)
-    of = np.repeat(np.arange(len(rows)), [len(x) for x in at])
+    names = list(place)
+    del place
 
     def counts(weight: np.ndarray) -> np.ndarray:
-        return np.bincount(flat, weight[of], len(names))
+        out = np.zeros(len(names))
+        for x, w in zip(at, weight.tolist(), strict=True):
+            if w:
+                out[x] += w
+        return out
 
     def strongest(ratio: np.ndarray, least: float, most: int) -> list[int]:
         good = np.flatnonzero(ratio >= least)
