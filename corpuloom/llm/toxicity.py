@@ -33,7 +33,7 @@ from .common import documents, fold
 #: Most labelled rows, and most rows without a label, that the model is fitted on: those of the least hash.
 FIT_LABELLED, FIT_UNLABELLED = 6000, 1500
 #: Most mined voters, and the likelihood ratio (G squared) of a voter's firing with the label at least.
-MINED, MINED_RATIO = 120, 40.0
+MINED, MINED_RATIO = 400, 24.0
 #: Most features of the classifier, the rows that must hold one at least, and its likelihood ratio with the posterior at least.
 FEATURES, FEATURE_ROWS, FEATURE_RATIO = 20_000, 4, 20.0
 FOLDS = 5
@@ -175,7 +175,7 @@ class Model:
         return score
 
 
-def _logistic(rows: list[np.ndarray], size: int, extra: np.ndarray, target: np.ndarray, l2: float = 2e-3, steps: int = 300) -> tuple[float, np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], size: int, extra: np.ndarray, target: np.ndarray, l2: float = 1e-3, steps: int = 1000) -> tuple[float, np.ndarray, float]:
     """Logistic regression on sparse presence rows, one dense column and soft targets, by full-batch Adagrad."""
     at = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
