@@ -95,27 +95,6 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
     return kept.mapInArrow(run, f"id {kind}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)
 
 
-def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and SHA-256 digests of ids and decoded bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
-                ],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kept = coded.select(coded[id_col].alias("id"), "ids", "bytes")
-    kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
-
-
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, n_tokens, exact): each row's ids and whether they decode to its very bytes."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -135,9 +114,24 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return kept.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, exact boolean").withColumnRenamed("id", id_col)
 
 
-def encode_digests(docs: DataFrame) -> DataFrame:
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, decoded and summed in one pass of one worker."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(decode(encode(docs, ranks, pattern), ranks, pattern))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks, pattern)
+        for batch in batches:
+            sizes, ids_sums, raw_sums = [], [], []
+            for text in batch.column(1):
+                ids = encode_text(enc, text.as_py())
+                sizes.append(len(ids))
+                ids_sums.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                raw_sums.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_sums, pa.string()), pa.array(raw_sums, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kind = kept.schema["id"].dataType.simpleString()
+    return kept.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
