@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .bpe import op2_bpe
 from .embeddings import op10_embeddings
 from .mixing import op4_mixing
@@ -11,7 +12,7 @@ from .quality_rules import op8_quality_rules
 from .substrings import op3_substrings
 from .token_files import op5_token_files
 from .toxicity import op1_toxicity
-from .url_filter import OP9_SQL, op9_url_filter
+from .url_filter import op9_url_filter
 
 QUERIES = {
     f.__name__: f
@@ -28,4 +29,4 @@ QUERIES = {
         op10_embeddings,
     )
 }
-SQL = {"op9_url_filter": OP9_SQL}
+SQL = {"op3_substrings": sql.OP3, "op7_near_dedup": sql.OP7, "op9_url_filter": sql.OP9, "op10_embeddings": sql.OP10}

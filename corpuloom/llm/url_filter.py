@@ -130,22 +130,3 @@ def judge(urls: DataFrame, rules: Iterable[tuple[str, str, str]], default: str =
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir, "pages"), RULES)
-
-
-OP9_SQL = r"""
-WITH cut AS (
-  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), parts AS (
-  SELECT page_id,
-    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
-  FROM cut
-), rules(rule_host, rule_path, action) AS (
-  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
-), fits AS (
-  SELECT p.page_id, p.host, p.path, r.rule_host || r.rule_path AS rule, r.action,
-    row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rule_host) DESC NULLS LAST, length(r.rule_path) DESC) AS place
-  FROM parts p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
-)
-SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE place = 1
-"""
