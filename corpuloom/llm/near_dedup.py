@@ -201,7 +201,8 @@ def _within(near: DataFrame, parts: DataFrame, classes: DataFrame, texts: DataFr
     rows = full.select("near", F.explode("task").alias("task"), "cid", "label", "n", "bits", "text")
     rows = rows.select("near", "task.within", "task.i", "task.j", "task.side", "cid", "label", "n", "bits", "text")
     key = ["near", "within", "i", "j"]
-    rows = rows.repartition(*key).sortWithinPartitions(*key, "cid")
+    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes of much work would be put together
+    rows = rows.repartition(n, *key).sortWithinPartitions(*key, "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(_linked((t.set_column(1, "within", pa.array(np.asarray(t.column("within")) == 1)) for t in groups(batches, key)), k, percent))
