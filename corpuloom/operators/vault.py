@@ -117,9 +117,10 @@ def code_faults(code: pd.Series, name: pd.Series) -> pd.Series:
 def validate(pages: DataFrame, active: DataFrame) -> DataFrame:
     """(path, errors, warnings) by the rules of each page's kind."""
     c = F.col
-    names = active.select(F.lower("name").alias("taken")).distinct().agg(F.collect_set("taken").alias("known"))  # names, one row; a vault's are few
     slots = text.slots(c("body"))
-    links = text.wikilinks(c("body"))
+    links = pages.where(c("kind").isin("definition", "note")).select("path", F.explode(text.wikilinks(c("body"))).alias("link"))
+    lost = links.join(active.select(F.lower("name").alias("taken")), F.lower("link") == F.col("taken"), "left_anti")
+    warned = lost.groupBy("path").agg(F.array_sort(F.collect_list(F.concat(F.lit("link to nothing: "), "link"))).alias("warnings"))  # of one page
     rules = [
         (~c("kind").isin(*KINDS), "unknown kind"), (~c("status").isin(*STATES), "unknown status"), (~c("name").rlike(NAME), "bad name"),
         (c("hash").isNotNull() & ~c("hash").rlike(HASH), "bad hash"), (F.length("title") > TITLE_MOST, "long title"), (F.length("summary") > SUMMARY_MOST, "long summary"),
@@ -128,12 +129,11 @@ def validate(pages: DataFrame, active: DataFrame) -> DataFrame:
         ((c("kind") == "helper") & text.section(c("body"), "Signature").isNull(), "no signature"),
         ((c("kind") == "fewshot") & ~c("body").rlike(r"(?i)##\s*question"), "no question"),
     ]
-    rows = pages.crossJoin(F.broadcast(names))
-    code = F.when(c("kind") == "helper", code_faults(text.section(c("body"), "Implementation"), c("name"))).otherwise(F.array().cast("array<string>"))
-    lost = F.filter(links, lambda x: ~F.array_contains(c("known"), F.lower(x)))
-    warnings = F.when(c("kind").isin("definition", "note"), F.transform(lost, lambda x: F.concat(F.lit("link to nothing: "), x))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    code = F.when(c("kind") == "helper", code_faults(text.section(c("body"), "Implementation"), c("name"))).otherwise(none)
     found = F.array_compact(F.array(*[F.when(rule, F.lit(said)) for rule, said in rules]))
-    return rows.select("path", F.concat(found, code).alias("errors"), warnings.alias("warnings"))
+    told = pages.select("path", F.concat(found, code).alias("errors"))
+    return told.join(warned, "path", "left").withColumn("warnings", F.coalesce("warnings", none))
 
 
 def content_hash(pages: DataFrame) -> DataFrame:
