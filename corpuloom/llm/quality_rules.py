@@ -219,4 +219,5 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir))
+    found = judge(documents(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})

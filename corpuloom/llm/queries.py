@@ -29,4 +29,4 @@ QUERIES = {
         op10_embeddings,
     )
 }
-SQL = {"op3_substrings": sql.OP3, "op7_near_dedup": sql.OP7, "op9_url_filter": sql.OP9, "op10_embeddings": sql.OP10}
+SQL = {"op3_substrings": sql.OP3, "op7_near_dedup": sql.OP7, "op8_quality_rules": sql.OP8, "op9_url_filter": sql.OP9, "op10_embeddings": sql.OP10}

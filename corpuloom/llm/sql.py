@@ -1,5 +1,9 @@
 """DuckDB SQL of the operators that SQL can express, by query."""
 
+from __future__ import annotations
+
+from . import quality_rules as q
+
 OP3 = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
 ), starts AS (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400
@@ -63,3 +67,52 @@ WITH RECURSIVE v AS (
 ), low AS (SELECT node, min(low) AS component_id FROM reach GROUP BY 1)
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, low.component_id, e.vec_id = low.component_id AS kept FROM embeddings e JOIN low ON low.node = e.vec_id
 """
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _op8() -> str:
+    prose = "[.,;:''\"()?!-]"
+    mark = r"[#$%&*+/<=>@\[\]\\^_`{|}~]"
+    counts = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", prose, mark, r"[\x00-\x08\x0E-\x1F\x7F]", r"[^\x00-\x7F]"]
+    # white space within the control range counts as white space
+    classes = ", ".join(f"len(regexp_extract_all(t, '{c}'))" for c in counts)
+    common = ", ".join(map(_lit, q.COMMON))
+    n = len(q.COMMON)
+
+    def js(p: str, r: str) -> str:
+        return f"sqrt(greatest(0, least(1, list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {p}[i] > 0 THEN {p}[i] * log2({p}[i] / (({p}[i] + {r}[i]) / 2)) ELSE 0 END + CASE WHEN {r}[i] > 0 THEN {r}[i] * log2({r}[i] / (({p}[i] + {r}[i]) / 2)) ELSE 0 END)) / 2)))"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), dup AS (SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1
+), windows AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM d WHERE len(words) > 8
+), keyed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 7], ' ')) AS n FROM windows
+), covered AS (SELECT doc_id, least(8, lead(i, 1, i + 8) OVER (PARTITION BY doc_id ORDER BY i) - i) AS n FROM keyed WHERE n > 1
+), repeated AS (SELECT doc_id, sum(n) AS n_repeat_words FROM covered GROUP BY 1
+), base AS (
+  SELECT doc_id, lang, t, words, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), judged AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, [{classes}] AS c FROM base
+), common AS (SELECT unnest([{common}]) AS w, unnest(range(1, {n + 1})) AS place
+), said AS (SELECT doc_id, trim(lower(unnest(words)), {_lit(q._TRIM)}) AS w FROM judged
+), hits AS (SELECT doc_id, place, count(*) AS n FROM said JOIN common USING (w) GROUP BY 1, 2
+), maps AS (SELECT doc_id, map_from_entries(list((place, n))) AS m, sum(n) AS total FROM hits GROUP BY 1
+), hist AS (
+  SELECT j.*, list_transform(c, lambda x: x / list_sum(c)) AS cp,
+    list_append(list_transform(range(1, {n + 1}), lambda i: coalesce(m[i], 0) / n_words), (n_words - coalesce(total, 0)) / n_words) AS wp FROM judged j LEFT JOIN maps USING (doc_id)
+), long AS (SELECT lang, unnest(list_concat([1e-6], cp, wp)) AS v, unnest(range(0, {len(q.CLASSES) + n + 2})) AS place FROM hist WHERE NOT base_failed AND n_words >= {q.GUARD_WORDS} AND length(t) >= {q.GUARD_CHARS}
+), sums AS (SELECT lang, place, sum(round_even(v * 1e6, 0)) AS s FROM long GROUP BY 1, 2
+), refs AS (SELECT lang, list(s ORDER BY place) AS s FROM sums GROUP BY 1
+), kept_refs AS (SELECT lang, s[2:{len(q.CLASSES) + 1}] AS cs, s[{len(q.CLASSES) + 2}:] AS ws FROM refs WHERE s[1] >= {q.MIN_SHARE} * (SELECT sum(s[1]) FROM refs)
+), shares AS (SELECT list_transform(cs, lambda x: x / list_sum(cs)) AS cr, list_transform(ws, lambda x: x / list_sum(ws)) AS wr FROM kept_refs
+), far AS (SELECT doc_id, min({js("cp", "cr")}) AS by_class, min({js("wp", "wr")}) AS by_word FROM hist, shares WHERE n_words > 0 GROUP BY 1
+), told AS (SELECT h.*, CASE WHEN list_sum(c) >= {q.GUARD_CHARS} THEN by_class END AS cd, CASE WHEN n_words >= {q.GUARD_WORDS} THEN by_word END AS wd FROM hist h LEFT JOIN far USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(cd <= {q.MAX_CLASS_DISTANCE}, true) AND coalesce(wd <= {q.MAX_WORD_DISTANCE}, true) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM told
+"""
+
+
+OP8 = _op8()
