@@ -1,9 +1,11 @@
 """Chunking, inverted index and BM25 search.
 
-An index is two tables: postings (term, doc, tf, positions) and stats (doc,
-len). A query reads the postings of its terms only - the term filter reaches
-the scan of a stored table - and ends in a top-k, so nothing but k rows a task
-reaches the driver.
+An index is two tables: postings (term, doc, len, tf, positions) and stats
+(doc, len). A query reads the postings of its terms only - the term filter
+reaches the scan of a stored table - sums them by document in one shuffle and
+ends in a top-k, so nothing but k rows a task reaches the driver. Postings carry
+their document's length, so that a query need not join the table of all
+documents; :func:`summary` is one row, to be kept with a stored index.
 """
 
 from __future__ import annotations
@@ -58,11 +60,16 @@ def read_chunks(found: DataFrame, docs: DataFrame, key: str, bytes_col: str, mos
 def index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(postings, stats) of a table's texts. Null texts are empty."""
     own = docs.select(docs[id_col].alias("doc"), text.tokens(F.coalesce(docs[text_col], F.lit(""))).alias("tokens"))
-    places = own.select("doc", F.posexplode("tokens").alias("at", "term"))
-    postings = places.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    places = own.select("doc", F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("at", "term"))
+    postings = places.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
     return postings, own.select("doc", F.size("tokens").cast("long").alias("len"))
 
 
+def summary(stats: DataFrame) -> DataFrame:
+    """(n, average): documents and their mean length, one row."""
+    return stats.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("average"))
+
+
 def and_phrases(query: str) -> list[list[str]]:
     """The first 16 words of a query, each split as the index splits: a word with an underscore is a phrase of its parts."""
     import re
@@ -84,14 +91,14 @@ def _split(word: str) -> list[str]:
 
 
 def frequencies(postings: DataFrame, phrases: Sequence[Sequence[str]]) -> DataFrame:
-    """(doc, tf array<long>): how often each phrase occurs in the documents that hold any of its tokens."""
+    """(doc, len, tf array<long>): how often each phrase occurs in the documents that hold any of its tokens."""
     distinct = sorted({t for p in phrases for t in p})
     own = postings.where(F.col("term").isin(distinct))
     if all(len(p) == 1 for p in phrases):
         counts = [F.coalesce(F.sum(F.when(F.col("term") == p[0], F.col("tf"))), F.lit(0)) for p in phrases]
-        return own.groupBy("doc").agg(F.array(*counts).alias("tf"))
+        return own.groupBy("doc").agg(F.max("len").alias("len"), F.array(*counts).alias("tf"))
     places = [F.coalesce(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True), F.array().cast("array<int>")).alias(f"p{i}") for i, t in enumerate(distinct)]
-    held = own.groupBy("doc").agg(*places)
+    held = own.groupBy("doc").agg(F.max("len").alias("len"), *places)
     column = {t: F.col(f"p{i}") for i, t in enumerate(distinct)}
 
     def count(phrase: Sequence[str]) -> Column:
@@ -100,19 +107,21 @@ def frequencies(postings: DataFrame, phrases: Sequence[Sequence[str]]) -> DataFr
 
         return F.size(F.filter(column[phrase[0]], follows)).cast("long")
 
-    return held.select("doc", F.array(*map(count, phrases)).alias("tf"))
+    return held.select("doc", "len", F.array(*map(count, phrases)).alias("tf"))
 
 
-def bm25(postings: DataFrame, stats: DataFrame, phrases: Sequence[Sequence[str]], every: bool, keep: DataFrame | None = None) -> DataFrame:
+def bm25(postings: DataFrame, stats: DataFrame, phrases: Sequence[Sequence[str]], every: bool, keep: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
     """(doc, score) of the documents with all phrases (``every``) or any of them; the better, the larger.
 
+    ``whole`` is the stored summary of the index; without it, it is counted.
+
     ``keep`` (doc) restricts what is returned, not what is counted. No phrases
     give no rows. Inverse frequencies have a small positive floor.
     """
     if not phrases:
         return stats.select("doc", F.lit(0.0).alias("score")).limit(0)
     tf = frequencies(postings, phrases)
-    whole = stats.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("average"))
+    whole = summary(stats) if whole is None else whole
     n = F.col("n")
     df = tf.agg(F.array(*[F.sum(F.when(F.get("tf", F.lit(i)) > 0, 1).otherwise(0)).cast("double") for i in range(len(phrases))]).alias("df"))
     at = [F.get("tf", F.lit(i)).cast("double") for i in range(len(phrases))]
@@ -120,7 +129,7 @@ def bm25(postings: DataFrame, stats: DataFrame, phrases: Sequence[Sequence[str]]
     hits = tf.where(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), met))
     if keep is not None:
         hits = hits.join(keep, "doc", "left_semi")
-    rows = hits.join(stats, "doc").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(df))  # one row each
+    rows = hits.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(df))  # one row each
     k1, b = F.lit(fixed.BM25_K1), F.lit(fixed.BM25_B)
     damp = k1 * (F.lit(1.0) - b + b * F.col("len").cast("double") / F.col("average"))
     score = F.lit(0.0)
