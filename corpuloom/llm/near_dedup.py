@@ -319,12 +319,18 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     placed = ids.join(parts, ids["cid"] == parts["node"], "left")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = placed.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
-    linked = placed.where("label IS NOT NULL").join(first, "key", "left_semi").select("key", "id", F.lit(False).alias("every"))
-    alone = placed.where("label IS NULL").select("key", "id", (F.col("n") == 0).alias("every"))
-    winners = linked.union(alone).select(F.col("key").alias("__key"), F.col("id").alias("__id"), F.col("every").alias("__every"))
-    keyed = docs.withColumn("__own", text_key(docs[text_col]))
-    joined = keyed.join(winners, F.col("__own") == F.col("__key")).where(F.col("__every") | F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    once = F.row_number().over(Window.partitionBy("__own", id_col).orderBy(F.lit(0)))
+    linked = placed.where("label IS NOT NULL").join(first, "key", "left_semi")
+    winners = linked.select("key", "id").union(placed.where("label IS NULL AND n > 0").select("key", "id"))
+
+    def name(id_: Column) -> Column:
+        return F.coalesce(id_.cast("long").cast("string"), F.lit("null"))
+
+    # by content and id, so that a crowd of copies is dealt over all tasks
+    winners = winners.select(F.col("key").alias("__own"), name(F.col("id")).alias("__id"), F.lit(True).alias("__won"))
+    keyed = docs.withColumn("__own", text_key(docs[text_col])).withColumn("__id", name(docs[id_col]))
+    wordless = ~F.coalesce(docs[text_col], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    joined = keyed.withColumn("__wordless", wordless).join(winners, ["__own", "__id"], "left").where("__won OR __wordless")
+    once = F.row_number().over(Window.partitionBy("__own", "__id").orderBy(F.lit(0)))
     return joined.withColumn("__once", once).where("__once = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
