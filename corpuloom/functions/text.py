@@ -443,3 +443,10 @@ def md5_split(task: Column, percent: int = 70) -> Column:
     digits = F.filter(digits, lambda d: d >= 0)
     rest = F.aggregate(digits, F.lit(0), lambda acc, d: (acc * 16 + d) % 100)
     return F.when(rest < percent, "train").otherwise("held_out")
+
+
+def next_at(now: Column, clock: str) -> Column:
+    """The next time after ``now`` at which clocks show HH:MM or HH:MM:SS."""
+    h, m, s = ([int(x) for x in clock.split(":")] + [0])[:3]
+    today = F.timestamp_add("SECOND", F.lit(3600 * h + 60 * m + s), F.date_trunc("day", now))
+    return F.when(today > now, today).otherwise(F.timestamp_add("DAY", F.lit(1), today))

@@ -114,3 +114,27 @@ def freshness(recorded: DataFrame, live: DataFrame) -> DataFrame:
     """(name, verdict): current or stale by the markers' fingerprint; unknown where nothing was recorded."""
     rows = live.select("name", F.col("fingerprint").alias("now")).join(recorded.select("name", "fingerprint"), "name", "left")
     return rows.select("name", F.when(F.col("fingerprint").isNull(), "unknown").when(F.col("fingerprint") == F.col("now"), "current").otherwise("stale").alias("verdict"))
+
+
+# --- Fixed values. Endings of archive members whose text is worth extracting, beyond code and markup.
+MEMBER_ENDINGS = (".txt", ".text", ".md", ".markdown", ".rst", ".log", ".csv", ".tsv", ".json", ".xml", ".html", ".htm", ".xhtml", ".yaml", ".yml", ".ini", ".cfg", ".conf", ".toml", ".sql")
+
+
+def is_text_member(member):
+    """Whether an archive member is read for its text, by its name."""
+    return _ends(member, MEMBER_ENDINGS)
+
+
+def member_text(references: DataFrame, entries: DataFrame, classification: DataFrame, cache: DataFrame) -> DataFrame:
+    """(ref, text): extracted text of the containers that container!member references name, by the content's hash."""
+    raws = references.join(entries.select(F.col("path").alias("container"), "raw"), "container")
+    hashed = raws.join(classification.select("raw", "head_hash"), "raw")
+    keyed = hashed.withColumn("key", binary.derivation_key(F.col("head_hash"), F.lit(VERSION), F.lit("")))
+    return keyed.join(cache.where("task = 'extract_text'").select("key", "text"), "key").select("ref", "text")
+
+
+def fault_class(stderr):
+    """What an archive tool's complaint amounts to."""
+    low = F.lower(F.coalesce(stderr, F.lit("")))
+    told = (("encrypted", "passphrase|password|encrypt"), ("truncated", "truncat|unexpected end"), ("unsupported", "unrecognized|unsupported|unknown"), ("damaged", "damaged|corrupt|checksum|crc"))
+    return F.coalesce(*[F.when(low.rlike(p), F.lit(name)) for name, p in told], F.lit("failed"))

@@ -142,3 +142,36 @@ def copies(rows: DataFrame, hash_col: str, size_col: str) -> DataFrame:
 def needs_repair(chunks: DataFrame) -> DataFrame:
     """Sources whose text was read in another encoding than UTF-8; an unknown encoding is none."""
     return chunks.where(F.col("encoding").isNotNull() & (F.col("encoding") != "utf-8")).select("source").distinct()
+
+
+def build(entries: DataFrame, path: str, now: float) -> None:
+    """Writes a path index by kind and, last, its marker row: an index without one is not complete."""
+    entries.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/entries")
+    stored = entries.sparkSession.read.parquet(f"{path}/entries")
+    marker = stored.agg(F.count(F.lit(1)).alias("entries"), F.count_if(lossy(F.col("path"))).alias("paths_not_utf8"))
+    marker.withColumn("built_at", F.lit(now)).write.mode("overwrite").parquet(f"{path}/complete")
+
+
+def lossy(path: Column) -> Column:
+    """Whether a display path stands for bytes that are not UTF-8."""
+    return F.contains(path, F.lit("\ufffd"))
+
+
+def mangled(entries: DataFrame, limit: int = 200) -> DataFrame:
+    """Entries whose display lost bytes, by kind, the largest first."""
+    return entries.where(lossy(F.col("path"))).orderBy("kind", F.desc("size")).limit(clamp(limit))
+
+
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows with those of ``new`` in place of the same keys: the last writer wins."""
+    return stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def insert_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows and those of ``new`` whose keys are not stored, once each."""
+    return stored.unionByName(new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti"))
+
+
+def shown_of(shown: DataFrame, scope_rows: DataFrame) -> DataFrame:
+    """(shown, total): lines shown against all entries in scope, not against matches."""
+    return shown.agg(F.count(F.lit(1)).alias("shown")).crossJoin(scope_rows.agg(F.count(F.lit(1)).alias("total")))

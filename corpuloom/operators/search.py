@@ -204,3 +204,23 @@ def replace_sources(postings: DataFrame, stats: DataFrame, docs: DataFrame, id_c
 def hit_line(address: Column, body: Column, labels: Sequence[Column]) -> Column:
     """``address [label, ...]`` and a snippet of 300 characters."""
     return F.concat(address, F.lit(" ["), F.concat_ws(", ", *labels), F.lit("]\n"), text.squeeze(body, 300))
+
+
+def addressed(chunks_: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Chunks that addresses (column address) name by source or display path and byte range."""
+    parts = addresses.select("address", text.address_parts(F.col("address")).alias("p")).where("p.source IS NOT NULL")
+    parts = parts.select("address", F.col("p.source").alias("named"), F.col("p.byte_start").alias("a"), F.col("p.byte_end").alias("b"))
+    keyed = chunks_.withColumn("named", F.explode(F.array_distinct(F.array(text.display(F.col("source")), F.col("display")))))
+    return keyed.join(parts, (keyed["named"] == parts["named"]) & (F.col("byte_start") == F.col("a")) & (F.col("byte_end") == F.col("b"))).drop("named", "a", "b").dropDuplicates(["address"])
+
+
+def address_of_line(line: Column) -> Column:
+    """The address at the head of a printed hit line, so that a whole line can be read back."""
+    return F.nullif(F.regexp_extract(F.split_part(line, F.lit("\n"), F.lit(1)), f"({fixed.ADDRESS_TOKEN})", 1), F.lit(""))
+
+
+def repairs(chunks_: DataFrame, classification: DataFrame) -> DataFrame:
+    """(source, encoding): sources whose chunks were read in another encoding than they are now known to have; unknown encodings are none."""
+    read = chunks_.groupBy("source").agg(F.max("encoding").alias("was"))
+    known = classification.where(F.col("encoding").isNotNull() & (F.col("encoding") != "utf-8")).select(F.col("raw").alias("source"), "encoding")
+    return known.join(read, "source").where(~F.col("encoding").eqNullSafe(F.col("was"))).select("source", "encoding")

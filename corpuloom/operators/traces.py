@@ -100,3 +100,15 @@ def retention(files: DataFrame, keep: int = 50, by: str | None = None, order: st
 
     w = (Window.partitionBy(by) if by else Window).orderBy(F.desc(order), name)
     return files.withColumn("place", F.row_number().over(w)).where(F.col("place") > keep).drop("place")
+
+
+def selected(ranked: DataFrame, limit: int | None = None, cited_only: bool = False) -> DataFrame:
+    """Documents of a ranked plan in its order, cited ones only if asked."""
+    rows = ranked.where("cited > 0") if cited_only else ranked
+    rows = rows.orderBy(F.desc("cited"), F.desc("served"), "source")
+    return rows if limit is None else rows.limit(limit)
+
+
+def plan_histogram(ranked: DataFrame) -> DataFrame:
+    """(class, documents, cited): what a plan would describe."""
+    return ranked.groupBy("class").agg(F.count(F.lit(1)).alias("documents"), F.sum("cited").alias("cited"))

@@ -253,3 +253,19 @@ def compact(rows: DataFrame, clustered: DataFrame) -> DataFrame:
     joined = rows.select(F.col("path").alias("keeper"), F.col("body").alias("own")).join(merged, "keeper")
     bodies = F.transform("parts", lambda p: p["body"])
     return joined.select(F.col("keeper").alias("path"), F.concat_ws("\n\n---\n\n", "own", bodies).alias("body"), F.transform("parts", lambda p: p["path"]).alias("absorbed"))
+
+
+def helpers(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, name, signature, implementation, summary) of active helper pages by path."""
+    rows = pages.where("kind = 'helper' AND status = 'active'").orderBy("path")
+    rows = rows if limit is None else rows.limit(limit)
+    return rows.select("path", "name", text.section(F.col("body"), "Signature").alias("signature"), text.section(F.col("body"), "Implementation").alias("implementation"), "summary")
+
+
+def described(rows: DataFrame, model_summaries: DataFrame | None = None) -> DataFrame:
+    """Notes with a model's summary and keywords where there are any (path, said, words), and the text's own else."""
+    own = notes(rows)
+    if model_summaries is None:
+        return own
+    both = own.join(model_summaries, "path", "left")
+    return both.withColumn("summary", F.coalesce(F.nullif(F.trim("said"), F.lit("")), F.col("summary"))).withColumn("keywords", F.coalesce("words", F.col("keywords"))).drop("said", "words")

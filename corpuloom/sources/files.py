@@ -194,3 +194,26 @@ def model_ids(payload: DataFrame) -> DataFrame:
     parsed = payload.select(F.from_json("value", "data array<struct<id:string,status:struct<value:string>,loaded:boolean>>").alias("p"))
     rows = parsed.select(F.explode("p.data").alias("m")).select("m.id", F.coalesce("m.loaded", F.col("m.status.value") == "loaded").alias("loaded"))
     return rows.where(F.coalesce("loaded", F.lit(True))).select("id")
+
+
+def select_questions(asked: DataFrame, pick: str) -> DataFrame:
+    """Questions at a 1-based place, if ``pick`` is a number, or whose id holds it."""
+    return asked.where(F.col("place") == int(pick)) if pick.isdigit() else asked.where(F.contains("id", F.lit(pick)))
+
+
+def append_lines(events: DataFrame, path: str) -> None:
+    """Appends rows as JSON lines, with nulls left out; a failed task leaves no half line."""
+    events.write.mode("append").json(path)
+
+
+def write_questions(asked: DataFrame, path: str) -> None:
+    asked.orderBy("place").select("id", "question").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+# --- Fixed values. Media types by ending.
+MEDIA_TYPES = {".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".csv": "text/csv", ".json": "application/json", ".pdf": "application/pdf", ".zip": "application/zip", ".png": "image/png", ".jpg": "image/jpeg", ".gif": "image/gif", ".mp3": "audio/mpeg", ".mp4": "video/mp4"}
+
+
+def media_type(path: Column) -> Column:
+    """A guess by the name's ending; null where it says nothing."""
+    return F.coalesce(*[F.when(text.ending(path) == e, F.lit(t)) for e, t in MEDIA_TYPES.items()])
