@@ -312,8 +312,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     """(key, runs array<struct<first long, last long>>) of texts with repeated windows: runs of window starts. ``rows`` has id, key (of the text's content) and text."""
     found = _anchor_rows(rows)
     common = found.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
-    common = common.where("c > 1").select("hash", (F.col("low") != F.col("high")).alias("differ"))
-    places = found.join(common, "hash").groupBy("key", "hash", "at", "stretch", "differ").agg(F.count(F.lit(1)).alias("n"))
+    # written first, so that the join reads plain shuffles on both sides, and large partitions may be split
+    common = materialise(common.where("c > 1").select("hash", (F.col("low") != F.col("high")).alias("differ")), "common")
+    # under another name of the hash, so that the sum doesn't take the join's partitions for its own: it is dealt anew, by text too
+    shared = found.join(common, "hash").withColumn("hash", F.col("hash").bitwiseXOR(F.lit(1)))
+    places = shared.groupBy("key", "hash", "at", "stretch", "differ").agg(F.count(F.lit(1)).alias("n"))
     places = materialise(places, "anchors")
 
     place, high, low = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
