@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import string
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ from .common import documents, table_path
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 1 << 17
 #: Words whose ids a worker remembers, twice over; those not met for as long are forgotten.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 _MARKS = string.punctuation
 _BLOCK = "shard int, block int, start long, doc_ids array<long>, ends array<long>, bits int, packed binary"
 
@@ -84,6 +85,23 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _byte_names() -> dict[int, int]:
+    """Characters that byte-level merges write bytes as: printable Latin-1 as itself, the others from U+0100 on in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
+def _plain(word: str) -> bool:
+    """Whether a word is lower-case letters that normalisation leaves as they are: one piece to the merges."""
+    if not word.isalpha():
+        return False
+    return word.isascii() or (max(word) < "\u0530" and word.lower() == word and unicodedata.is_normalized("NFC", word))
+
+
 class _Words(dict):
     """Ids of words as 32-bit little-endian bytes, made when first asked for."""
 
@@ -97,8 +115,8 @@ class _Words(dict):
             base = word.rstrip(_MARKS)
             if len(base) < len(word) and base and base[-1].isalnum() and base[-1] != "\u0130":  # that letter's lower case ends in a mark of its own
                 ids = self[base] + self[word[len(base) :]]
-            elif word.isascii() and word.isalpha():  # such a word is one piece to the merges
-                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            elif _plain(word):
+                ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
             else:
                 ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) >= self.most:  # words that are not met again before the next time are forgotten
@@ -108,6 +126,12 @@ class _Words(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker process, which later tasks of it take up with what it remembers."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Encodes texts by the tokenizers library, word by word, remembering words.
 
@@ -137,7 +161,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col:
     schema = to_arrow_schema(StructType.fromDDL(_BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, start, shard = WordEncoder(tokenizer_file), 0, 0, None
+        encode, block, start, shard = word_encoder(tokenizer_file), 0, 0, None
         held, doc_ids, total = [], [], 0
 
         def closed() -> pa.RecordBatch:
