@@ -25,7 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -221,6 +221,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
+def ids_at(spark: SparkSession, path: str, first: int, count: int) -> np.ndarray:
+    """``count`` ids from the ``first`` of a whole folder: only the blocks that hold them are read, and of these only their bytes unpacked."""
+    base = shards(spark, path)
+    if not base or count <= 0:
+        return np.empty(0, np.uint32)
+    blocks = spark.read.schema(StructType.fromDDL(_BLOCK)).parquet(path)
+    begin = F.element_at(F.create_map(*[F.lit(x) for pair in base.items() for x in pair]), F.col("shard")) + F.col("start")
+    held = blocks.select("shard", "bits", "packed", begin.alias("begin"), F.element_at("ends", -1).alias("n"))
+    held = held.where((F.col("begin") < first + count) & (F.col("begin") + F.col("n") > first))
+    parts = []
+    for row in sorted(held.collect(), key=lambda r: r["begin"]):
+        low, high = max(first, row["begin"]), min(first + count, row["begin"] + row["n"])
+        parts.append(unpack(row["packed"], row["bits"], low - row["begin"], high - low))
+    return np.concatenate([np.empty(0, np.uint32), *parts])
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a folder, unpacked and summed in one pass."""
     blocks, base = spark.read.schema(StructType.fromDDL(_BLOCK)).parquet(path), shards(spark, path)

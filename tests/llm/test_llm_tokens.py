@@ -118,9 +118,13 @@ def test_token_files_of_awkward_rows(spark, tmp_path):
     assert got == slow_files([(i, t) for i, t, *_ in AWKWARD])
     ids = {r["start"]: r["ids"] for r in token_files.read(spark, path).collect()}
     assert {s: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for s, x in ids.items()} == {s: (n, c) for _, s, n, c in got}
+    flat = np.concatenate([ids[s] for s in sorted(ids)])
+    for first, count in ((0, 1), (3, 40), (len(flat) - 5, 5), (0, len(flat)), (10, 0)):
+        assert token_files.ids_at(spark, path, first, count).tolist() == flat[first : first + count].tolist()
     empty = f"file://{tmp_path}/e"
     token_files.write(df.limit(0), empty, WORDS, 1)
     assert token_files.read_digests(spark, empty).count() == 0
+    assert len(token_files.ids_at(spark, empty, 0, 5)) == 0
 
 
 # --- Mixing
