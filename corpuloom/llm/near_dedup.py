@@ -33,7 +33,7 @@ BANDS, ROWS, BITS = 36, 5, 2
 #: A pair is confirmed if its estimate is at most this far below the threshold.
 MARGIN = 0.25
 #: Members of a block of a neighbourhood that is searched across its components.
-BLOCK = 512
+BLOCK = 256
 _SIZE = BANDS * ROWS
 _WORDS = -(-_SIZE * BITS // 64)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -245,7 +245,8 @@ def find_classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     members = classes.select("cid", F.explode("buckets").alias("bucket"))
     mask = F.col("bucket").bitwiseAND(F.lit((1 << 62) - 1))  # another order of the classes in every bucket
     leaders = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("cid").bitwiseXOR(mask)).alias("least"))
-    leaders = leaders.where("size > 1").select("bucket", F.col("least").bitwiseXOR(mask).alias("leader"))
+    # written first, so that the join reads plain shuffles on both sides, and large partitions may be split
+    leaders = materialise(leaders.where("size > 1").select("bucket", F.col("least").bitwiseXOR(mask).alias("leader")), "leaders")
     shared = materialise(members.join(leaders, "bucket").select("bucket", "cid", "leader"), "buckets")
 
     bits = classes.select("cid", "bits", "n")
