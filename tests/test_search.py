@@ -121,3 +121,16 @@ def test_samples_are_reproducible(spark):
     assert one == two
     assert len(set(one)) == 20
     assert all(r["id"] % 2 for r in search.sample_prose(rows, "id", "t", "p", "s", 20).collect())
+
+
+def test_a_stored_index_is_read_by_term_and_shuffled_once(spark, built, tmp_path):
+    postings, stats = built
+    postings.write.parquet(str(tmp_path / "p"))
+    search.summary(stats).write.parquet(str(tmp_path / "w"))
+    stored, whole = (spark.read.parquet(str(tmp_path / x)) for x in ("p", "w"))
+    found = search.top(search.bm25(stored, stats, [["cat"], ["dog"]], False, whole=whole), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [cat,dog])]" in plan
+    assert "positions" not in plan  # single words need no places
+    assert "SortMergeJoin" not in plan and "TakeOrderedAndProject" in plan
+    assert [r["doc"] for r in found.collect()] == [r["doc"] for r in search.top(search.bm25(*built, [["cat"], ["dog"]], False), 3).collect()]
