@@ -331,7 +331,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     texts = rows.join(wanted, (rows["key"] == wanted["wanted"]) & rows["id"].eqNullSafe(wanted["owner"])).dropDuplicates(["key"])
     runs = _sorted_groups(_pieces(texts))
     inner = edges.join(runs, ["hash", "stretch"]).select("key", (place - F.col("last")).alias("first"), (place - F.col("first")).alias("last"))
-    return whole.union(inner).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text again
+    found = whole.union(inner).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text again
+    return materialise(found, "runs")  # so that the join with the texts may split a crowd of copies
 
 
 def spans(runs: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
