@@ -392,7 +392,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place, columns = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             texts = []
             for text, runs in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 if text and runs:
