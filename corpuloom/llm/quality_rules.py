@@ -4,8 +4,10 @@ A document's histogram over character classes and its histogram over common
 words are compared with references of each language by Jensen-Shannon
 distance. References are sums over all documents that pass the base rules
 and are long enough, by language; a document is held against every reference
-and takes the nearest, so its own language label decides nothing. Too short
-texts are not judged by divergence: their histograms say little.
+and takes the nearest, so its own language label decides nothing as long as that
+language has a reference. A text of a language without one is not judged by
+divergence: it would be held against other languages only. Nor are too short
+texts: their histograms say little.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ WINDOW = 8
 GUARD_WORDS, GUARD_CHARS = 50, 200
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest reference.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.45
-#: Languages with references: the most frequent ones, each of this share of the reference documents at least.
-MAX_LANGUAGES, MIN_SHARE = 50, 0.01
+#: Reference documents from which a language has a reference, whatever the size of the table.
+MIN_DOCS = 10
+#: The share from which the SQL gives a language a reference; the operator does not use it.
+MIN_SHARE = 0.01
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Common words of English, French, German and Spanish.
 COMMON = sorted(
@@ -122,10 +126,10 @@ def distance(p: np.ndarray, references: np.ndarray) -> np.ndarray:
 
 
 class Judge:
-    """Holds documents against the references; ``classes`` and ``common`` have one row per language."""
+    """Holds documents against the references; ``classes`` and ``common`` have one row for each of ``langs``."""
 
-    def __init__(self, classes: np.ndarray, common: np.ndarray):
-        self.classes, self.common = classes, common
+    def __init__(self, classes: np.ndarray, common: np.ndarray, langs: list[str | None]):
+        self.classes, self.common, self.langs = classes, common, frozenset(langs)
 
     def distances(self, text: str, words: list[str]) -> tuple[float | None, float | None]:
         """Distance to the nearest reference by classes and by common words; null where a guard or an empty reference set forbids it."""
@@ -140,8 +144,8 @@ class Judge:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Judge:
     """Sums of the histograms of all documents that pass the base rules and both guards, by language.
 
-    What reaches the driver is one row of counts per language and task, added
-    up before; at most :data:`MAX_LANGUAGES` languages are kept. A null
+    Every language of :data:`MIN_DOCS` such documents has a reference; what
+    reaches the driver is one row of counts for each, added up before. A null
     language counts as one more language.
     """
     size = 1 + len(CLASSES) + len(COMMON) + 1
@@ -165,16 +169,17 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     kept = docs.select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     sums = kept.mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     rows = sums.groupBy("lang").agg(F.max(F.when(F.col("place") == 0, F.col("n"))).alias("docs"), F.array_sort(F.collect_list(F.struct("place", "n"))).alias("counts"))
-    top = rows.orderBy(F.desc("docs"), F.col("lang")).limit(MAX_LANGUAGES).collect()
-    total = sum(r["docs"] for r in top)
-    table = np.array([[c["n"] for c in r["counts"]] for r in top if r["docs"] >= MIN_SHARE * total], float).reshape(-1, size)
-    return Judge(table[:, 1 : 1 + len(CLASSES)], table[:, 1 + len(CLASSES) :])
+    top = rows.where(F.col("docs") >= MIN_DOCS).collect()
+    top.sort(key=lambda r: (-r["docs"], r["lang"] is not None, r["lang"] or ""))
+    table = np.array([[c["n"] for c in r["counts"]] for r in top], float).reshape(-1, size)
+    return Judge(table[:, 1 : 1 + len(CLASSES)], table[:, 1 + len(CLASSES) :], [r["lang"] for r in top])
 
 
-def verdict(judge: Judge, text: str | None) -> tuple:
+def verdict(judge: Judge, text: str | None, *lang: str | None) -> tuple:
+    """The counts, decisions and distances of a text; where its language is given, that one must have a reference for distances."""
     n_words, word_chars, n_symbols, n_dup, n_repeat, words = base_counts(text)
     failed = base_failed(n_words, n_repeat)
-    by_class, by_word = judge.distances(text or "", words)
+    by_class, by_word = judge.distances(text or "", words) if judge.langs.issuperset(lang) else (None, None)
     kept = not failed and (by_class is None or by_class <= MAX_CLASS_DISTANCE) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
     return n_words, word_chars, n_symbols, n_dup, n_repeat, failed, kept, by_class, by_word
 
@@ -187,8 +192,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(id_col, counts, base_failed, kept, class_distance, word_distance) of every row's whole text.
 
     Null and empty texts have no words and fail the base rules. Texts under
-    the guards, and all texts where no document qualifies as reference (as in
-    an empty table), have null distances and are kept if the base rules pass.
+    the guards, and all texts of a language without a reference (as in an
+    empty table), have null distances and are kept if the base rules pass.
     Repeated rows and null ids yield one row each; other columns are not
     carried.
     """
@@ -198,10 +203,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = list(zip(*(verdict(by, t) for t in part.column(1).to_pylist()), strict=True))
+                rows = list(zip(*(verdict(by, t, lang) for t, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(rows, _TYPES, strict=True))], ["id", *_NAMES])
 
-    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     kind = kept.schema["id"].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{n} long" for n in _NAMES[:5]) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
     return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -209,11 +214,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns, without a shuffle."""
-    by, place = references(docs, text_col, lang_col), docs.columns.index(text_col)
+    by, place, lang_place = references(docs, text_col, lang_col), docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([verdict(by, t.as_py())[6] for t in batch.column(place)], pa.bool_()))
+            langs = batch.column(lang_place).cast(pa.string())
+            yield batch.filter(pa.array([verdict(by, t.as_py(), lang.as_py())[6] for t, lang in zip(batch.column(place), langs, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

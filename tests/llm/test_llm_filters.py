@@ -176,6 +176,26 @@ def test_rules_on_awkward_rows(spark):
     assert quality_rules.keep(empty(spark)).count() == 0
 
 
+def test_rare_languages_are_kept_whatever_their_share(spark):
+    def prose(words, n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    r = np.random.default_rng(8)
+    english = ["the", "of", "and", "to", "in", "is", "house", "river", "winter", "garden"]
+    russian, chinese = ["дом", "река", "зима", "и", "в", "на", "сад", "окно"], ["天地", "玄黄", "宇宙", "洪荒", "日月", "盈昃"]
+    rare, none = quality_rules.MIN_DOCS, quality_rules.MIN_DOCS - 1
+    rows = [(i, prose(english, 150), "en", "s", 0) for i in range(150 * rare)]
+    rows += [(10_000 + i, prose(russian, 150), "ru", "s", 0) for i in range(rare)]  # under 1 % of all
+    rows += [(20_000 + i, prose(chinese, 150), "zh", "s", 0) for i in range(none)]  # too few for a reference
+    rows += [(30_000, prose(["#%&=", "<<>>", "@@[]", "{}|~"], 150), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert quality_rules.references(docs).langs == {"en", "ru"}
+    got = {x["doc_id"]: x for x in quality_rules.judge(docs).collect()}
+    assert [i for i, x in got.items() if not x["kept"]] == [30_000]
+    assert all((got[i]["class_distance"] is None) == (lang == "zh") for i, _, lang, _, _ in rows)
+    assert {x["doc_id"] for x in quality_rules.keep(docs).collect()} == set(got) - {30_000}
+
+
 def test_repeat_words_of_edges():
     assert quality_rules.repeat_words("a b c".split()) == 0
     assert quality_rules.repeat_words(("a b c d e f g h " * 2).split()) == 16
