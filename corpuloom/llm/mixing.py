@@ -4,12 +4,19 @@ A source of weight w (integer parts of a whole W) is a periodic task: its
 i-th block (from 0) is released at slot floor(i*W/w) and due by slot
 ceil((i+1)*W/w). Earliest-deadline-first over the released blocks meets every
 deadline, so after any number of slots each source is within less than one
-block of its share. The schedule repeats after W slots, so the driver
+block of its share w/W. The schedule repeats after W slots, so the driver
 computes one period - its size is W, whatever the data's - and the place of
 any block follows in closed form:
 
     slot(i) = floor(i / w) * W + slot of block (i mod w) within the period
 
+Shares are target weights rounded to parts of W, so W grows with the number n
+of sources: it is 100 n, 1,000 at least. If every target is a part or more, a
+share is less than 1/W off its target, which is one hundredth of the mean
+share at most, and after t slots a source is less than 1 + t/W blocks off its
+target. Each source has one part at least, so targets below a part are raised
+to it, at the cost of the others: at most n/W, a hundredth, of all slots.
+
 When a source runs out, the others go on by their weights among themselves in
 a new phase, so no row is dropped; there are at most as many phases as
 sources.
@@ -27,8 +34,8 @@ from .common import documents, materialise
 
 #: Rows of a block.
 BLOCK_ROWS = 16
-#: Parts of the whole into which target weights are rounded: the length of a period.
-WHOLE = 1000
+#: Parts of the whole into which target weights are rounded, the length of a period: as many at least, and so many for each source.
+WHOLE, PARTS_PER_SOURCE = 1000, 100
 #: Most sources, and so most phases; more are refused. Their counts are gathered at the driver.
 MAX_SOURCES = 1000
 #: Exponent on a source's row count that gives its weight where none is named: 1 keeps the natural mix, 0 makes all equal.
@@ -41,18 +48,24 @@ def parts(weights: dict[str, float], whole: int = WHOLE) -> dict[str, int]:
     total = sum(weights.values())
     exact = {s: w / total * whole for s, w in weights.items()}
     found = {s: max(1, floor(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (found[s] - exact[s], s)):
-        if sum(found.values()) >= whole:
-            break
+    over = sum(found.values()) - whole
+    for s in sorted(exact, key=lambda s: (found[s] - exact[s], s))[: max(0, -over)]:
         found[s] += 1
-    while sum(found.values()) > whole:
-        s = max(found, key=lambda s: (found[s] - exact[s] if found[s] > 1 else -whole, s))
-        found[s] -= 1
+    if over > 0:  # largest surplus first, the last name among equals
+        names = sorted(found)
+        surplus = [(exact[s] - found[s], -i) for i, s in enumerate(names) if found[s] > 1]
+        heapq.heapify(surplus)
+        for _ in range(over):
+            _, i = heapq.heappop(surplus)
+            s = names[-i]
+            found[s] -= 1
+            if found[s] > 1:
+                heapq.heappush(surplus, (exact[s] - found[s], i))
     return found
 
 
-def period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period of sum(weights) slots."""
+def period(weights: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks within one period of sum(weights) slots, or up to the last of a source's ``left`` blocks."""
     whole = sum(weights.values())
     waiting = [(0, s, 0) for s in sorted(weights)]  # (release, source, block)
     heapq.heapify(waiting)
@@ -69,24 +82,27 @@ def period(weights: dict[str, int]) -> dict[str, list[int]]:
         if now >= due:
             raise AssertionError("EDF meets every deadline")
         slots[s].append(now)
+        if left and i + 1 == left[s]:
+            break
         if i + 1 < weights[s]:
             heapq.heappush(waiting, ((i + 1) * whole // weights[s], s, i + 1))
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], whole: int = WHOLE) -> list[dict]:
+def phases(blocks: dict[str, int], weights: dict[str, float], whole: int | None = None) -> list[dict]:
     """The schedule as phases: {base, whole, sources: {source: (first block, weight, slots)}}.
 
     A phase ends with the last block of the first source that runs out. Its
     blocks keep their order; slots of sources past their end are not used, so
-    positions are ranked, not dense.
+    positions are ranked, not dense. Without ``whole``, a period grows with the
+    sources that are left.
     """
     left, done, base, found = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        share = parts({s: weights[s] for s in left}, whole)
-        slots, size = period(share), sum(share.values())
-        ends = {s: (n - 1) // share[s] * size + slots[s][(n - 1) % share[s]] for s, n in left.items()}
-        stop = min(ends.values())
+        share = parts({s: weights[s] for s in left}, whole or max(WHOLE, PARTS_PER_SOURCE * len(left)))
+        slots, size = period(share, left), sum(share.values())
+        over = [slots[s][n - 1] for s, n in left.items() if len(slots[s]) == n]  # one source ran out within the period
+        stop = over[0] if over else min((n - 1) // share[s] * size + slots[s][(n - 1) % share[s]] for s, n in left.items())
         taken = {s: stop // size * share[s] + sum(x <= stop % size for x in slots[s]) for s in left}
         found.append({"base": base, "whole": size, "sources": {s: (done[s], min(taken[s], left[s]), share[s], slots[s]) for s in left}})
         for s in list(left):
@@ -99,7 +115,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], whole: int = WHOLE
     return found
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, whole: int = WHOLE, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, whole: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(id_col, source, block, slot, position) of every row.
 
     ``block`` counts the source's blocks of ``block_rows`` rows in ascending

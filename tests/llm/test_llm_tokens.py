@@ -148,6 +148,21 @@ def test_parts_sum_and_follow_weights():
     assert sum(mixing.parts({str(i): 1.0 for i in range(30)}, 7).values()) == 30
 
 
+def test_many_sources_follow_their_targets():
+    weights = {f"s{i:03}": 1.0 for i in range(499)} | {"hot": 249.5}  # a third for one, the rest alike
+    blocks = dict.fromkeys(weights, 130) | {"hot": 130_000}
+    first = mixing.phases(blocks, weights)[0]
+    whole, total = first["whole"], sum(weights.values())
+    for s, (_, _, share, _) in first["sources"].items():
+        assert abs(share / whole - weights[s] / total) < 1 / whole <= 0.01 / len(weights)
+    order = sorted((i // share * whole + slots[i % share], s) for s, (_, took, share, slots) in first["sources"].items() for i in range(took))
+    taken = Counter()
+    for t, (_, s) in enumerate(order, 1):
+        taken[s] += 1
+        assert abs(taken[s] - t * weights[s] / total) < 1 + t / whole
+    assert abs(taken["hot"] / len(order) - 1 / 3) < 0.001
+
+
 def slow_schedule(sizes, weights, block_rows, whole):
     """Earliest deadline first, slot by slot, phase by phase."""
     left = {s: -(-n // block_rows) for s, n in sizes.items() if n}
