@@ -95,8 +95,8 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
     return kept.mapInArrow(run, f"id {kind}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, n_tokens, exact): each row's ids and whether they decode to its very bytes."""
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", position_col: str | None = None) -> DataFrame:
+    """(id_col, ids, n_tokens, exact): each row's ids and whether they decode to its very bytes; a named position is carried as position."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +107,12 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 texts = part.column(1).to_pylist()
                 ids = [encode_text(enc, t) for t in texts]
                 exact = [enc.decode_bytes(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(exact)], ["id", "ids", "n_tokens", "exact"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(exact), *part.columns[2:]], ["id", "ids", "n_tokens", "exact", *place])
 
-    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    place = [] if position_col is None else ["position"]
+    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *([] if position_col is None else [docs[position_col].cast("long").alias("position")]))
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, exact boolean").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, exact boolean" + "".join(f", {c} long" for c in place)).withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ sources.
 from __future__ import annotations
 
 import heapq
+import re
 from math import floor
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -164,6 +165,25 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     return placed.select(F.col("id").alias(id_col), "source", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
 
 
+def placed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and position, from 0, of the rows of a table that was written in order to Parquet files.
+
+    Reading deals out files by size, so rows come in another order than they
+    were written. Their order is that of the writers' tasks, the numbers in
+    the files' names, and within a file that of its rows. One row for each
+    file reaches the driver.
+    """
+    spark, meta = docs.sparkSession, docs.metadataColumn("_metadata")
+    rows = docs.select(*[docs[c] for c in columns], meta["file_path"].alias("__file"), meta["row_index"].alias("__row"))
+    before, starts = 0, []
+    numbers = lambda f: [int(x) for x in re.fullmatch(r"part-(\d+)-.*?(?:-c(\d+))?(?:\.\w+)*", f.rsplit("/", 1)[1]).groups("0")]
+    for file, n in sorted(rows.groupBy("__file").count().collect(), key=lambda r: numbers(r[0])):
+        starts.append((file, before))
+        before += n
+    starts = spark.createDataFrame(starts, "__file string, __before long")
+    return rows.join(F.broadcast(starts), "__file").select(*columns, (F.col("__before") + F.col("__row")).alias("position"))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` with all their columns, in the order of the schedule.
 

@@ -38,8 +38,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to the document's very bytes."""
-    return bpe.tokens(docs)
+    """Token ids of every document, whether they decode to the document's very bytes, and the document's position in the mix, from 0."""
+    return bpe.tokens(mixing.placed(docs, ["doc_id", "text"]), position_col="position")
 
 
 STAGES = [

@@ -245,6 +245,30 @@ def test_pipeline_equals_brute_force(spark, sf):
         assert got[i]["exact"]
 
 
+def test_positions_follow_the_order_of_writing(spark, tmp_path):
+    sizes = [30, 4000, 2, 900, 9000, 1]
+    path, at, r = f"{tmp_path}/mixed", 0, random.Random(2)
+    for k, n in enumerate(sizes):  # files as the tasks of one write name them, each shuffled ids in a fixed order
+        frame(spark, [(i * 7919 % 100_003, "a b " * r.randrange(1, 9), None, "s", None) for i in range(at, at + n)]).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        (tmp_path / "mixed").mkdir(exist_ok=True)
+        next((tmp_path / str(k)).glob("part-*")).rename(tmp_path / "mixed" / f"part-{k:05d}-7b0c.c000.snappy.parquet")
+        at += n
+    docs = spark.read.parquet(f"file://{path}")
+    want = [i * 7919 % 100_003 for i in range(at)]
+    assert [r["doc_id"] for r in docs.select("doc_id").collect()] != want
+    got = dict(mixing.placed(docs, ["doc_id"]).select("position", "doc_id").collect())
+    assert [got[k] for k in range(at)] == want
+
+
+def test_pipeline_carries_the_mix(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text number {i} of a source " + "word " * (i % 40), "en", "hot" if i % 3 else "rare", 0) for i in range(2000)]
+    frame(spark, rows).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = {r["position"]: r["doc_id"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    places = mixing.schedule(frame(spark, rows)).orderBy("position").collect()
+    assert [got[k] for k in range(2000)] == [r["doc_id"] for r in places]
+
+
 def test_stages_of_awkward_and_empty_tables(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "repeated_passages", "mixing", "bpe"]
     extra = frame(spark, AWKWARD).withColumn("key", F.lit("clash")).withColumn("kept", F.lit(True))
