@@ -735,9 +735,8 @@ def bin_sniff(spark, sf):
 
 @query("SELECT doc_id, sha256(encode(text)[1:65536] || encode(chr(0) || octet_length(encode(text)))) AS head_hash FROM documents WHERE octet_length(encode(text)) <= 65536 UNION ALL SELECT doc_id, NULL FROM documents WHERE octet_length(encode(text)) > 65536")
 def hsh_head_hash(spark, sf):
-    """HSH-01; null where the SQL has no form for a cut within bytes."""
-    content = F.col("text").cast("binary")
-    return table(spark, sf, "documents").select("doc_id", F.when(F.octet_length("text") <= binary.HASH_BYTES, binary.head_hash(content)).alias("head_hash"))
+    """HSH-01, of every text; the SQL has null for those over 65,536 bytes."""
+    return table(spark, sf, "documents").select("doc_id", binary.head_hash(F.col("text").cast("binary")).alias("head_hash"))
 
 
 @query(None)

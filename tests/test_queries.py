@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives; plans keep the shape they should have."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -59,3 +61,11 @@ def test_entry_gives_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_head_hash_of_long_texts(spark, tmp_path):
+    texts = {1: "short", 2: "x" * 65_536, 3: "y" * 65_537, 4: "é" * 50_000, 5: "a" + "é" * 50_000}  # the last is cut within a character
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(QUERIES["hsh_head_hash"](spark, str(tmp_path)).collect())
+    raw = {i: t.encode() for i, t in texts.items()}
+    assert got == {i: hashlib.sha256(b[:65_536] + b"\0" + str(len(b)).encode()).hexdigest() for i, b in raw.items()}
