@@ -3,9 +3,11 @@
 Each match of the split pattern is encoded on its own by the merge ranks of
 the tiktoken library, without special tokens. Long texts are cut before a
 space that stands between two non-space characters: no match of the pattern
-spans such a place, so the pieces encode as the whole would, and the regex
-engine never sees an unbounded string. Decoding concatenates raw bytes, so
-ids that end within a character survive.
+spans such a place, so the pieces encode as the whole would. Long runs of
+white space are cut out too, as the regex engine's stack ends with them: the
+pattern takes all of a run but its last character as one match, or the whole
+run where the text ends with it. Decoding concatenates raw bytes, so ids that
+end within a character survive.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from .common import documents
 #: Characters from which a text is cut at safe boundaries.
 PIECE = 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Characters of a run of white space from which it is a piece of its own; white space as the pattern's engine has it.
+RUN = 1 << 14
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @lru_cache(maxsize=4)
@@ -56,7 +61,15 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, piece: int = PIECE) ->
         return []
     if len(text) <= piece:
         return enc.encode_ordinary(text)
-    return [i for part in safe_pieces(text, piece) for i in enc.encode_ordinary(part)]
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        for part in safe_pieces(text[at : run.start()], piece):
+            ids += enc.encode_ordinary(part)
+        at = run.end() - (run.end() < len(text))
+        ids += enc._encode_single_piece(text[run.start() : at])
+    for part in safe_pieces(text[at:], piece):
+        ids += enc.encode_ordinary(part)
+    return ids
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

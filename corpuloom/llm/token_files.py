@@ -19,6 +19,7 @@ vectorised numpy.
 from __future__ import annotations
 
 import os
+import re
 import string
 import unicodedata
 import zlib
@@ -81,7 +82,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = True  # words are lower-cased when they come here; texts were cut at added tokens before
     return tokenizer
 
 
@@ -139,14 +140,26 @@ class WordEncoder:
     and merges nothing across these places, so a text may be cut at spaces,
     line ends and before the marks at a word's end, and A-Z lower-cased: its
     ids are those of the pieces in order. All else is left to the library.
+    The strings of added tokens, such as ``<|endoftext|>``, are those tokens,
+    as the library has it, and the text is cut at them first.
     """
 
     def __init__(self, path: str, memo: int = MEMO_WORDS):
-        self.known = _Words(_tokenizer(path), memo)
+        tokenizer = _tokenizer(path)
+        self.known = _Words(tokenizer, memo)
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        plain = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return map(self.known.__getitem__, plain.replace("\n", " ").split(" "))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        plain = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, plain.replace("\n", " ").split(" "))), "<u4")
+        text = text or ""
+        if self.cut is None or not self.cut.search(text):
+            return np.frombuffer(b"".join(self._plain(text)), "<u4")
+        found = [part for i, piece in enumerate(self.cut.split(text)) for part in ([self.added[piece]] if i % 2 else self._plain(piece))]
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -18,7 +19,7 @@ from corpuloom.llm.common import materialise
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-LETTERS = ["a", "B", "'s", "'t", "re", "É", "é", "́", "Σ", "ς", "ß", "İ", "²", "1", "_", ".", "»", "'", " ", "  ", "\t", "\n", " ", "中", "<|endoftext|>", "\x1c", "😀", "ﬁ", "≠", "K"]
+LETTERS = ["a", "B", "'s", "'t", "re", "É", "é", "́", "Σ", "ς", "ß", "İ", "²", "1", "_", ".", "»", "'", " ", "  ", "\t", "\n", " ", "中", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\x1c", "😀", "ﬁ", "≠", "K"]
 
 
 def texts(seed, n, most=12):
@@ -44,6 +45,29 @@ def test_safe_pieces_encode_as_the_whole():
         assert "".join(bpe.safe_pieces(t, 3)) == t
 
 
+def test_cut_runs_of_white_space_encode_as_the_whole(monkeypatch):
+    enc = bpe.encoding(RANKS, PATTERN)
+    monkeypatch.setattr(bpe, "_RUN", re.compile(bpe._RUN.pattern.replace(f"{{{bpe.RUN},}}", "{9,}")))
+    r = random.Random(8)
+    for _ in range(2000):
+        parts = [" " * 12, "\n" * 9, "\t ", "\u3000" * 11, "\x1c" * 10, "\xa0" * 30, "abc", "é", "'s", "12", "!?", "  x", " y", "\r\n" * 6]
+        t = "".join(r.choice(parts) for _ in range(r.randrange(1, 12)))
+        for piece in (1, 20):
+            assert bpe.encode_text(enc, t, piece) == enc.encode_ordinary(t), repr(t)
+
+
+@pytest.mark.parametrize("sign", ["\n", " ", "\t", "\u3000", "\r\n", "a", "!", "1", "\u0301"])
+def test_bpe_of_a_million_equal_signs(sign):
+    enc = bpe.encoding(RANKS, PATTERN)
+    n = 1_000_000
+    text = "a" + sign * n + "b"
+    ids = bpe.encode_text(enc, text)
+    assert enc.decode_bytes(ids) == text.encode()
+    if sign.isspace():  # the run without its last sign is one match; the last one goes by itself, or with b if it is a space
+        tail = " b" if sign == " " else sign[-1] + "b"
+        assert ids == enc.encode_ordinary("a") + enc._encode_single_piece((sign * n)[:-1]) + enc.encode_ordinary(tail)
+
+
 def test_bpe_query_equals_the_library(spark, sf):
     enc = bpe.encoding(RANKS, PATTERN)
     got = {r["doc_id"]: r for r in queries.op2_bpe(spark, sf).collect()}
@@ -88,15 +112,14 @@ def test_width():
 
 def test_words_encode_as_the_library():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     encode = token_files.WordEncoder(WORDS, memo=50)
-    for t in texts(2, 4000):
+    assert encode("a <|endoftext|> b").tolist() == [320, 49407, 321]
+    for t in texts(2, 6000):
         assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def slow_files(rows, end=1):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1])):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, end]
