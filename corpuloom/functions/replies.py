@@ -19,7 +19,12 @@ ACTIONS = {
     "drop": "Leave it out of the context entirely",
 }
 IMPORTANCE = ("No bearing on the question", "Background only", "Part of the answer", "The answer itself")
-MOST_TOKENS = 1024
+MOST_TOKENS, CHARS_PER_TOKEN = 1024, 3.0
+INSTRUCTIONS = {
+    "action": "Decide what this card should contribute to the context of the model answering it.",
+    "relevant": "Does the card contain anything that bears on that question?",
+    "importance": "How much would including the full card help answer it?",
+}
 # --- Fixed values. Lead-ins, decoration and commentary of drafted questions.
 LEAD_INS = ("question:", "pregunta:", "q:", "1.", "1)", "2.", "2)")
 DECORATION = "`*_#> \t\"'-•·"
@@ -84,11 +89,7 @@ def clean_question(reply: pd.Series) -> pd.Series:
 def decision_request(question: Column, card: Column) -> Column:
     """A decision request about a card as JSON; null where it would pass the model's tokens."""
     asked = F.concat(F.lit("Question being answered: "), question, F.lit("\n"))
-    says = {
-        "action": F.concat(asked, F.lit("Decide what this card should contribute to the context of the model answering it.")),
-        "relevant": F.concat(asked, F.lit("Does the card contain anything that bears on that question?")),
-        "importance": F.concat(asked, F.lit("How much would including the full card help answer it?")),
-    }
+    says = {name: F.concat(asked, F.lit(said)) for name, said in INSTRUCTIONS.items()}
     options = F.struct(*[F.lit(v).alias(k) for k, v in ACTIONS.items()])
     parts = F.struct(
         F.struct(F.lit("choice").alias("type"), says["action"].alias("instructions"), options.alias("criteria")).alias("action"),
@@ -96,7 +97,7 @@ def decision_request(question: Column, card: Column) -> Column:
         F.struct(F.lit("score").alias("type"), says["importance"].alias("instructions"), F.array(*map(F.lit, IMPORTANCE)).alias("criteria")).alias("importance"),
     )
     size = F.length(card) + sum((F.length(s) for s in says.values()), F.lit(sum(map(len, ACTIONS.values()))))
-    return F.when(F.floor(size / 4) + 1 <= MOST_TOKENS, F.to_json(F.struct(card.alias("state"), parts.alias("questions"))))
+    return F.when(F.floor(size / CHARS_PER_TOKEN) + 1 <= MOST_TOKENS, F.to_json(F.struct(card.alias("state"), parts.alias("questions"))))
 
 
 def decision(reply: Column) -> Column:
@@ -121,6 +122,35 @@ def labelled_answer(label: Column) -> Column:
     )
 
 
+def classifier_heads(request: Column) -> Column:
+    """A decision request as the heads of a label classifier: name to struct (labels, prompt); choices are labels that carry their criteria, a score counts its criteria, a noul is yes or no. Null where a question has nothing to choose from."""
+    kinds = "questions map<string,struct<type:string,instructions:string,criteria:string>>"
+    q = F.from_json(request, kinds)["questions"]
+
+    def labels(s: Column) -> Column:
+        levels = F.from_json(s["criteria"], "array<string>")
+        scale = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size(levels) - 1), lambda i: i.cast("string")), levels)
+        choice = F.from_json(s["criteria"], "map<string,string>")
+        return F.when(s["type"] == "noul", F.create_map(F.lit("yes"), F.lit("yes"), F.lit("no"), F.lit("no"))).when(s["type"] == "choice", choice).when((s["type"] == "score") & (F.size(levels) > 0), scale)
+
+    heads = F.transform_values(q, lambda k, s: F.struct(labels(s).alias("labels"), s["instructions"].alias("prompt")))
+    sound = F.forall(F.map_values(heads), lambda h: F.coalesce(F.size(h["labels"]) > 0, F.lit(False)))
+    return F.when((F.size(q) > 0) & sound, heads)
+
+
+def reply_content(body: Column) -> Column:
+    """Struct (content, fault) of a chat completion's JSON: the first choice's text, the reasoning's where that is null, or why there is none."""
+    kinds = "choices array<struct<finish_reason:string,message:struct<content:string,reasoning_content:string>>>"
+    p = F.from_json(body, kinds)
+    message = F.get(p["choices"], F.lit(0))["message"]
+    own = F.coalesce(message["content"], F.nullif(message["reasoning_content"], F.lit("")))
+    fault = (
+        F.when(p.isNull() | ~F.startswith(F.ltrim(body), F.lit("{")), "response was not a JSON object").when(F.coalesce(F.size(p["choices"]), F.lit(0)) <= 0, "response has no 'choices' array")
+        .when(message.isNull(), "response 'choices[0]' has no 'message' object").when(own.isNull(), "response message has no 'content'")
+    )
+    return F.struct(F.when(fault.isNull(), own).alias("content"), fault.alias("fault"))
+
+
 def server_block(reply: Column) -> Column:
     """A server's own account of a call by name; null where it gave none, and fields it lacks stay null."""
     p = F.from_json(reply, SERVER)

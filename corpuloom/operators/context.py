@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -75,6 +75,12 @@ def map_query(items: DataFrame, template: str, model: Callable[[list[str]], list
     return keyed.join(once.mapInPandas(ask, "prompt_key string, answer string"), "prompt_key", "left").drop("prompt_key", "prompt")
 
 
+def call_warnings(chars: Column, budget: int, context_chars: Column, fraction: float) -> Column:
+    """What a call is warned of: oversize beyond ``budget`` characters, shortcut where a prompt holds more than ``fraction`` of the whole context (none if either is 0)."""
+    shortcut = (context_chars > 0) & F.lit(fraction > 0) & (chars / F.nullif(context_chars, F.lit(0)) > fraction)
+    return F.array_compact(F.array(F.when(chars > budget, "oversize"), F.when(F.coalesce(shortcut, F.lit(False)), "shortcut")))
+
+
 def budgeted(calls: DataFrame, by: str, order: str, chars: str, most_calls: int, most_chars: int) -> DataFrame:
     """Adds ``accepted``: calls in order while the count and characters of those accepted stay within budget; a rejected call uses none of it."""
 

@@ -100,6 +100,34 @@ def archive_totals(members: DataFrame) -> DataFrame:
     return members.groupBy("container").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("declared_bytes"))
 
 
+def archive_kinds(members: DataFrame) -> DataFrame:
+    """(container, kind, members) of listed archives."""
+    return members.groupBy("container", "kind").agg(F.count(F.lit(1)).alias("members"))
+
+
+def member_lines(members: DataFrame) -> DataFrame:
+    """(container, text): the members of each archive as lines of name, size and kind between tabs, by name. A listing is bounded, and so is its text."""
+    rows = members.groupBy("container").agg(F.array_sort(F.collect_list(F.struct("member", "size", "kind"))).alias("m"))
+    return rows.select("container", F.array_join(F.transform("m", lambda m: F.concat_ws("\t", m["member"], m["size"].cast("string"), m["kind"])), "\n").alias("text"))
+
+
+def members_of_lines(texts: DataFrame) -> DataFrame:
+    """(container, member, size, kind) of such texts; a size that is no number counts as 0, a missing kind as file, and empty lines as nothing."""
+    lines = texts.select("container", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    parts = F.split("line", "\t")
+    digits = F.when(F.get(parts, F.lit(1)).rlike(r"^\d+$"), F.get(parts, F.lit(1)).try_cast("long"))
+    return lines.select("container", F.get(parts, F.lit(0)).alias("member"), F.coalesce(digits, F.lit(0)).alias("size"), F.coalesce(F.get(parts, F.lit(2)), F.lit("file")).alias("kind"))
+
+
+def window_of(queue: DataFrame, tasks: list[str], most: int, paused: bool = False, seconds_left: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(claimed, reason): the rows that one run takes, and why it stops: paused, deadline, max_items or drained."""
+    open_ = queue.where((F.col("state") == "pending") & F.col("task").isin(tasks))
+    if paused or (seconds_left is not None and seconds_left <= 0):
+        return open_.limit(0), open_.limit(1).agg(F.lit("paused" if paused else "deadline").alias("reason"))
+    waiting = open_.limit(most + 1).agg(F.count(F.lit(1)).alias("n"))
+    return claim(queue, tasks, most), waiting.select(F.when(F.col("n") > most, "max_items").otherwise("drained").alias("reason"))
+
+
 def publish(snapshot: DataFrame, key: str, now: float) -> DataFrame:
     """A meta row that holds a one-row table as JSON, with its time."""
     return snapshot.select(F.lit(key).alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit(now).alias("written_at"))

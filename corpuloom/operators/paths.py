@@ -74,6 +74,13 @@ def newer_than(entries: DataFrame, since: float, now: float, slack: float = 60.0
     )
 
 
+def newer_kinds(entries: DataFrame, since: float, sample: int | None = None) -> DataFrame:
+    """(kind, newer): entries newer than ``since`` by kind; with ``sample``, a scan stops at so many."""
+    rows = entries.where(F.col("mtime") > since)
+    rows = rows if sample is None else rows.limit(sample)
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("newer"))
+
+
 def digest(entries: DataFrame) -> DataFrame:
     """One row that is alike whatever the order and partitioning: XOR and sum modulo 2**256 of entry hashes, counts and bytes."""
     limbs = entries.select("kind", "size", binary.entry_limbs("raw", "kind", "size", "mtime").alias("d")).select("kind", "size", "d.*")
@@ -112,8 +119,9 @@ def capped_count(rows: DataFrame, cap: int) -> DataFrame:
 
 
 def classify(files: DataFrame) -> DataFrame:
-    """(raw, kind, encoding, head_hash) of rows (raw, content)."""
-    return files.select("raw", binary.sniff(F.col("content")).alias("s"), binary.head_hash(F.col("content")).alias("head_hash")).select("raw", "s.*", "head_hash")
+    """(raw, kind, encoding, head_hash, note) of rows (raw, content); content that could not be read is null, and noted."""
+    rows = files.select("raw", binary.sniff(F.col("content")).alias("s"), binary.head_hash(F.col("content")).alias("head_hash"), F.when(F.col("content").isNull(), "unreadable").alias("note"))
+    return rows.select("raw", "s.*", "head_hash", "note")
 
 
 def pending(entries: DataFrame, done: DataFrame, key: str = "raw", limit: int | None = None) -> DataFrame:
@@ -139,6 +147,14 @@ def copies(rows: DataFrame, hash_col: str, size_col: str) -> DataFrame:
     return out.withColumn("factor", F.col("files") / F.nullif(F.col("distinct_contents"), F.lit(0)))
 
 
+def copy_report(rows: DataFrame, hash_col: str, size_col: str) -> DataFrame:
+    """One row as :func:`copies`, with the shares of files and bytes that are copies, in per cent to one digit."""
+    whole = rows.where(F.col(hash_col) != "").agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("bytes"))
+    out = copies(rows, hash_col, size_col).crossJoin(whole)  # one row each
+    share = lambda part, of: F.round(F.lit(100.0) * part / F.nullif(F.col(of), F.lit(0)), 1)
+    return out.withColumn("percent_files", share(F.col("files") - F.col("distinct_contents"), "files")).withColumn("percent_bytes", share(F.col("duplicate_bytes"), "bytes"))
+
+
 def needs_repair(chunks: DataFrame) -> DataFrame:
     """Sources whose text was read in another encoding than UTF-8; an unknown encoding is none."""
     return chunks.where(F.col("encoding").isNotNull() & (F.col("encoding") != "utf-8")).select("source").distinct()

@@ -44,6 +44,59 @@ def quotes(messages: DataFrame, by: str = "model") -> DataFrame:
     return messages.groupBy(by).agg(F.when(n == 0, 5.0).otherwise(0.0).alias("score"), F.lit(5.0).alias("max_score"), (n == 0).alias("passed"))
 
 
+def recovery(events: DataFrame, by: str = "model", trial: str = "run_id") -> DataFrame:
+    """(by, score, max_score, passed): 15 points if cells ran and none raised, or if a clean cell stands in a strictly later turn than the first that raised; none without cells. The worst trial of a model counts."""
+    cells = events.where(F.col("event") == "repl_result").withColumn("failed", F.coalesce(F.trim("stderr"), F.lit("")) != "")
+    first = cells.groupBy(by, trial).agg(F.min(F.when(F.col("failed"), F.col("turn"))).alias("first"))
+    later = cells.join(first, [by, trial]).groupBy(by, trial).agg(_any(~F.col("failed") & (F.col("turn") > F.col("first"))).alias("again"), F.max("first").alias("first"))
+    ok = later.select(by, trial, (F.col("first").isNull() | F.col("again")).alias("ok"))
+    told = events.select(by, trial).distinct().join(ok, [by, trial], "left").groupBy(by).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("passed"))
+    return told.select(by, F.when(F.col("passed"), 15.0).otherwise(0.0).alias("score"), F.lit(15.0).alias("max_score"), "passed")
+
+
+def format_discipline(messages: DataFrame, by: str = "model") -> DataFrame:
+    """(by, score, max_score, passed): 10 points less 5 for every reply of more than five characters without a runnable block, 0 at least."""
+    own = F.trim("content")
+    bad = F.count_if((F.length(own) > 5) & ~own.rlike(RUNNABLE))
+    return messages.groupBy(by).agg(F.greatest(F.lit(0.0), 10.0 - 5.0 * bad).alias("score"), F.lit(10.0).alias("max_score"), (bad == 0).alias("passed"))
+
+
+def _plain(said: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(said, F.lit(""))), r"[\s‐-―-]+", "")
+
+
+def needles(answers: DataFrame, tasks: DataFrame, by: str = "model") -> DataFrame:
+    """(by, score, max_score, passed): 5 points for every task whose needle an answer holds, case, hyphens and white space aside; passed from two. Rows (by, task, answer) and (task, needle)."""
+    asked = answers.select(by).distinct().crossJoin(F.broadcast(tasks))  # tasks are a probe's few
+    met = asked.join(answers, [by, "task"], "left").withColumn("met", F.contains(_plain(F.col("answer")), _plain(F.col("needle"))))
+    right = F.count_if("met")
+    return met.groupBy(by).agg((5.0 * right).alias("score"), (5.0 * F.count(F.lit(1))).alias("max_score"), (right >= 2).alias("passed"))
+
+
+def subcalls(messages: DataFrame, by: str = "model") -> DataFrame:
+    """(by, score, max_score, passed): 5 points if a reply asks a further model, else 3."""
+    used = _any(F.col("content").rlike(r"\bllm_query(?:_batched)?\s*\("))
+    return messages.groupBy(by).agg(F.when(used, 5.0).otherwise(3.0).alias("score"), F.lit(5.0).alias("max_score"), used.alias("passed"))
+
+
+def speed(events: DataFrame, by: str = "model") -> DataFrame:
+    """(by, tokens, turns, seconds, tokens_per_second): a report without points: estimated tokens of replies over the time from first to last event."""
+    reply = (F.col("event") == "root_message") & (F.col("role") == "assistant")
+    seconds = F.max("timestamp") - F.min("timestamp")
+    tokens = F.floor(F.coalesce(F.sum(F.when(reply, F.length("content"))), F.lit(0)) / 4).cast("long")
+    out = events.groupBy(by).agg(tokens.alias("tokens"), F.count_if(F.col("event") == "turn_start").alias("turns"), seconds.alias("seconds"))
+    return out.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.round(F.col("tokens") / F.col("seconds"), 1)).otherwise(0.0))
+
+
+def report_page(scores: DataFrame, totals: DataFrame, day: str, profile: str = "default", by: str = "model") -> DataFrame:
+    """(by, page): a Markdown report of each model's check, with a head between --- lines. ``scores`` has by, probe, score, max_score, passed; ``totals`` by, score, verdict."""
+    line = F.format_string("### %s — %s/%s (%s)\n", F.col("probe"), F.col("score").cast("string"), F.col("max_score").cast("string"), F.when(F.col("passed"), "PASS").otherwise("FAIL"))
+    parts = scores.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("probe", line.alias("line")))), lambda x: x["line"]), "\n").alias("parts"), F.count_if("passed").alias("n_passed"), F.count(F.lit(1)).alias("n"))
+    head = F.format_string("---\nmodel: %s\nscore: %s\nverdict: %s\nweights: " + profile + "\ndate: " + day + "\n---\n# Model Suitability Report: %s\n\n", F.col(by), F.col("total").cast("string"), F.col("verdict"), F.col(by))
+    body = F.format_string("**Score:** %s/100\n**Verdict:** %s\n**Probes:** %d/%d passed\n\n## Per-Probe Results\n\n", F.col("total").cast("string"), F.col("verdict"), F.col("n_passed"), F.col("n"))
+    return parts.join(totals.withColumnRenamed("score", "total"), by).select(by, F.concat(head, body, "parts").alias("page"))
+
+
 def missing_submission(messages: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, code): why a submission's text never became an answer; no row where no message holds it.
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -165,11 +165,15 @@ def labelled(hits: DataFrame, question: str, text_col: str, path_col: str) -> Da
     return out.withColumn("band", text.match_quality(F.col("covered"), F.col("total"))).withColumn("provenance", text.provenance(F.col(path_col)))
 
 
-def coverage(indexed: DataFrame, known: DataFrame) -> DataFrame:
-    """One row: sources indexed, text files known, and their ratio (which may pass 1, as derived sources count too)."""
+def coverage(indexed: DataFrame, known: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """One row: sources and bytes indexed, text files and documents known, documents extracted and in need of OCR, and indexed sources per text file (which may pass 1, as derived sources count too; 0 without text files)."""
     a = indexed.agg(F.count_distinct("source").alias("sources_indexed"), F.count(F.lit(1)).alias("chunks"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"))
-    b = known.agg(F.count_if(F.col("kind") == "text").alias("text_files_in_map"))
-    return a.crossJoin(b).withColumn("text_coverage", F.col("sources_indexed") / F.nullif(F.col("text_files_in_map"), F.lit(0)))
+    b = known.agg(F.count_if(F.col("kind") == "text").alias("text_files_in_map"), F.count_if(F.col("kind").isin("document", "archive")).alias("documents_in_map"))
+    out = a.crossJoin(b)  # one row each
+    if queue is not None:
+        extraction = F.col("task") == "extract_text"
+        out = out.crossJoin(queue.agg(F.count_if(extraction & (F.col("state") == "done")).alias("documents_extracted"), F.count_if(extraction & F.coalesce(F.col("note") == "needs_ocr", F.lit(False))).alias("documents_needing_ocr")))
+    return out.withColumn("text_coverage", F.coalesce(F.col("sources_indexed") / F.nullif(F.col("text_files_in_map"), F.lit(0)), F.lit(0.0)))
 
 
 def coverage_note(c: DataFrame) -> DataFrame:
@@ -189,6 +193,60 @@ def sample_prose(rows: DataFrame, key: str, text_col: str, path_col: str, seed:
     return sample(named.where(text.looks_like_prose(F.col(text_col))), key, seed, n)
 
 
+def drawable(rows: DataFrame, path_col: str, vendored: bool = False, derived: bool = True, prose: bool = False) -> DataFrame:
+    """Rows that a draw may take: without vendored paths, derived text or endings of no prose, unless they are wanted."""
+    if not vendored:
+        rows = rows.where(~text.is_vendored(F.col(path_col)))
+    if not derived:
+        rows = rows.where(~F.col("derived"))
+    return rows.where(text.non_prose_ending(F.col(path_col)).isNull()) if prose else rows
+
+
+def sample_report(rows: DataFrame, key: str, text_col: str, path_col: str, seed: str, want: int, floor: float = fixed.PROSE_FLOOR) -> DataFrame:
+    """One row: what a draw of ``want`` prose passages met: drawn, kept, rejected, unreadable, duplicates and the mean score of those kept.
+
+    Candidates are taken in the order of the draw until enough are kept or
+    ``max(60, 30 * want)`` are drawn, so the rows that are ranked are as many at
+    most. A null text is unreadable; a text that was drawn before is a duplicate.
+    """
+    most = max(60, 30 * want)
+    drawn = sample(drawable(rows, path_col, prose=True).select(key, text_col), key, seed, most)
+    nth = F.row_number().over(Window.partitionBy(F.md5(F.col(text_col).cast("binary"))).orderBy("draw"))
+    score = text.prose_score(F.col(text_col))
+    told = F.when(F.col(text_col).isNull(), "unreadable").when(nth > 1, "duplicate").when(score < floor, "rejected").otherwise("kept")
+    told = drawn.select("draw", told.alias("told"), score.alias("score"))
+    before = F.coalesce(F.sum(F.when(F.col("told") == "kept", 1).otherwise(0)).over(Window.orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = told.withColumn("before", before).where(F.col("before") < want)
+    counts = [F.count_if(F.col("told") == t).alias(n) for t, n in (("kept", "kept"), ("rejected", "rejected_content"), ("unreadable", "unreadable"), ("duplicate", "duplicates"))]
+    return met.agg(F.count(F.lit(1)).alias("drawn"), *counts, F.round(F.coalesce(F.avg(F.when(F.col("told") == "kept", F.col("score"))), F.lit(0.0)), 4).alias("mean_score"))
+
+
+def top_per(rows: DataFrame, by: str, k: int, score: str = "score", tie: str = "doc") -> DataFrame:
+    """(…, place): the best ``k`` rows of every ``by``, ties in the order of ``tie``. Spark keeps ``k`` rows of a key before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))
+    return rows.withColumn("place", place).where(F.col("place") <= k)
+
+
+def run_search(index_: tuple[DataFrame, DataFrame], sources: DataFrame, query: str, k: int = 8, vendored: bool = False, derived_only: bool = False, count_only: bool = False) -> DataFrame:
+    """What a command of a search prints: (doc, score) of the best ``k``, or (total) with ``count_only``. ``sources`` has doc, path and derived."""
+    keep = sources if vendored else sources.where(~text.is_vendored(F.col("path")))
+    keep = keep.where("derived") if derived_only else keep
+    hits = bm25(*index_, and_phrases(query), every=True, keep=keep.select("doc"))
+    return hits.agg(F.count(F.lit(1)).alias("total")) if count_only else top(hits, k)
+
+
+def encoding_for(asked: Column, classified: Column) -> Column:
+    """The encoding to read a source in: the caller's, else the classification's, else UTF-8."""
+    return F.coalesce(asked, classified, F.lit("utf-8"))
+
+
+def add_sources(postings: DataFrame, stats: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """An index with the rows of ``docs`` whose ids it lacks; what is there stays as it is."""
+    fresh = docs.join(stats.select(F.col("doc").alias(id_col)), id_col, "left_anti")
+    new_postings, new_stats = index(fresh, id_col, text_col)
+    return postings.unionByName(new_postings), stats.unionByName(new_stats)
+
+
 def drop_sources(postings: DataFrame, stats: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An index without the documents of ``gone`` (doc)."""
     return postings.join(gone, "doc", "left_anti"), stats.join(gone, "doc", "left_anti")
@@ -224,3 +282,12 @@ def repairs(chunks_: DataFrame, classification: DataFrame) -> DataFrame:
     read = chunks_.groupBy("source").agg(F.max("encoding").alias("was"))
     known = classification.where(F.col("encoding").isNotNull() & (F.col("encoding") != "utf-8")).select(F.col("raw").alias("source"), "encoding")
     return known.join(read, "source").where(~F.col("encoding").eqNullSafe(F.col("was"))).select("source", "encoding")
+
+
+def repair_report(chunks_: DataFrame, classification: DataFrame, sources: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """(cause, sources): what a pass over sources known in another encoding than UTF-8 does: current ones are skipped, missing and too large ones told, the others replaced. ``sources`` has source and size."""
+    read = chunks_.groupBy("source").agg(F.max("encoding").alias("was"))
+    known = classification.where(F.col("encoding").isNotNull() & (F.col("encoding") != "utf-8")).select(F.col("raw").alias("source"), "encoding")
+    rows = known.join(read, "source").join(sources.select("source", "size", F.lit(True).alias("there")), "source", "left")
+    cause = F.when(F.col("encoding").eqNullSafe(F.col("was")), "current").when(F.col("there").isNull(), "missing").when(F.col("size") > most, "too large").otherwise("replaced")
+    return rows.groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("sources"))

@@ -21,6 +21,37 @@ def run_facts(events: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
+def messages(events: DataFrame, role: str = "assistant") -> DataFrame:
+    """Root messages of a role."""
+    return events.where((F.col("event") == "root_message") & (F.col("role") == role))
+
+
+def results(events: DataFrame) -> DataFrame:
+    """What cells that ran gave."""
+    return events.where(F.col("event") == "repl_result")
+
+
+def searches(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event") == "corpus_served")
+
+
+def guardrails(events: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, guardrail, n): guardrails by name; citations recorded, repaired and weak are such."""
+    return events.where(F.col("event") == "guardrail").groupBy(run, "guardrail").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bands(events: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, band, n): addresses served by their band; without one, none is told."""
+    rows = searches(events).select(run, F.explode("addresses").alias("a"))
+    return rows.groupBy(run, F.coalesce("a.band", F.lit("untold")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def search_quality(events: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, turn, query, strong, partial, weak, none): how many hits of each search have each band."""
+    count = lambda b: F.size(F.filter(F.coalesce("addresses", F.array().cast(events.schema["addresses"].dataType)), lambda a: a["band"] == b))
+    return searches(events).select(run, "turn", "query", *[count(b).alias(b) for b in ("strong", "partial", "weak", "none")])
+
+
 def served(events: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, address, band): every address served to a run with its strongest band; an address without bands has none."""
     rows = events.where(F.col("event") == "corpus_served").select(run, F.explode("addresses").alias("a")).select(run, "a.address", "a.band")
@@ -112,3 +143,15 @@ def selected(ranked: DataFrame, limit: int | None = None, cited_only: bool = Fal
 def plan_histogram(ranked: DataFrame) -> DataFrame:
     """(class, documents, cited): what a plan would describe."""
     return ranked.groupBy("class").agg(F.count(F.lit(1)).alias("documents"), F.sum("cited").alias("cited"))
+
+
+def cost_range(ranked: DataFrame, least: float, most: float) -> DataFrame:
+    """(documents, hours_least, hours_most): what describing a plan's documents would take at seconds a document."""
+    n = F.count(F.lit(1))
+    return ranked.agg(n.alias("documents"), F.round(n * least / 3600, 2).alias("hours_least"), F.round(n * most / 3600, 2).alias("hours_most"))
+
+
+def index_page(facts: DataFrame) -> DataFrame:
+    """(page): one Markdown page that lists runs by their ids, a line each."""
+    line = F.format_string("- [%s](%s.md): %s turns, %s", F.col("run_id").cast("string"), F.col("run_id").cast("string"), F.coalesce(F.col("turns").cast("string"), F.lit("unknown")), F.when(F.col("ended"), "ended").otherwise("not ended"))
+    return facts.select("run_id", line.alias("line")).agg(F.concat(F.lit("# Runs\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("page"))

@@ -6,7 +6,7 @@ import ast
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -20,6 +20,7 @@ NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 HASH = r"^sha256:[a-f0-9]{64}$"
 TITLE_MOST, SUMMARY_MOST = 256, 200
 SEARCH_FIELDS = ("path", "kind", "name", "title", "summary", "body")
+CORE = "memory/notes/core-memory.md"
 IMPORTS = ("re", "json", "math", "collections", "itertools", "functools", "hashlib", "pathlib")
 
 
@@ -163,6 +164,13 @@ def promote(proposed: DataFrame, pages: DataFrame, faults: DataFrame, force: boo
     return rows.select("path", "target", outcome.alias("outcome"), F.when(outcome == "promoted", version).alias("version"), "hash")
 
 
+def reject(pages: DataFrame, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(left, refused): pages without the rejected ones; only pages in quarantine may be, the other paths are refused."""
+    asked = F.col("path").isin(list(paths))
+    hidden = F.startswith("path", F.lit("quarantine/"))
+    return pages.where(~(asked & hidden)), pages.where(asked & ~hidden).select("path")
+
+
 def demote(pages: DataFrame, paths: Sequence[str]) -> DataFrame:
     """Active pages become deprecated, deprecated ones superseded."""
     lower = F.when(F.col("status") == "active", "deprecated").when(F.col("status") == "deprecated", "superseded").otherwise(F.col("status"))
@@ -203,6 +211,27 @@ def recall(scored: DataFrame, pages: DataFrame, now: float, k: int = 5, pool: in
     return wide.withColumn("rank", relevance * text.decay(age, F.col("access_count"))).orderBy(F.desc("rank"), "path").limit(max(1, k))
 
 
+def with_core(ranked: DataFrame, pages: DataFrame) -> DataFrame:
+    """Recalled notes with ``core_memory``, the core page's summary, on the first of them. Both are a few rows."""
+    core = pages.where(F.col("path") == CORE).agg(F.max("summary").alias("core"))
+    place = F.row_number().over(Window.orderBy(F.desc("rank"), "path"))
+    said = F.when(F.col("place") == 1, F.nullif(F.col("core"), F.lit("")))
+    return ranked.withColumn("place", place).crossJoin(F.broadcast(core)).withColumn("core_memory", said).drop("core", "place")
+
+
+def write_core(pages: DataFrame, body: str, now: float) -> DataFrame:
+    """``pages`` with the core page written or written over: its version counts up and its day of making stays."""
+    b = F.lit(body)
+    old = pages.where(F.col("path") == CORE).agg(F.max("version").alias("prior"), F.max("created").alias("born"))
+    stamp = F.timestamp_micros(F.lit(int(now * 1e6)))
+    said = F.when(text.title(b) == "untitled", "Core Memory").otherwise(text.title(b))
+    made = old.select(
+        F.lit(CORE).alias("path"), F.lit("note").alias("kind"), F.lit("core-memory").alias("name"), said.alias("title"), text.summary(b).alias("summary"), F.array(F.lit("core"), F.lit("pinned")).alias("tags"),
+        F.lit("active").alias("status"), (F.coalesce("prior", F.lit(0)) + 1).alias("version"), F.coalesce("born", stamp).alias("created"), stamp.alias("updated"), F.trim(b).alias("body"),
+    )
+    return pages.where(F.col("path") != CORE).unionByName(made, allowMissingColumns=True)
+
+
 def touched(pages: DataFrame, returned: DataFrame, now: float) -> DataFrame:
     """Pages with one more access for the returned ones only."""
     hit = pages.join(returned.select("path").withColumn("hit", F.lit(True)), "path", "left")
@@ -212,7 +241,7 @@ def touched(pages: DataFrame, returned: DataFrame, now: float) -> DataFrame:
 
 def forget(pages: DataFrame, query: str | None = None, older_than: float | None = None, now: float | None = None) -> DataFrame:
     """Pages with notes deprecated that hold the query and are older; never the core page; nothing without a condition."""
-    which = F.col("path").startswith("memory/notes/") & (F.col("path") != "memory/notes/core-memory.md") & F.lit(query is not None or older_than is not None)
+    which = F.col("path").startswith("memory/notes/") & (F.col("path") != CORE) & F.lit(query is not None or older_than is not None)
     if query is not None:
         which &= F.contains(F.lower(F.concat_ws("\n", "title", "body")), F.lit(query.lower()))
     if older_than is not None:

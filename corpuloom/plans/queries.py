@@ -130,22 +130,9 @@ def ctx_line_offsets(spark, sf):
     return rows.select("doc_id", F.col("line_no").cast("long"), "byte_start", (F.col("byte_end") - F.col("byte_start")).cast("long").alias("n_bytes"))
 
 
-@query(f"SELECT doc_id, 100 * strlen(text) AS weight FROM documents WHERE NOT contains({_DOC_PATH}, '.md') AND lang IN ('en', 'fr') AND length(text) > 500")
-def flt_combined(spark, sf):
-    """FLT-21: filters before ranking."""
-    d = _docs(spark, sf).where(~F.contains("path", F.lit(".md")) & F.col("lang").isin("en", "fr") & (F.length("text") > 500))
-    return d.select("doc_id", (100 * F.octet_length("text")).cast("long").alias("weight"))
-
-
 # --- Aggregates
 
 
-@query("SELECT o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY 1")
-def agg_count_by_kind(spark, sf):
-    """AGG-01, AGG-03."""
-    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT o_orderstatus AS kind, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP(o_orderstatus)")
 def agg_summary_rollup(spark, sf):
     """AGG-03 with its total as a rollup (an extension)."""
@@ -159,15 +146,6 @@ def agg_bytes_total(spark, sf):
     return paths.bytes_total(e).crossJoin(paths.count(e).withColumnRenamed("n", "files"))
 
 
-@query("""SELECT coalesce(CASE WHEN l.quality = 1 THEN 'good' WHEN l.quality = 0 THEN 'bad' END, '(none)') AS encoding, count(*) AS files, sum(strlen(d.text))::BIGINT AS bytes
-FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
-def agg_classification_report(spark, sf):
-    """AGG-04, AGG-05, JN-01."""
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    kind = F.coalesce(F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad"), F.lit("(none)"))
-    return rows.groupBy(kind.alias("encoding")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
-
-
 @query("""WITH g AS (SELECT sha256(text) AS h, count(*) AS n, sum(strlen(text)) AS total, min(strlen(text)) AS least FROM documents GROUP BY 1)
 SELECT sum(n)::BIGINT AS files, count(*) AS distinct_contents, coalesce(sum(CASE WHEN n > 1 THEN total - least END), 0)::BIGINT AS duplicate_bytes, round(sum(n) / count(*), 6) AS factor FROM g""")
 def agg_dup_bytes(spark, sf):
@@ -176,15 +154,6 @@ def agg_dup_bytes(spark, sf):
     return paths.copies(rows, "h", "size").withColumn("factor", F.round("factor", 6))
 
 
-@query(f"""WITH h AS (SELECT sha256({_DOC_PATH}) AS h FROM documents), l AS (SELECT """ + ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS l{i}" for i in range(8)) + """ FROM h)
-SELECT count(*) AS n, """ + ", ".join(f"bit_xor(l{i}) AS x{i}, sum(l{i})::BIGINT AS s{i}" for i in range(8)) + " FROM l")
-def agg_digest_limbs(spark, sf):
-    """AGG-16: an order-independent digest as limbs."""
-    limbs = _docs(spark, sf).select(binary.hash_limbs(F.sha2("path", 256)).alias("l"))
-    pick = [F.get("l", F.lit(i)) for i in range(8)]
-    return limbs.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(pick) for x in (F.bit_xor(c).alias(f"x{i}"), F.sum(c).alias(f"s{i}"))])
-
-
 @query("""SELECT count(*) AS scanned, count(*) FILTER (t > 1704500000) AS newer, count(*) FILTER (t > 1704500000 AND t <= 1706000060) AS in_window, count(*) FILTER (t > 1706000060) AS future,
 count(*) FILTER (t <= 1704500000) AS stale, min(t) AS least, max(t) AS greatest FROM (SELECT epoch_us(ts)::DOUBLE / 1e6 AS t FROM events)""")
 def agg_newer_than(spark, sf):
@@ -199,17 +168,6 @@ def agg_capped_count(spark, sf):
     return paths.capped_count(table(spark, sf, "documents").where("lang = 'en'"), fixed.HIDDEN_CAP).select(F.col("n").cast("long"), "at_least")
 
 
-@query("""SELECT count(*) AS chunks, count(DISTINCT source) AS sources, sum(strlen(text))::BIGINT AS bytes, sum(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS derived,
-round(count(DISTINCT source)::DOUBLE / count(DISTINCT lang), 6) AS ratio FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def agg_coverage(spark, sf):
-    """AGG-12, AGG-13."""
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").withColumn("was", F.lit(1)), "doc_id", "left")
-    return rows.agg(
-        F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("sources"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("was") == 1, 1).otherwise(0)).alias("derived"),
-        F.round(F.count_distinct("source") / F.count_distinct("lang"), 6).alias("ratio"),
-    )
-
-
 @query("SELECT event_type AS task, CASE user_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'done' ELSE 'failed' END AS state, count(*) AS n FROM events GROUP BY 1, 2")
 def agg_queue_status(spark, sf):
     """AGG-09."""
@@ -258,19 +216,6 @@ def agg_projection(spark, sf):
 # --- Joins
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def jn_pending_anti(spark, sf):
-    """JN-02, FLT-18."""
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
-def jn_tag_semi(spark, sf):
-    """JN-06, FLT-10."""
-    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "lang").join(good, "doc_id", "left_semi")
-
-
 @query("""WITH a AS (SELECT o_orderkey AS path, md5(o_orderstatus || o_orderpriority) AS h FROM orders WHERE o_orderkey % 7 <> 0),
 b AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 5 = 0 THEN md5(o_orderpriority) ELSE md5(o_orderstatus || o_orderpriority) END AS h FROM orders WHERE o_orderkey % 11 <> 0)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
@@ -283,65 +228,24 @@ def jn_delta_full_outer(spark, sf):
     return vault.delta(was, now, state=False)
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
-def jn_upsert_latest(spark, sf):
-    """JN-08: the last writer wins."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, sf, "orders").withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", "o_orderkey", "o_totalprice")
-
-
-@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'extract_text' WHEN ends_with(d.doc_id::VARCHAR, '7') THEN 'list_archive' ELSE 'index_text' END AS task FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1""")
-def jn_plan_join(spark, sf):
-    """JN-03."""
-    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 1"), "doc_id")
-    task = F.when(F.col("toxic") == 1, "extract_text").when(F.endswith(F.col("doc_id").cast("string"), F.lit("7")), "list_archive").otherwise("index_text")
-    return rows.select("doc_id", task.alias("task"))
-
-
-@query("""SELECT user_id, count(*) AS in_flight FROM events s WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.user_id = s.user_id AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 1 DAY) GROUP BY 1""")
-def jn_start_end_pairing(spark, sf):
-    """JN-13, STM-06: starts without an end within a day."""
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    starts, ends = e.where("event_type = 'signup'").select("user_id", "ts", "event_id"), e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("end"))
-    met = starts.join(ends, "user_id").where("end BETWEEN ts AND ts + INTERVAL 1 DAY").select("event_id").distinct()
-    return starts.join(met, "event_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("in_flight"))
-
-
-@query("WITH g AS (SELECT sha256(text) AS k, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS prompts, count(*) AS calls, (sum(n) - count(*))::BIGINT AS memo_hits FROM g")
-def jn_memo_dedup(spark, sf):
-    """JN-22, MAP-02: calls that a memo saves."""
-    g = table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.sum("n").alias("prompts"), F.count(F.lit(1)).alias("calls"), (F.sum("n") - F.count(F.lit(1))).alias("memo_hits"))
-
-
-@query("""WITH s AS (SELECT s_name AS served FROM supplier), c AS (SELECT DISTINCT left(s_name, length(s_name) - 1) || '0' AS cited FROM supplier)
-SELECT cited, min(served) AS meant FROM c JOIN s ON abs(length(cited) - length(served)) <= 1 AND damerau_levenshtein(cited, served) = 1 WHERE cited NOT IN (SELECT served FROM s) GROUP BY 1 HAVING count(*) = 1""")
+@query("""WITH s AS (SELECT DISTINCT s_nationkey AS run_id, s_name AS address FROM supplier), c AS (SELECT DISTINCT s_nationkey AS run_id, CASE s_suppkey % 4 WHEN 0 THEN s_name || 'x' WHEN 1 THEN left(s_name, length(s_name) - 1) WHEN 2 THEN 'T' || s_name ELSE s_name END AS a FROM supplier),
+l AS (SELECT run_id, a AS cited FROM c ANTI JOIN s ON c.run_id = s.run_id AND c.a = s.address) SELECT l.run_id, cited, min(address) AS meant FROM l JOIN s USING (run_id) WHERE abs(length(cited) - length(address)) <= 1 AND damerau_levenshtein(cited, address) = 1 GROUP BY 1, 2 HAVING count(*) = 1""")
 def jn_edit_distance(spark, sf):
-    """JN-11: names one edit from exactly one known name."""
-    s = table(spark, sf, "supplier").select(F.col("s_name").alias("served"))
-    c = s.select(F.concat(F.expr("left(served, length(served) - 1)"), F.lit("0")).alias("cited")).distinct().join(s.withColumnRenamed("served", "cited"), "cited", "left_anti")
-    # one edit apart means an equal half: names join on either half instead of all with all
-    halves = lambda c, n: F.explode(F.array(F.struct(F.lit(0).alias("side"), F.expr(f"left({c}, {n})").alias("part")), F.struct(F.lit(1).alias("side"), F.expr(f"right({c}, {n})").alias("part"))))
-    near = c.withColumn("h", halves("cited", 8)).join(s.withColumn("h", halves("served", 8)), "h").select("cited", "served").distinct()
-    near = near.where((F.abs(F.length("cited") - F.length("served")) <= 1) & edit.one_edit(F.col("cited"), F.col("served")))
-    return near.groupBy("cited").agg(F.count(F.lit(1)).alias("n"), F.min("served").alias("meant")).where("n = 1").select("cited", "meant")
+    """JN-11: cited names one edit from exactly one served name of their run."""
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("run_id"), F.col("s_name").alias("address"), "s_suppkey")
+    name, n = F.col("address"), F.col("s_suppkey") % 4
+    bent = F.when(n == 0, F.concat(name, F.lit("x"))).when(n == 1, F.expr("left(address, length(address) - 1)")).when(n == 2, F.concat(F.lit("T"), name)).otherwise(name)
+    return traces.corruption(s.select("run_id", "address").distinct(), s.select("run_id", bent.alias("address")).distinct())
 
 
 # --- Windows, top-k, sets
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS same FROM conversations), i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM m)
-SELECT conv_id, count(*) AS length, min(turn) AS first FROM i WHERE same GROUP BY conv_id, island""")
+@query("""WITH m AS (SELECT conv_id, turn, length(text) > 150 AS long FROM conversations), i AS (SELECT *, sum(CASE WHEN long THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM m)
+SELECT conv_id, count(*) AS length, min(turn) AS first FROM i WHERE long GROUP BY conv_id, island""")
 def win_error_islands(spark, sf):
     """WIN-05: runs of consecutive flagged turns."""
-    same = F.coalesce(F.col("role") == F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(False))
-    return traces.islands(table(spark, sf, "conversations").withColumn("same", same), "conv_id", "turn", "same").drop("island")
-
-
-@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
-def win_latest_snapshot(spark, sf):
-    """WIN-04."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    return traces.islands(table(spark, sf, "conversations").withColumn("long", F.length("text") > 150), "conv_id", "turn", "long").drop("island")
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n > 50")
@@ -364,23 +268,6 @@ def top_claim(spark, sf):
     return mining.claim(q, ["t"], 25).select(F.col("raw").alias("o_orderkey"), F.col("priority").alias("o_orderpriority"))
 
 
-@query("SELECT DISTINCT text FROM benchmark EXCEPT SELECT text FROM documents")
-def set_cited_unserved(spark, sf):
-    """SET-03, JN-21."""
-    return table(spark, sf, "benchmark").select("text").distinct().join(table(spark, sf, "documents").select("text").distinct(), "text", "left_anti")
-
-
-@query("""WITH s AS (SELECT user_id AS source, count(*) AS served FROM events WHERE event_type = 'view' GROUP BY 1), c AS (SELECT user_id AS source, count(*) AS cited FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT source, coalesce(served, 0) AS served, coalesce(cited, 0) AS cited, row_number() OVER (ORDER BY coalesce(cited, 0) DESC, coalesce(served, 0) DESC, source) AS place FROM s FULL JOIN c USING (source)""")
-def set_rank_usage(spark, sf):
-    """SET-01, TOP-06, AGG-19, WIN-10: places over a user table, whose size is not the log's."""
-    e = table(spark, sf, "events")
-    a = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("source")).agg(F.count(F.lit(1)).alias("served"))
-    b = e.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("source")).agg(F.count(F.lit(1)).alias("cited"))
-    both = a.join(b, "source", "full").select("source", F.coalesce("served", F.lit(0)).alias("served"), F.coalesce("cited", F.lit(0)).alias("cited"))
-    return both.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cited"), F.desc("served"), "source")).cast("long"))
-
-
 # --- Full text
 
 
@@ -471,16 +358,15 @@ def fts_chunks(spark, sf):
     return search.chunks(table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")
 
 
-@query("""WITH a AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS dst FROM pages) SELECT page_id AS src, dst FROM a""")
-def fts_links(spark, sf):
-    """FTS-22: distinct link targets of every page."""
+def _hrefs(spark, sf):
+    """Distinct link targets of every page."""
     return table(spark, sf, "pages").select(F.col("page_id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("dst"))
 
 
 @query("""WITH a AS (SELECT page_id AS src, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS dst FROM pages) SELECT src FROM a WHERE dst = '/The' ORDER BY src""")
 def fts_backlinks(spark, sf):
     """JN-20."""
-    return vault.backlinks(fts_links(spark, sf), "/The")
+    return vault.backlinks(_hrefs(spark, sf), "/The")
 
 
 # --- Scalars over whole tables
@@ -544,11 +430,11 @@ def str_fixed_chunks(spark, sf):
     return context.pieces(table(spark, sf, "documents"), "doc_id", "text", 3000).select("doc_id", F.col("place").cast("long"), "piece")
 
 
-@query(r"""WITH t AS (SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g'), 1, 64) AS s FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(text), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g'), 1, 64) AS s FROM documents)
 SELECT doc_id, CASE WHEN regexp_replace(s, '^-+|-+$', '', 'g') = '' THEN 'untitled' ELSE regexp_replace(s, '^-+|-+$', '', 'g') END AS slug FROM t""")
 def str_slug(spark, sf):
-    """STR-06, of the first 200 characters as a title."""
-    return table(spark, sf, "documents").select("doc_id", text.slug(F.substring("text", 1, 200)).alias("slug"))
+    """STR-06, of whole texts."""
+    return table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT conv_id, turn, " + _any("lower(text)", tuple(p.replace("'", "''") for p in fixed.BOILERPLATE)) + " AS boilerplate, (length(text) // 4)::BIGINT AS tokens FROM conversations")
@@ -588,14 +474,6 @@ def hsh_md5_split(spark, sf):
 # --- Memory, runs
 
 
-@query("""WITH u AS (SELECT user_id, max(epoch_us(ts))::DOUBLE / 1e6 AS last, count(*) AS n FROM events GROUP BY 1)
-SELECT user_id, round(exp(-greatest(0.0, 1707000000.0::DOUBLE - last) / (86400.0::DOUBLE * (1 + ln(1 + n::DOUBLE)))), 6) AS decay FROM u""")
-def mem_decay_rerank(spark, sf):
-    """MEM-02, DT-04: the decay of each user's last access."""
-    u = table(spark, sf, "events").groupBy("user_id").agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))).cast("double") / 1e6).alias("last"), F.count(F.lit(1)).alias("n"))
-    return u.select("user_id", F.round(text.decay(F.lit(1707000000.0) - F.col("last"), F.col("n")), 6).alias("decay"))
-
-
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') AND doc_id < 500 THEN 'deprecated' ELSE 'active' END AS status FROM documents")
 def mem_forget(spark, sf):
     """MEM-03: notes that hold a word and are older than a cutoff."""
@@ -612,16 +490,6 @@ def mem_compact(spark, sf):
     return vault.clusters(rows, 0.85, "scope")
 
 
-@query("""SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, min(turn) FILTER (role = 'assistant' AND turn > 0) AS first_helper_turn, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1""")
-def trj_run_facts(spark, sf):
-    """TRJ-01, AGG-28."""
-    role, turn = F.col("role"), F.col("turn")
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("messages"), F.count_if(role == "user").alias("users"), F.count_if(role == "assistant").alias("assistants"),
-        F.min(F.when((role == "assistant") & (turn > 0), turn)).alias("first_helper_turn"), F.sum(F.length("text")).alias("chars"),
-    )
-
-
 @query("""WITH s AS (SELECT user_id AS run_id, 'd' || (event_id % 50) AS address, min(CASE WHEN value >= 50 THEN 0 WHEN value >= 20 THEN 1 ELSE 2 END) AS r FROM events WHERE event_type = 'view' GROUP BY 1, 2), c AS (SELECT DISTINCT user_id AS run_id, 'd' || (event_id % 50) AS address FROM events WHERE event_type = 'click'),
 a AS (SELECT c.run_id, c.address, s.r, c.run_id IN (SELECT run_id FROM s) AS known FROM c LEFT JOIN s USING (run_id, address))
 SELECT run_id, count(*) FILTER (known AND r <= 1) AS answering, count(*) FILTER (known AND r = 2) AS non_answering, count(*) FILTER (known AND r IS NULL) AS unserved, count(*) FILTER (NOT known) AS unknown FROM a GROUP BY 1""")
@@ -689,23 +557,12 @@ def fts_hidden_vendored(spark, sf):
     return out.select(F.col("hidden").cast("long"), "at_least")
 
 
-@query(None)
+@query(f"WITH p AS ({SQL['str_prose_score']}) SELECT doc_id, md5(doc_id || '|seed-1') AS draw FROM p WHERE score >= {fixed.PROSE_FLOOR} ORDER BY draw LIMIT 20")
 def fts_sample_prose(spark, sf):
     """FTS-16: twenty passages that read as prose; sampling is the feature."""
     return search.sample_prose(_docs(spark, sf), "doc_id", "text", "path", "seed-1", 20).select("doc_id", "draw")
 
 
-@query(r"""WITH s AS (SELECT c.conv_id, c.turn, regexp_matches(lower(c.text), '(^|[^\p{L}\p{N}_])the') AS shares, CASE WHEN length(c.text) > 600 THEN 'strong' WHEN length(c.text) > 200 THEN 'partial' ELSE 'weak' END AS band FROM conversations c)
-SELECT shares, band, count(*) AS n FROM s GROUP BY 1, 2""")
-def trj_band_crosstab(spark, sf):
-    """TRJ-09, AGG-30: messages by a shared term and by band."""
-    rows = table(spark, sf, "conversations")
-    shares = text.term_coverage(F.col("text"), F.array(F.lit("the"))) > 0
-    size = F.length("text")
-    band = F.when(size > 600, "strong").when(size > 200, "partial").otherwise("weak")
-    return rows.groupBy(shares.alias("shares"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH s AS (SELECT DISTINCT user_id AS run_id, 'doc' || (event_id % 400) AS a FROM events WHERE event_type = 'view'), c AS (SELECT DISTINCT user_id AS run_id, 'doc' || (event_id % 37) || 'x' AS a FROM events WHERE event_type = 'click'),
 l AS (SELECT c.run_id, c.a AS cited FROM c ANTI JOIN s ON c.run_id = s.run_id AND c.a = s.a)
 SELECT l.run_id, cited, min(s.a) AS meant FROM l JOIN s USING (run_id) WHERE abs(length(cited) - length(s.a)) <= 1 AND damerau_levenshtein(cited, s.a) = 1 GROUP BY 1, 2 HAVING count(*) = 1""")
@@ -717,71 +574,41 @@ def trj_address_corruption(spark, sf):
     return traces.corruption(s, c)
 
 
-@query("""WITH f AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS served, count(*) FILTER (event_type = 'purchase') AS cited FROM events GROUP BY 1)
-SELECT user_id, CASE WHEN served = 0 THEN 'unknown' WHEN cited = 0 THEN 'uncited' WHEN cited * 3 < served THEN 'weak' END AS refusal FROM f""")
-def trj_refusal_rule(spark, sf):
-    """TRJ-07: an ordered rule over a run's counts."""
-    f = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("served"), F.count_if(F.col("event_type") == "purchase").alias("cited"))
-    rule = F.when(F.col("served") == 0, "unknown").when(F.col("cited") == 0, "uncited").when(F.col("cited") * 3 < F.col("served"), "weak")
-    return f.select("user_id", rule.alias("refusal"))
-
-
-@query("""WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n, contains(text, chr(0)) AS zero FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN zero THEN 'binary' ELSE 'text' END AS kind, CASE WHEN n > 0 AND NOT zero THEN 'utf-8' END AS encoding FROM b""")
-def bin_sniff(spark, sf):
-    """BIN-01 to BIN-03: what each text's bytes are."""
-    files = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return files.select("doc_id", binary.sniff(F.col("content"), 1 << 30).alias("s")).select("doc_id", "s.kind", "s.encoding")
-
-
 @query("SELECT doc_id, sha256(encode(text)[1:65536] || encode(chr(0) || octet_length(encode(text)))) AS head_hash FROM documents WHERE octet_length(encode(text)) <= 65536 UNION ALL SELECT doc_id, NULL FROM documents WHERE octet_length(encode(text)) > 65536")
 def hsh_head_hash(spark, sf):
     """HSH-01, of every text; the SQL has null for those over 65,536 bytes."""
     return table(spark, sf, "documents").select("doc_id", binary.head_hash(F.col("text").cast("binary")).alias("head_hash"))
 
 
-@query(None)
-def hsh_entry_digest(spark, sf):
-    """HSH-06, AGG-16: the digest of a path index, alike for any partitioning."""
-    return paths.digest(_entries(spark, sf))
+_LETTER, _DIGIT = (f"string_split('{a}', '')" for a in (edit.LETTERS, edit.DIGITS))
+_SYMBOL = f"substr('{edit.CHECK}', (({' + '.join(f"""(instr('{edit.CHECK_DIGEST}', substr(body, {i + 1}, 1)) - 1) * {4**i} % {len(edit.CHECK_DIGEST)}""" for i in range(4))}) % {len(edit.CHECK)} + 1)::INT, 1)"
+_MINTED = f"""WITH n AS (SELECT address, row_number() OVER (ORDER BY md5(address || '|s')) - 1 AS n FROM (SELECT DISTINCT source || '#L0-' || lang AS address FROM documents)), w AS (SELECT address, (n * 48271 + 11) % {edit.CODES} AS w FROM n),
+b AS (SELECT address, list_extract({_LETTER}, (w // 3750 % 25)::INT + 1) || list_extract({_LETTER}, (w // 150 % 25)::INT + 1) || list_extract({_LETTER}, (w // 6 % 25)::INT + 1) || list_extract({_DIGIT}, (w % 6)::INT + 1) AS body FROM w), a AS (SELECT address, body || '-' || {_SYMBOL} AS alias FROM b)"""
 
 
-@query(None)
+@query(_MINTED + " SELECT address, alias FROM a")
 def ali_mint(spark, sf):
     """ALI-01: an alias for every source; a session's addresses."""
     return aliases.mint(table(spark, sf, "documents").select(F.concat("source", F.lit("#L0-"), "lang").alias("address")), seed="s")
 
 
-@query(None)
+@query(_MINTED + " SELECT lower(replace(alias, '-', '')) AS written, 'normalised' AS status, alias, address, NULL AS candidates FROM a")
 def ali_resolve(spark, sf):
     """ALI-03, JN-12: lower-case spellings of every alias without its hyphen."""
     minted = ali_mint(spark, sf)
     return aliases.resolve(minted.select(F.lower(F.replace("alias", F.lit("-"), F.lit(""))).alias("written")), minted)
 
 
-@query(None)
+@query("""WITH RECURSIVE c AS (SELECT source, doc_id, length(text) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), f AS (
+SELECT *, chars <= 30000 AS accepted, CASE WHEN chars <= 30000 THEN 1 ELSE 0 END AS n, CASE WHEN chars <= 30000 THEN chars ELSE 0 END AS used FROM c WHERE i = 1 UNION ALL
+SELECT c.*, f.n < 20 AND f.used + c.chars <= 30000, f.n + CASE WHEN f.n < 20 AND f.used + c.chars <= 30000 THEN 1 ELSE 0 END, f.used + CASE WHEN f.n < 20 AND f.used + c.chars <= 30000 THEN c.chars ELSE 0 END FROM f JOIN c ON c.source = f.source AND c.i = f.i + 1)
+SELECT source, doc_id, chars, accepted FROM f""")
 def win_ordered_fold_budget(spark, sf):
     """WIN-01, AGG-32: calls of each source in order, while the budget of those accepted lasts."""
     calls = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("chars"))
     return context.budgeted(calls, "source", "doc_id", "chars", 20, 30_000)
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Z]{4,}') THEN 'long summary' END AS fault FROM documents")
-def vlt_validate(spark, sf):
-    """VLT-02's shape: a rule table over every page, faults as an array."""
-    rules = [(F.col("text").rlike("[A-Z]{4,}"), "long summary")]
-    found = F.array_compact(F.array(*[F.when(rule, F.lit(said)) for rule, said in rules]))
-    return table(spark, sf, "documents").select("doc_id", F.get(found, F.lit(0)).alias("fault"))
-
-
-@query("""WITH p AS (SELECT doc_id AS id, lang || 's/' || source || '.md' AS target, md5(text) AS h FROM documents), prior AS (SELECT target, count(*) AS version, max(id) AS holder FROM p GROUP BY 1)
-SELECT id, target, CASE WHEN id = holder THEN 'active' ELSE 'superseded' END AS status, version FROM p JOIN prior USING (target)""")
-def vlt_lifecycle(spark, sf):
-    """VLT-03, VLT-04: the newest page of a place is active, older ones superseded."""
-    p = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("lang", F.lit("s/"), "source", F.lit(".md")).alias("target"))
-    prior = p.groupBy("target").agg(F.count(F.lit(1)).alias("version"), F.max("id").alias("holder"))
-    return p.join(prior, "target").select("id", "target", F.when(F.col("id") == F.col("holder"), "active").otherwise("superseded").alias("status"), "version")
-
-
 @query("SELECT doc_id, list_sort(list_filter(list_distinct(['a', lang, source, 'new']), lambda x: x <> 'en'))::VARCHAR AS tags FROM documents")
 def vlt_retag(spark, sf):
     """SET-08, ARR-01."""
@@ -800,15 +627,3 @@ def str_truncate(spark, sf):
     """STR-12, STR-13."""
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", (text.smart_quotes(t) > 0).alias("smart"), text.truncate_middle(t, 100).alias("cut"))
-
-
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def jsn_props(spark, sf):
-    """JSN-02: permissive decoding of a JSON column."""
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-@query("SELECT vec_id FROM embeddings WHERE label = 1 ORDER BY vec_id")
-def ext_vector_label(spark, sf):
-    """A vector table by label (an extension)."""
-    return table(spark, sf, "embeddings").where("label = 1").select("vec_id").orderBy("vec_id")

@@ -23,18 +23,18 @@ MOST_TEXT_MEMBERS = 500
 EVENT_KINDS = ("start", "root_message", "turn_start", "repl_result", "subcall", "guardrail", "corpus_served", "end")
 
 
-def _json_lines(spark: SparkSession, path: str, schema: str, recursive: bool) -> DataFrame:
+def _json_lines(spark: SparkSession, path: str, schema: str, recursive: bool, pattern: str) -> DataFrame:
     """(file, value, e, torn) of every line that is not blank; what is no JSON object is torn."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern)
     lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
     whole = F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     torn = F.col("e._corrupt").isNotNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
     return lines.withColumn("e", whole).withColumn("torn", torn)
 
 
-def trajectories(spark: SparkSession, path: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+def trajectories(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(events, files): known events with their run (the file's stem), and per file its torn lines, unknown events and whether it ended."""
-    lines = _json_lines(spark, path, schemas.EVENTS, recursive).withColumn("run_id", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
+    lines = _json_lines(spark, path, schemas.EVENTS, recursive, pattern).withColumn("run_id", F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1))
     if recursive:
         lines = lines.where(~F.contains("file", F.lit("/traces/")))
     known = ~F.col("torn") & F.col("e.event").isin(*EVENT_KINDS)
@@ -44,9 +44,9 @@ def trajectories(spark: SparkSession, path: str, recursive: bool = False) -> tup
     return lines.where(known).select("run_id", "e.*").drop("_corrupt"), files
 
 
-def metrics(spark: SparkSession, path: str) -> DataFrame:
+def metrics(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """Metric records; a torn line is a record of an unknown model that is torn."""
-    lines = _json_lines(spark, path, schemas.METRICS, False)
+    lines = _json_lines(spark, path, schemas.METRICS, False, pattern)
     names = [c.strip().split(" ")[0] for c in _top_level(schemas.METRICS)]
     columns = [F.when(~F.col("torn"), F.col(f"e.{n}")).alias(n) for n in names if n not in ("model", "torn")]
     model = F.when(F.col("torn"), "unknown").otherwise(F.col("e.model")).alias("model")
@@ -190,10 +190,16 @@ def document_text(files: DataFrame) -> DataFrame:
 
 
 def model_ids(payload: DataFrame) -> DataFrame:
-    """(id): the models that a /models reply (column ``value``) names as loaded, or all where it does not say."""
-    parsed = payload.select(F.from_json("value", "data array<struct<id:string,status:struct<value:string>,loaded:boolean>>").alias("p"))
-    rows = parsed.select(F.explode("p.data").alias("m")).select("m.id", F.coalesce("m.loaded", F.col("m.status.value") == "loaded").alias("loaded"))
-    return rows.where(F.coalesce("loaded", F.lit(True))).select("id")
+    """(id): the models that a /models reply (column ``value``) names as loaded or loading; none where it does not say, which means unknown."""
+    parsed = payload.select(F.from_json("value", "data array<struct<id:string,status:string>>").alias("p"))
+    rows = parsed.select(F.explode("p.data").alias("m")).select("m.id", F.lower(F.coalesce(F.get_json_object("m.status", "$.value"), F.col("m.status"))).alias("state"))
+    return rows.where(F.col("state").isin("loaded", "loading") & (F.coalesce("id", F.lit("")) != "")).select("id")
+
+
+def resident_conflict(loaded: DataFrame, wanted: str) -> DataFrame:
+    """(n, others): the models beside ``wanted`` that a box holds, by name; no row where none is in the way."""
+    others = loaded.where(F.col("id") != wanted).agg(F.array_sort(F.collect_set("id")).alias("others"))
+    return others.where(F.size("others") > 0).select(F.size("others").alias("n"), "others")
 
 
 def select_questions(asked: DataFrame, pick: str) -> DataFrame:

@@ -76,3 +76,9 @@ def states(changes: DataFrame, keys: list[str], order: str = "updated_at") -> Da
 def stateful_states(changes: DataFrame, keys: list[str], order: str = "updated_at") -> DataFrame:
     """(keys, state, order) after each batch in update mode: an aggregate whose state is one row a key."""
     return changes.groupBy(*keys).agg(F.max_by("state", order).alias("state"), F.max(order).alias(order))
+
+
+def lock_holder(beats: DataFrame, now: float, stale: float = 300.0) -> DataFrame:
+    """(worker, age, held): the last worker that gave a sign of life, and whether its lock still holds: after ``stale`` silent seconds another may take over."""
+    last = beats.agg(F.max_by("worker", "beat").alias("worker"), F.max("beat").alias("beat"))
+    return last.select("worker", (F.lit(now) - F.col("beat")).alias("age"), F.coalesce(F.lit(now) - F.col("beat") <= stale, F.lit(False)).alias("held"))
