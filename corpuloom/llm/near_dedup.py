@@ -11,9 +11,11 @@
 4. Pairs left are confirmed on full shingle sets, and links joined to
    components.
 5. No link is lost because a leader was no neighbour. Classes joined by close
-   signatures form a neighbourhood; where one holds several components, their
-   members are held against each other in blocks. Members of a bucket that
-   lie in different neighbourhoods are paired if their signatures are close.
+   signatures form a neighbourhood; members of a bucket that lie in different
+   ones are held against each other, in blocks, and join theirs if their
+   signatures are close. Where a neighbourhood holds several components, their
+   members are held against each other in blocks too: by signatures, and those
+   that are close to one of another component by their texts.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, _SIZE, dtype=np.uint64)
+_LANES = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -125,35 +128,64 @@ def _sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _close(bits: np.ndarray, i: int, others: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` whose size and signature are near enough to i's."""
+    others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+    x = bits[others] ^ bits[i]
+    share = 1 - np.bitwise_count((x | (x >> np.uint64(1))) & _LANES).sum(axis=1) / _SIZE
+    chance = 1 / (1 << BITS)
+    return others[(share - chance) / (1 - chance) >= percent / 100 - MARGIN]
+
+
+def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): rows of a task's two blocks (or one) with other labels whose signatures are close, each pair once."""
+    labels, n, side = (table.column(c).to_numpy() for c in ("label", "n", "side"))
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
+    one = table.column("within")[0].as_py() == 1
+    left = np.arange(len(n)) if one else np.flatnonzero(side == 0)
+    order = left if one else np.flatnonzero(side == 1)
+    for i in left.tolist():
+        others = order[order > i] if one else order
+        others = _close(bits, i, others[labels[others] != labels[i]], n, percent)
+        if len(others):
+            yield i, others
+
+
+def _union(labels: list[int]):
+    """(root, join) of a union-find over the labels."""
+    top = {x: x for x in labels}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    def join(a: int, b: int) -> None:
+        top[root(a)] = root(b)
+
+    return root, join
+
+
+def _met(tables: Iterator[pa.Table], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of labels that close signatures join, as far as they were apart in the task."""
+    for table in tables:
+        labels = table.column("label").to_pylist()
+        root, join = _union(labels)
+        for i, others in _candidates(table, percent):
+            for j in others.tolist():
+                if root(labels[i]) != root(labels[j]):
+                    join(labels[i], labels[j])
+                    yield labels[i], labels[j]
+
+
 def _linked(tables: Iterator[pa.Table], k: int, percent: int) -> Iterator[tuple[int, int]]:
     """Links between two blocks of a neighbourhood (or within one), as far as they join what was apart."""
-    least = percent / 100 - MARGIN
-    lanes = np.uint64(0x5555555555555555)
     for table in tables:
-        cids, labels, n = (table.column(c).to_numpy() for c in ("cid", "label", "n"))
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
-        texts, sets = table.column("text"), {}
-        side = table.column("side").to_numpy()
-        top = {x: x for x in labels.tolist()}
-
-        def root(x: int, top: dict[int, int] = top) -> int:
-            while top[x] != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
-        within = table.column("within")[0].as_py()
-        left = np.arange(len(cids)) if within else np.flatnonzero(side == 0)
-        order = np.arange(len(cids)) if within else np.flatnonzero(side == 1)
-        for i in left.tolist():
-            others = order[order > i] if within else order
-            others = others[(labels[others] != labels[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            if not len(others):
-                continue
-            x = bits[others] ^ bits[i]
-            share = 1 - np.bitwise_count((x | (x >> np.uint64(1))) & lanes).sum(axis=1) / _SIZE
-            chance = 1 / (1 << BITS)
-            for j in others[(share - chance) / (1 - chance) >= least].tolist():
+        cids, labels, n, texts, sets = table.column("cid").to_pylist(), table.column("label").to_pylist(), table.column("n").to_pylist(), table.column("text"), {}
+        root, join = _union(labels)
+        for i, others in _candidates(table, percent):
+            for j in others.tolist():
                 if root(labels[i]) == root(labels[j]):
                     continue
                 for q in (i, j):
@@ -161,32 +193,30 @@ def _linked(tables: Iterator[pa.Table], k: int, percent: int) -> Iterator[tuple[
                         sets[q] = shingle_set(texts[q].as_py(), k)
                 both = len(sets[i] & sets[j])
                 if 100 * both >= percent * (n[i] + n[j] - both):
-                    top[root(labels[i])] = root(labels[j])
-                    yield int(cids[i]), int(cids[j])
+                    join(labels[i], labels[j])
+                    yield cids[i], cids[j]
 
 
-def _within(near: DataFrame, parts: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between components that lie in one neighbourhood (of classes joined by close signatures).
+_TASK = ["group", "within", "i", "j"]
 
-    Every member is held against every member of another component of its
-    neighbourhood, in blocks of about ``BLOCK`` members; the largest component
-    of a neighbourhood is not held against itself. A task gets two blocks and
-    gives the links that join what was apart, never pairs.
+
+def _dealt(state: DataFrame) -> DataFrame:
+    """``state`` (group, label, cid, n, bits) dealt into tasks (within, i, j) of two blocks, or one, with the side that a row is on.
+
+    Every member of a group meets every member of another label, in blocks of
+    about ``BLOCK`` members; the largest label of a group doesn't meet itself.
     """
-    state = near.select(F.col("node").alias("cid"), F.col("label").alias("near")).join(parts.select(F.col("node").alias("cid"), "label"), "cid", "left")
-    state = state.withColumn("label", F.coalesce("label", "cid"))
-    sizes = state.groupBy("near", "label").count()
-    shape = sizes.groupBy("near").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
+    sizes = state.groupBy("group", "label").count()
+    shape = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
     blocks = [F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("rests")]
-    state = state.join(shape.where("parts > 1").select("near", "main", *blocks), "near")
+    state = state.join(shape.where("parts > 1").select("group", "main", *blocks), "group")
     main = F.col("label") == F.col("main")
-    own = F.pmod(F.xxhash64("cid"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
-    state = state.withColumn("own", own)
+    state = state.withColumn("own", F.pmod(F.xxhash64("cid"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
 
     def task(within, i, j, side):
         return F.struct(within.alias("within"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
 
-    no, yes = F.lit(0), F.lit(1)  # within: 0 between the largest component and the rest, 1 within a block of the rest, 2 between two of them
+    no, yes = F.lit(0), F.lit(1)  # within: 0 between the largest label and the rest, 1 within a block of the rest, 2 between two of them
     to_rest = F.transform(F.sequence(no, F.col("rests") - 1), lambda j: task(no, F.col("own"), j, 0))
     to_main = F.transform(F.sequence(no, F.col("mains") - 1), lambda j: task(no, j, F.col("own"), 1))
 
@@ -196,19 +226,66 @@ def _within(near: DataFrame, parts: DataFrame, classes: DataFrame, texts: DataFr
         return F.when(j == i, task(yes, i, i, 0)).when(i < j, first).otherwise(task(F.lit(2), j, i, 1))
 
     to_others = F.transform(F.sequence(no, F.col("rests") - 1), other)
-    dealt = state.withColumn("task", F.when(main, to_rest).otherwise(F.concat(to_main, to_others)))
-    full = dealt.join(texts, "cid").join(classes.select("cid", "n", "bits"), "cid")
-    rows = full.select("near", F.explode("task").alias("task"), "cid", "label", "n", "bits", "text")
-    rows = rows.select("near", "task.within", "task.i", "task.j", "task.side", "cid", "label", "n", "bits", "text")
-    key = ["near", "within", "i", "j"]
-    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes of much work would be put together
-    rows = rows.repartition(n, *key).sortWithinPartitions(*key, "cid")
+    rows = state.select("group", F.explode(F.when(main, to_rest).otherwise(F.concat(to_main, to_others))).alias("task"), "cid", "label", "n", "bits")
+    return rows.select("group", "task.within", "task.i", "task.j", "task.side", "cid", "label", "n", "bits")
+
+
+def _tasks(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes of much work would be put together
+    return rows.repartition(n, *_TASK).sortWithinPartitions(*_TASK, "cid")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _across(shared: DataFrame, near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of neighbourhoods that close signatures in one bucket join.
+
+    Small buckets are joined with themselves, which makes at most ``BLOCK``
+    rows a member; larger ones are searched in blocks.
+    """
+    placed = shared.join(near, shared["cid"] == near["node"], "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
+    open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    side = materialise(placed.join(open_.select("bucket", "size"), "bucket").join(classes.select("cid", "bits", "n"), "cid"), "open")
+    small = side.where(F.col("size") <= BLOCK)
+    x, y = small.alias("x"), small.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & _sizes(F.col("x.n"), F.col("y.n"), percent)
+    apart &= estimate(F.col("x.bits"), F.col("y.bits")) >= percent / 100 - MARGIN
+    few = x.join(y, apart).select(F.col("x.label").alias("a"), F.col("y.label").alias("b"))
+    large = side.where(F.col("size") > BLOCK).select(F.col("bucket").alias("group"), "label", "cid", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(_linked((t.set_column(1, "within", pa.array(np.asarray(t.column("within")) == 1)) for t in groups(batches, key)), k, percent))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield _pairs(list(_met(groups(batches, _TASK), percent)))
 
-    return rows.mapInArrow(run, "a long, b long")
+    found = materialise(few.union(_tasks(_dealt(large)).mapInArrow(run, "a long, b long")).distinct(), "across")
+    drop_table(side)
+    return found
+
+
+def _within(near: DataFrame, parts: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that lie in one neighbourhood (of classes joined by close signatures).
+
+    Blocks of members are compared by their signatures first; texts go only to
+    those tasks in which a member is close to one of another component. A task
+    gives the links that join what was apart, never pairs.
+    """
+    state = near.select(F.col("node").alias("cid"), F.col("label").alias("group")).join(parts.select(F.col("node").alias("cid"), "label"), "cid", "left")
+    state = state.withColumn("label", F.coalesce("label", "cid")).join(classes.select("cid", "n", "bits"), "cid")
+    rows = _tasks(_dealt(state))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, _TASK):
+            some = np.zeros(table.num_rows, bool)
+            for i, others in _candidates(table, percent):
+                some[i] = some[others] = True
+            yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _pairs(list(_linked(groups(batches, _TASK), k, percent)))
+
+    survivors = rows.mapInArrow(close, rows.schema).join(texts, "cid").select(*rows.columns, "text")
+    return _tasks(survivors).mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -268,19 +345,15 @@ def find_classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     parts = components(links)
 
     near = components(stars)
+    across = _across(shared, near, classes, percent)
+    if across.limit(1).count():
+        more = components(across).withColumnRenamed("label", "joined")
+        # a class that was no neighbour of any leader is a neighbourhood of its own
+        near = near.union(more.select("node", "node")).distinct()
+        near = near.join(more.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
     found = materialise(_within(near, parts, classes, texts, k, percent), "links")
-
-    placed = shared.join(near, shared["cid"] == near["node"], "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
-    open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    side = placed.join(open_, "bucket").join(classes.select("cid", "bits", "n"), "cid")
-    x, y = side.alias("x"), side.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & _sizes(F.col("x.n"), F.col("y.n"), percent)
-    apart &= estimate(F.col("x.bits"), F.col("y.bits")) >= least
-    across = x.join(y, apart).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    across = materialise(_confirm(across, texts, k, percent), "links")
-    if found.limit(1).count() or across.limit(1).count():
-        links = links.union(found).union(across)
-        parts = components(links)
+    if found.limit(1).count():
+        parts = components(links.union(found))
     drop_table(texts)
 
     return classes.select("cid", "id", "key", "n"), parts
