@@ -1,21 +1,23 @@
 """Suffix-array dedup: repeated byte strings by a hash-compared suffix sort.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts
+A byte goes if a string of ``length`` bytes that covers it also starts
 anywhere else. Finding them takes four steps, each a shuffle on a content
 hash, so no task sees more than its share:
 
-1. Anchors. Of the ``ANCHOR``-byte strings in a window of ``LENGTH`` bytes the
-   one with the least rolling hash is the window's anchor: equal windows have
-   equal anchors at equal places, and about one string in 120 bytes is an
-   anchor. An anchor owns a run of consecutive windows.
+1. Anchors. Of the strings of two fifths of the length in a window of
+   ``length`` bytes the one with the least rolling hash is the window's anchor:
+   equal windows have equal anchors at equal places, and at 400 bytes about one
+   string in 120 bytes is an anchor. An anchor owns a run of consecutive windows.
 2. Anchors whose hash occurs once are dropped: their windows are unique. Where
-   all owned stretches under a hash are the same text (compared by MD5), all
-   their windows repeat.
+   all owned stretches under a hash are the same text, all their windows
+   repeat. Stretches under one 64-bit hash are compared by their offsets and 64
+   bits of MD5, so two different ones pass for equal with odds of 2**-64.
 3. What is left are stretches that share an anchor but differ around it: edges
    of passages and edits of near copies. One of each distinct stretch is cut
-   into ``PIECE`` windows at places given by the anchor, and pieces are dealt
-   by a hash of the bytes that all windows of the piece share, so that a
-   passage common to any number of documents spreads by what surrounds it.
+   into pieces of some windows (48 of 400 bytes) at places given by the anchor,
+   and pieces are dealt by a hash of the bytes that all windows of the piece
+   share, so that a passage common to any number of documents spreads by what
+   surrounds it.
 4. In each group the suffixes to the right of the anchor, and the reversed
    prefixes to its left, are sorted by mergesort. Two suffixes are compared by
    the polynomial hashes of their prefixes and binary search for the longest
@@ -35,14 +37,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, groups, materialise, text_key
+from .common import documents, drop_table, groups, materialise, text_key
 
-LENGTH, ANCHOR, PIECE = 400, 160, 48
+#: Bytes of a string that counts as repeated, unless another length is named.
+LENGTH = 400
 _BASE = 0x5851F42D4C957F2D
 _CHUNK = 1 << 19
 _POW: list[np.ndarray] = []
 
 
+def anchor_size(length: int) -> int:
+    """Bytes of an anchor of a window."""
+    return max(1, length * 2 // 5)
+
+
+def piece_size(length: int) -> int:
+    """Windows of a piece."""
+    return max(1, length * 3 // 25)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _POW or len(_POW[0]) < n:
@@ -148,8 +161,9 @@ def suffix_sort(p: Prefixes, start: np.ndarray, length: np.ndarray, group: np.nd
     return order, ext
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(data: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, place, first owned window, last owned window) of a text's anchors, in stretches of ``_CHUNK`` windows."""
+    anchor = anchor_size(length)
     n, span = len(data) - length + 1, length - anchor + 1
     for at in range(0, max(n, 0), _CHUNK):
         windows = min(_CHUNK, n - at)
@@ -183,7 +197,7 @@ def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (place << 20) | ((place - first) << 10) | (place - last)
 
 
-def _anchor_rows(rows: DataFrame) -> DataFrame:
+def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     """(key, hash, at, stretch): the anchors of every row's text; at holds place and owned offsets, stretch is the MD5 (64 bits) of the owned bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +206,13 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
             count = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(raw) < LENGTH:
+                if len(raw) < length:
                     continue
-                for hashes, place, first, last in anchors(np.frombuffer(raw, np.uint8)):
+                for hashes, place, first, last in anchors(np.frombuffer(raw, np.uint8), length):
                     out[0].extend([key] * len(place))
                     out[1].append(hashes)
                     out[2].append(_pack(place, first, last))
-                    out[3].append(np.fromiter((_short(raw[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.int64, len(place)))
+                    out[3].append(np.fromiter((_short(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.int64, len(place)))
                     count += len(place)
                 if count > 100_000:
                     yield flushed(out)
@@ -212,8 +226,9 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key binary, hash long, at long, stretch long")
 
 
-def _pieces(texts: DataFrame) -> DataFrame:
+def _pieces(texts: DataFrame, length: int) -> DataFrame:
     """(deal, hash, stretch, n, piece, bytes): the pieces of the distinct stretches that a text stands for."""
+    windows, most = piece_size(length), length - anchor_size(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,10 +237,11 @@ def _pieces(texts: DataFrame) -> DataFrame:
                 out: list[list] = [[] for _ in range(8)]
                 for it in batch.column(1)[k].as_py():
                     place, high, low = it["at"] >> 20, (it["at"] >> 10) & 1023, it["at"] & 1023
-                    for piece in range(low // PIECE, high // PIECE + 1):
-                        x, y = min((piece + 1) * PIECE - 1, LENGTH - ANCHOR), piece * PIECE
+                    for piece in range(low // windows, high // windows + 1):
+                        x, y = min((piece + 1) * windows - 1, most), piece * windows
                         hi, lo = min(high, x), max(low, y)
-                        row = (_short(_shared(raw, place, x, y)), it["hash"], it["stretch"], it["n"], piece, hi, lo, raw[place - hi : place - lo + LENGTH])
+                        # all windows at offsets y to x before the anchor cover the bytes that the piece is dealt by
+                        row = (_short(raw[place - y : place - x + length]), it["hash"], it["stretch"], it["n"], piece, hi, lo, raw[place - hi : place - lo + length])
                         for column, v in zip(out, row, strict=True):
                             column.append(v)
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -235,15 +251,10 @@ def _pieces(texts: DataFrame) -> DataFrame:
     return texts.select("text", "items").mapInArrow(run, "deal long, hash long, stretch long, n long, piece int, hi int, lo int, bytes binary")
 
 
-def _shared(raw: bytes, place: int, x: int, y: int) -> bytes:
-    """Bytes that the windows at offsets y to x before an anchor all cover: any window owned in that range holds them."""
-    return raw[place - y : place - x + LENGTH]
-
-
-def repeated_windows(strings: list[bytes], hi: np.ndarray, lo: np.ndarray, n: np.ndarray, group: np.ndarray) -> list[list[tuple[int, int]]]:
+def repeated_windows(strings: list[bytes], hi: np.ndarray, lo: np.ndarray, n: np.ndarray, group: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each string, the runs (from, to) of offsets o, lo <= o <= hi, whose window is found twice or more in its group.
 
-    A string is the text from ``hi`` bytes before its anchor to ``LENGTH`` -
+    A string is the text from ``hi`` bytes before its anchor to ``length`` -
     ``lo`` after it and stands for ``n`` places. ``group`` ascends.
     """
     size = len(strings)
@@ -263,7 +274,7 @@ def repeated_windows(strings: list[bytes], hi: np.ndarray, lo: np.ndarray, n: np
         mine = np.flatnonzero((lo <= o) & (o <= hi))
         if not len(mine):
             continue
-        right = np.cumsum(new | (right_ext < LENGTH - o))[right_at[mine]]
+        right = np.cumsum(new | (right_ext < length - o))[right_at[mine]]
         left = np.cumsum(new | (left_ext < o))[left_at[mine]]
         _, which = np.unique(right * (size + 1) + left, return_inverse=True)
         found[mine, o - base + 1] = np.bincount(which, n[mine])[which] >= 2
@@ -275,7 +286,7 @@ def repeated_windows(strings: list[bytes], hi: np.ndarray, lo: np.ndarray, n: np
     return runs
 
 
-def _sorted_groups(pieces: DataFrame) -> DataFrame:
+def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
     """(hash, stretch, first, last): runs of offsets of each distinct stretch whose windows repeat."""
     keys = ["hash", "piece", "deal"]
     rows = pieces.repartition(*keys).sortWithinPartitions(*keys, "stretch")
@@ -299,7 +310,7 @@ def _sorted_groups(pieces: DataFrame) -> DataFrame:
         group = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
         table = pa.concat_tables(tables)
         hi, lo, n = (table.column(c).to_numpy().astype(np.int64) for c in ("hi", "lo", "n"))
-        runs = repeated_windows(table.column("bytes").to_pylist(), hi, lo, n, group)
+        runs = repeated_windows(table.column("bytes").to_pylist(), hi, lo, n, group, length)
         which = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
         flat = np.array([x for r in runs for x in r], np.int32).reshape(-1, 2)
         columns = [table.column(c).combine_chunks().take(pa.array(which)) for c in ("hash", "stretch")]
@@ -308,9 +319,11 @@ def _sorted_groups(pieces: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "hash long, stretch long, first int, last int")
 
 
-def repeats(rows: DataFrame) -> DataFrame:
-    """(key, runs array<struct<first long, last long>>) of texts with repeated windows: runs of window starts. ``rows`` has id, key (of the text's content) and text."""
-    found = _anchor_rows(rows)
+def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, runs array<struct<first long, last long>>) of texts with repeated windows of ``length`` bytes: runs of window starts. ``rows`` has id, key (of the text's content) and text."""
+    if not 8 <= length <= 1600:  # a window's offset from its anchor has 10 bits
+        raise ValueError(f"strings of {length} bytes; 8 to 1600 can be found")
+    found = materialise(_anchor_rows(rows, length), "stretches")  # written, as it is read twice
     common = found.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
     # written first, so that the join reads plain shuffles on both sides, and large partitions may be split
     common = materialise(common.where("c > 1").select("hash", (F.col("low") != F.col("high")).alias("differ")), "common")
@@ -318,6 +331,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     shared = found.join(common, "hash").withColumn("hash", F.col("hash").bitwiseXOR(F.lit(1)))
     places = shared.groupBy("key", "hash", "at", "stretch", "differ").agg(F.count(F.lit(1)).alias("n"))
     places = materialise(places, "anchors")
+    drop_table(found)
+    drop_table(common)
 
     place, high, low = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
     whole = places.where("NOT differ").select("key", (place - high).alias("first"), (place - low).alias("last"))
@@ -329,10 +344,12 @@ def repeats(rows: DataFrame) -> DataFrame:
     wanted = one.groupBy("key").agg(F.collect_list("item").alias("items"))  # of one text: as many as it has anchors
     wanted = wanted.join(owner, "key").withColumnRenamed("key", "wanted")
     texts = rows.join(wanted, (rows["key"] == wanted["wanted"]) & rows["id"].eqNullSafe(wanted["owner"])).dropDuplicates(["key"])
-    runs = _sorted_groups(_pieces(texts))
+    runs = _sorted_groups(_pieces(texts, length), length)
     inner = edges.join(runs, ["hash", "stretch"]).select("key", (place - F.col("last")).alias("first"), (place - F.col("first")).alias("last"))
     found = whole.union(inner).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text again
-    return materialise(found, "runs")  # so that the join with the texts may split a crowd of copies
+    found = materialise(found, "runs")  # so that the join with the texts may split a crowd of copies
+    drop_table(places)
+    return found
 
 
 def spans(runs: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -350,16 +367,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), text_key(docs[text_col]).alias("key"), docs[text_col].alias("text"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cuts(raw: bytes, runs: list[dict] | None, length: int = LENGTH, min_words: int = 0) -> list[tuple[int, int]]:
+    """The runs of bytes (from, to) that go: maximal ones of repeated bytes, of ``min_words`` words and parts of words at least."""
+    found = spans(runs, length)
+    return [(a, b) for a, b in found if len(raw[a:b].split()) >= min_words] if min_words else found
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id_col, n_bytes, kept binary, removed array<struct<from, to>>) of every row.
 
     Matches never cross rows. Null and empty texts have no bytes and lose
     none. A row that repeats another's text loses all of it if it has
-    ``LENGTH`` bytes. Null ids are carried; other columns are not. An empty
+    ``length`` bytes. Null ids are carried; other columns are not. An empty
     table gives no rows.
     """
     rows = _keyed(docs, id_col, text_col)
-    found = repeats(rows)
+    found = repeats(rows, length)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = batch.slice(at, 512)
                 sizes, kept, gone = [], [], []
                 for text, runs in zip(part.column(1), part.column(2), strict=True):
-                    raw, cut = (text.as_py() or "").encode("utf-8", "surrogatepass"), spans(runs.as_py())
+                    raw, cut = (text.as_py() or "").encode("utf-8", "surrogatepass"), spans(runs.as_py(), length)
                     edges = [0, *(x for s in cut for x in s), len(raw)]
                     sizes.append(len(raw))
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
@@ -381,13 +404,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, min_words: int = 0) -> DataFrame:
     """The rows of ``docs`` with all their columns, their texts without the repeated bytes.
 
-    Null texts stay null. Where a cut leaves part of a character, that part
-    goes too.
+    Bytes covered by a string of ``length`` bytes that also starts anywhere
+    else go, in all their places, if the maximal run that they form holds
+    ``min_words`` words at least; what the cut leaves of words at its ends
+    counts. Null texts stay null. Where a cut leaves part of a character, that
+    part goes too.
     """
-    found = repeats(_keyed(docs, id_col, text_col)).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
+    found = repeats(_keyed(docs, id_col, text_col), length).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
     joined = docs.withColumn("__own", text_key(docs[text_col])).join(found, F.col("__own") == F.col("__key"), "left")
     place, columns = docs.columns.index(text_col), docs.columns
 
@@ -397,7 +423,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, runs in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 if text and runs:
                     raw = text.encode("utf-8", "surrogatepass")
-                    edges = [0, *(x for s in spans(runs) for x in s), len(raw)]
+                    edges = [0, *(x for s in cuts(raw, runs, length, min_words) for x in s), len(raw)]
                     text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
                 texts.append(text)
             out = [batch.column(i) for i in range(len(columns))]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuloom.llm import embeddings, near_dedup, queries, substrings
+from corpuloom.llm import components as components_of
 from corpuloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -33,7 +34,9 @@ def union_find(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("alone", [1 << 17, 0, 40])
+def test_components_equal_union_find(spark, monkeypatch, alone):
+    monkeypatch.setattr(components_of, "ALONE", alone)
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5)]
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -98,11 +101,31 @@ def test_near_duplicates_of_chains_and_crowds(spark):
     assert {i: x["component_id"] for i, x in got.items()} == groups
 
 
-def test_blocks_search_neighbourhoods(spark, monkeypatch):
+def test_blocks_search_neighbourhoods_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
     test_near_duplicates_of_chains_and_crowds(spark)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_a_bucket_of_strangers(spark, monkeypatch, block):
+    """Every class in one bucket, led by one that is close to none: groups of near copies are found all the same."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(4):
+            t = list(base)
+            t[r.randrange(60)] = f"y{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    signed = [(i, near_dedup.signature(t, 2)) for i, t in rows]
+    classes = spark.createDataFrame([(i, n, bits.tolist()) for i, (n, _, bits) in signed], "cid long, n long, bits array<long>")
+    shared = spark.createDataFrame([(0, i, 0) for i, _ in rows], "bucket long, cid long, leader long")
+    met = near_dedup._across(shared, spark.createDataFrame([], "node long, label long"), classes, 80)
+    want = union_find(range(len(rows)), [(4 * (i // 4), i) for i in range(len(rows))])
+    assert union_find(range(len(rows)), [(x["a"], x["b"]) for x in met.collect()]) == want
+
+
 def test_estimate_is_close_to_the_similarity(spark):
     a = " ".join(f"w{i}" for i in range(1000))
     rows = []
@@ -151,13 +174,13 @@ def slow_removal(texts, length=400):
     return out
 
 
-def removal(spark, rows):
-    found = substrings.remove_repeats(frame(spark, rows))
+def removal(spark, rows, length=400):
+    found = substrings.remove_repeats(frame(spark, rows), length=length)
     return Counter((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in found.collect())
 
 
-def wanted(rows):
-    return Counter((i, *x) for (i, _), x in zip(rows, slow_removal([t for _, t in rows]), strict=True))
+def wanted(rows, length=400):
+    return Counter((i, *x) for (i, _), x in zip(rows, slow_removal([t for _, t in rows], length), strict=True))
 
 
 def test_repeats_equal_brute_force_on_documents(spark, sf):
@@ -192,6 +215,25 @@ def test_repeats_of_one_passage_in_many_contexts(spark):
     assert removal(spark, rows) == wanted(rows)
 
 
+@pytest.mark.parametrize("length", [8, 60, 200, 1600])
+def test_repeats_of_other_lengths(spark, length):
+    r = random.Random(length)
+    shared = ["".join(r.choice("abcd ") for _ in range(length + d)) for d in (-1, 0, 1, 30)]
+    rows = [(i, "".join(r.choice(shared) if r.random() < 0.5 else "".join(r.choice("wxyz ") for _ in range(r.randrange(50))) for _ in range(5))) for i in range(25)]
+    assert removal(spark, rows, length) == wanted(rows, length)
+    with pytest.raises(ValueError, match="1601"):
+        substrings.repeats(frame(spark, rows), 1601)
+
+
+def test_short_runs_stay_by_their_words(spark):
+    r = random.Random(2)
+    long, short = (" ".join(f"w{r.randrange(10**5)}" for _ in range(n)) for n in (51, 40))
+    rows = [(i, f"{i} start {long if i < 3 else 'x'} middle {i} {short} end {i}") for i in range(6)]
+    out = {x["doc_id"]: x["text"] for x in substrings.without_repeats(frame(spark, rows), length=200, min_words=50).collect()}
+    assert all(long not in t and short in t for t in out.values())
+    assert all(out[i] == t for i, t in rows[3:])
+
+
 def test_a_hash_collision_is_found_and_mended(monkeypatch):
     monkeypatch.setattr(substrings.Prefixes, "of", lambda self, start, length: (np.asarray(length) * 0 + 1).astype(np.uint64))  # all strings collide
     strings = [b"banana", b"bandana", b"apple", b"banana", b"b"]
