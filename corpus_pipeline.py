@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from corpuloom.llm import bpe, mixing, near_dedup, quality_rules, substrings
 from corpuloom.llm.common import materialise
 
+#: A repeated passage is a run of this many words, of repeated strings of this many bytes: fifty words of prose have 240 and more.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the others go."""
@@ -27,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without byte strings that occur elsewhere too; n_chars counts what is left."""
-    cut = substrings.without_repeats(docs)
+    """All documents, their texts without passages of 50 words or more that occur elsewhere too, each copy cut; n_chars counts what is left."""
+    cut = substrings.without_repeats(docs, length=PASSAGE_BYTES, min_words=PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
