@@ -8,6 +8,9 @@ and takes the nearest, so its own language label decides nothing as long as that
 language has a reference. A text of a language without one is not judged by
 divergence: it would be held against other languages only. Nor are too short
 texts: their histograms say little.
+
+Texts are read once: counts and histograms are written to the shared folder,
+some 500 bytes a document, and references and verdicts come from them.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import WORD, documents
+from .common import WORD, documents, drop_table, materialise
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -99,8 +103,9 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, list[str]]:
     return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), dup, repeat_words(words), words
 
 
-def base_failed(n_words: int, n_repeat: int) -> bool:
-    return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
+def base_failed(n_words, n_repeat):
+    """Whether the base rules reject a text of so many words, or each of several texts."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
 
 
 def histograms(text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +120,50 @@ def histograms(text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distance(p: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (square root of the base-2 divergence) of a histogram to each row of ``references``."""
-    p = p / p.sum()
+    """Jensen-Shannon distance (square root of the base-2 divergence) of a histogram, or of each of several, to each row of ``references``."""
+    p = (p / p.sum(axis=-1, keepdims=True))[..., None, :]
     q = references / references.sum(axis=1, keepdims=True)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
-        right = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
+        left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=-1)
+        right = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=-1)
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Columns of what is counted of a text: its counts, characters, and both histograms as 32-bit numbers.
+_HELD = {**dict.fromkeys((*_COUNTS, "n_chars"), ("long", pa.int64())), "classes": ("binary", pa.binary()), "common": ("binary", pa.binary())}
+_PREFIX = "__rules_"
+
+
+def counted(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns of every row, and what the rules need of its text, written to the shared folder."""
+    columns = [docs[c] for c in carried] + [docs[text_col].alias(f"{_PREFIX}text")]
+    kept = docs.select(*columns)
+    schema = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(", ".join(f"{_PREFIX}{n} {t}" for n, (t, _) in _HELD.items())).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                rows = []
+                for text in part.column(len(carried)):
+                    text = text.as_py() or ""
+                    *counts, words = base_counts(text)
+                    rows.append((*counts, len(text), *(h.astype("<i4").tobytes() for h in histograms(text, words))))
+                made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _HELD.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], *made], schema.names)
+
+    return materialise(kept.mapInArrow(run, schema), "counts")
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Counts, characters and both histograms of a batch of counted rows."""
+    held = {n: batch.column(batch.schema.get_field_index(_PREFIX + n)) for n in _HELD}
+    counts = np.array([held[n].to_numpy(zero_copy_only=False) for n in _COUNTS])
+    classes, common = (np.frombuffer(b"".join(held[n].to_pylist()), "<i4").reshape(batch.num_rows, -1).astype(float) for n in ("classes", "common"))
+    return counts, held["n_chars"].to_numpy(zero_copy_only=False), classes, common
+
+
 class Judge:
     """Holds documents against the references; ``classes`` and ``common`` have one row for each of ``langs``."""
 
@@ -142,32 +181,40 @@ class Judge:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Judge:
-    """Sums of the histograms of all documents that pass the base rules and both guards, by language.
+    """Sums of the histograms of all documents that pass the base rules and both guards, by language."""
+    rows = counted(docs.withColumn(_PREFIX + "lang", docs[lang_col].cast("string")), text_col, [_PREFIX + "lang"])
+    found = judge_of(rows, _PREFIX + "lang")
+    drop_table(rows)
+    return found
+
 
-    Every language of :data:`MIN_DOCS` such documents has a reference; what
-    reaches the driver is one row of counts for each, added up before. A null
-    language counts as one more language.
+def judge_of(rows: DataFrame, lang_col: str) -> Judge:
+    """The references of counted rows.
+
+    Every language of :data:`MIN_DOCS` documents that pass the base rules and
+    both guards has one; what reaches the driver is one row of counts for
+    each, added up before. A null language counts as one more language.
     """
     size = 1 + len(CLASSES) + len(COMMON) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    n_words, _, _, _, n_repeat, words = base_counts(text)
-                    if base_failed(n_words, n_repeat) or n_words < GUARD_WORDS or len(text) < GUARD_CHARS:
-                        continue
-                    classes, common = histograms(text, words)
-                    total = classes.sum()  # each document weighs alike, in millionths: whole numbers add up alike in any order
-                    row = np.concatenate([[1], np.rint(classes / total * 1e6), np.rint(common / len(words) * 1e6)]).astype(np.int64)
-                    sums[lang] = sums[lang] + row if lang in sums else row
+            if not batch.num_rows:
+                continue
+            counts, chars, classes, common = _columns(batch)
+            n_words, n_repeat = counts[0], counts[4]
+            good = np.flatnonzero(~base_failed(n_words, n_repeat) & (n_words >= GUARD_WORDS) & (chars >= GUARD_CHARS))
+            langs = batch.column(0).to_pylist()
+            # each document weighs alike, in millionths: whole numbers add up alike in any order
+            weights = [np.rint(h[good] / t[:, None] * 1e6) for h, t in ((classes, classes[good].sum(axis=1)), (common, n_words[good]))]
+            table = np.concatenate([np.ones((len(good), 1)), *weights], axis=1).astype(np.int64)
+            for i, row in zip(good.tolist(), table, strict=True):
+                sums[langs[i]] = sums[langs[i]] + row if langs[i] in sums else row
         for lang, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(range(size), pa.int32()), pa.array(row)], ["lang", "place", "n"])
 
-    kept = docs.select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
-    sums = kept.mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    sums = rows.select(F.col(lang_col).cast("string"), *[F.col(_PREFIX + n) for n in _HELD]).mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     rows = sums.groupBy("lang").agg(F.max(F.when(F.col("place") == 0, F.col("n"))).alias("docs"), F.array_sort(F.collect_list(F.struct("place", "n"))).alias("counts"))
     top = rows.where(F.col("docs") >= MIN_DOCS).collect()
     top.sort(key=lambda r: (-r["docs"], r["lang"] is not None, r["lang"] or ""))
@@ -175,6 +222,22 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return Judge(table[:, 1 : 1 + len(CLASSES)], table[:, 1 + len(CLASSES) :], [r["lang"] for r in top])
 
 
+def verdicts(by: Judge, batch: pa.RecordBatch, langs: list[str | None]) -> list[pa.Array]:
+    """Counts, decisions and distances of a batch of counted rows."""
+    counts, _, classes, common = _columns(batch)
+    n_words, n_repeat = counts[0], counts[4]
+    known = np.array([bool(len(by.classes)) and lang in by.langs for lang in langs], bool)
+    failed = base_failed(n_words, n_repeat)
+    kept, told = ~failed, []
+    for h, reference, guard, most in ((classes, by.classes, classes.sum(axis=1) >= GUARD_CHARS, MAX_CLASS_DISTANCE), (common, by.common, n_words >= GUARD_WORDS, MAX_WORD_DISTANCE)):
+        far, some = np.full(batch.num_rows, np.nan), np.flatnonzero(known & guard)
+        if len(some):
+            far[some] = distance(h[some], reference).min(axis=1)
+        kept = kept & ~(far > most)
+        told.append(pa.array(far, pa.float64(), mask=np.isnan(far)))
+    return [*(pa.array(c) for c in counts), pa.array(failed), pa.array(kept), *told]
+
+
 def verdict(judge: Judge, text: str | None, *lang: str | None) -> tuple:
     """The counts, decisions and distances of a text; where its language is given, that one must have a reference for distances."""
     n_words, word_chars, n_symbols, n_dup, n_repeat, words = base_counts(text)
@@ -184,8 +247,7 @@ def verdict(judge: Judge, text: str | None, *lang: str | None) -> tuple:
     return n_words, word_chars, n_symbols, n_dup, n_repeat, failed, kept, by_class, by_word
 
 
-_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
-_TYPES = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.float64()]
+_NAMES = [*_COUNTS, "base_failed", "kept", "class_distance", "word_distance"]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", judge_by: Judge | None = None) -> DataFrame:
@@ -197,31 +259,32 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Repeated rows and null ids yield one row each; other columns are not
     carried.
     """
-    by = judge_by or references(docs, text_col, lang_col)
+    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
+    rows = counted(kept, "text", ["lang", "id"])
+    by = judge_by or judge_of(rows, "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = list(zip(*(verdict(by, t, lang) for t, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(rows, _TYPES, strict=True))], ["id", *_NAMES])
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                yield pa.RecordBatch.from_arrays([part.column(1), *verdicts(by, part, part.column(0).to_pylist())], ["id", *_NAMES])
 
-    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     kind = kept.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"{n} long" for n in _NAMES[:5]) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, " + ", ".join(f"{n} long" for n in _COUNTS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns, without a shuffle."""
-    by, place, lang_place = references(docs, text_col, lang_col), docs.columns.index(text_col), docs.columns.index(lang_col)
+    rows = counted(docs, text_col, docs.columns)
+    by, place, width = judge_of(rows, lang_col), docs.columns.index(lang_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(lang_place).cast(pa.string())
-            yield batch.filter(pa.array([verdict(by, t.as_py(), lang.as_py())[6] for t, lang in zip(batch.column(place), langs, strict=True)], pa.bool_()))
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                kept = verdicts(by, part, part.column(place).cast(pa.string()).to_pylist())[6]
+                yield part.select(range(width)).filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
