@@ -3,23 +3,35 @@
 from __future__ import annotations
 
 from . import quality_rules as q
+from .substrings import LENGTH, PASSAGE
 
-OP3 = r"""
+
+
+def _repeats(length: int, name: str) -> str:
+    """CTEs up to spans: the maximal runs of bytes that repeated strings of a length cover."""
+    return f"""starts{name} AS (SELECT doc_id, h, unnest(range(0, n - {length - 1})) AS i FROM d WHERE n >= {length}
+), hashed{name} AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) AS k FROM starts{name}
+), common{name} AS (SELECT k FROM hashed{name} GROUP BY 1 HAVING count(*) > 1
+), gone{name} AS (SELECT doc_id, i FROM hashed{name} SEMI JOIN common{name} USING (k)
+), marked{name} AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {length} THEN 0 ELSE 1 END AS new FROM gone{name}
+), runs{name} AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked{name}
+), spans{name} AS (SELECT doc_id, run, min(i) AS a, max(i) + {length} AS b FROM runs{name} GROUP BY 1, 2
+)"""
+
+
+# words of bytes in hex: white space to _, other bytes to x, then runs of x
+_WORDS = "len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(substr(h, 2 * a + 1, 2 * (b - a)), '(..)', '\\1 ', 'g'), '(20|09|0A|0B|0C|0D) ', '_', 'g'), '[0-9A-F]{2} ', 'x', 'g'), 'x+'))"
+OP3 = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
-), starts AS (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400
-), hashed AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM starts
-), common AS (SELECT k FROM hashed GROUP BY 1 HAVING count(*) > 1
-), gone AS (SELECT doc_id, i FROM hashed SEMI JOIN common USING (k)
-), marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM gone
-), runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked
-), spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY 1, 2
+), {_repeats(LENGTH, "")}, {_repeats(PASSAGE[0], "_short")}, passages AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_passage_bytes FROM (SELECT s.doc_id, a, b, {_WORDS} AS words FROM spans_short s JOIN d USING (doc_id)) WHERE words >= {PASSAGE[1]} GROUP BY 1
 ), edges AS (
   SELECT doc_id, b AS kept_from, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS kept_to FROM spans UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY 1
 ), kept AS (
   SELECT e.doc_id, string_agg(substr(d.h, 2 * kept_from + 1, 2 * (coalesce(kept_to, d.n) - kept_from)), '' ORDER BY kept_from) AS h FROM edges e JOIN d USING (doc_id) GROUP BY 1
 ), sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
-SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(s.n_removed, 0) AS n_removed, coalesce(s.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
-FROM d LEFT JOIN sums s USING (doc_id) LEFT JOIN kept k USING (doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(s.n_removed, 0) AS n_removed, coalesce(s.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256, coalesce(p.n_passage_bytes, 0) AS n_passage_bytes
+FROM d LEFT JOIN sums s USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN passages p USING (doc_id)
 """
 OP7 = r"""
 WITH RECURSIVE w AS (

@@ -41,8 +41,11 @@ from .common import documents, drop_table, groups, materialise, text_key
 
 #: Bytes of a string that counts as repeated, unless another length is named.
 LENGTH = 400
+#: A repeated passage is a run of repeated strings of so many bytes that holds so many words: fifty words of prose have 240 bytes and more.
+PASSAGE = (200, 50)
 _BASE = 0x5851F42D4C957F2D
 _CHUNK = 1 << 19
+_RUNS = "array<struct<first: long, last: long>>"
 _POW: list[np.ndarray] = []
 
 
@@ -198,22 +201,26 @@ def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(key, hash, at, stretch): the anchors of every row's text; at holds place and owned offsets, stretch is the MD5 (64 bits) of the owned bytes."""
+    """(key, hash, at, stretch): the anchors of every row's text, or of its regions; at holds place and owned offsets, stretch is the MD5 (64 bits) of the owned bytes."""
+    inner = "regions" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             count = 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                raw = (batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
-                for hashes, place, first, last in anchors(np.frombuffer(raw, np.uint8), length):
-                    out[0].extend([key] * len(place))
-                    out[1].append(hashes)
-                    out[2].append(_pack(place, first, last))
-                    out[3].append(np.fromiter((_short(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.int64, len(place)))
-                    count += len(place)
+                regions = [(r["from"], r["to"]) for r in batch.column(2)[i].as_py()] if inner else [(0, len(raw))]
+                for low, high in regions:
+                    for hashes, *where in anchors(np.frombuffer(raw[low:high], np.uint8), length):
+                        place, first, last = (x + low for x in where)
+                        out[0].extend([key] * len(place))
+                        out[1].append(hashes)
+                        out[2].append(_pack(place, first, last))
+                        out[3].append(np.fromiter((_short(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.int64, len(place)))
+                        count += len(place)
                 if count > 100_000:
                     yield flushed(out)
                     out, count = [[], [], [], []], 0
@@ -223,7 +230,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     def flushed(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(np.concatenate(x)) for x in out[1:])], ["key", "hash", "at", "stretch"])
 
-    return rows.select("key", "text").mapInArrow(run, "key binary, hash long, at long, stretch long")
+    return rows.select("key", "text", *(["regions"] if inner else [])).mapInArrow(run, "key binary, hash long, at long, stretch long")
 
 
 def _pieces(texts: DataFrame, length: int) -> DataFrame:
@@ -319,8 +326,30 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "hash long, stretch long, first int, last int")
 
 
-def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, runs array<struct<first long, last long>>) of texts with repeated windows of ``length`` bytes: runs of window starts. ``rows`` has id, key (of the text's content) and text."""
+def _regions(found: DataFrame, shorter: int, length: int) -> DataFrame:
+    """(key, regions array<struct<from, to>>): the bytes in which strings of ``length`` bytes may repeat, as all their strings of ``shorter`` bytes do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for runs in batch.column(1).to_pylist():
+                starts = spans(runs, 1)  # maximal runs of starts, ends excluded
+                out.append([{"from": a, "to": b - 1 + shorter} for a, b in starts if b - 1 + shorter - a >= length])
+            kinds = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+            some = pa.array([bool(r) for r in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kinds)], ["key", "regions"]).filter(some)
+
+    return found.mapInArrow(run, "key binary, regions array<struct<`from`: long, `to`: long>>")
+
+
+def repeats(rows: DataFrame, length: int = LENGTH, shorter: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(key, runs array<struct<first long, last long>>) of texts with repeated windows of ``length`` bytes: runs of window starts. ``rows`` has id, key (of the text's content) and text.
+
+    ``shorter`` is what this function gave for a smaller length, and that
+    length: only where those strings repeat may longer ones.
+    """
+    if shorter is not None:
+        rows = rows.join(_regions(*shorter, length).withColumnRenamed("key", "known"), F.col("key") == F.col("known")).drop("known")
     if not 8 <= length <= 1600:  # a window's offset from its anchor has 10 bits
         raise ValueError(f"strings of {length} bytes; 8 to 1600 can be found")
     found = materialise(_anchor_rows(rows, length), "stretches")  # written, as it is read twice
@@ -373,8 +402,12 @@ def cuts(raw: bytes, runs: list[dict] | None, length: int = LENGTH, min_words: i
     return [(a, b) for a, b in found if len(raw[a:b].split()) >= min_words] if min_words else found
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id_col, n_bytes, kept binary, removed array<struct<from, to>>) of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: tuple[int, int] | None = None) -> DataFrame:
+    """(id_col, n_bytes, kept binary, removed array<struct<from, to>>, passage_bytes) of every row.
+
+    ``passage`` (bytes, words) asks for shorter repeats too, which are counted
+    and not removed: ``passage_bytes`` is how many bytes lie in runs of
+    repeated strings of so many bytes that hold so many words; null without it.
 
     Matches never cross rows. Null and empty texts have no bytes and lose
     none. A row that repeats another's text loses all of it if it has
@@ -382,25 +415,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows.
     """
     rows = _keyed(docs, id_col, text_col)
-    found = repeats(rows, length)
+    if passage is None:
+        found = repeats(rows, length).withColumn("short", F.lit(None).cast(_RUNS))
+    else:
+        short = repeats(rows, passage[0])
+        found = short.withColumnRenamed("runs", "short").join(repeats(rows, length, (short, passage[0])), "key", "left")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, kept, gone = [], [], []
-                for text, runs in zip(part.column(1), part.column(2), strict=True):
+                sizes, kept, gone, passages = [], [], [], []
+                for text, runs, short in zip(part.column(1), part.column(2), part.column(3), strict=True):
                     raw, cut = (text.as_py() or "").encode("utf-8", "surrogatepass"), spans(runs.as_py(), length)
                     edges = [0, *(x for s in cut for x in s), len(raw)]
                     sizes.append(len(raw))
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                     gone.append([{"from": a, "to": b} for a, b in cut])
+                    passages.append(None if passage is None else sum(b - a for a, b in cuts(raw, short.as_py(), *passage)))
                 kinds = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, kinds)], ["id", "n_bytes", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, kinds), pa.array(passages, pa.int64())], ["id", "n_bytes", "kept", "removed", "passage_bytes"])
 
-    joined = rows.join(found, "key", "left").select("id", "text", "runs")
-    out = joined.mapInArrow(run, f"id {kind}, n_bytes long, kept binary, removed array<struct<`from`: long, `to`: long>>")
+    joined = rows.join(found, "key", "left").select("id", "text", "runs", "short")
+    out = joined.mapInArrow(run, f"id {kind}, n_bytes long, kept binary, removed array<struct<`from`: long, `to`: long>>, passage_bytes long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -434,6 +472,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(documents(spark, sf_dir))
+    found = remove_repeats(documents(spark, sf_dir), passage=PASSAGE)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("passage_bytes").alias("n_passage_bytes"))

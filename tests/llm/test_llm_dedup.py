@@ -174,6 +174,22 @@ def slow_removal(texts, length=400):
     return out
 
 
+def slow_passages(rows, length=200, least=50):
+    """Bytes of maximal runs of repeated strings that hold enough words, by document."""
+    raw = {i: (t or "").encode() for i, t in rows}
+    count = Counter(b[i : i + length] for b in raw.values() for i in range(len(b) - length + 1))
+    out = {}
+    for k, b in raw.items():
+        gone = np.zeros(len(b) + 2, int)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i + 1 : i + 1 + length] = 1
+        step = np.diff(gone)
+        runs = zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)
+        out[k] = sum(y - x for x, y in runs if len(b[x:y].split()) >= least)
+    return out
+
+
 def removal(spark, rows, length=400):
     found = substrings.remove_repeats(frame(spark, rows), length=length)
     return Counter((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in found.collect())
@@ -187,8 +203,9 @@ def test_repeats_equal_brute_force_on_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = wanted(rows)
     assert removal(spark, rows) == want
-    got = Counter(tuple(r) for r in queries.op3_substrings(spark, sf).collect())
-    assert got == want
+    found = queries.op3_substrings(spark, sf).collect()
+    assert Counter(tuple(r)[:5] for r in found) == want
+    assert {r["doc_id"]: r["n_passage_bytes"] for r in found} == slow_passages(rows)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -225,6 +242,16 @@ def test_repeats_of_other_lengths(spark, length):
         substrings.repeats(frame(spark, rows), 1601)
 
 
+def test_passages_are_counted_beside_what_goes(spark):
+    r = random.Random(6)
+    words = lambda n: " ".join(f"w{r.randrange(10**5)}" for _ in range(n))
+    shared = [words(n) for n in (30, 45, 52, 90)]
+    rows = [(i, " ".join(r.choice([words(r.randrange(40)), r.choice(shared)]) for _ in range(6))) for i in range(30)] + [(30, None), (31, ""), (32, "a b " * 400), (33, "x" * 900)]
+    found = substrings.remove_repeats(frame(spark, rows), passage=(200, 50)).collect()
+    assert {x["doc_id"]: x["passage_bytes"] for x in found} == slow_passages(rows)
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_bytes"] - len(x["kept"]), len(x["removed"]), hashlib.sha256(x["kept"]).hexdigest()) for x in found) == wanted(rows)
+
+
 def test_short_runs_stay_by_their_words(spark):
     r = random.Random(2)
     long, short = (" ".join(f"w{r.randrange(10**5)}" for _ in range(n)) for n in (51, 40))
