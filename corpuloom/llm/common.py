@@ -19,13 +19,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder of this
-    machine is chosen once per application; a cluster always names its own.
+    Where the setting is absent on one machine alone (tests, a laptop) a
+    temporary folder is chosen once per application; a cluster must name its
+    own, as its executors' temporary folders are not shared.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = getattr(spark.sparkContext, "_corpuloom_shared", None)
         if not where:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
             where = tempfile.mkdtemp(prefix="corpuloom-")
             spark.sparkContext._corpuloom_shared = where
     return where.rstrip("/")

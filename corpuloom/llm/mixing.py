@@ -117,7 +117,10 @@ def phases(blocks: dict[str, int], weights: dict[str, float], whole: int | None
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, whole: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id_col, source, block, slot, position) of every row.
+    """(id_col, source, target, block, slot, position) of every row.
+
+    ``target`` is the source's target share of the mix: its named weight, or
+    where none is named its rows to the power :data:`TEMPER`, over the sum.
 
     ``block`` counts the source's blocks of ``block_rows`` rows in ascending
     id order, ``slot`` is the block's place in the whole schedule and
@@ -135,25 +138,26 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, "source", "id").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged.select("part", "source", "id"), "mixing")  # a part's number must not change between the two uses
+    if (found := ranged.select("source").distinct().limit(MAX_SOURCES + 1).count()) > MAX_SOURCES:  # told before any is gathered
+        raise ValueError(f"{found} sources or more; {MAX_SOURCES} at most")
     sizes = ranged.groupBy("source", "part").count().collect()  # at most sources + partitions rows
     counts: dict[str, int] = {}
     before: dict[tuple[str, int], int] = {}
     for source, part, count in sorted(sizes):
         before[source, part] = counts.get(source, 0)
         counts[source] = counts.get(source, 0) + count
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"{len(counts)} sources; {MAX_SOURCES} at most")
     weights = {s: c**TEMPER for s, c in counts.items()} if weights is None else weights
     if missing := sorted(set(counts) - set(weights)):
         raise ValueError(f"sources without a weight: {missing[:5]}")
     plan = phases({s: -(-c // block_rows) for s, c in counts.items()}, weights, whole)
     kind = rows.schema["id"].dataType.simpleString()
     if not plan:
-        return spark.createDataFrame([], f"{id_col} {kind}, source string, block long, slot long, position long")
+        return spark.createDataFrame([], f"{id_col} {kind}, source string, target double, block long, slot long, position long")
     starts = spark.createDataFrame([(s, p, b) for (s, p), b in before.items()], "source string, part int, before long")
+    whole_weight = sum(weights[s] for s in counts)
     spans = spark.createDataFrame(
-        [(s, first, first + took, phase["base"], phase["whole"], weight, slots) for phase in plan for s, (first, took, weight, slots) in phase["sources"].items() if took],
-        "source string, first long, last long, base long, whole long, weight long, slots array<int>",
+        [(s, weights[s] / whole_weight, first, first + took, phase["base"], phase["whole"], weight, slots) for phase in plan for s, (first, took, weight, slots) in phase["sources"].items() if took],
+        "source string, target double, first long, last long, base long, whole long, weight long, slots array<int>",
     )
     local = F.row_number().over(Window.partitionBy("part", "source").orderBy("id")) - 1
     ranked = ranged.withColumn("local", local).join(F.broadcast(starts), ["source", "part"])
@@ -162,7 +166,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     i = F.col("block") - F.col("first")
     slot = F.col("base") + F.floor(i / F.col("weight")).cast("long") * F.col("whole") + F.get("slots", (i % F.col("weight")).cast("int"))
     placed = placed.withColumn("slot", slot.cast("long"))
-    return placed.select(F.col("id").alias(id_col), "source", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
+    return placed.select(F.col("id").alias(id_col), "source", "target", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
 
 
 def placed(docs: DataFrame, columns: list[str]) -> DataFrame:
