@@ -173,9 +173,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE)
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = FOLDS, held: int = HELD, labelled: int = FIT_LABELLED) -> Model:
-    """Fitted on at most ``labelled`` labelled rows outside the held-out fold, those whose ids have the least hash."""
-    rows = training_rows(docs, labels, "quality", mod, held, labelled, 0)
-    return fit(np.array([describe(t) for t, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for _, y in rows], float))
+    """Fitted on at most ``labelled`` labelled rows outside the held-out fold, those whose ids have the least hash. Executors describe them; a row's features are what reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [describe(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["id", "x", "y"])
+
+    chosen = training_rows(docs, labels, "quality", mod, held, labelled, 0)
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(run, f"id {kind}, x array<double>, y int").collect())
+    return fit(np.array([x for _, x, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for *_, y in rows], float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,35 +7,38 @@
    voter has its accuracy P(fires | class), and correlated voters are linked in
    a tree (the maximum spanning tree of their mutual information given the
    class), so that voters that repeat each other are not counted twice. Fitted
-   by expectation-maximisation: labelled rows hold their class, the other
-   training rows their posterior.
+   by expectation-maximisation over all rows of the training folds: the sampled
+   labelled rows hold their class, all others their posterior. Rows are counted
+   by their votes, and executors add up what each step needs.
 3. Classifier. Logistic regression over the words and word beginnings of a
-   text, trained on the label model's posteriors.
+   text, trained on the label model's posteriors of a bounded sample.
 
-Scores are 0 to 1; every whole text is scored, empty ones by the intercept.
-Labels of held-out rows are never read, and id, source, language and labels
-are never inputs of a score.
+Scores are 0 to 1; every whole text is scored, empty ones by the intercept and
+the length's term. Labels of held-out rows are never read, and id, source,
+language and labels are never inputs of a score. No text reaches the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, drop_table, fold, materialise
 
-#: Most labelled rows, and most rows without a label, that the model is fitted on: those of the least hash.
+#: Most labelled rows that hold their class and are mined for voters, and most rows without a label that the classifier is trained on beside them: those of the least hash.
 FIT_LABELLED, FIT_UNLABELLED = 6000, 1500
 #: Most mined voters, and the likelihood ratio (G squared) of a voter's firing with the label at least.
 MINED, MINED_RATIO = 400, 24.0
 #: Most features of the classifier, the rows that must hold one at least, and its likelihood ratio with the posterior at least.
 FEATURES, FEATURE_ROWS, FEATURE_RATIO = 20_000, 4, 20.0
+#: Weight of all rows of hidden class together, in shares of the labelled sample's.
+HIDDEN_SHARE = 0.5
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,24 +82,47 @@ def fixed_votes(low: str, words: set[str]) -> list[bool]:
 
 
 class LabelModel:
-    """Votes given a hidden binary class, with a tree of dependent voters."""
+    """Votes given a hidden binary class, with a tree of dependent voters.
 
-    def __init__(self, rounds: int = 25, smooth: float = 1.0, strength: float = 0.01):
-        self.rounds, self.smooth, self.strength = rounds, smooth, strength
+    ``total`` is a function that adds up f(votes, known, count) - a vector of a
+    named size - over all rows, wherever these lie: rows of equal votes and
+    known class (1, 0, or -1 where it is hidden) are one with their count.
 
-    def _tree(self, votes: np.ndarray, post: np.ndarray) -> list[int]:
+    The first step takes the known rows alone. From then on hidden rows count
+    with their posteriors, all together at most ``share`` of the known ones'
+    weight: many more would let the classes drift to whatever parts them best.
+    """
+
+    def __init__(self, rounds: int = 15, smooth: float = 1.0, strength: float = 0.01, share: float = HIDDEN_SHARE):
+        self.rounds, self.smooth, self.strength, self.share, self.table = rounds, smooth, strength, share, None
+
+    def _classes(self, votes: np.ndarray, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each row as clean and as toxic."""
+        hidden = known < 0
+        weight = np.where(hidden, 0.0 if self.table is None else self.discount, 1.0) * count
+        post = np.where(hidden, 0.0 if self.table is None else self.posterior(votes), known)
+        return (1 - post) * weight, post * weight
+
+    def _pair_sums(self, votes: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+        votes = votes.astype(float)
+        return np.concatenate([np.concatenate([[w.sum()], w @ votes, ((votes * w[:, None]).T @ votes).ravel()]) for w in self._classes(votes, known, count)])
+
+    def _sums(self, votes: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+        votes, above = votes.astype(float), np.array(self.parent)
+        parents = np.where(above >= 0, votes[:, above], 0.0)
+        return np.concatenate([np.concatenate([[w.sum()], w @ votes, w @ parents, w @ (votes * parents)]) for w in self._classes(votes, known, count)])
+
+    def _tree(self, sums: np.ndarray, m: int) -> list[int]:
         """Parent of each voter (-1: none) in the maximum spanning forest over mutual information given the class."""
-        m = votes.shape[1]
-        total = np.zeros((m, m))
-        for weight in (post, 1 - post):
-            n = weight.sum() + 4 * self.smooth
-            both = (votes * weight[:, None]).T @ votes + self.smooth
-            one = (votes * weight[:, None]).sum(axis=0) + 2 * self.smooth
+        total, rows = np.zeros((m, m)), sums.reshape(2, -1)
+        for part in rows:
+            n = part[0] + 4 * self.smooth
+            one, both = part[1 : m + 1] + 2 * self.smooth, part[m + 1 :].reshape(m, m) + self.smooth
             p11 = both / n
             pa_, pb = np.repeat((one / n)[:, None], m, 1), np.repeat((one / n)[None, :], m, 0)
             for joint, left, right in ((p11, pa_, pb), (pa_ - p11, pa_, 1 - pb), (pb - p11, 1 - pa_, pb), (1 - pa_ - pb + p11, 1 - pa_, 1 - pb)):
                 joint = np.clip(joint, 1e-12, 1)
-                total += weight.mean() * joint * np.log(joint / np.clip(left * right, 1e-12, 1))
+                total += part[0] / max(rows[:, 0].sum(), 1e-9) * joint * np.log(joint / np.clip(left * right, 1e-12, 1))
         np.fill_diagonal(total, 0)
         parent, best, via = [-1] * m, np.full(m, -1.0), [-1] * m
         inside = np.zeros(m, bool)
@@ -110,26 +136,22 @@ class LabelModel:
                 via[k] = j
         return parent
 
-    def fit(self, votes: np.ndarray, known: np.ndarray) -> LabelModel:
-        """known: 1, 0, or -1 where the class is hidden."""
-        votes = votes.astype(float)
-        hidden = known < 0
-        prior = known[~hidden].mean() if (~hidden).any() else 0.1
-        post = np.where(hidden, np.where(votes.sum(axis=1) > 0, 0.5, prior / 2), known).astype(float)
+    def fit(self, m: int, total: Callable) -> LabelModel:
+        labelled, hidden = total(_known, 2)
+        self.discount = min(1.0, self.share * labelled / hidden) if hidden else 1.0
         for step in range(self.rounds):
             if step % 5 == 0:
-                self.parent = self._tree(votes, post)
-            self.prior = (post.sum() + self.smooth) / (len(post) + 2 * self.smooth)
-            self.table = np.zeros((2, 2, votes.shape[1]))  # class, parent's vote
-            for c, weight in enumerate((1 - post, post)):
-                for j, p in enumerate(self.parent):
-                    for v in (0, 1):
-                        w = weight if p < 0 else weight * (votes[:, p] == v)
-                        self.table[c, v, j] = (w @ votes[:, j] + self.smooth * 0.1) / (w.sum() + self.smooth)
-            new = np.where(hidden, self.posterior(votes), post)
-            if np.abs(new - post).max() < 1e-4 and step >= 5:
+                self.parent = self._tree(total(self._pair_sums, 2 * (1 + m + m * m)), m)
+            sums = total(self._sums, 2 * (1 + 3 * m)).reshape(2, -1)
+            n, fired, above, both = sums[:, :1], sums[:, 1 : m + 1], sums[:, m + 1 : 2 * m + 1], sums[:, 2 * m + 1 :]
+            rare, alone = self.smooth * 0.1, np.array(self.parent) < 0
+            silent = np.where(alone, fired + rare, fired - both + rare) / (np.where(alone, n, n - above) + self.smooth)
+            loud = np.where(alone, silent, (both + rare) / (above + self.smooth))
+            table = np.clip(np.stack([silent, loud], axis=1), 1e-9, 1 - 1e-9)  # class, parent's vote, voter
+            still = self.table is not None and np.abs(table - self.table).max(initial=0) < 1e-4
+            self.table, self.prior = table, float((n[1, 0] + self.smooth) / (n.sum() + 2 * self.smooth))
+            if still and step >= 5:
                 break
-            post = new
         return self
 
     @property
@@ -138,15 +160,39 @@ class LabelModel:
         return self.table[:, 0, :][::-1]
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        votes = votes.astype(float)
-        logit = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
-        for j, p in enumerate(self.parent):
-            v = np.zeros(len(votes), int) if p < 0 else votes[:, p].astype(int)
-            fire, clean = self.table[1, v, j], self.table[0, v, j]
-            logit += np.where(votes[:, j] > 0, np.log(fire / clean), np.log((1 - fire) / (1 - clean)))
+        votes, above = votes.astype(bool), np.array(self.parent)
+        parents = np.where(above >= 0, votes[:, above], False).astype(int)
+        voters = np.arange(votes.shape[1])
+        fire, clean = self.table[1][parents, voters], self.table[0][parents, voters]
+        logit = np.log(self.prior / (1 - self.prior)) + np.where(votes, np.log(fire / clean), np.log((1 - fire) / (1 - clean))).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _known(votes: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.array([count[known >= 0].sum(), count[known < 0].sum()], float)
+
+
+def totals_of(patterns: DataFrame, m: int) -> Callable:
+    """``total`` of a table (pattern: packed votes, known, n). Sums are whole millionths, so they add up alike in any order."""
+
+    def total(f: Callable, size: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros(size)
+            for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+                packed = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                found += f(np.unpackbits(packed, axis=1, count=m).astype(bool), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float))
+            whole = np.rint(found * 1e6).astype(np.int64)
+            some = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(whole[some])], ["place", "n"])
+
+        out = np.zeros(size)
+        for place, n in patterns.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n")).collect():  # at most size rows, which the number of voters bounds
+            out[place] = n / 1e6
+        return out
+
+    return total
+
+
 @dataclass
 class Model:
     bias: float = -3.0
@@ -194,62 +240,112 @@ def _logistic(rows: list[np.ndarray], size: int, extra: np.ndarray, target: np.n
     return bias, w, we
 
 
-def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float, both: bool = False) -> np.ndarray:
+def likelihood_ratio(a: Column, b: Column, n1: float, n0: float, both: bool = False) -> Column:
     """G squared of presence counts a of n1 and b of n0 rows; 0 where the first share isn't the larger, unless ``both``."""
-    table = np.array([[a, n1 - a], [b, n0 - b]])
-    row, column, total = table.sum(axis=1, keepdims=True), table.sum(axis=0, keepdims=True), n1 + n0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * np.where(table > 0, table * np.log(table * total / (row * column)), 0).sum(axis=(0, 1))
-    return g if both else np.where(a * n0 > b * n1, g, 0)
+    n1, n0 = F.lit(float(n1)), F.lit(float(n0))
+    cells = ((a, n1, a + b), (n1 - a, n1, n1 + n0 - a - b), (b, n0, a + b), (n0 - b, n0, n1 + n0 - a - b))
+    g = 2 * sum((F.when(x > 0, x * F.log(x * (n1 + n0) / (row * column))).otherwise(0.0) for x, row, column in cells), F.lit(0.0))
+    return g if both else F.when(a * n0 > b * n1, g).otherwise(0.0)
+
+
+def _described(sample: DataFrame) -> DataFrame:
+    """(id, y, length, fixed, features) of sampled rows: what is fitted on in place of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                told = [word_set(t.as_py()) for t in part.column(1)]
+                fixed = [np.packbits(fixed_votes(low, words)).tobytes() for low, words in told]
+                lists = pa.array([sorted(features(words)) for _, words in told], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([float(np.log1p(len(w))) for _, w in told]), pa.array(fixed, pa.binary()), lists], ["id", "y", "length", "fixed", "features"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    return materialise(sample.mapInArrow(run, f"id {kind}, y int, length double, fixed binary, features array<string>"), "features")
+
+
+_FIXED = len(_LEXICON) + len(_PATTERNS)
 
 
-def fit(rows: list[tuple[str | None, int | None]]) -> Model:
-    """A model from (text, label or None) training rows. Without a toxic and a clean label, all scores are low and alike."""
-    known = np.array([-1 if y is None else int(y) for _, y in rows])
-    if not ((known == 1).any() and (known == 0).any()):
+def _patterns(train: DataFrame, known: DataFrame, mined: dict[str, int]) -> DataFrame:
+    """(pattern, known, n): how many training rows cast the same votes, by their class where it is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                low, words = word_set(text.as_py())
+                votes = np.zeros(_FIXED + len(mined), bool)
+                votes[:_FIXED] = fixed_votes(low, words)
+                for w in words:
+                    own = told.get(w)
+                    if own is None:
+                        if len(told) > 1 << 18:
+                            told.clear()
+                        own = told[w] = tuple(_FIXED + mined[f] for f in features((w,)) if f in mined)
+                    if own:
+                        votes[list(own)] = True
+                out.append(np.packbits(votes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "pattern"])
+
+    kind = train.schema["doc_id"].dataType.simpleString()
+    votes = train.select("doc_id", "text").mapInArrow(run, f"id {kind}, pattern binary")
+    # the known rows are a bounded sample, so the broadcast is bounded
+    rows = votes.join(F.broadcast(known.select(F.col("id").alias("known_id"), F.col("y").alias("known")).distinct()), F.col("id") == F.col("known_id"), "left")
+    counted = rows.groupBy("pattern", F.coalesce("known", F.lit(-1)).alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counted, "patterns")
+
+
+def fit(train: DataFrame, sample: DataFrame) -> Model:
+    """A model from the rows of the training folds (doc_id, text) and a bounded sample of them (doc_id, text, y). Without a toxic and a clean label, all scores are low and alike."""
+    rows = _described(sample)
+    n1, n0 = rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    if not n1 or not n0:
         return Model()
-    place: dict[str, int] = {}
-    at, fixed, lengths = [], [], []
-    for text, _ in rows:
-        low, words = word_set(text)
-        at.append(np.array(sorted(place.setdefault(f, len(place)) for f in sorted(features(words))), np.int32))
-        fixed.append(fixed_votes(low, words))
-        lengths.append(np.log1p(len(words)))
-    names = list(place)
-    del place
-
-    def counts(weight: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(names))
-        for x, w in zip(at, weight.tolist(), strict=True):
-            if w:
-                out[x] += w
-        return out
+    held = rows.where("y IS NOT NULL").select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
+    held = held.withColumn("ratio", likelihood_ratio(F.col("a"), F.col("n") - F.col("a"), n1, n0)).where(F.col("ratio") >= MINED_RATIO)
+    mined = {r["f"]: i for i, r in enumerate(held.orderBy(F.desc(F.round("ratio", 9)), "f").limit(MINED).collect())}
+    m = _FIXED + len(mined)
+    patterns = _patterns(train, rows.where("y IS NOT NULL"), mined)
+    labels = LabelModel().fit(m, totals_of(patterns, m))
 
-    def strongest(ratio: np.ndarray, least: float, most: int) -> list[int]:
-        good = np.flatnonzero(ratio >= least)
-        return sorted(good.tolist(), key=lambda i: (-ratio[i], names[i]))[:most]
-
-    n1, n0 = int((known == 1).sum()), int((known == 0).sum())
-    ratio = likelihood_ratio(counts((known == 1).astype(float)), counts((known == 0).astype(float)), n1, n0)
-    mined = {f: i for i, f in enumerate(strongest(ratio, MINED_RATIO, MINED))}
-    votes = np.zeros((len(rows), len(fixed[0]) + len(mined)), bool)
-    votes[:, : len(fixed[0])] = fixed
-    for i, x in enumerate(at):
-        votes[i, [len(fixed[0]) + mined[f] for f in x.tolist() if f in mined]] = True
-    post = LabelModel().fit(votes[:, votes.any(axis=0)], known).posterior(votes[:, votes.any(axis=0)])
-
-    seen, have = counts(np.ones(len(rows))), counts(post)
-    ratio = likelihood_ratio(have, seen - have, post.sum(), len(post) - post.sum(), both=True)
-    kept = {f: i for i, f in enumerate(strongest(np.where(seen >= FEATURE_ROWS, ratio, 0), FEATURE_RATIO, FEATURES))}
-    sparse = [np.array([kept[f] for f in x.tolist() if f in kept], np.int64) for x in at]
-    extra = np.array(lengths)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = np.zeros((batch.num_rows, m), bool)
+            for i, (fixed, found) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                votes[i, :_FIXED] = np.unpackbits(np.frombuffer(fixed, np.uint8), count=_FIXED)
+                votes[i, [_FIXED + mined[f] for f in found if f in mined]] = True
+            known = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            # a row whose class is known has it, as in the label model
+            post = np.where(np.isnan(known), np.round(labels.posterior(votes), 6), known) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post, pa.float64()), batch.column(2), batch.column(4)], ["id", "post", "length", "features"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    judged = materialise(rows.mapInArrow(run, f"id {kind}, post double, length double, features array<string>"), "posteriors")
+    n, micros = judged.agg(F.count(F.lit(1)), F.sum(F.round(F.col("post") * 1e6).cast("long"))).first()
+    some = judged.select((F.round(F.col("post") * 1e6).cast("long")).alias("p"), F.explode("features").alias("f")).groupBy("f").agg((F.sum("p") / 1e6).alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
+    some = some.where(F.col("n") >= FEATURE_ROWS).withColumn("ratio", likelihood_ratio(F.col("a"), F.col("n") - F.col("a"), micros / 1e6, n - micros / 1e6, both=True)).where(F.col("ratio") >= FEATURE_RATIO)
+    names = [r["f"] for r in some.orderBy(F.desc(F.round("ratio", 9)), "f").limit(FEATURES).collect()]
+    kept = {f: i for i, f in enumerate(names)}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [sorted(kept[f] for f in found if f in kept) for found in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.list_(pa.int32()))], ["id", "post", "length", "at"])
+
+    # of a bounded sample, and of each row at most the features that were kept
+    found = judged.mapInArrow(placed, f"id {kind}, post double, length double, at array<int>").collect()
+    found.sort(key=lambda r: (r["id"] is None, r["id"], r["post"], r["length"], r["at"]))
+    for done in (rows, patterns, judged):
+        drop_table(done)
+    extra, post = np.array([r["length"] for r in found]), np.array([r["post"] for r in found])
     mean, spread = float(extra.mean()), float(extra.std() or 1)
-    bias, w, we = _logistic(sparse, len(kept), (extra - mean) / spread, post)
-    return Model(bias, {names[f]: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-4}, (float(we), mean, spread))
+    bias, w, we = _logistic([np.array(r["at"], np.int64) for r in found], len(kept), (extra - mean) / spread, post)
+    return Model(bias, {f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-4}, (float(we), mean, spread))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, held: int, labelled: int, unlabelled: int) -> list[tuple[str | None, int | None]]:
-    """Bounded sample of the training folds: the rows whose id has the least hash, labelled ones and others. Rows with a null id or a null label count as unlabelled."""
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, held: int, labelled: int, unlabelled: int) -> DataFrame:
+    """(doc_id, text, y) of a bounded sample of the training folds: the rows whose id has the least hash, labelled ones and others. Rows with a null id or a null label count as unlabelled; rows that repeat a chosen id are all of the sample."""
     ours = labels.where(F.col(label_col).isin(0, 1) & (fold(F.col("doc_id"), mod) != held)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     train = docs.select("doc_id", "text").where(fold(F.col("doc_id"), mod) != held)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -257,12 +353,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, mod: int,
     rest = train.select("doc_id").join(ours, "doc_id", "left_anti").distinct().orderBy(*order).limit(unlabelled)
     chosen = some.unionByName(rest, allowMissingColumns=True)
     # the chosen ids are at most labelled + unlabelled rows, so the broadcast is bounded
-    rows = train.join(F.broadcast(chosen), train["doc_id"].eqNullSafe(chosen["doc_id"])).select(train["doc_id"], "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or ""))]
+    return train.join(F.broadcast(chosen), train["doc_id"].eqNullSafe(chosen["doc_id"])).select(train["doc_id"], "text", "y")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row's whole text. Null and empty texts have the intercept's score; other columns are not carried."""
+    """(id_col, score) of every row's whole text.
+
+    Null and empty texts have the score of no features and no length. Repeated
+    rows and null ids yield one row each; other columns are not carried.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +375,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = FOLDS, held: int = 0, labelled: int = FIT_LABELLED, unlabelled: int = FIT_UNLABELLED) -> Model:
-    return fit(training_rows(docs, labels, "toxic", mod, held, labelled, unlabelled))
+    """Fitted on all rows outside the held-out fold, of which a bounded sample is mined and trained on."""
+    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id"), mod) != held)
+    return fit(rows, training_rows(docs, labels, "toxic", mod, held, labelled, unlabelled))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

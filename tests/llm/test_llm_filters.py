@@ -66,6 +66,75 @@ def test_folds(spark):
     assert got == {i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i in [0, 7, 123456, None]}
 
 
+def local_model(votes, known):
+    return toxicity.LabelModel().fit(votes.shape[1], lambda f, size: f(votes, known, np.ones(len(votes))))
+
+
+def slow_label_model(votes, known, parent, rounds, smooth=1.0, share=0.5):
+    """The EM of a fixed tree, row by row."""
+    n = sum(k >= 0 for k in known)
+    discount = min(1, share * n / (len(known) - n))
+    post, table = [max(k, 0) for k in known], None
+    for step in range(rounds):
+        weight = [1.0 if k >= 0 else 0.0 if step == 0 else discount for k in known]
+        table = [[[0.0] * len(parent) for _ in (0, 1)] for _ in (0, 1)]
+        for c in (0, 1):
+            for j, p in enumerate(parent):
+                for above in (0, 1):
+                    rows = [(w * (q if c else 1 - q), v[j]) for w, q, v in zip(weight, post, votes, strict=True) if p < 0 or v[p] == above]
+                    table[c][above][j] = (sum(w for w, x in rows if x) + 0.1 * smooth) / (sum(w for w, _ in rows) + smooth)
+        prior = (sum(w * q for w, q in zip(weight, post, strict=True)) + smooth) / (sum(weight) + 2 * smooth)
+        fresh = []
+        for v, k in zip(votes, known, strict=True):
+            logit = np.log(prior / (1 - prior))
+            for j, p in enumerate(parent):
+                fire, clean = (table[c][0 if p < 0 else int(v[p])][j] for c in (1, 0))
+                logit += np.log(fire / clean) if v[j] else np.log((1 - fire) / (1 - clean))
+            fresh.append(1 / (1 + np.exp(-logit)))
+        post = [k if k >= 0 else q for q, k in zip(fresh, known, strict=True)]
+    return prior, np.array(table), np.array(fresh)
+
+
+def test_label_model_equals_plain_em(spark):
+    r = np.random.default_rng(4)
+    y = r.random(300) < 0.4
+    votes = np.stack([np.where(y, r.random(300) < a, r.random(300) < b) for a, b in ((0.8, 0.1), (0.5, 0.05), (0.3, 0.3))], axis=1)
+    votes = np.concatenate([votes, votes[:, :1] ^ (r.random((300, 1)) < 0.05)], axis=1)
+    known = np.where(np.arange(300) < 60, y, -1).astype(int)
+    patterns = Counter((np.packbits(v).tobytes(), int(k)) for v, k in zip(votes, known, strict=True))
+    table = spark.createDataFrame([(bytearray(p), k, n) for (p, k), n in patterns.items()], "pattern binary, known int, n long")
+    for total in (lambda f, size: f(votes, known, np.ones(300)), toxicity.totals_of(table, 4)):
+        model = toxicity.LabelModel(rounds=5).fit(4, total)
+        prior, want, post = slow_label_model(votes.tolist(), known.tolist(), model.parent, 5)
+        assert model.prior == pytest.approx(prior, abs=1e-5)
+        assert model.table == pytest.approx(want, abs=1e-5)
+        assert model.posterior(votes) == pytest.approx(post, abs=1e-4)
+
+
+def test_a_score_is_the_plain_formula(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    toxic = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxic).collect()}
+    w, mean, spread = toxic.length
+    for r in rows:
+        words = set(re.findall(r"[^\W\d_]+", r["text"].lower()))
+        parts = words | {x[:n] + "*" for x in words for n in (4, 5, 6, 7) if len(x) > n}
+        logit = toxic.bias + sum(v for f, v in toxic.weights.items() if f in parts) + w * (np.log(1 + len(words)) - mean) / spread
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
+    good = quality_model.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_model.score(docs, good).collect()}
+    for r in rows:
+        x = quality_model.describe(r["text"])
+        at = [sum(v >= c for c in cuts) for v, cuts in zip(x, good.cuts, strict=True)]
+        logit = good.bias + sum(t[i] for t, i in zip(good.tables, at, strict=True))
+        for i, j, t in good.pairs:
+            a, b = (int(quality_model._coarse(np.array([at[k]]), len(good.cuts[k]))[0]) for k in (i, j))
+            logit += t[a][b]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
+
+
 def test_label_model_finds_accuracies_and_correlations():
     r = np.random.default_rng(1)
     y = r.random(4000) < 0.3
@@ -75,25 +144,29 @@ def test_label_model_finds_accuracies_and_correlations():
     votes = np.stack([good, fair, good, noise], axis=1)
     votes[:, 2] ^= r.random(4000) < 0.01  # a copy of the first
     known = np.where(np.arange(4000) < 500, y, -1).astype(int)
-    model = toxicity.LabelModel().fit(votes, known)
+    model = local_model(votes, known)
     assert model.parent[2] == 0 or model.parent[0] == 2
     assert -1 in model.parent
     post = model.posterior(votes)
     hidden = known < 0
     assert ((post >= 0.5) == y)[hidden].mean() > 0.9
-    alone = toxicity.LabelModel().fit(votes[:, [0, 3]], known).posterior(votes[:, [0, 3]])
+    alone = local_model(votes[:, [0, 3]], known).posterior(votes[:, [0, 3]])
     # a voter that repeats another must not add confidence
     assert abs(post[hidden & good & ~fair].mean() - alone[hidden & good & ~fair].mean()) < 0.25
 
 
 def test_scores_of_awkward_rows(spark):
-    model = toxicity.fit([("you are an idiot", 1), ("a fine day", 0)] * 20 + [("nothing said", None)])
-    got = toxicity.score(awkward(spark), model).collect()
+    said = [("you are an idiot", 1), ("a fine day", 0)] * 20 + [("nothing said", None)]
+    sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(said)], "doc_id long, text string, y int")
+    extra = awkward(spark).withColumn("id", F.lit("clash")).withColumn("score", F.lit("clash"))
+    model = toxicity.fit(extra.select("doc_id", "text").union(sample.select("doc_id", "text")), sample)
+    assert model.weights["idiot"] > 0
+    got = toxicity.score(extra, model).collect()
     assert len(got) == len(AWKWARD)
     assert all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(empty(spark), model).count() == 0
     quality = quality_model.fit(np.array([quality_model.describe(t or "") for _, t, *_ in AWKWARD] * 3), np.array(([1, 1, 0, 0, 1, 1, 0, 1, 0]) * 3, float))
-    got = quality_model.score(awkward(spark), quality).collect()
+    got = quality_model.score(extra, quality).collect()
     assert len(got) == len(AWKWARD)
     assert len({r["score"] for r in got if r["doc_id"] in (2, 3, 5)}) == 1
     assert quality_model.score(empty(spark), quality).count() == 0
@@ -112,9 +185,9 @@ def test_fit_reads_no_held_out_label(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "en", "a", 5) for i in range(200)], DOCS)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
     rows = toxicity.training_rows(docs, labels, "toxic", 5, 0, 1000, 1000)
-    seen = {int(t.split()[1]) for t, y in rows}
+    seen = {int(r["text"].split()[1]) for r in rows.collect()}
     assert seen == {i for i in range(200) if crc_fold(i, 5) != 0}
-    assert len(toxicity.training_rows(docs, labels, "toxic", 5, 0, 10, 5)) == 10
+    assert toxicity.training_rows(docs, labels, "toxic", 5, 0, 10, 5).count() == 10
 
 
 def test_additive_model_learns_an_interaction():
