@@ -5,16 +5,22 @@ An index is two tables: postings (term, doc, len, tf, positions) and stats
 reaches the scan of a stored table - sums them by document in one shuffle and
 ends in a top-k, so nothing but k rows a task reaches the driver. Postings carry
 their document's length, so that a query need not join the table of all
-documents; :func:`summary` is one row, to be kept with a stored index.
+documents. A stored index (:func:`store`) also has every term's document
+frequency and a one-row summary: the rows of a query's own terms, as many as it
+has words, and the summary are read first, and the scores are one plan without
+a join.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from math import log
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -58,9 +64,15 @@ def read_chunks(found: DataFrame, docs: DataFrame, key: str, bytes_col: str, mos
 
 
 def index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, stats) of a table's texts. Null texts are empty."""
-    own = docs.select(docs[id_col].alias("doc"), text.tokens(F.coalesce(docs[text_col], F.lit(""))).alias("tokens"))
-    places = own.select("doc", F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("at", "term"))
+    """(postings, stats) of a table's texts. Null texts are empty.
+
+    Documents are dealt out whole, by their ids, so that a posting is counted
+    where its document is and no single occurrence is sent.
+    """
+    texts = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    own = texts.select("doc", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    dealt = texts.repartition("doc").select("doc", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    places = dealt.select("doc", F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("at", "term"))
     postings = places.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
     return postings, own.select("doc", F.size("tokens").cast("long").alias("len"))
 
@@ -70,6 +82,49 @@ def summary(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("average"))
 
 
+class Stored(NamedTuple):
+    """An index in files: postings by term, documents, every term's document frequency, and the summary row."""
+
+    postings: DataFrame
+    stats: DataFrame
+    terms: DataFrame
+    whole: DataFrame
+
+
+def store(postings: DataFrame, stats: DataFrame, path: str) -> Stored:
+    """Writes an index: by term, so that a query's terms are found by the footers of few row groups."""
+    spark = postings.sparkSession
+    postings.sort("term").write.parquet(f"{path}/postings")
+    stats.write.parquet(f"{path}/stats")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).sort("term").write.parquet(f"{path}/terms")
+    summary(spark.read.parquet(f"{path}/stats")).coalesce(1).write.parquet(f"{path}/whole")
+    return load(spark, path)
+
+
+def load(spark: SparkSession, path: str) -> Stored:
+    return Stored(*(spark.read.parquet(f"{path}/{t}") for t in Stored._fields))
+
+
+def ask(index_: Stored, phrases: Sequence[Sequence[str]], every: bool, keep: DataFrame | None = None) -> DataFrame:
+    """As :func:`bm25`, of a stored index. Phrases of several tokens are left to it: their document frequency is not stored."""
+    if not phrases or any(len(p) > 1 for p in phrases):
+        return bm25(index_.postings, index_.stats, phrases, every, keep, index_.whole)
+    times = Counter(p[0] for p in phrases)
+    df = {r["term"]: r["df"] for r in index_.terms.where(F.col("term").isin(sorted(times))).collect()}  # at most as many rows as the query has words
+    n, average = index_.whole.first()
+    own = index_.postings.where(F.col("term").isin(sorted(times)))
+    b, tf = fixed.BM25_B, F.col("tf").cast("double")
+    damp = F.lit(fixed.BM25_K1) * (F.lit(1.0 - b) + F.lit(b) * F.col("len").cast("double") / F.lit(average))
+    weight = {t: k * max(log((n - df[t] + 0.5) / (df[t] + 0.5)), fixed.IDF_FLOOR) * (fixed.BM25_K1 + 1) for t, k in times.items() if t in df}
+    of = F.coalesce(*[F.when(F.col("term") == t, F.lit(w)) for t, w in sorted(weight.items())], F.lit(0.0))
+    hits = own.groupBy("doc").agg(F.sum(of * tf / (tf + damp)).alias("score"), F.count(F.lit(1)).alias("met"))
+    if every:
+        hits = hits.where(F.col("met") == len(times))
+    if keep is not None:
+        hits = hits.join(keep, "doc", "left_semi")
+    return hits.select("doc", "score")
+
+
 def and_phrases(query: str) -> list[list[str]]:
     """The first 16 words of a query, each split as the index splits: a word with an underscore is a phrase of its parts."""
     import re

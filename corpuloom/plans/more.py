@@ -8,8 +8,6 @@ numbers, folders, links) is made from its rows by a rule that the SQL repeats.
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 
 import pandas as pd
@@ -20,7 +18,7 @@ from ..functions import binary, edit, fixed, replies, text
 from ..operators import aliases, context, metrics, mining, paths, probes, search, traces, vault
 from ..sources import files, tree
 from ..streaming import jobs
-from .queries import QUERIES, SQL, _bm25_sql, query, table
+from .queries import QUERIES, SQL, _bm25_sql, folder, query, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -1296,16 +1294,6 @@ def stm_once(spark, sf):
 # --- Files: written to the shared folder and read back
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder that all executors see; on one machine alone, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        where = tempfile.mkdtemp(prefix="corpuloom-")
-    return f"{where.rstrip('/')}/corpuloom/{name}-{uuid.uuid4().hex}"
-
-
 _LINE = "CASE WHEN event_id % 97 = 5 THEN 'torn' WHEN event_type = 'error' THEN 'unknown' ELSE CASE event_type WHEN 'view' THEN 'corpus_served' WHEN 'click' THEN 'guardrail' WHEN 'purchase' THEN 'end' ELSE 'turn_start' END END"
 
 
@@ -1315,7 +1303,7 @@ def src_trajectories(spark, sf):
     kind = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in (("view", "corpus_served"), ("click", "guardrail"), ("purchase", "end"), ("signup", "turn_start"), ("error", "odd"))])
     line = F.to_json(F.struct(kind.alias("event"), F.col("event_id").alias("turn")))
     lines = table(spark, sf, "events").select(F.when(F.col("event_id") % 97 == 5, F.substring(line, 1, 20)).otherwise(line).alias("value"))
-    path = _folder(spark, "logs")
+    path = folder(spark, "logs")
     lines.write.text(path)
     events, logs = files.trajectories(spark, path, pattern="*.txt")
     bad = logs.agg(F.sum("torn").alias("torn"), F.sum("unknown").alias("unknown")).select(F.explode(F.create_map(F.lit("torn"), "torn", F.lit("unknown"), "unknown")).alias("kind", "n"))
@@ -1326,7 +1314,7 @@ def src_trajectories(spark, sf):
 def src_metrics(spark, sf):
     """SRC-12: a log of metrics; a torn line is a record of an unknown model."""
     line = F.to_json(F.struct(F.col("event_type").alias("model"), F.col("value").alias("seconds")))
-    path = _folder(spark, "metrics")
+    path = folder(spark, "metrics")
     table(spark, sf, "events").select(F.when(F.col("event_id") % 97 == 5, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
     return files.metrics(spark, path, pattern="*.txt").groupBy("model", "torn").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 4).alias("seconds"))
 
@@ -1334,7 +1322,7 @@ def src_metrics(spark, sf):
 @query("SELECT event_id, user_id FROM events")
 def snk_append_lines(spark, sf):
     """SNK-01, STM-01: rows appended as JSON lines in two runs, and read back."""
-    path, e = _folder(spark, "appended"), table(spark, sf, "events").select("event_id", "user_id")
+    path, e = folder(spark, "appended"), table(spark, sf, "events").select("event_id", "user_id")
     for part in (e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")):
         files.append_lines(part, path)
     return spark.read.schema(e.schema).json(path)
@@ -1343,7 +1331,7 @@ def snk_append_lines(spark, sf):
 @query(r"SELECT n_nationkey + 1 AS place, regexp_replace(lower(n_name), '[^a-z0-9_-]', '-', 'g') AS id, 'Where is ' || n_name || '?' AS question FROM nation")
 def src_questions(spark, sf):
     """SRC-14, SNK-07, WIN-02: a set of questions written and read back, numbered in file order."""
-    path = _folder(spark, "questions")
+    path = folder(spark, "questions")
     rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("id"), F.format_string("Where is %s?", "n_name").alias("question"))
     files.write_questions(rows, path)
     return files.questions(spark, path)
@@ -1359,7 +1347,7 @@ def src_select_questions(spark, sf):
 @query(f"WITH {_USED} SELECT source, served, cited FROM u")
 def src_plan(spark, sf):
     """SRC-13, SNK-07: a plan written and read back."""
-    path = _folder(spark, "plan")
+    path = folder(spark, "plan")
     files.write_plan(_used(spark, sf), path)
     return files.read_plan(spark, path)[0]
 
@@ -1368,7 +1356,7 @@ def src_plan(spark, sf):
 def src_tree(spark, sf):
     """SRC-01 to SRC-04: the folders of a tree of files."""
     tree.register(spark)
-    path = _folder(spark, "tree")
+    path = folder(spark, "tree")
     table(spark, sf, "documents").select("lang", "doc_id").write.partitionBy("lang").parquet(path)
     return spark.read.format("filetree").load(path).where("kind = 'dir'").select("name", "kind", "path")
 

@@ -134,3 +134,19 @@ def test_a_stored_index_is_read_by_term_and_shuffled_once(spark, built, tmp_path
     assert "positions" not in plan  # single words need no places
     assert "SortMergeJoin" not in plan and "TakeOrderedAndProject" in plan
     assert [r["doc"] for r in found.collect()] == [r["doc"] for r in search.top(search.bm25(*built, [["cat"], ["dog"]], False), 3).collect()]
+
+
+def test_a_stored_index_answers_as_the_plain_one(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    postings, stats = search.index(docs, "doc_id", "text")
+    stored = search.store(postings, stats, f"file://{tmp_path}/index")
+    keep = docs.where("lang = 'en'").select(F.col("doc_id").alias("doc"))
+    for query in ("ble ly", "the of the", "ble nosuchword", "of_the ly", "nosuchword", ""):
+        for every in (True, False):
+            for only in (None, keep):
+                phrases = search.and_phrases(query)
+                want = {r["doc"]: r["score"] for r in search.bm25(postings, stats, phrases, every, only).collect()}
+                got = {r["doc"]: r["score"] for r in search.ask(stored, phrases, every, only).collect()}
+                assert got.keys() == want.keys(), query
+                assert all(abs(got[d] - s) < 1e-9 for d, s in want.items()), query
+    assert stored.whole.count() == 1
