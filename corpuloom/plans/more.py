@@ -13,6 +13,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import binary, edit, fixed, replies, text
 from ..operators import aliases, context, metrics, mining, paths, probes, search, traces, vault
@@ -329,7 +330,7 @@ def mng_stop_reasons(spark, sf):
 @query("""WITH s AS (SELECT sha256(text) AS h, min(text) AS t FROM documents GROUP BY 1), k AS (SELECT sha256(h || chr(0) || '1' || chr(0)) AS key, h, t FROM s), c AS (SELECT sha256(sha256(text) || chr(0) || '1' || chr(0)) AS key FROM documents WHERE doc_id % 4 = 0)
 SELECT 'summarise' AS task, key, lower(substr(t, 1, 20)) AS text FROM k WHERE key NOT IN (SELECT key FROM c)""")
 def jn_memo_dedup(spark, sf):
-    """JN-22, HSH-04, HSH-05: each content that a cache lacks is derived once."""
+    """JN-22, HSH-04, HSH-05, SNK-03: each content that a cache lacks is derived once."""
     d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("source_hash"), F.col("text").alias("content"), "doc_id")
     key = binary.derivation_key(F.col("source_hash"), F.lit(mining.VERSION), F.lit(""))
     cache = d.where("doc_id % 4 = 0").select(F.lit("summarise").alias("task"), key.alias("key"))
@@ -411,7 +412,7 @@ def _hits(spark, sf, k=10) -> DataFrame:
 
 @query(f"WITH f AS ({_FOUND}), {_PAGES} SELECT p.path, p.kind, p.name, p.title, p.summary, f.score, p.status FROM f JOIN p ON p.path = f.doc")
 def jn_tag_semi(spark, sf):
-    """JN-06, FLT-10, FTS-20, FTS-21, PRJ-01: cards of the ten best pages of some kinds, a tag and a state."""
+    """JN-05, JN-06, FLT-10, FTS-20, FTS-21, PRJ-01: cards of the ten best pages of some kinds, a tag and a state."""
     return vault.cards(_hits(spark, sf)).withColumn("score", F.round("score", 6))
 
 
@@ -1274,6 +1275,14 @@ def ali_substitute(spark, sf):
     return aliases.substitute(live.withColumn("said", F.concat(F.lit("see "), "alias", F.lit(" and ZZZ2-2."))), live, "p_partkey", "said").select("p_partkey", "text")
 
 
+@query(f"""WITH {_LIVE}, w AS (SELECT 'no such ' || n_nationkey AS written, 'NOSUCH' || n_nationkey AS normal FROM nation), d AS (SELECT written, alias, row_number() OVER (PARTITION BY written ORDER BY levenshtein(normal, alias), alias) AS place FROM w, a)
+SELECT written, 'unknown' AS status, string_agg(alias, ' ' ORDER BY place) AS nearest FROM d WHERE place <= 3 GROUP BY 1""")
+def ali_nearest(spark, sf):
+    """TOP-07, ALI-03: the three nearest aliases of what means nothing."""
+    asked = table(spark, sf, "nation").select(F.concat(F.lit("no such "), F.col("n_nationkey").cast("string")).alias("written"))
+    return aliases.resolve(asked, _live(spark, sf)).select("written", "status", F.concat_ws(" ", "candidates").alias("nearest"))
+
+
 # --- Streams' batch forms
 
 
@@ -1361,7 +1370,16 @@ def src_tree(spark, sf):
     return spark.read.format("filetree").load(path).where("kind = 'dir'").select("name", "kind", "path")
 
 
-@F.pandas_udf("binary")
+@query(f"WITH {_TREE} SELECT count(*) AS entries, count(*) FILTER (doc_id % 50 = 0) AS paths_not_utf8, 7.0::DOUBLE AS built_at FROM e")
+def src_build(spark, sf):
+    """SRC-08: a path index written by kind, and its marker row."""
+    path, t = folder(spark, "index"), _tree(spark, sf)
+    bad = (F.col("mtime") % 50 == 0) & (F.col("kind") != "dir")
+    paths.build(t.withColumn("path", text.display(F.concat("raw", F.when(bad, F.lit(b"\xe9")).otherwise(F.lit(b""))))), path, 7.0)
+    return spark.read.parquet(f"{path}/complete")
+
+
+@F.pandas_udf(BinaryType())
 def _zipped(name: pd.Series, text_: pd.Series) -> pd.Series:
     def one(n: str, t: str) -> bytes:
         out = io.BytesIO()

@@ -321,7 +321,7 @@ def _search(spark, sf, phrases, every, keep=None, k=10):
 
 @query(_bm25_sql(["ble", "ly"], True))
 def fts_bm25_and_topk(spark, sf):
-    """FTS-04, FTS-06, TOP-01: the ten best documents with all words."""
+    """FTS-04, FTS-06, TOP-01, JN-04: the ten best documents with all words."""
     return _search(spark, sf, search.and_phrases("ble ly"), True)
 
 
@@ -507,7 +507,7 @@ def mem_forget(spark, sf):
 
 @query(None)
 def mem_compact(spark, sf):
-    """MEM-04, JN-10: clusters of alike titles by source and language; likeness has no SQL form."""
+    """MEM-04, JN-10, WIN-08: clusters of alike titles by source and language; likeness has no SQL form."""
     rows = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 40).alias("title"), F.timestamp_micros(F.col("doc_id") * 1_000_000).alias("updated"))
     return vault.clusters(rows, 0.85, "scope")
 

@@ -1,6 +1,9 @@
 """Every query with SQL gives the rows that DuckDB gives; plans keep the shape they should have."""
 
 import hashlib
+import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -56,6 +59,11 @@ def test_no_python_in_native_queries(spark, sf):
         assert "Python" not in plan(QUERIES[name](spark, sf))
 
 
+def test_the_driver_may_import_before_there_is_a_session():
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, check=False)
+    assert said.returncode == 0, said.stderr
+
+
 def test_entry_gives_rows(spark):
     import __spark_entry__
 
