@@ -114,8 +114,11 @@ def test_document_text(spark):
 
 
 def test_model_ids(spark):
-    df = spark.createDataFrame([('{"data": [{"id": "a", "status": {"value": "loaded"}}, {"id": "b", "status": {"value": "unloaded"}}, {"id": "c"}]}',)], "value string")
-    assert {r["id"] for r in files.model_ids(df).collect()} == {"a", "c"}
+    df = spark.createDataFrame([('{"data": [{"id": "a", "status": {"value": "loaded"}}, {"id": "b", "status": {"value": "unloaded"}}, {"id": "c"}, {"id": "d", "status": "Loading"}]}',)], "value string")
+    held = files.model_ids(df)
+    assert {r["id"] for r in held.collect()} == {"a", "d"}  # c does not say, which means unknown
+    assert [tuple(r) for r in files.resident_conflict(held, "a").collect()] == [(1, ["d"])]
+    assert files.resident_conflict(held.where("id = 'a'"), "a").count() == 0
 
 
 # --- Streams give what tables give
