@@ -29,14 +29,16 @@ DATA_ENDINGS = (
     ".po", ".reg", ".plist", ".resx", ".rc", ".strings",
 )
 PROSE_ENDINGS = (".txt", ".text", ".md", ".markdown", ".rst", ".org", ".adoc", ".asc", ".tex", ".rtf")
-#: Endings that are text and not prose, beside code, markup and data: sidecars of media and machine output.
-OTHER_NON_PROSE_ENDINGS = (
-    ".psm1", ".s", ".env", ".pot", ".desktop", ".service", ".srt", ".vtt", ".ass", ".ssa", ".sub", ".sbv", ".idx", ".m3u", ".m3u8", ".pls",
-    ".cue", ".nfo", ".sfv", ".log", ".gcode", ".dxf", ".pgm", ".pbm", ".hex", ".srec", ".dbf", ".diff", ".patch", ".lst", ".sum", ".md5", ".sha1", ".sha256",
+# --- Fixed values. Endings of text that is no prose: code, markup and data, sidecars of media and machine output.
+NON_PROSE_ENDINGS = (
+    ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".py", ".pyi", ".rb", ".pl", ".pm", ".php", ".java", ".kt", ".scala", ".c", ".h", ".cc", ".cpp", ".cxx", ".hpp", ".cs",
+    ".go", ".rs", ".swift", ".m", ".mm", ".lua", ".sh", ".bash", ".zsh", ".fish", ".bat", ".cmd", ".ps1", ".psm1", ".sql", ".r", ".jl", ".dart", ".ex", ".exs", ".erl", ".clj",
+    ".vb", ".asm", ".s", ".f", ".f90", ".pas", ".groovy", ".gradle", ".cmake", ".mk",
+    ".html", ".htm", ".xhtml", ".xml", ".xsl", ".xsd", ".dtd", ".css", ".scss", ".less", ".json", ".jsonl", ".ndjson", ".geojson", ".yaml", ".yml", ".toml", ".ini", ".cfg",
+    ".conf", ".properties", ".env", ".lock", ".csv", ".tsv", ".map", ".po", ".pot", ".reg", ".desktop", ".service", ".plist", ".strings", ".resx", ".rc",
+    ".srt", ".vtt", ".ass", ".ssa", ".sub", ".sbv", ".idx", ".m3u", ".m3u8", ".pls", ".cue", ".nfo", ".sfv", ".log", ".gcode", ".dxf", ".svg", ".pgm", ".pbm", ".hex",
+    ".srec", ".dbf", ".diff", ".patch", ".lst", ".sum", ".md5", ".sha1", ".sha256",
 )
-#: Markup endings that don't count against prose by name.
-PROSE_LIKE_MARKUP = (".rss", ".atom", ".mht")
-NON_PROSE_ENDINGS = tuple(e for e in (*CODE_ENDINGS, *MARKUP_ENDINGS, *DATA_ENDINGS, *OTHER_NON_PROSE_ENDINGS) if e not in PROSE_LIKE_MARKUP)
 CODE_PUNCTUATION = "{}[]<>();=*/\\|&$#@`~^_%"
 PROSE_FLOOR = 0.62
 # --- Fixed values. Words of a question that carry nothing, English and Spanish.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import replies, text
+from . import search
 
 # --- Fixed values. Codes that explain a missing submission, in the order in which they are looked for.
 MISSING = (
@@ -130,9 +131,7 @@ def off_question(searches: DataFrame, question: str = "question", query: str = "
 def passages(addresses: DataFrame, sources: DataFrame, most: int = 4096) -> DataFrame:
     """(address, text): the bytes that addresses name, ``most`` at most, from rows (source, content)."""
     parts = addresses.select("address", text.address_parts(F.col("address")).alias("p")).where("p.source IS NOT NULL").select("address", "p.*")
-    size = F.least(F.col("byte_end") - F.col("byte_start"), F.lit(most)).cast("int")
-    data = F.substring(F.col("content").cast("binary"), (F.col("byte_start") + 1).cast("int"), size)
-    return parts.join(sources.select("source", "content"), "source").select("address", F.make_valid_utf8(data.cast("string")).alias("text"))
+    return search.read_chunks(parts, sources, "source", "content", most).select("address", "text")
 
 
 def run_page(facts: DataFrame) -> DataFrame:
