@@ -254,15 +254,20 @@ def test_pipeline_equals_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if quality_rules.verdict(judge, r["text"])[6]]
     _, groups = slow_groups(rows, 5, 80)
     rows = [(i, t) for i, t in rows if groups[i] == i]
-    count = Counter(b[i : i + 400] for b in (t.encode() for _, t in rows) for i in range(len(b) - 399))
+    length, least = corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS
+    count = Counter(b[i : i + length] for b in (t.encode() for _, t in rows) for i in range(len(b) - length + 1))
     enc = bpe.encoding(RANKS, PATTERN)
     assert set(got) == {i for i, _ in rows}
     for i, t in rows:
         b = t.encode()
         gone = np.zeros(len(b), bool)
-        for j in range(len(b) - 399):
-            if count[b[j : j + 400]] > 1:
-                gone[j : j + 400] = True
+        for j in range(len(b) - length + 1):
+            if count[b[j : j + length]] > 1:
+                gone[j : j + length] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).tolist()
+        for x, y in zip(edges[::2], edges[1::2], strict=True):  # runs of few words stay
+            if len(b[x:y].split()) < least:
+                gone[x:y] = False
         text = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
         assert got[i]["ids"] == enc.encode_ordinary(text)
         assert got[i]["exact"]
@@ -283,6 +288,23 @@ def test_positions_follow_the_order_of_writing(spark, tmp_path):
     assert [got[k] for k in range(at)] == want
 
 
+def test_no_passage_of_fifty_words_is_left_in_two_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def shared(rows):
+        held = {}
+        for i, text in rows:
+            words = text.split()
+            for k in range(len(words) - 49):
+                held.setdefault(" ".join(words[k : k + 50]), set()).add(i)
+        return sum(len(ids) > 1 for w, ids in held.items() if len(w.encode()) >= corpus_pipeline.PASSAGE_BYTES)
+
+    assert shared([(r["doc_id"], r["text"]) for r in docs.collect()]) > 1000
+    out = corpus_pipeline.repeated_passages(spark, docs, "").collect()
+    assert len(out) == docs.count()
+    assert shared([(r["doc_id"], r["text"]) for r in out]) == 0
+
+
 def test_pipeline_carries_the_mix(spark, tmp_path, monkeypatch):
     rows = [(i, f"text number {i} of a source " + "word " * (i % 40), "en", "hot" if i % 3 else "rare", 0) for i in range(2000)]
     frame(spark, rows).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
