@@ -39,6 +39,8 @@ MINED, MINED_RATIO = 400, 24.0
 FEATURES, FEATURE_ROWS, FEATURE_RATIO = 20_000, 4, 20.0
 #: Weight of all rows of hidden class together, in shares of the labelled sample's.
 HIDDEN_SHARE = 0.5
+#: Distinct votes that a task of the label model adds up.
+TASK_PATTERNS = 1 << 15
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -307,7 +309,8 @@ def fit(train: DataFrame, sample: DataFrame) -> Model:
     mined = {r["f"]: i for i, r in enumerate(held.orderBy(F.desc(F.round("ratio", 9)), "f").limit(MINED).collect())}
     m = _FIXED + len(mined)
     patterns = _patterns(train, rows.where("y IS NOT NULL"), mined)
-    labels = LabelModel().fit(m, totals_of(patterns, m))
+    # each task gives all its sums, so there are no more tasks than the patterns want
+    labels = LabelModel().fit(m, totals_of(patterns.coalesce(1 + patterns.count() // TASK_PATTERNS), m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
