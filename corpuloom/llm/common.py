@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,18 @@ def crc_fold(doc_id: int | None, mod: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
+def whole(values: list | None, scale: int, limit: int) -> np.ndarray | None:
+    """The vector times ``scale``, rounded down, as 64-bit integers; none if it is null or empty, holds a null or non-finite component, or its squared norm passes ``limit``."""
+    if not values or any(x is None for x in values):
+        return None
+    v = np.array(values, np.float64)
+    if not np.isfinite(v).all():
+        return None
+    with np.errstate(over="ignore"):
+        v = np.floor(v * scale)
+        return v.astype(np.int64) if v @ v <= limit else None
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch of about ``max_bytes`` of ``column`` each, one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

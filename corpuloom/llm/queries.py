@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import sql
 from .bpe import op2_bpe
 from .embeddings import op10_embeddings
+from .hard_negatives import op11_hard_negatives
 from .mixing import op4_mixing
 from .near_dedup import op7_near_dedup
 from .quality_model import op6_quality_model
@@ -13,6 +14,7 @@ from .substrings import op3_substrings
 from .token_files import op5_token_files
 from .toxicity import op1_toxicity
 from .url_filter import op9_url_filter
+from .vector_codes import op13_vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +29,8 @@ QUERIES = {
         op8_quality_rules,
         op9_url_filter,
         op10_embeddings,
+        op11_hard_negatives,
+        op13_vector_codes,
     )
 }
-SQL = {"op3_substrings": sql.OP3, "op7_near_dedup": sql.OP7, "op8_quality_rules": sql.OP8, "op9_url_filter": sql.OP9, "op10_embeddings": sql.OP10}
+SQL = {"op3_substrings": sql.OP3, "op7_near_dedup": sql.OP7, "op8_quality_rules": sql.OP8, "op9_url_filter": sql.OP9, "op10_embeddings": sql.OP10, "op11_hard_negatives": sql.OP11, "op13_vector_codes": sql.OP13}

@@ -81,6 +81,45 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 """
 
 
+_BAD = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))"
+OP11 = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_BAD} = 0
+), s AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label AS own, b.r AS b, b.vec_id AS id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS place FROM s WHERE own = label QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id)::INT AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND s.own <> s.label AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5
+"""
+
+
+def _op13(rounds: int = 6, entries: int = 16) -> str:
+    away = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+
+    def near(c: int) -> str:
+        return f"a{c} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min(d)::BIGINT AS d, min(e) FILTER (d = low) AS e FROM (SELECT *, min(d) OVER (PARTITION BY r, p) AS low FROM (SELECT r, part.p, x, e, {away} AS d FROM part JOIN c{c} ON c{c}.p = part.p)) GROUP BY 1, 2)"
+
+    def mean(c: int) -> str:
+        return f"""m{c} AS (SELECT p, e, list(y ORDER BY i) AS y FROM (SELECT p, e, i, floor(sum(x[i]) / count(*)::DOUBLE)::BIGINT AS y FROM a{c}, unnest(range(1, len(x) + 1)) u(i) GROUP BY ALL) GROUP BY 1, 2
+), c{c + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{c}.y, c{c}.y) AS y FROM c{c} LEFT JOIN m{c} USING (p, e))"""
+
+    steps = ", ".join(f"{near(c)}, {mean(c)}" for c in range(rounds))
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL AND {_BAD} = 0
+), part AS MATERIALIZED (SELECT r, p, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS x FROM v, unnest(range(8)) u(p)
+), c0 AS (SELECT p, r - 1 AS e, x AS y FROM part WHERE r <= {entries}
+), {steps}, {near(rounds)}, told AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1
+), books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS s FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT s FROM books) AS codebooks_sha256 FROM v JOIN told USING (r)
+"""
+
+
+OP13 = _op13()
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
