@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def whole(values: list | None, scale: int, limit: int) -> np.ndarray | None:
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch of about ``max_bytes`` of ``column`` each, one row at least."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at, total = 0, 0
     for i, n in enumerate(lengths):
         if i > at and total + n > max_bytes:

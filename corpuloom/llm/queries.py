@@ -6,6 +6,7 @@ from . import sql
 from .bpe import op2_bpe
 from .embeddings import op10_embeddings
 from .hard_negatives import op11_hard_negatives
+from .html_extract import op12_html
 from .mixing import op4_mixing
 from .near_dedup import op7_near_dedup
 from .quality_model import op6_quality_model
@@ -30,7 +31,8 @@ QUERIES = {
         op9_url_filter,
         op10_embeddings,
         op11_hard_negatives,
+        op12_html,
         op13_vector_codes,
     )
 }
-SQL = {"op3_substrings": sql.OP3, "op7_near_dedup": sql.OP7, "op8_quality_rules": sql.OP8, "op9_url_filter": sql.OP9, "op10_embeddings": sql.OP10, "op11_hard_negatives": sql.OP11, "op13_vector_codes": sql.OP13}
+SQL = {"op3_substrings": sql.OP3, "op7_near_dedup": sql.OP7, "op8_quality_rules": sql.OP8, "op9_url_filter": sql.OP9, "op10_embeddings": sql.OP10, "op11_hard_negatives": sql.OP11, "op12_html": sql.OP12, "op13_vector_codes": sql.OP13}

@@ -96,6 +96,19 @@ FROM p JOIN s ON s.a = p.a AND s.own <> s.label AND 80 * p.score <= 100 * s.scor
 """
 
 
+# the given pages hold one article of h1, p, b and br elements each; tests hold other pages against their known texts
+OP12 = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '\s+', ' ', 'g') AS a FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(h1|p)>', chr(10), 'g') AS b FROM a
+), t AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(b, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+
 def _op13(rounds: int = 6, entries: int = 16) -> str:
     away = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
 
