@@ -1,21 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source of weight w (integer parts of a whole W) is a periodic task: its
-i-th block (from 0) is released at slot floor(i*W/w) and due by slot
-ceil((i+1)*W/w). Earliest-deadline-first over the released blocks meets every
+A source of target share w (an exact fraction of the whole) is a task: its i-th
+block (from 0) is released at slot floor(i / w) and due by slot
+ceil((i + 1) / w). Earliest-deadline-first over the released blocks meets every
 deadline, so after any number of slots each source is within less than one
-block of its share w/W. The schedule repeats after W slots, so the driver
-computes one period - its size is W, whatever the data's - and the place of
-any block follows in closed form:
+block of its share, however small or large that is. Releases and deadlines are
+compared as whole numbers of any size: nothing is rounded, and no target is
+raised or lowered.
 
-    slot(i) = floor(i / w) * W + slot of block (i mod w) within the period
-
-Shares are target weights rounded to parts of W, so W grows with the number n
-of sources: it is 100 n, 1,000 at least. If every target is a part or more, a
-share is less than 1/W off its target, which is one hundredth of the mean
-share at most, and after t slots a source is less than 1 + t/W blocks off its
-target. Each source has one part at least, so targets below a part are raised
-to it, at the cost of the others: at most n/W, a hundredth, of all slots.
+Slots follow each other, so the driver lays them out, and their number is
+bounded: a block has :data:`BLOCK_ROWS` rows, or as many more as keep the
+schedule within :data:`MAX_SLOTS` blocks. Every block's slot, four bytes each,
+is what is broadcast.
 
 When a source runs out, the others go on by their weights among themselves in
 a new phase, so no row is dropped; there are at most as many phases as
@@ -26,118 +22,92 @@ from __future__ import annotations
 
 import heapq
 import re
-from math import floor
+from fractions import Fraction
+from math import isfinite
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
 
-#: Rows of a block.
-BLOCK_ROWS = 16
-#: Parts of the whole into which target weights are rounded, the length of a period: as many at least, and so many for each source.
-WHOLE, PARTS_PER_SOURCE = 1000, 100
+#: Rows of a block at least, and most blocks of a schedule: in larger tables, blocks grow.
+BLOCK_ROWS, MAX_SLOTS = 16, 1 << 20
 #: Most sources, and so most phases; more are refused. Their counts are gathered at the driver.
 MAX_SOURCES = 1000
 #: Exponent on a source's row count that gives its weight where none is named: 1 keeps the natural mix, 0 makes all equal.
 TEMPER = 0.7
-
-
-def parts(weights: dict[str, float], whole: int = WHOLE) -> dict[str, int]:
-    """Integer parts of ``whole`` by largest remainder, one part each at least."""
-    whole = max(whole, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * whole for s, w in weights.items()}
-    found = {s: max(1, floor(x)) for s, x in exact.items()}
-    over = sum(found.values()) - whole
-    for s in sorted(exact, key=lambda s: (found[s] - exact[s], s))[: max(0, -over)]:
-        found[s] += 1
-    if over > 0:  # largest surplus first, the last name among equals
-        names = sorted(found)
-        surplus = [(exact[s] - found[s], -i) for i, s in enumerate(names) if found[s] > 1]
-        heapq.heapify(surplus)
-        for _ in range(over):
-            _, i = heapq.heappop(surplus)
-            s = names[-i]
-            found[s] -= 1
-            if found[s] > 1:
-                heapq.heappush(surplus, (exact[s] - found[s], i))
-    return found
-
-
-def period(weights: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period of sum(weights) slots, or up to the last of a source's ``left`` blocks."""
-    whole = sum(weights.values())
-    waiting = [(0, s, 0) for s in sorted(weights)]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in weights}
-    for now in range(whole):
-        while waiting and waiting[0][0] <= now:
-            release, s, i = heapq.heappop(waiting)
-            w = weights[s]
-            heapq.heappush(ready, (-(-(i + 1) * whole // w), release, s, i))
-        if not ready:
-            raise AssertionError("the weights fill every slot")
-        due, _, s, i = heapq.heappop(ready)
-        if now >= due:
+_CHUNK = 4096
+
+
+def deal(weights: dict[str, float], left: dict[str, int]) -> list[str]:
+    """The source of each slot, earliest deadline first, until one of the sources has none of its ``left`` blocks any more."""
+    names = sorted(left)
+    exact = [Fraction(weights[s]) for s in names]
+    apart = [sum(exact) / w for w in exact]  # slots from one block to the next
+    up, down, rest = [x.numerator for x in apart], [x.denominator for x in apart], [left[s] for s in names]
+    ready: list[tuple[int, int, int]] = []  # (deadline, release, source)
+    waiting = [(0, k) for k in range(len(names))]
+    taken, slots = [0] * len(names), []
+    while True:
+        while waiting and waiting[0][0] <= len(slots):
+            release, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(taken[k] + 1) * up[k] // down[k]), release, k))
+        due, _, k = heapq.heappop(ready)
+        if len(slots) >= due:
             raise AssertionError("EDF meets every deadline")
-        slots[s].append(now)
-        if left and i + 1 == left[s]:
-            break
-        if i + 1 < weights[s]:
-            heapq.heappush(waiting, ((i + 1) * whole // weights[s], s, i + 1))
-    return slots
-
+        slots.append(names[k])
+        taken[k] += 1
+        if taken[k] == rest[k]:
+            return slots
+        heapq.heappush(waiting, (taken[k] * up[k] // down[k], k))
+
+
+def plan(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, np.ndarray]:
+    """The slot of each block of every source; all slots together have no gap."""
+    left = {s: n for s, n in blocks.items() if n}
+    found: dict[str, list[int]] = {s: [] for s in left}
+    at = 0
+    while left:
+        for s in deal(weights, left):
+            found[s].append(at)
+            left[s] -= 1
+            at += 1
+        left = {s: n for s, n in left.items() if n}
+    return {s: np.array(x, np.int32) for s, x in found.items()}
 
-def phases(blocks: dict[str, int], weights: dict[str, float], whole: int | None = None) -> list[dict]:
-    """The schedule as phases: {base, whole, sources: {source: (first block, weight, slots)}}.
 
-    A phase ends with the last block of the first source that runs out. Its
-    blocks keep their order; slots of sources past their end are not used, so
-    positions are ranked, not dense. Without ``whole``, a period grows with the
-    sources that are left.
-    """
-    left, done, base, found = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        share = parts({s: weights[s] for s in left}, whole or max(WHOLE, PARTS_PER_SOURCE * len(left)))
-        slots, size = period(share, left), sum(share.values())
-        over = [slots[s][n - 1] for s, n in left.items() if len(slots[s]) == n]  # one source ran out within the period
-        stop = over[0] if over else min((n - 1) // share[s] * size + slots[s][(n - 1) % share[s]] for s, n in left.items())
-        taken = {s: stop // size * share[s] + sum(x <= stop % size for x in slots[s]) for s in left}
-        found.append({"base": base, "whole": size, "sources": {s: (done[s], min(taken[s], left[s]), share[s], slots[s]) for s in left}})
-        for s in list(left):
-            n = min(taken[s], left[s])
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        base += stop + 1
-    return found
-
-
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, whole: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(id_col, source, target, block, slot, position) of every row.
 
     ``target`` is the source's target share of the mix: its named weight, or
     where none is named its rows to the power :data:`TEMPER`, over the sum.
 
-    ``block`` counts the source's blocks of ``block_rows`` rows in ascending
-    id order, ``slot`` is the block's place in the whole schedule and
-    ``position`` the row's place (slot * block_rows + place in its block).
-    A null source counts as ''. Rows with a null id come first in their
-    source; rows that repeat an id stand side by side. An empty table gives no
-    rows. A source without a named weight is refused.
+    ``block`` counts the source's blocks of ``block_rows`` rows (more beyond
+    :data:`MAX_SLOTS` blocks) in ascending id order, ``slot`` is the block's
+    place in the whole schedule and ``position`` the row's place (slot * rows of
+    a block + place in its block). A null source counts as ''. Rows with a null
+    id come first in their source; rows that repeat an id stand side by side,
+    and a crowd of such rows is dealt over tasks like any others. An empty table
+    gives no rows. A source without a named weight, and a weight that isn't
+    above 0 and finite, are refused.
 
     Ranking a source of any size takes no single task: rows are dealt by
     ranges of (source, id), ranked within their range, and moved on by the
     counts of the ranges before it.
     """
+    return _schedule(docs, weights, block_rows, id_col, source_col).drop("tie")
+
+
+def _schedule(docs: DataFrame, weights: dict[str, float] | None, block_rows: int, id_col: str, source_col: str, tie: Column | None = None) -> DataFrame:
+    """As :func:`schedule`, with ``tie``, which orders rows of one source and id."""
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"))
+    tie = F.lit(0).cast("long") if tie is None else tie
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), tie.alias("tie"), F.monotonically_increasing_id().alias("row"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "source", "id").withColumn("part", F.spark_partition_id())
-    ranged = materialise(ranged.select("part", "source", "id"), "mixing")  # a part's number must not change between the two uses
+    ranged = rows.repartitionByRange(n, "source", "id", "tie", "row").withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged.select("part", "source", "id", "tie", "row"), "mixing")  # a part's number must not change between the two uses
     if (found := ranged.select("source").distinct().limit(MAX_SOURCES + 1).count()) > MAX_SOURCES:  # told before any is gathered
         raise ValueError(f"{found} sources or more; {MAX_SOURCES} at most")
     sizes = ranged.groupBy("source", "part").count().collect()  # at most sources + partitions rows
@@ -149,24 +119,24 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     weights = {s: c**TEMPER for s, c in counts.items()} if weights is None else weights
     if missing := sorted(set(counts) - set(weights)):
         raise ValueError(f"sources without a weight: {missing[:5]}")
-    plan = phases({s: -(-c // block_rows) for s, c in counts.items()}, weights, whole)
+    if bad := sorted(s for s in counts if not (weights[s] > 0 and isfinite(weights[s]))):
+        raise ValueError(f"weights that aren't above 0: {bad[:5]}")
     kind = rows.schema["id"].dataType.simpleString()
-    if not plan:
-        return spark.createDataFrame([], f"{id_col} {kind}, source string, target double, block long, slot long, position long")
+    if not counts:
+        return spark.createDataFrame([], f"{id_col} {kind}, source string, target double, block long, slot long, position long, tie long")
+    size = max(block_rows, -(-sum(counts.values()) // MAX_SLOTS))
+    slots = plan({s: -(-c // size) for s, c in counts.items()}, weights)
     starts = spark.createDataFrame([(s, p, b) for (s, p), b in before.items()], "source string, part int, before long")
-    whole_weight = sum(weights[s] for s in counts)
-    spans = spark.createDataFrame(
-        [(s, weights[s] / whole_weight, first, first + took, phase["base"], phase["whole"], weight, slots) for phase in plan for s, (first, took, weight, slots) in phase["sources"].items() if took],
-        "source string, target double, first long, last long, base long, whole long, weight long, slots array<int>",
-    )
-    local = F.row_number().over(Window.partitionBy("part", "source").orderBy("id")) - 1
+    whole = sum(Fraction(weights[s]) for s in counts)
+    pieces = [(s, float(Fraction(weights[s]) / whole), at // _CHUNK, x[at : at + _CHUNK]) for s, x in slots.items() for at in range(0, len(x), _CHUNK)]
+    columns = [pa.array([p[i] for p in pieces], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int32())))]
+    places = spark.createDataFrame(pa.table(columns, ["source", "target", "chunk", "slots"]))  # MAX_SLOTS + MAX_SOURCES slots at most
+    local = F.row_number().over(Window.partitionBy("part", "source").orderBy("id", "tie", "row")) - 1
     ranked = ranged.withColumn("local", local).join(F.broadcast(starts), ["source", "part"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("local")).withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
-    placed = ranked.join(F.broadcast(spans), "source").where("block >= first AND block < last")
-    i = F.col("block") - F.col("first")
-    slot = F.col("base") + F.floor(i / F.col("weight")).cast("long") * F.col("whole") + F.get("slots", (i % F.col("weight")).cast("int"))
-    placed = placed.withColumn("slot", slot.cast("long"))
-    return placed.select(F.col("id").alias(id_col), "source", "target", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("local")).withColumn("block", F.floor(F.col("rank") / size).cast("long"))
+    placed = ranked.withColumn("chunk", F.floor(F.col("block") / _CHUNK).cast("long")).join(F.broadcast(places), ["source", "chunk"])
+    placed = placed.withColumn("slot", F.get("slots", (F.col("block") % _CHUNK).cast("int")).cast("long"))
+    return placed.select(F.col("id").alias(id_col), "source", "target", "block", "slot", (F.col("slot") * size + F.col("rank") % size).alias("position"), "tie")
 
 
 def placed(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -193,14 +163,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     The table is dealt by ranges of the position and sorted, so its files in
     turn are the mix. Rows that share an id and a source take their places in
-    the order of their texts.
+    the order of their texts' hashes; those with equal texts as well are told
+    apart by their number alone, one task for each such text.
     """
-    places = schedule(docs, weights, id_col=id_col, source_col=source_col)
-    nth = F.row_number().over(Window.partitionBy("__i", "__s").orderBy("__position"))
-    places = places.select(F.col(id_col).alias("__i"), F.col("source").alias("__s"), F.col("position").alias("__position")).withColumn("__n", nth)
-    own = F.row_number().over(Window.partitionBy(id_col, "__source").orderBy(text_col))
-    rows = docs.withColumn("__source", F.coalesce(docs[source_col].cast("string"), F.lit(""))).withColumn("__own", own)
-    joined = rows.join(places, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__source") == F.col("__s")) & (F.col("__own") == F.col("__n")))
+    hashed = F.xxhash64(F.col(f"`{text_col}`"))
+    places = _schedule(docs, weights, BLOCK_ROWS, id_col, source_col, hashed)
+    nth = F.row_number().over(Window.partitionBy("__i", "__s", "__t").orderBy("__position"))
+    places = places.select(F.col(id_col).alias("__i"), F.col("source").alias("__s"), F.col("tie").alias("__t"), F.col("position").alias("__position")).withColumn("__n", nth)
+    own = F.row_number().over(Window.partitionBy(id_col, "__source", "__hash").orderBy(text_col))
+    rows = docs.withColumn("__source", F.coalesce(docs[source_col].cast("string"), F.lit(""))).withColumn("__hash", hashed).withColumn("__own", own)
+    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__source") == F.col("__s")) & (F.col("__hash") == F.col("__t")) & (F.col("__own") == F.col("__n"))
+    joined = rows.join(places, same)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return joined.repartitionByRange(n, "__position").sortWithinPartitions("__position").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import public_tokenizers
@@ -153,51 +155,47 @@ def test_token_files_of_awkward_rows(spark, tmp_path):
 # --- Mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 2}, {"a": 1, "b": 1, "c": 1}, {"a": 500, "b": 333, "c": 166, "d": 1}, {"a": 7, "b": 5, "c": 3, "d": 2, "e": 1}])
-def test_periods_deviate_by_less_than_one_block(weights):
-    whole = sum(weights.values())
-    slots = mixing.period(weights)
-    assert sorted(s for x in slots.values() for s in x) == list(range(whole))
-    for s, w in weights.items():
-        assert len(slots[s]) == w
-        for t in range(1, whole + 1):
-            assert abs(sum(x < t for x in slots[s]) - t * w / whole) < 1
+def deviations(order, weights):
+    """The most that any source is off its share after any number of slots."""
+    whole, taken = sum(map(Fraction, weights.values())), np.array(order)
+    t = np.arange(1, len(order) + 1)
+    return {s: float(np.abs(np.cumsum(taken == s) - t * float(Fraction(w) / whole)).max()) for s, w in weights.items()}
 
 
-def test_parts_sum_and_follow_weights():
-    got = mixing.parts({"a": 0.5, "b": 0.3, "c": 0.2, "tiny": 1e-9}, 1000)
-    assert sum(got.values()) == 1000
-    assert got["tiny"] == 1 and abs(got["a"] - 500) <= 1
-    assert sum(mixing.parts({str(i): 1.0 for i in range(30)}, 7).values()) == 30
+@pytest.mark.parametrize(
+    "weights",
+    [{"a": 1}, {"a": 3, "b": 2}, {"a": 1, "b": 1, "c": 1}, {"a": 500, "b": 333, "c": 166, "d": 1}, {"a": 7, "b": 5, "c": 3, "d": 2, "e": 1}, {"a": 0.9995, "b": 0.0005}, {"big": 9990} | {f"s{i}": 1 for i in range(9)},
+     {f"s{i}": 0.1 * (i + 1) ** 0.7 for i in range(40)}, {"a": 1e-300, "b": 1e300}, {"a": 5e-324, "b": 3e-324}],
+)
+def test_slots_deviate_by_less_than_one_block(weights):
+    order = mixing.deal(weights, dict.fromkeys(weights, 5000))
+    assert max(deviations(order, weights).values()) < 1
+
+
+def test_a_small_target_is_not_raised():
+    weights = {"a": 0.99999, "b": 0.00001}
+    order = mixing.deal(weights, {"a": 1_000_000, "b": 10**9})
+    assert order.count("b") in (10, 11) and max(deviations(order, weights).values()) < 1
 
 
 def test_many_sources_follow_their_targets():
     weights = {f"s{i:03}": 1.0 for i in range(499)} | {"hot": 249.5}  # a third for one, the rest alike
-    blocks = dict.fromkeys(weights, 130) | {"hot": 130_000}
-    first = mixing.phases(blocks, weights)[0]
-    whole, total = first["whole"], sum(weights.values())
-    for s, (_, _, share, _) in first["sources"].items():
-        assert abs(share / whole - weights[s] / total) < 1 / whole <= 0.01 / len(weights)
-    order = sorted((i // share * whole + slots[i % share], s) for s, (_, took, share, slots) in first["sources"].items() for i in range(took))
-    taken = Counter()
-    for t, (_, s) in enumerate(order, 1):
-        taken[s] += 1
-        assert abs(taken[s] - t * weights[s] / total) < 1 + t / whole
-    assert abs(taken["hot"] / len(order) - 1 / 3) < 0.001
-
-
-def slow_schedule(sizes, weights, block_rows, whole):
-    """Earliest deadline first, slot by slot, phase by phase."""
+    order = mixing.deal(weights, dict.fromkeys(weights, 130) | {"hot": 130_000})
+    assert max(deviations(order, weights).values()) < 1
+
+
+def slow_schedule(sizes, weights, block_rows):
+    """Earliest deadline first, slot by slot, phase by phase, in exact fractions."""
     left = {s: -(-n // block_rows) for s, n in sizes.items() if n}
     done, order = dict.fromkeys(sizes, 0), []
     while left:
-        share = mixing.parts({s: weights[s] for s in left}, whole)
-        total = sum(share.values())
+        total = sum(Fraction(weights[s]) for s in left)
+        apart = {s: total / Fraction(weights[s]) for s in left}
         taken = dict.fromkeys(left, 0)
         now = 0
         while all(left.values()):
-            ready = [s for s in left if taken[s] * total // share[s] <= now]
-            s = min(ready, key=lambda s: (-(-(taken[s] + 1) * total // share[s]), taken[s] * total // share[s], s))
+            ready = [s for s in left if floor(taken[s] * apart[s]) <= now]
+            s = min(ready, key=lambda s: (ceil((taken[s] + 1) * apart[s]), floor(taken[s] * apart[s]), s))
             order.append((s, done[s]))
             taken[s] += 1
             done[s] += 1
@@ -207,6 +205,25 @@ def slow_schedule(sizes, weights, block_rows, whole):
     return order
 
 
+def test_blocks_grow_beyond_a_number_of_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 20)
+    sizes, weights = {"a": 300, "b": 90}, {"a": 1.0, "b": 2.0}
+    rows = [(i, None, None, s, None) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.schedule(frame(spark, rows), weights, block_rows=4).collect()
+    assert [(s, b) for _, s, b in sorted({(x["slot"], x["source"], x["block"]) for x in got})] == slow_schedule(sizes, weights, 20)
+    assert len({x["position"] for x in got}) == len(rows)
+
+
+def test_a_crowd_of_one_id_is_dealt_over_tasks(spark):
+    rows = [(None, f"t{i % 5}", "en", "hot", 2) for i in range(400)] + [(7, "x", "en", "hot", 1)] * 300 + [(i, "y", "en", "s", 1) for i in range(50)]
+    df = frame(spark, rows).repartition(3)
+    ranged = mixing._schedule(df, None, 4, "doc_id", "source")
+    assert ranged.count() == 750 and ranged.select("position").distinct().count() == 750
+    out = mixing.mix(df)
+    key = lambda r: (r["doc_id"], r["text"], r["source"])
+    assert Counter(map(key, out.collect())) == Counter(map(key, df.collect()))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_schedule_equals_slot_by_slot(spark, seed):
     r = random.Random(seed)
@@ -214,10 +231,10 @@ def test_schedule_equals_slot_by_slot(spark, seed):
     weights = {s: r.random() + 0.01 for s in sizes}
     rows = [(i, None, None, s, None) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     r.shuffle(rows)
-    got = mixing.schedule(frame(spark, rows), weights, block_rows=4, whole=50).collect()
+    got = mixing.schedule(frame(spark, rows), weights, block_rows=4).collect()
     assert len(got) == len(rows)
     assert len({x["position"] for x in got}) == len(rows)
-    order = slow_schedule(sizes, weights, 4, 50)
+    order = slow_schedule(sizes, weights, 4)
     assert [(s, b) for _, s, b in sorted({(x["slot"], x["source"], x["block"]) for x in got})] == order
     for s in sizes:  # ids ascend within a source
         own = sorted((x["position"], x["doc_id"]) for x in got if x["source"] == s)
@@ -229,7 +246,7 @@ def test_mixing_query_and_awkward_rows(spark, sf):
     got = queries.op4_mixing(spark, sf).toPandas()
     counts = Counter(r["source"] for r in docs.select("source").collect())
     weights = {s: n**mixing.TEMPER for s, n in counts.items()}
-    want = slow_schedule(counts, weights, mixing.BLOCK_ROWS, mixing.WHOLE)
+    want = slow_schedule(counts, weights, mixing.BLOCK_ROWS)
     assert [(s, b) for _, s, b in sorted(set(zip(got["slot"], got["source"], got["block"], strict=True)))] == want
     df = frame(spark, AWKWARD).withColumn("position", F.lit("clash"))
     out = mixing.mix(df)
@@ -240,6 +257,8 @@ def test_mixing_query_and_awkward_rows(spark, sf):
     assert mixing.schedule(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="without a weight"):
         mixing.schedule(df, {"x": 1.0})
+    with pytest.raises(ValueError, match="above 0"):
+        mixing.schedule(df, dict.fromkeys([r["source"] or "" for r in df.collect()], 0.0))
 
 
 # --- Pipeline
