@@ -5,9 +5,11 @@ words are compared with references of each language by Jensen-Shannon
 distance. References are sums over all documents that pass the base rules
 and are long enough, by language; a document is held against every reference
 and takes the nearest, so its own language label decides nothing as long as that
-language has a reference. A text of a language without one is not judged by
-divergence: it would be held against other languages only. Nor are too short
-texts: their histograms say little.
+language has a reference. A text of another language, or of none that is told, is
+held against the nearest reference too, but by classes alone, in which all
+letters are one and with a wider cut: its words are no one's common words, and
+its script may be none of the references'. Too short texts are not judged by
+divergence: their histograms say little.
 
 Texts are read once: counts and histograms are written to the shared folder,
 some 500 bytes a document, and references and verdicts come from them.
@@ -34,10 +36,10 @@ WINDOW = 8
 GUARD_WORDS, GUARD_CHARS = 50, 200
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest reference.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.45
-#: Reference documents from which a language has a reference, whatever the size of the table.
-MIN_DOCS = 10
-#: The share from which the SQL gives a language a reference; the operator does not use it.
-MIN_SHARE = 0.01
+#: Largest distance over classes with all letters as one, for languages without a reference.
+MAX_MERGED_DISTANCE = 0.35
+#: Reference documents from which a language has a reference, whatever the size of the table, and most references: those of most documents.
+MIN_DOCS, MAX_REFERENCES = 10, 256
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Common words of English, French, German and Spanish.
 COMMON = sorted(
@@ -164,17 +166,24 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return counts, held["n_chars"].to_numpy(zero_copy_only=False), classes, common
 
 
+def merged(classes: np.ndarray) -> np.ndarray:
+    """Histograms over classes with lower, upper and other letters as one."""
+    return np.concatenate([classes[..., [0, 1, 7]].sum(axis=-1, keepdims=True), classes[..., 2:7]], axis=-1)
+
+
 class Judge:
     """Holds documents against the references; ``classes`` and ``common`` have one row for each of ``langs``."""
 
     def __init__(self, classes: np.ndarray, common: np.ndarray, langs: list[str | None]):
         self.classes, self.common, self.langs = classes, common, frozenset(langs)
 
-    def distances(self, text: str, words: list[str]) -> tuple[float | None, float | None]:
-        """Distance to the nearest reference by classes and by common words; null where a guard or an empty reference set forbids it."""
+    def distances(self, text: str, words: list[str], known: bool = True) -> tuple[float | None, float | None]:
+        """Distance to the nearest reference by classes and by common words; null where a guard or an empty reference set forbids it, and by words where the language isn't ``known``."""
         if not len(self.classes):
             return None, None
         classes, common = histograms(text, words)
+        if not known:
+            return (float(distance(merged(classes), merged(self.classes)).min()) if classes.sum() >= GUARD_CHARS else None), None
         by_class = distance(classes, self.classes) if classes.sum() >= GUARD_CHARS else None
         by_word = distance(common, self.common) if len(words) >= GUARD_WORDS else None
         return (None if by_class is None else float(by_class.min())), (None if by_word is None else float(by_word.min()))
@@ -192,8 +201,11 @@ def judge_of(rows: DataFrame, lang_col: str) -> Judge:
     """The references of counted rows.
 
     Every language of :data:`MIN_DOCS` documents that pass the base rules and
-    both guards has one; what reaches the driver is one row of counts for
-    each, added up before. A null language counts as one more language.
+    both guards has one, if its classes are near those of all such documents
+    together, so that junk under a label of its own is no reference. What
+    reaches the driver is one row of counts for each of :data:`MAX_REFERENCES`
+    languages at most and one for all, added up before. A null language counts
+    as one more language.
     """
     size = 1 + len(CLASSES) + len(COMMON) + 1
 
@@ -216,34 +228,42 @@ def judge_of(rows: DataFrame, lang_col: str) -> Judge:
 
     sums = rows.select(F.col(lang_col).cast("string"), *[F.col(_PREFIX + n) for n in _HELD]).mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     rows = sums.groupBy("lang").agg(F.max(F.when(F.col("place") == 0, F.col("n"))).alias("docs"), F.array_sort(F.collect_list(F.struct("place", "n"))).alias("counts"))
-    top = rows.where(F.col("docs") >= MIN_DOCS).collect()
+    top = rows.where(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), F.asc_nulls_last("lang")).limit(MAX_REFERENCES).collect()
     top.sort(key=lambda r: (-r["docs"], r["lang"] is not None, r["lang"] or ""))
+    whole = dict(sums.groupBy("place").agg(F.sum("n")).collect())
+    every = merged(np.array([whole.get(i, 0) for i in range(1, 1 + len(CLASSES))], float))[None, :]
     table = np.array([[c["n"] for c in r["counts"]] for r in top], float).reshape(-1, size)
-    return Judge(table[:, 1 : 1 + len(CLASSES)], table[:, 1 + len(CLASSES) :], [r["lang"] for r in top])
+    near = [i for i in range(len(top)) if distance(merged(table[i, 1 : 1 + len(CLASSES)]), every)[0] <= MAX_MERGED_DISTANCE]
+    table = table[near]
+    return Judge(table[:, 1 : 1 + len(CLASSES)], table[:, 1 + len(CLASSES) :], [top[i]["lang"] for i in near])
 
 
 def verdicts(by: Judge, batch: pa.RecordBatch, langs: list[str | None]) -> list[pa.Array]:
     """Counts, decisions and distances of a batch of counted rows."""
     counts, _, classes, common = _columns(batch)
     n_words, n_repeat = counts[0], counts[4]
-    known = np.array([bool(len(by.classes)) and lang in by.langs for lang in langs], bool)
+    known = np.array([lang in by.langs for lang in langs], bool)
     failed = base_failed(n_words, n_repeat)
-    kept, told = ~failed, []
-    for h, reference, guard, most in ((classes, by.classes, classes.sum(axis=1) >= GUARD_CHARS, MAX_CLASS_DISTANCE), (common, by.common, n_words >= GUARD_WORDS, MAX_WORD_DISTANCE)):
-        far, some = np.full(batch.num_rows, np.nan), np.flatnonzero(known & guard)
-        if len(some):
-            far[some] = distance(h[some], reference).min(axis=1)
-        kept = kept & ~(far > most)
-        told.append(pa.array(far, pa.float64(), mask=np.isnan(far)))
+    kept = ~failed
+    long = classes.sum(axis=1) >= GUARD_CHARS
+    steps = [(classes, by.classes, known & long, MAX_CLASS_DISTANCE, 0), (merged(classes), merged(by.classes), ~known & long, MAX_MERGED_DISTANCE, 0), (common, by.common, known & (n_words >= GUARD_WORDS), MAX_WORD_DISTANCE, 1)]
+    found = np.full((2, batch.num_rows), np.nan)
+    for h, reference, judged, most, column in steps:
+        some = np.flatnonzero(judged) if len(by.classes) else []
+        for at in range(0, len(some), 64):  # 64 rows against MAX_REFERENCES references at a time
+            part = some[at : at + 64]
+            found[column, part] = distance(h[part], reference).min(axis=1)
+            kept[part] &= found[column, part] <= most
+    told = [pa.array(far, pa.float64(), mask=np.isnan(far)) for far in found]
     return [*(pa.array(c) for c in counts), pa.array(failed), pa.array(kept), *told]
 
 
 def verdict(judge: Judge, text: str | None, *lang: str | None) -> tuple:
-    """The counts, decisions and distances of a text; where its language is given, that one must have a reference for distances."""
+    """The counts, decisions and distances of a text; a language that is given and has no reference is judged as such."""
     n_words, word_chars, n_symbols, n_dup, n_repeat, words = base_counts(text)
-    failed = base_failed(n_words, n_repeat)
-    by_class, by_word = judge.distances(text or "", words) if judge.langs.issuperset(lang) else (None, None)
-    kept = not failed and (by_class is None or by_class <= MAX_CLASS_DISTANCE) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
+    failed, known = base_failed(n_words, n_repeat), judge.langs.issuperset(lang)
+    by_class, by_word = judge.distances(text or "", words, known)
+    kept = not failed and (by_class is None or by_class <= (MAX_CLASS_DISTANCE if known else MAX_MERGED_DISTANCE)) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
     return n_words, word_chars, n_symbols, n_dup, n_repeat, failed, kept, by_class, by_word
 
 
@@ -254,9 +274,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(id_col, counts, base_failed, kept, class_distance, word_distance) of every row's whole text.
 
     Null and empty texts have no words and fail the base rules. Texts under
-    the guards, and all texts of a language without a reference (as in an
-    empty table), have null distances and are kept if the base rules pass.
-    Repeated rows and null ids yield one row each; other columns are not
+    the guards, and all texts where there is no reference at all, have null
+    distances and are kept if the base rules pass. A language without a
+    reference has no word distance, and its class distance is over classes with
+    all letters as one. Repeated rows and null ids yield one row each; other columns are not
     carried.
     """
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))

@@ -146,6 +146,12 @@ def _op8() -> str:
     common = ", ".join(map(_lit, q.COMMON))
     n = len(q.COMMON)
 
+    def share(x: str) -> str:
+        return f"list_transform({x}, lambda x: x / list_sum({x}))"
+
+    def m(x: str, skip: int) -> str:  # lower, upper and other letters as one, then the classes between them
+        return f"list_concat([{x}[{skip + 1}] + {x}[{skip + 2}] + {x}[{skip + 8}]], {x}[{skip + 3}:{skip + 7}])"
+
     def js(p: str, r: str) -> str:
         return f"sqrt(greatest(0, least(1, list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {p}[i] > 0 THEN {p}[i] * log2({p}[i] / (({p}[i] + {r}[i]) / 2)) ELSE 0 END + CASE WHEN {r}[i] > 0 THEN {r}[i] * log2({r}[i] / (({p}[i] + {r}[i]) / 2)) ELSE 0 END)) / 2)))"
     return rf"""
@@ -170,12 +176,18 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coal
 ), long AS (SELECT lang, unnest(list_concat([1e-6], cp, wp)) AS v, unnest(range(0, {len(q.CLASSES) + n + 2})) AS place FROM hist WHERE NOT base_failed AND n_words >= {q.GUARD_WORDS} AND length(t) >= {q.GUARD_CHARS}
 ), sums AS (SELECT lang, place, sum(round_even(v * 1e6, 0)) AS s FROM long GROUP BY 1, 2
 ), refs AS (SELECT lang, list(s ORDER BY place) AS s FROM sums GROUP BY 1
-), kept_refs AS (SELECT lang, s[2:{len(q.CLASSES) + 1}] AS cs, s[{len(q.CLASSES) + 2}:] AS ws FROM refs WHERE s[1] >= {q.MIN_SHARE} * (SELECT sum(s[1]) FROM refs)
-), shares AS (SELECT list_transform(cs, lambda x: x / list_sum(cs)) AS cr, list_transform(ws, lambda x: x / list_sum(ws)) AS wr FROM kept_refs
-), far AS (SELECT doc_id, min({js("cp", "cr")}) AS by_class, min({js("wp", "wr")}) AS by_word FROM hist, shares WHERE n_words > 0 GROUP BY 1
-), told AS (SELECT h.*, CASE WHEN list_sum(c) >= {q.GUARD_CHARS} THEN by_class END AS cd, CASE WHEN n_words >= {q.GUARD_WORDS} THEN by_word END AS wd FROM hist h LEFT JOIN far USING (doc_id))
+), every AS (SELECT list(s ORDER BY place) AS s FROM (SELECT place, sum(s) AS s FROM sums GROUP BY 1)
+), asked AS (SELECT lang, s, {m("s", 1)} AS p, (SELECT {m("s", 1)} FROM every) AS r FROM refs WHERE s[1] >= {q.MIN_DOCS}
+), near_refs AS (SELECT lang, s FROM (SELECT lang, s, {share("p")} AS p, {share("r")} AS r FROM asked) WHERE {js("p", "r")} <= {q.MAX_MERGED_DISTANCE} ORDER BY s[1] DESC, lang LIMIT {q.MAX_REFERENCES}
+), kept_refs AS (SELECT lang, s[2:{len(q.CLASSES) + 1}] AS cs, s[{len(q.CLASSES) + 2}:] AS ws FROM near_refs
+), shares AS (SELECT {share("cs")} AS cr, {share("ws")} AS wr, {share(m("cs", 0))} AS mr FROM kept_refs
+), far AS (SELECT doc_id, min({js("cp", "cr")}) AS by_class, min({js("wp", "wr")}) AS by_word, min({js("mp", "mr")}) AS by_merged FROM (SELECT *, {m("cp", 0)} AS mp FROM hist), shares WHERE n_words > 0 GROUP BY 1
+), told AS (
+  SELECT h.*, CASE WHEN list_sum(c) < {q.GUARD_CHARS} THEN NULL WHEN k.known THEN by_class ELSE by_merged END AS cd, CASE WHEN k.known AND n_words >= {q.GUARD_WORDS} THEN by_word END AS wd, CASE WHEN k.known THEN {q.MAX_CLASS_DISTANCE} ELSE {q.MAX_MERGED_DISTANCE} END AS most
+  FROM hist h LEFT JOIN far USING (doc_id) LEFT JOIN (SELECT lang, true AS known FROM kept_refs) k ON h.lang IS NOT DISTINCT FROM k.lang
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(cd <= {q.MAX_CLASS_DISTANCE}, true) AND coalesce(wd <= {q.MAX_WORD_DISTANCE}, true) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM told
+  NOT base_failed AND coalesce(cd <= most, true) AND coalesce(wd <= {q.MAX_WORD_DISTANCE}, true) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM told
 """
 
 
