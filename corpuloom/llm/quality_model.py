@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = FOLDS, held: int = HELD
             x = [describe(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["id", "x", "y"])
 
-    chosen = training_rows(docs, labels, "quality", mod, held, labelled, 0)
+    chosen = training_rows(docs, labels, "quality", mod, held, labelled)
     kind = chosen.schema["doc_id"].dataType.simpleString()
     rows = sorted(tuple(r) for r in chosen.mapInArrow(run, f"id {kind}, x array<double>, y int").collect())
     return fit(np.array([x for _, x, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for *_, y in rows], float))

@@ -11,7 +11,10 @@
    labelled rows hold their class, all others their posterior. Rows are counted
    by their votes, and executors add up what each step needs.
 3. Classifier. Logistic regression over the words and word beginnings of a
-   text, trained on the label model's posteriors of a bounded sample.
+   text, trained on posteriors of the sampled labelled rows. A row's label is one
+   more voter there: its accuracy in each class is how far labels agree with
+   the other voters' posteriors, so a label that these speak against teaches
+   less.
 
 Scores are 0 to 1; every whole text is scored, empty ones by the intercept and
 the length's term. Labels of held-out rows are never read, and id, source,
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, drop_table, fold, materialise
 
-#: Most labelled rows that hold their class and are mined for voters, and most rows without a label that the classifier is trained on beside them: those of the least hash.
-FIT_LABELLED, FIT_UNLABELLED = 6000, 1500
+#: Most labelled rows that hold their class in the label model, are mined for voters and train the classifier: those of the least hash. Rows without a label all count in the label model.
+FIT_LABELLED = 6000
 #: Most mined voters, and the likelihood ratio (G squared) of a voter's firing with the label at least.
 MINED, MINED_RATIO = 400, 24.0
 #: Most features of the classifier, the rows that must hold one at least, and its likelihood ratio with the posterior at least.
@@ -63,9 +66,23 @@ _LEXICON = {name: frozenset(words.split()) for name, words in LEXICON.items()}
 _PATTERNS = {name: re.compile(p) for name, p in PATTERNS.items()}
 
 
+#: Words of which a text holds one at least if a pattern fits it.
+_NEEDED = {
+    "you_are": frozenset(w + e for w in "idiot moron clown loser scum trash stupid pathetic worthless".split() for e in ("", "s")),
+    "shut": frozenset("shut lost dead hell".split()),
+    "such_a": frozenset("idiot moron clown loser fool".split()),
+}
+
+
 def word_set(text: str | None) -> tuple[str, set[str]]:
-    low = (text or "").lower()
-    return low, set(_WORD.findall(low))
+    """A text in lower case, and its words: runs of letters."""
+    low, words = (text or "").lower(), set()
+    for token in set(low.split()):
+        if token.isalpha():
+            words.add(token)
+        else:
+            words.update(_WORD.findall(token))
+    return low, words
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -79,8 +96,28 @@ def features(words: Iterable[str]) -> set[str]:
     return out
 
 
+def known_features(of: dict) -> Callable[[set[str]], set]:
+    """A function of a text's words: what ``of`` has for their features. It remembers words, a bounded number."""
+    seen: set[str] = set()
+    telling: set[str] = set()
+    told: dict[str, tuple] = {}
+
+    def found(words: set[str]) -> set:
+        if len(seen) > 1 << 18:
+            seen.clear(), telling.clear(), told.clear()
+        for w in words - seen:
+            seen.add(w)
+            if own := tuple(of[f] for f in features((w,)) if f in of):
+                told[w] = own
+                telling.add(w)
+        return {x for w in words & telling for x in told[w]}
+
+    return found
+
+
 def fixed_votes(low: str, words: set[str]) -> list[bool]:
-    return [not words.isdisjoint(v) for v in _LEXICON.values()] + [p.search(low) is not None for p in _PATTERNS.values()]
+    fits = [not (k in _NEEDED and words.isdisjoint(_NEEDED[k])) and p.search(low) is not None for k, p in _PATTERNS.items()]
+    return [not words.isdisjoint(v) for v in _LEXICON.values()] + fits
 
 
 class LabelModel:
@@ -161,6 +198,16 @@ class LabelModel:
         """P(voter fires | toxic, its parent silent) beside P(fires | clean, its parent silent)."""
         return self.table[:, 0, :][::-1]
 
+    def trust(self, total: Callable) -> tuple[float, float]:
+        """P(label 1 | toxic) and P(label 1 | clean): how far labels agree with the votes' posteriors."""
+        one1, one0, all1, all0 = total(self._agreement, 4) + self.smooth * np.array([0.5, 0.5, 1.0, 1.0])
+        return float(one1 / all1), float(one0 / all0)
+
+    def _agreement(self, votes: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+        some = known >= 0
+        post, count, known = self.posterior(votes[some]), count[some], known[some]
+        return np.array([(post * count)[known == 1].sum(), ((1 - post) * count)[known == 1].sum(), (post * count).sum(), ((1 - post) * count).sum()])
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         votes, above = votes.astype(bool), np.array(self.parent)
         parents = np.where(above >= 0, votes[:, above], False).astype(int)
@@ -203,20 +250,12 @@ class Model:
 
     def scorer(self):
         """A function of a text; remembers the weighted features of words (a bounded memory)."""
-        weights, known = self.weights, {}
+        weights, of = self.weights, known_features({f: f for f in self.weights})
         w_len, mean, spread = self.length
 
         def score(text: str | None) -> float:
             words = word_set(text)[1]
-            found: set[str] = set()
-            for w in words:
-                own = known.get(w)
-                if own is None:
-                    if len(known) > 1 << 18:
-                        known.clear()
-                    own = known[w] = tuple(f for f in features((w,)) if f in weights)
-                if own:
-                    found.update(own)
+            found = of(words)
             logit = self.bias + sum(weights[f] for f in sorted(found)) + w_len * (np.log1p(len(words)) - mean) / spread
             return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
@@ -272,21 +311,14 @@ def _patterns(train: DataFrame, known: DataFrame, mined: dict[str, int]) -> Data
     """(pattern, known, n): how many training rows cast the same votes, by their class where it is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: dict[str, tuple[int, ...]] = {}
+        of = known_features(mined)
         for batch in batches:
             out = []
             for text in batch.column(1):
                 low, words = word_set(text.as_py())
                 votes = np.zeros(_FIXED + len(mined), bool)
                 votes[:_FIXED] = fixed_votes(low, words)
-                for w in words:
-                    own = told.get(w)
-                    if own is None:
-                        if len(told) > 1 << 18:
-                            told.clear()
-                        own = told[w] = tuple(_FIXED + mined[f] for f in features((w,)) if f in mined)
-                    if own:
-                        votes[list(own)] = True
+                votes[[_FIXED + i for i in of(words)]] = True
                 out.append(np.packbits(votes).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "pattern"])
 
@@ -299,7 +331,7 @@ def _patterns(train: DataFrame, known: DataFrame, mined: dict[str, int]) -> Data
 
 
 def fit(train: DataFrame, sample: DataFrame) -> Model:
-    """A model from the rows of the training folds (doc_id, text) and a bounded sample of them (doc_id, text, y). Without a toxic and a clean label, all scores are low and alike."""
+    """A model from the rows of the training folds (doc_id, text) and a bounded sample of labelled ones (doc_id, text, y). Without a toxic and a clean label, all scores are low and alike."""
     rows = _described(sample)
     n1, n0 = rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     if not n1 or not n0:
@@ -310,7 +342,9 @@ def fit(train: DataFrame, sample: DataFrame) -> Model:
     m = _FIXED + len(mined)
     patterns = _patterns(train, rows.where("y IS NOT NULL"), mined)
     # each task gives all its sums, so there are no more tasks than the patterns want
-    labels = LabelModel().fit(m, totals_of(patterns.coalesce(1 + patterns.count() // TASK_PATTERNS), m))
+    total = totals_of(patterns.coalesce(1 + patterns.count() // TASK_PATTERNS), m)
+    labels = LabelModel().fit(m, total)
+    true, false = labels.trust(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,9 +352,10 @@ def fit(train: DataFrame, sample: DataFrame) -> Model:
             for i, (fixed, found) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 votes[i, :_FIXED] = np.unpackbits(np.frombuffer(fixed, np.uint8), count=_FIXED)
                 votes[i, [_FIXED + mined[f] for f in found if f in mined]] = True
-            known = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            # a row whose class is known has it, as in the label model
-            post = np.where(np.isnan(known), np.round(labels.posterior(votes), 6), known) if batch.num_rows else np.empty(0)
+            post = labels.posterior(votes) if batch.num_rows else np.empty(0)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            odds = post / (1 - post) * np.where(y == 1, true / false, (1 - true) / (1 - false))
+            post = np.round(odds / (1 + odds), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post, pa.float64()), batch.column(2), batch.column(4)], ["id", "post", "length", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -347,16 +382,19 @@ def fit(train: DataFrame, sample: DataFrame) -> Model:
     return Model(bias, {f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-4}, (float(we), mean, spread))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, held: int, labelled: int, unlabelled: int) -> DataFrame:
-    """(doc_id, text, y) of a bounded sample of the training folds: the rows whose id has the least hash, labelled ones and others. Rows with a null id or a null label count as unlabelled; rows that repeat a chosen id are all of the sample."""
-    ours = labels.where(F.col(label_col).isin(0, 1) & (fold(F.col("doc_id"), mod) != held)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
-    train = docs.select("doc_id", "text").where(fold(F.col("doc_id"), mod) != held)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = ours.orderBy(*order).limit(labelled)
-    rest = train.select("doc_id").join(ours, "doc_id", "left_anti").distinct().orderBy(*order).limit(unlabelled)
-    chosen = some.unionByName(rest, allowMissingColumns=True)
-    # the chosen ids are at most labelled + unlabelled rows, so the broadcast is bounded
-    return train.join(F.broadcast(chosen), train["doc_id"].eqNullSafe(chosen["doc_id"])).select(train["doc_id"], "text", "y")
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, held: int, most: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``most`` labelled rows of the training folds: the ids of the least hash, one row each.
+
+    Rows with a null id or a null label are left out. Of rows that repeat an id,
+    the one whose text has the least hash is taken; of labels that do, the
+    larger.
+    """
+    ours = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), mod) != held)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
+    some = ours.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # the chosen ids are at most as many as named, so the broadcast is bounded
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text")))
+    return rows.groupBy("doc_id", "y").agg(least.alias("least")).select("doc_id", F.col("least.text").alias("text"), "y")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,10 +415,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return kept.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = FOLDS, held: int = 0, labelled: int = FIT_LABELLED, unlabelled: int = FIT_UNLABELLED) -> Model:
-    """Fitted on all rows outside the held-out fold, of which a bounded sample is mined and trained on."""
+def train(docs: DataFrame, labels: DataFrame, mod: int = FOLDS, held: int = 0, labelled: int = FIT_LABELLED) -> Model:
+    """Fitted on all rows outside the held-out fold, of which a bounded sample of labelled ones is mined and trained on."""
     rows = docs.select("doc_id", "text").where(fold(F.col("doc_id"), mod) != held)
-    return fit(rows, training_rows(docs, labels, "toxic", mod, held, labelled, unlabelled))
+    return fit(rows, training_rows(docs, labels, "toxic", mod, held, labelled))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,10 +184,22 @@ def test_training_without_labels(spark):
 def test_fit_reads_no_held_out_label(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "en", "a", 5) for i in range(200)], DOCS)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
-    rows = toxicity.training_rows(docs, labels, "toxic", 5, 0, 1000, 1000)
+    rows = toxicity.training_rows(docs, labels, "toxic", 5, 0, 1000)
     seen = {int(r["text"].split()[1]) for r in rows.collect()}
     assert seen == {i for i in range(200) if crc_fold(i, 5) != 0}
-    assert toxicity.training_rows(docs, labels, "toxic", 5, 0, 10, 5).count() == 10
+    assert toxicity.training_rows(docs, labels, "toxic", 5, 0, 10).count() == 10
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(1, f"text {i % 7}", "en", "a", 5) for i in range(30_000)] + [(None, f"none {i % 3}", "en", "a", 5) for i in range(300)] + [(i, f"text {i}", "en", "a", 5) for i in range(2, 90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (None, 1, 1), (None, 0, 0), *((i, i % 2, i % 2) for i in range(2, 90))], "doc_id long, quality int, toxic int")
+    for label, mod, held in (("toxic", 5, 0), ("quality", 3, 1)):
+        got = toxicity.training_rows(docs, labels, label, mod, held, 40).collect()
+        assert len(got) == len({r["doc_id"] for r in got}) == 40 and all(r["doc_id"] is not None for r in got)
+    assert toxicity.training_rows(docs, labels, "toxic", 5, 0, 1000).where("doc_id = 1").count() <= 1
+    assert len(quality_model.train(docs, labels).tables) > 0  # no order of null ids is asked for
+    assert toxicity.train(docs, labels) is not None
 
 
 def test_additive_model_learns_an_interaction():
@@ -259,14 +271,33 @@ def test_rare_languages_are_kept_whatever_their_share(spark):
     rare, none = quality_rules.MIN_DOCS, quality_rules.MIN_DOCS - 1
     rows = [(i, prose(english, 150), "en", "s", 0) for i in range(150 * rare)]
     rows += [(10_000 + i, prose(russian, 150), "ru", "s", 0) for i in range(rare)]  # under 1 % of all
-    rows += [(20_000 + i, prose(chinese, 150), "zh", "s", 0) for i in range(none)]  # too few for a reference
-    rows += [(30_000, prose(["#%&=", "<<>>", "@@[]", "{}|~"], 150), "en", "s", 0)]
+    rows += [(20_000 + i, prose(chinese, 150), "zh", "s", 0) for i in range(none - 1)]  # too few for a reference, with the junk under that name too
+    junk = prose(["#%&=", "<<>>", "@@[]", "{}|~"], 150)
+    rows += [(30_000 + i, junk, lang, "s", 0) for i, lang in enumerate(["en", "zh", "zz", None, "ru"])]
     docs = spark.createDataFrame(rows, DOCS)
     assert quality_rules.references(docs).langs == {"en", "ru"}
     got = {x["doc_id"]: x for x in quality_rules.judge(docs).collect()}
-    assert [i for i, x in got.items() if not x["kept"]] == [30_000]
-    assert all((got[i]["class_distance"] is None) == (lang == "zh") for i, _, lang, _, _ in rows)
-    assert {x["doc_id"] for x in quality_rules.keep(docs).collect()} == set(got) - {30_000}
+    assert sorted(i for i, x in got.items() if not x["kept"]) == list(range(30_000, 30_005))  # whatever its language says
+    assert all(got[i]["class_distance"] is not None for i in got)
+    assert all((got[i]["word_distance"] is None) == (lang not in ("en", "ru")) for i, _, lang, _, _ in rows)
+    assert {x["doc_id"] for x in quality_rules.keep(docs).collect()} == set(got) - set(range(30_000, 30_005))
+    many = docs.union(spark.createDataFrame([(40_000 + i, junk, "junk", "s", 0) for i in range(5 * rare)], DOCS))
+    assert quality_rules.references(many).langs == {"en", "ru"}  # junk under a label of its own is no reference
+    assert not quality_rules.keep(many).where("doc_id >= 30000").count()
+
+
+def test_rules_equal_their_sql_on_unknown_languages(spark, tmp_path, sf):
+    r = np.random.default_rng(4)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    docs["lang"] = [r.choice(["en", "fr", "rare", "odd", None], p=[0.5, 0.4, 0.02, 0.03, 0.05]) for _ in range(len(docs))]
+    docs.loc[docs.index[:3], "text"] = "#%&= <<>> @@[] {}|~ " * 3 + " ".join(f"<{i}%&" for i in range(200))
+    docs.to_parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got, want = queries.op8_quality_rules(spark, str(tmp_path)).toPandas(), db.sql(queries.SQL["op8_quality_rules"]).df()
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values))
+    assert got["word_distance"].isna().any()
 
 
 def test_repeat_words_of_edges():
