@@ -19,6 +19,7 @@ from functools import reduce
 from math import log
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 
 
+#: The term under which documents themselves are counted: no token is empty.
+DOCS = ""
+
+
 def chunk_ranges(data: bytes, target: int = fixed.CHUNK_BYTES, most: int = fixed.CHUNK_MAX_BYTES) -> list[tuple[int, int]]:
     """Byte ranges of a text: whole lines up to ``target`` bytes and more, no range over ``most``, blank ones dropped."""
     found, begin, at = [], 0, 0
@@ -63,18 +68,55 @@ def read_chunks(found: DataFrame, docs: DataFrame, key: str, bytes_col: str, mos
     return joined.withColumn("text", F.make_valid_utf8(data.cast("string"))).drop(bytes_col)
 
 
+def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, doc, len, tf, positions) of a table's texts, counted where each text is; one more row a document with the empty term. Null texts are empty."""
+    few = docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    docs = docs.repartition("doc") if few else docs  # a small table may be a single file
+    rows = docs.select("doc", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            tokens = batch.column(1)
+            lens = np.diff(tokens.offsets.to_numpy()).astype(np.int32)
+            words = tokens.flatten().dictionary_encode()
+            of = np.repeat(np.arange(batch.num_rows), lens)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(lens) - lens, lens)
+            code = words.indices.to_numpy().astype(np.int64)
+            order = np.lexsort((at, code, of))
+            of, code, at = of[order], code[order], at[order]
+            first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])]) if len(of) else np.empty(0, np.int64)
+            ends = np.r_[first, len(of)].astype(np.int32)
+            n = batch.num_rows
+            which = np.r_[np.arange(n), of[first]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array([DOCS] * n, pa.string()), words.dictionary.take(pa.array(code[first])).cast(pa.string())]), batch.column(0).take(pa.array(which)), pa.array(lens[which]),
+                    pa.array(np.r_[np.ones(n, np.int64), np.diff(ends)].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(n, np.int32), ends].astype(np.int32)), pa.array(at.astype(np.int32))),
+                ],
+                ["term", "doc", "len", "tf", "positions"],
+            )
+
+    return rows.mapInArrow(run, f"term string, doc {kind}, len int, tf int, positions array<int>")
+
+
 def index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, stats) of a table's texts. Null texts are empty.
+    """(postings, stats) of a table's texts. Null texts are empty. A text's postings are counted where it is, so nothing is shuffled."""
+    postings = counted(docs, id_col, text_col).where(F.col("term") != DOCS)
+    postings = postings.select("term", "doc", F.col("len").cast("long").alias("len"), F.col("tf").cast("long").alias("tf"), "positions")
+    own = docs.select(docs[id_col].alias("doc"), F.size(text.tokens(F.coalesce(docs[text_col], F.lit("")))).cast("long").alias("len"))
+    return postings, own
 
-    Documents are dealt out whole, by their ids, so that a posting is counted
-    where its document is and no single occurrence is sent.
-    """
-    texts = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    own = texts.select("doc", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    dealt = texts.repartition("doc").select("doc", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    places = dealt.select("doc", F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("at", "term"))
-    postings = places.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-    return postings, own.select("doc", F.size("tokens").cast("long").alias("len"))
+
+def scan(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[Sequence[str]], every: bool, keep: DataFrame | None = None) -> DataFrame:
+    """(doc, score) as :func:`bm25` has it, of texts that no index holds: they are split once, and a few counts of each document are all that is shuffled."""
+    if not phrases or any(len(p) > 1 for p in phrases):
+        return bm25(*index(docs, id_col, text_col), phrases, every, keep)
+    tokens = docs.select(docs[id_col].alias("doc"), text.tokens(F.coalesce(docs[text_col], F.lit(""))).alias("tokens"))
+    tf = F.array(*[F.size(F.filter("tokens", lambda x, t=p[0]: x == t)).cast("long") for p in phrases])
+    rows = tokens.select("doc", F.size("tokens").cast("long").alias("len"), tf.alias("tf")).repartition("doc")  # both uses read this exchange
+    return _scored(rows, summary(rows), len(phrases), every, keep)
 
 
 def summary(stats: DataFrame) -> DataFrame:
@@ -92,9 +134,9 @@ class Stored(NamedTuple):
 
 
 def store(postings: DataFrame, stats: DataFrame, path: str) -> Stored:
-    """Writes an index: by term, so that a query's terms are found by the footers of few row groups."""
+    """Writes an index: by term and document, so that a common term is many tasks' work and a query's terms are found by the footers of few row groups."""
     spark = postings.sparkSession
-    postings.sort("term").write.parquet(f"{path}/postings")
+    postings.sort("term", "doc").write.parquet(f"{path}/postings")
     stats.write.parquet(f"{path}/stats")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).sort("term").write.parquet(f"{path}/terms")
     summary(spark.read.parquet(f"{path}/stats")).coalesce(1).write.parquet(f"{path}/whole")
@@ -175,11 +217,14 @@ def bm25(postings: DataFrame, stats: DataFrame, phrases: Sequence[Sequence[str]]
     """
     if not phrases:
         return stats.select("doc", F.lit(0.0).alias("score")).limit(0)
-    tf = frequencies(postings, phrases)
-    whole = summary(stats) if whole is None else whole
+    return _scored(frequencies(postings, phrases), summary(stats) if whole is None else whole, len(phrases), every, keep)
+
+
+def _scored(tf: DataFrame, whole: DataFrame, phrases: int, every: bool, keep: DataFrame | None) -> DataFrame:
+    """(doc, score) of rows (doc, len, tf of each phrase)."""
     n = F.col("n")
-    df = tf.agg(F.array(*[F.sum(F.when(F.get("tf", F.lit(i)) > 0, 1).otherwise(0)).cast("double") for i in range(len(phrases))]).alias("df"))
-    at = [F.get("tf", F.lit(i)).cast("double") for i in range(len(phrases))]
+    df = tf.agg(F.array(*[F.sum(F.when(F.get("tf", F.lit(i)) > 0, 1).otherwise(0)).cast("double") for i in range(phrases)]).alias("df"))
+    at = [F.get("tf", F.lit(i)).cast("double") for i in range(phrases)]
     met = [x > 0 for x in at]
     hits = tf.where(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), met))
     if keep is not None:

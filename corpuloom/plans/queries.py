@@ -302,20 +302,8 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/corpuloom/{name}-{uuid.uuid4().hex}"
 
 
-_INDEXES: dict[tuple[str, str], search.Stored] = {}
-
-
-def stored_index(spark: SparkSession, sf: str) -> search.Stored:
-    """The index of a folder's documents, stored once an application: searches ask it, as they would a service's."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = search.store(*search.index(table(spark, sf, "documents"), "doc_id", "text"), folder(spark, "index"))
-    return _INDEXES[key]
-
-
 def _search(spark, sf, phrases, every, keep=None, k=10):
-    found = search.top(search.ask(stored_index(spark, sf), phrases, every, keep), k)
+    found = search.top(search.scan(table(spark, sf, "documents"), "doc_id", "text", phrases, every, keep), k)
     return found.select("doc", F.round("score", 6).alias("score"))
 
 
@@ -348,7 +336,7 @@ def fts_bm25_or_filtered(spark, sf):
 @query(rf"""WITH t AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents), p AS (SELECT doc_id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'of' AND tokens[i + 1] = 'the')) AS tf FROM t) SELECT doc_id AS doc, tf::BIGINT AS tf FROM p WHERE tf > 0""")
 def fts_phrase_frequency(spark, sf):
     """FTS-04: a word with an underscore is a phrase; its frequency in every document."""
-    return search.frequencies(stored_index(spark, sf).postings, search.and_phrases("of_the")).select("doc", F.get("tf", F.lit(0)).alias("tf")).where("tf > 0")
+    return search.frequencies(search.index(table(spark, sf, "documents"), "doc_id", "text")[0], search.and_phrases("of_the")).select("doc", F.get("tf", F.lit(0)).alias("tf")).where("tf > 0")
 
 
 @query("""WITH c AS (SELECT doc_id, """ + " + ".join(rf"CASE WHEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_]){t}') THEN 1 ELSE 0 END" for t in ("one", "ther", "ionic", "bles", "are")) + """ AS covered FROM documents)
