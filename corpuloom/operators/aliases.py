@@ -6,23 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import edit
+from . import nearjoin
 
 CANDIDATES = 3
 
 
+class Exhausted(RuntimeError):
+    """There are more addresses than free codes."""
+
+
 def mint(addresses: DataFrame, taken: DataFrame | None = None, seed: str = "") -> DataFrame:
     """(address, alias) of every distinct address; those of ``taken`` keep theirs.
 
     New ones get the free codes in an order given by ``seed``: the next free
     number of a fixed walk through the code space. A session holds at most
     93,750 aliases, so a session's table is small and numbering it needs one
-    small window.
+    small window. Addresses beyond the free codes raise :class:`Exhausted`
+    before any is numbered.
     """
     fresh = addresses.select("address").distinct()
-    old = None
+    old, free = None, edit.CODES
     if taken is not None:
         old = taken.select("address", "alias")
         fresh = fresh.join(old, "address", "left_anti")
+        free -= old.where(edit.checks(F.col("alias"))).select("alias").distinct().count()
+    if fresh.limit(free + 1).count() > free:
+        raise Exhausted(f"the alias space is exhausted: {free} of {edit.CODES} codes are free")
     order = Window.orderBy(F.md5(F.concat_ws("|", "address", F.lit(seed)).cast("binary")))
     numbered = fresh.withColumn("n", F.row_number().over(order) - 1)
     spark = addresses.sparkSession
@@ -30,8 +39,8 @@ def mint(addresses: DataFrame, taken: DataFrame | None = None, seed: str = "") -
     codes = codes.select("id", edit.body_of(F.col("walk")).alias("body")).withColumn("alias", F.concat("body", F.lit("-"), edit.check_symbol(F.col("body"))))
     if old is not None:
         codes = codes.join(old.select("alias"), "alias", "left_anti")
-    free = codes.withColumn("n", F.row_number().over(Window.orderBy("id")) - 1)
-    minted = numbered.join(free, "n").select("address", "alias")
+    left = codes.withColumn("n", F.row_number().over(Window.orderBy("id")) - 1)
+    minted = numbered.join(left, "n").select("address", "alias")
     return minted if old is None else old.unionByName(minted)
 
 
@@ -40,30 +49,46 @@ def resolve(written: DataFrame, table: DataFrame) -> DataFrame:
 
     The first that holds: exact, normalised, folded (look-alike glyphs, its
     check symbol verified), repaired (one live alias is one edit away),
-    ambiguous (several are), unknown with the nearest three. The live table of
-    a session is small by its code space, so it is joined as a whole.
+    ambiguous (several are), unknown with the nearest three.
+
+    Each rung is a join by equal keys: the spelling itself, its normal form, its
+    folds, and its variants with a character left out. What no rung meets is
+    held against a trie of all live aliases. A session's table is bounded by its
+    code space: more than 93,750 rows are refused, so it may be broadcast.
     """
-    live = F.broadcast(table.select(F.col("alias").alias("live"), F.col("address").alias("at")))
+    live = table.select(F.col("alias").alias("live"), F.col("address").alias("at")).where(F.col("live").isNotNull())
+    if live.limit(edit.CODES + 1).count() > edit.CODES:
+        raise ValueError(f"more than {edit.CODES} live aliases")
+    shared = F.broadcast(live)
     asked = written.select("written").distinct().withColumn("trimmed", F.trim(F.coalesce("written", F.lit("")))).withColumn("normal", edit.normalise_alias(F.col("trimmed")))
     asked = asked.withColumn("folds", F.filter(edit.folded_aliases(F.col("normal")), lambda v: edit.checks(v)))
-    rank = (
-        F.when(F.col("trimmed") == F.col("live"), 0)
-        .when(F.col("normal") == F.col("live"), 1)
-        .when(F.array_contains("folds", F.col("live")), F.lit(2))
-        .when(edit.one_edit(F.col("normal"), F.col("live")), 3)
-        .otherwise(4)
-    )
-    pairs = asked.join(live, (F.col("trimmed") != "") & F.col("live").isNotNull(), "left").withColumn("rank", F.when(F.col("live").isNotNull(), rank).otherwise(5))
-    order = F.struct("rank", F.when(F.col("rank") == 4, F.levenshtein("normal", "live")).otherwise(0).alias("distance"), F.col("live").alias("alias"), F.col("at").alias("address"))
-    best = pairs.groupBy("written").agg(F.min(order).alias("best"), F.count_if(F.col("rank") == 3).alias("edits"), F.slice(F.array_sort(F.collect_list(order)), 1, CANDIDATES).alias("near"))
+    some = asked.where(F.col("trimmed") != "")
+    spelt = some.select("written", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("trimmed").alias("key")), F.struct(F.lit(1).alias("rank"), F.col("normal").alias("key")))).alias("k")).select("written", "k.*")
+    spelt = spelt.union(some.select("written", F.lit(2), F.explode("folds")))
+    met = spelt.join(shared, F.col("key") == F.col("live")).select("written", "rank", "live", "at")
+    bent = nearjoin.one_edit_pairs(some, shared, [], "normal", "live").join(some.select("written", "normal"), "normal")
+    met = met.unionByName(bent.join(shared, "live").select("written", F.lit(3).alias("rank"), "live", "at"))
+    met = met.groupBy("written", "live", "at").agg(F.min("rank").alias("rank"))  # a pair's first rung
+    place = F.row_number().over(Window.partitionBy("written").orderBy("rank", "live", "at"))
+    edits = F.count_if(F.col("rank") == 3).over(Window.partitionBy("written"))
+    top = met.withColumn("edits", edits).withColumn("place", place).where(F.col("place") <= CANDIDATES)
+    best = top.groupBy("written").agg(
+        F.min(F.struct("rank", "live", "at")).alias("best"), F.max("edits").alias("edits"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") == 3, F.struct("place", "live")))).alias("near"),
+    )
     status = (
         F.when(F.col("best.rank") == 0, "exact").when(F.col("best.rank") == 1, "normalised").when(F.col("best.rank") == 2, "folded")
-        .when((F.col("best.rank") == 3) & (F.col("edits") == 1), "repaired").when(F.col("best.rank") == 3, "ambiguous").otherwise("unknown")
+        .when(F.col("edits") == 1, "repaired").otherwise("ambiguous")
     )
-    out = best.withColumn("status", status)
-    sure = F.col("status").isin("exact", "normalised", "folded", "repaired")
-    near = F.filter("near", lambda x: x["alias"].isNotNull() & ((F.col("status") == "unknown") | (x["rank"] == 3)))
-    return out.select("written", "status", F.when(sure, F.col("best.alias")).alias("alias"), F.when(sure, F.col("best.address")).alias("address"), F.when(~sure, F.transform(near, lambda x: x["alias"])).alias("candidates"))
+    told = best.withColumn("status", status)
+    sure = F.col("status") != "ambiguous"
+    told = told.select("written", "status", F.when(sure, F.col("best.live")).alias("alias"), F.when(sure, F.col("best.at")).alias("address"), F.when(~sure, F.transform("near", lambda x: x["live"])).alias("candidates"))
+    lost = asked.join(told, "written", "left_anti")
+    codes = [r["live"] for r in live.select("live").distinct().collect()]  # bounded above
+    lost = nearjoin.nearest(lost.where(F.col("written").isNotNull()).select("written", F.when(F.col("trimmed") != "", F.col("normal")).alias("normal")), "normal", codes, CANDIDATES)
+    lost = lost.select("written", F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("address"), F.when(F.col("normal").isNotNull(), F.col("near")).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    blank = asked.where(F.col("written").isNull()).select("written", F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("address"), F.array().cast("array<string>").alias("candidates"))
+    return told.unionByName(lost).unionByName(blank)
 
 
 def substitute(texts: DataFrame, table: DataFrame, key: str, text_col: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary, fixed, text
@@ -191,3 +194,20 @@ def insert_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def shown_of(shown: DataFrame, scope_rows: DataFrame) -> DataFrame:
     """(shown, total): lines shown against all entries in scope, not against matches."""
     return shown.agg(F.count(F.lit(1)).alias("shown")).crossJoin(scope_rows.agg(F.count(F.lit(1)).alias("total")))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, below ``spark.checkpoint.dir``; on one machine alone, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        where = tempfile.mkdtemp(prefix="corpuloom-")
+    return f"{where.rstrip('/')}/corpuloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in files in place of a plan, so that a loop's plan does not grow and a lost executor costs its running tasks."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import edit, text
+from ..functions import text
+from . import nearjoin
 
 
 def run_facts(events: DataFrame, run: str = "run_id") -> DataFrame:
@@ -85,8 +86,7 @@ def audit(served_rows: DataFrame, cited_rows: DataFrame, run: str = "run_id") ->
 def corruption(served_rows: DataFrame, cited_rows: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, cited, meant): cited addresses that no search served and that are one edit from exactly one served address."""
     lost = cited_rows.join(served_rows, [run, "address"], "left_anti").withColumnRenamed("address", "cited")
-    near = lost.join(served_rows.select(run, F.col("address").alias("meant")), run)
-    near = near.where((F.abs(F.length("cited") - F.length("meant")) <= 1) & edit.one_edit(F.col("cited"), F.col("meant")))
+    near = nearjoin.one_edit_pairs(lost, served_rows.select(run, F.col("address").alias("meant")), [run], "cited", "meant")
     return near.groupBy(run, "cited").agg(F.count(F.lit(1)).alias("n"), F.min("meant").alias("meant")).where("n = 1").drop("n")
 
 

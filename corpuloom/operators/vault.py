@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import binary, text
-from . import search
+from . import nearjoin, paths, search
 
 # --- Fixed values. Kinds, states, and what a page's head may hold.
 KINDS = ("contract", "template", "definition", "helper", "fewshot", "note", "topic", "cache")
@@ -249,30 +249,67 @@ def forget(pages: DataFrame, query: str | None = None, older_than: float | None
     return pages.withColumn("status", F.when(which, "deprecated").otherwise(F.col("status")))
 
 
+#: Rounds in which heads are told apart by joins; what is undecided then is folded by its group.
+ROUNDS = 12
+
+
 def clusters(rows: DataFrame, threshold: float = 0.85, by: str = "scope") -> DataFrame:
     """(by, path, keeper): each note with the newest note of its cluster, by likeness of titles.
 
-    Notes are taken newest first and join the first cluster whose newest title
-    is alike enough, so a scope (a user's or a topic's notes) is folded in
-    order by one task; scopes are independent.
+    Notes are taken newest first (ties by path) and join the first cluster whose
+    newest title is alike enough. Only notes whose titles may be alike meet:
+    equal titles are one, whose newest note decides for all, and other pairs
+    come from :func:`nearjoin.alike_pairs`. A note none of whose newer
+    neighbours is a head is one itself; a note with a head among them joins the
+    newest such head, once all newer still are decided. That is done in rounds
+    of joins, and for what is left after :data:`ROUNDS` of them - long chains
+    of titles, each alike to the next - by one task a group, over the
+    neighbours that are left alone. A null title is empty.
     """
+    title = F.lower(F.coalesce("title", F.lit("")))
+    own = rows.select(by, "path", title.alias("title"), F.struct(F.col("updated").isNull().alias("unknown"), (-F.unix_micros("updated")).alias("age"), F.col("path").alias("first")).alias("order"))
+    heads = own.groupBy(by, "title").agg(F.min("order").alias("order"))  # of copies of a title the newest note
+    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("order")).cast("long")).select(by, F.col("order.first").alias("path"), "title", "place")
+    heads = paths.written(heads, "titles")
+    pairs = paths.written(nearjoin.alike_pairs(heads.select(by, "title", "place"), by, threshold).select(F.col(by).alias("g"), "older", "newer"), "alike")
+    # keeper: null while undecided
+    older = pairs.select(F.col("g").alias("h"), F.col("older").alias("p")).distinct()
+    state = heads.select(F.col(by).alias("g"), "place").join(older, F.col("g").eqNullSafe(F.col("h")) & (F.col("place") == F.col("p")), "left")
+    state = state.select("g", "place", F.when(F.col("p").isNull(), F.col("place")).alias("keeper"))
+    for _ in range(ROUNDS):
+        state = paths.written(state, "clusters")
+        if not state.where("keeper IS NULL").limit(1).count():
+            break
+        of = state.select(F.col("g").alias("h"), F.col("place").alias("p"), F.col("keeper").alias("k"))
+        met = pairs.join(of, F.col("g").eqNullSafe(F.col("h")) & (F.col("newer") == F.col("p")))
+        head = F.min(F.when(F.col("k") == F.col("p"), F.col("p")))
+        told = met.groupBy(F.col("g").alias("h"), F.col("older").alias("p")).agg(head.alias("head"), F.min(F.when(F.col("k").isNull(), F.col("p"))).alias("open"))
+        ready = F.when(F.col("open").isNull() | (F.col("head") < F.col("open")), F.coalesce("head", "place"))
+        state = state.join(told, F.col("g").eqNullSafe(F.col("h")) & (F.col("place") == F.col("p")), "left").select("g", "place", F.coalesce("keeper", ready).alias("keeper"))
+    state = _folded(paths.written(state, "clusters"), pairs)
+    kept = state.join(heads.select(F.col(by).alias("h"), F.col("place").alias("p"), "title"), F.col("g").eqNullSafe(F.col("h")) & (F.col("place") == F.col("p"))).select("g", "title", F.col("keeper").alias("k"))
+    named = kept.join(heads.select(F.col(by).alias("h"), F.col("place").alias("p"), F.col("path").alias("keeper")), F.col("g").eqNullSafe(F.col("h")) & (F.col("k") == F.col("p"))).select("g", F.col("title").alias("t"), "keeper")
+    return own.join(named, F.col(by).eqNullSafe(F.col("g")) & (F.col("title") == F.col("t"))).select(by, "path", "keeper")
+
+
+def _folded(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Decides what rounds left open, a group at a time."""
+    if not state.where("keeper IS NULL").limit(1).count():
+        return state
+    kind = state.schema["g"].dataType.simpleString()
+    of = state.select(F.col("g").alias("h"), F.col("place").alias("p"), F.col("keeper").alias("k"))
+    left = state.where("keeper IS NULL").join(pairs, (F.col("place") == F.col("older")) & state["g"].eqNullSafe(pairs["g"])).select(state["g"], "older", "newer")
+    left = left.join(of, F.col("g").eqNullSafe(F.col("h")) & (F.col("newer") == F.col("p"))).select("g", "older", "newer", "k")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        heads: list[tuple[str, str]] = []
-        keepers = []
-        group = group.sort_values(["updated", "path"], ascending=[False, True])
-        for path, title in zip(group["path"], group["title"].fillna("").str.lower(), strict=True):
-            keeper = next((p for p, t in heads if SequenceMatcher(None, t, title).ratio() >= threshold), None)
-            if keeper is None:
-                heads.append((path, title))
-                keeper = path
-            keepers.append(keeper)
-        return pd.DataFrame({by: group[by], "path": group["path"], "keeper": keepers})
-
-    kind = rows.schema[by].dataType.simpleString()
-    return rows.select(by, "path", "title", "updated").groupBy(by).applyInPandas(fold, f"{by} {kind}, path string, keeper string")
+        keeper: dict[int, int] = {}
+        for older, near in group.sort_values(["older", "newer"]).groupby("older"):
+            found = next((n for n, k in zip(near["newer"], near["k"], strict=True) if (keeper.get(n, n) if pd.isna(k) else k) == n), older)
+            keeper[older] = found
+        return pd.DataFrame({"g": [group["g"].iloc[0]] * len(keeper), "place": list(keeper), "told": list(keeper.values())})
+
+    told = left.groupBy("g").applyInPandas(fold, f"g {kind}, place long, told long").select(F.col("g").alias("h"), F.col("place").alias("p"), "told")
+    return state.join(told, F.col("g").eqNullSafe(F.col("h")) & (F.col("place") == F.col("p")), "left").select("g", "place", F.coalesce("keeper", "told").alias("keeper"))
 
 
 def compact(rows: DataFrame, clustered: DataFrame) -> DataFrame:

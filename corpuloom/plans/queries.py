@@ -8,8 +8,6 @@ conversations messages of runs, benchmark passages that are cited.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -292,14 +290,7 @@ def _bm25_sql(terms: list[str], every: bool, keep: str = "true", k: int = 10) ->
 SELECT doc_id AS doc, round({parts}, 6) AS score FROM f, w WHERE ({met}) AND {keep} ORDER BY ({parts}) DESC, doc_id LIMIT {k}"""
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; on one machine alone, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        where = tempfile.mkdtemp(prefix="corpuloom-")
-    return f"{where.rstrip('/')}/corpuloom/{name}-{uuid.uuid4().hex}"
+folder = paths.folder
 
 
 def _search(spark, sf, phrases, every, keep=None, k=10):
@@ -496,7 +487,7 @@ def mem_forget(spark, sf):
 @query(None)
 def mem_compact(spark, sf):
     """MEM-04, JN-10, WIN-08: clusters of alike titles by source and language; likeness has no SQL form."""
-    rows = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 40).alias("title"), F.timestamp_micros(F.col("doc_id") * 1_000_000).alias("updated"))
+    rows = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc_id").cast("string").alias("path"), F.substring_index("text", "\n", 1).alias("title"), F.timestamp_micros(F.col("doc_id") * 1_000_000).alias("updated"))
     return vault.clusters(rows, 0.85, "scope")
 
 
