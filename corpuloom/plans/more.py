@@ -94,12 +94,10 @@ _MARKED = f"""{_MADE_SQL}, d AS (SELECT doc_id, strlen(text)::BIGINT AS size, CA
 CASE WHEN doc_id % 50 <> 49 THEN encoding END AS encoding FROM documents JOIN m ON doc_id % {len(_MADE)} = i)"""
 
 
-@query(f"WITH {_MARKED} SELECT lower(hex(encode(doc_id::VARCHAR))) AS raw, kind, encoding, CASE WHEN kind = 'unreadable' THEN 'unreadable' END AS note, CASE WHEN octet_length(content) <= 65536 THEN sha256(content || encode(chr(0) || octet_length(content))) END AS head_hash FROM d")
+@query(f"WITH {_MARKED} SELECT lower(hex(encode(doc_id::VARCHAR))) AS raw, kind, encoding, CASE WHEN kind = 'unreadable' THEN 'unreadable' END AS note, sha256(unhex(substr(hex(content), 1, 131072)) || encode(chr(0) || octet_length(content))) AS head_hash FROM d")
 def bin_magic(spark, sf):
-    """BIN-01 to BIN-03, HSH-01: every magic number before a text, files that can't be read noted; hashes of files up to 64 KiB."""
-    out = paths.classify(_marked(spark, sf))
-    size = _marked(spark, sf).select("raw", F.octet_length("content").alias("n"))
-    return out.join(size, "raw").select(F.lower(F.hex("raw")).alias("raw"), "kind", "encoding", "note", F.when(F.col("n") <= 65536, F.col("head_hash")).alias("head_hash"))
+    """BIN-01 to BIN-03, HSH-01: every magic number before a text, files that can't be read noted; hashes of the first 64 KiB and the size."""
+    return paths.classify(_marked(spark, sf)).select(F.lower(F.hex("raw")).alias("raw"), "kind", "encoding", "note", "head_hash")
 
 
 @query(f"WITH {_MARKED} SELECT kind, count(*) AS files, sum(size)::BIGINT AS bytes FROM d GROUP BY 1")
@@ -783,17 +781,24 @@ def prb_subcalls(spark, sf):
     return probes.subcalls(traces.messages(_log(spark, sf)))
 
 
-@query(f"WITH {_MESSAGES} SELECT model, CASE WHEN count(*) FILTER (c = 9) = 0 THEN 5.0::DOUBLE ELSE 0 END AS score, 5.0::DOUBLE AS max_score, true AS passed FROM a GROUP BY 1")
+_CELLS = "m AS (SELECT (conv_id % 40)::VARCHAR AS model, (conv_id * 7 + turn) % 97 = 0 AS bent FROM conversations)"
+
+
+@query(f"WITH {_CELLS} SELECT model, CASE WHEN count(*) FILTER (bent) = 0 THEN 5.0::DOUBLE ELSE 0 END AS score, 5.0::DOUBLE AS max_score, count(*) FILTER (bent) = 0 AS passed FROM m GROUP BY 1")
 def prb_quotes(spark, sf):
-    """TRJ-11, STR-21: no block holds typographic quotes."""
-    return probes.quotes(traces.messages(_log(spark, sf)))
+    """TRJ-11, STR-21: whether a runnable block holds typographic quotes."""
+    mark = F.when((F.col("conv_id") * 7 + F.col("turn")) % 97 == 0, "\u201d").otherwise('"')
+    said = F.concat(F.lit("\u201csaid\u201d\n```repl\nx = "), mark, F.regexp_replace("text", "[`\u201c\u201d\u201e\u2018\u2019\u201a]", ""), mark, F.lit("\n```"))
+    return probes.quotes(table(spark, sf, "conversations").select((F.col("conv_id") % 40).cast("string").alias("model"), said.alias("content")))
 
 
-@query(f"""WITH {_LOG}, n AS (SELECT *, list_extract([21, 8, 7, 28, 2], c::INT + 1) AS chars FROM l) SELECT model, (coalesce(sum(chars) FILTER (event = 'root_message' AND role = 'assistant'), 0) // 4)::BIGINT AS tokens, count(*) FILTER (event = 'turn_start') AS turns,
-max(timestamp) - min(timestamp) AS seconds FROM n GROUP BY 1""")
+@query("""SELECT (conv_id % 40)::VARCHAR AS model, (coalesce(sum(length(text)) FILTER (turn > 0 AND role = 'assistant'), 0) // 4)::BIGINT AS tokens, count(*) FILTER (turn = 0) AS turns,
+max(turn * 10.0 + conv_id)::DOUBLE - min(turn * 10.0 + conv_id)::DOUBLE AS seconds FROM conversations GROUP BY 1""")
 def prb_speed(spark, sf):
-    """TRJ-11: a report of estimated tokens over time."""
-    return probes.speed(_log(spark, sf)).drop("tokens_per_second")
+    """TRJ-11: a report of estimated tokens over turns and time."""
+    c = table(spark, sf, "conversations")
+    events = c.select((F.col("conv_id") % 40).cast("string").alias("model"), F.when(F.col("turn") == 0, "turn_start").otherwise("root_message").alias("event"), "role", F.col("text").alias("content"), (F.col("turn") * 10.0 + F.col("conv_id")).alias("timestamp"))
+    return probes.speed(events).drop("tokens_per_second")
 
 
 @query("""WITH s AS (SELECT n_regionkey, count(*) AS n, string_agg('### ' || n_name || ' — ' || (n_nationkey % 3) || '.0/2.0 (' || CASE WHEN n_nationkey % 3 = 2 THEN 'PASS' ELSE 'FAIL' END || ')' || chr(10), chr(10) ORDER BY n_name) AS parts, count(*) FILTER (n_nationkey % 3 = 2) AS p FROM nation GROUP BY 1)

@@ -24,7 +24,8 @@ STALE_SECONDS = 300
 
 
 def store_states(spark: SparkSession) -> None:
-    """Makes a session's streams keep their states where timers and several columns of state can be."""
+    """Makes a session keep states where timers and several columns of state can be, for streams and, as these need the streams' coordinator too, for tables."""
+    spark.streams.active  # noqa: B018
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -36,6 +37,7 @@ class _Processor(StatefulProcessor):
     """Rows carry ``millis``, their time, and ``n``, their order among equal times."""
 
     schema = ""
+    timed = True  # a table has no timers: what would come after a key's last row isn't told
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -60,9 +62,9 @@ class _Processor(StatefulProcessor):
 
     def _keep(self, held: tuple | None, old: int | None) -> None:
         due = self.due(held)
-        if old is not None and old != due:
+        if self.timed and old is not None and old != due:
             self.handle.deleteTimer(old)
-        if due is not None and due != old:
+        if self.timed and due is not None and due != old:
             self.handle.registerTimer(due)
         if held is None:
             self.state.clear()
@@ -87,6 +89,7 @@ class _Processor(StatefulProcessor):
 def _run(rows: DataFrame, keys: list[str], processor: _Processor, out: str, ts: str, delay: str, order: str | None) -> DataFrame:
     rows = rows.withColumn("millis", F.unix_millis(F.col(ts).cast("timestamp"))).withColumn("n", F.lit(0).cast("long") if order is None else F.col(order).cast("long"))
     rows = rows.where(F.col("millis").isNotNull()).withWatermark(ts, delay) if rows.isStreaming else rows.where(F.col("millis").isNotNull())
+    processor.timed = rows.isStreaming
     told = rows.groupBy(*keys).transformWithState(processor, out, "Append", "EventTime" if rows.isStreaming else "None")
     return told.withColumn("at", F.timestamp_millis("millis")).drop("millis")
 

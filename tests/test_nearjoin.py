@@ -155,6 +155,17 @@ def test_clusters_equal_the_ordered_fold(spark, monkeypatch, rounds):
     assert vault.clusters(df.limit(0), 0.85, "scope").count() == 0
 
 
+def test_the_query_equals_the_ordered_fold(spark, sf):
+    import re
+
+    from corpuloom.plans.stored import QUERIES
+
+    rows = []
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        rows.append((re.search('<html lang="([^"]*)"', p["html"])[1], str(p["page_id"]), re.search("(?s)<title>(.*?)</title>", p["html"])[1], p["page_id"]))
+    assert {r["path"]: r["keeper"] for r in QUERIES["mem_compact"](spark, sf).collect()} == slow_clusters(rows, 0.85)
+
+
 def test_prefixes_of_alike_titles_meet():
     r = random.Random(9)
     for _ in range(3000):

@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpuloom.plans.more import QUERIES, SQL
+from corpuloom.plans.stored import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
