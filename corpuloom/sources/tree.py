@@ -6,6 +6,11 @@ folder that all executors see. Names that are not UTF-8 keep their bytes in
 rows. Each partition walks some of the folders of the first two levels, so a
 large tree is walked by many tasks. Options: ``content`` (true: also the first
 ``maxBytes`` bytes of files), ``partitions``.
+
+Filters on ``path`` (equal, a beginning, a range) and ``parent`` (equal) prune
+folders before they are listed, and filters on ``kind`` spare what they leave out
+its content; Spark applies all filters to the rows as well. :func:`register`
+turns that on for a session.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import stat
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from .. import schemas
 
@@ -54,6 +59,40 @@ class TreeReader(DataSourceReader):
         self.content = options.get("content", "false").lower() == "true"
         self.most = int(options.get("maxbytes", options.get("maxBytes", 1 << 20)))
         self.parts = int(options.get("partitions", 16))
+        self.within: list[tuple[str, str, bool]] = []  # (least, most, whether most is included) of the paths that are asked for
+        self.parents: set[str] | None = None
+        self.kinds: set[str] | None = None
+        self.listed = 0
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes what prunes folders; all filters are left to Spark too."""
+        for f in filters:
+            column, value = (f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None), getattr(f, "value", None)
+            if column == "path" and isinstance(value, str):
+                if isinstance(f, EqualTo):
+                    self.within.append((value, value, True))
+                elif isinstance(f, StringStartsWith):
+                    self.within.append((value, value + chr(0x10FFFF) * 4, True))
+                elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    self.within.append((value, chr(0x10FFFF) * 4, True))
+                elif isinstance(f, LessThan | LessThanOrEqual):
+                    self.within.append(("", value, isinstance(f, LessThanOrEqual)))
+            elif column == "parent" and isinstance(f, EqualTo) and isinstance(value, str):
+                self.parents = {value} if self.parents is None else self.parents & {value}
+            elif column == "kind" and isinstance(f, EqualTo | In):
+                some = {value} if isinstance(f, EqualTo) else set(value or ())
+                self.kinds = some if self.kinds is None else self.kinds & some
+            yield f
+
+    def _asked(self, folder: bytes, below: bool) -> bool:
+        """Whether a folder's entries may be asked for, or also those ``below`` them: all have paths from ``folder/`` up to the next name."""
+        shown = folder.decode("utf-8", "replace")
+        first, last = (shown + "/", shown + "0") if shown else ("", chr(0x10FFFF) * 5)
+        if any(last <= least or first > most or (first == most and not included) for least, most, included in self.within):
+            return False
+        if self.parents is None:
+            return True
+        return any(p == shown or (below and (not shown or p.startswith(shown + "/"))) for p in self.parents)
 
     def _folders(self, folder: bytes) -> list[bytes]:
         try:
@@ -63,8 +102,8 @@ class TreeReader(DataSourceReader):
             return []
 
     def partitions(self) -> list[InputPartition]:
-        first = self._folders(b"")
-        second = [g for f in first for g in self._folders(f)]
+        first = [f for f in self._folders(b"") if self._asked(f, True)]
+        second = [g for f in first for g in self._folders(f) if self._asked(g, True)]
         parts = [Folders([b"", *first], [])]
         return parts + [Folders([], second[i :: self.parts]) for i in range(min(self.parts, len(second)))]
 
@@ -74,10 +113,13 @@ class TreeReader(DataSourceReader):
         todo = list(partition.deep)
         while todo:
             folder = todo.pop()
-            todo.extend(self._folders(folder))
+            todo.extend(f for f in self._folders(folder) if self._asked(f, True))
             yield from self._rows(folder)
 
     def _rows(self, folder: bytes) -> Iterator[tuple]:
+        if not self._asked(folder, False):
+            return
+        self.listed += 1
         try:
             names = sorted(os.listdir(os.path.join(self.root, folder)))
         except OSError:
@@ -92,7 +134,7 @@ class TreeReader(DataSourceReader):
             kind = _kind(found.st_mode)
             shown = [x.decode("utf-8", "replace") for x in (raw, folder, name)]
             row = (raw, *shown, kind, found.st_size, found.st_mtime)
-            yield (*row, self._head(full) if kind == "file" else None) if self.content else row
+            yield (*row, self._head(full) if kind == "file" and (self.kinds is None or kind in self.kinds) else None) if self.content else row
 
     def _head(self, full: bytes) -> bytes | None:
         try:
@@ -115,4 +157,5 @@ class FileTree(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileTree)
