@@ -19,7 +19,7 @@ from ..functions import binary, edit, fixed, replies, text
 from ..operators import aliases, context, metrics, mining, paths, probes, search, traces, vault
 from ..sources import files, tree
 from ..streaming import jobs
-from .queries import QUERIES, SQL, _bm25_sql, folder, query, table
+from .queries import _CHUNKED, QUERIES, SQL, _bm25_sql, folder, query, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -872,15 +872,20 @@ def mtr_few_shots(spark, sf):
 # --- Search
 
 
-def _chunks(spark, sf) -> DataFrame:
-    """A chunk of up to 200 bytes of every document, read in an encoding by its language."""
+def _read_files(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
     source = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", "lang", source.cast("binary").alias("source"), source.alias("display"), F.col("text").cast("binary").alias("data"))
+
+
+def _chunks(spark, sf) -> DataFrame:
+    """All chunks of every document, read in an encoding by its language."""
+    d = _read_files(spark, sf)
     encoding = F.when(F.col("lang") == "en", "utf-8").when(F.col("lang") == "fr", "cp1252")
-    return d.select(source.cast("binary").alias("source"), source.alias("display"), F.lit(0).cast("long").alias("byte_start"), F.least(F.octet_length("text"), F.lit(200)).cast("long").alias("byte_end"), encoding.alias("encoding"), "doc_id", "lang")
+    return search.chunks(d, "doc_id", "data").join(d.drop("data"), "doc_id").withColumn("encoding", encoding)
 
 
-@query(f"""WITH {_QUEUE}, k AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'document' ELSE 'archive' END AS kind FROM documents), i AS (SELECT count(*) AS sources_indexed, count(*) AS chunks, sum(least(strlen(text), 200))::BIGINT AS bytes FROM documents WHERE lang = 'en')
+@query(f"""WITH RECURSIVE {_CHUNKED}, {_QUEUE}, k AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'document' ELSE 'archive' END AS kind FROM documents), i AS (SELECT count(DISTINCT doc_id) AS sources_indexed, count(*) AS chunks, sum(byte_end - byte_start)::BIGINT AS bytes FROM chunked JOIN documents USING (doc_id) WHERE lang = 'en')
 SELECT i.*, (SELECT count(*) FROM k WHERE kind = 'text') AS text_files_in_map, (SELECT count(*) FROM k WHERE kind <> 'text') AS documents_in_map, (SELECT count(*) FROM q WHERE task = 'extract_text' AND state = 'done') AS documents_extracted,
 (SELECT count(*) FROM q WHERE task = 'extract_text' AND note = 'needs_ocr') AS documents_needing_ocr, round(sources_indexed::DOUBLE / (SELECT count(*) FROM k WHERE kind = 'text'), 6) AS text_coverage FROM i""")
 def agg_coverage(spark, sf):
@@ -890,12 +895,12 @@ def agg_coverage(spark, sf):
     return out.withColumn("text_coverage", F.round("text_coverage", 6))
 
 
-@query("SELECT source || '/' || doc_id || '#L0-' || least(strlen(text), 200) AS address, doc_id FROM documents WHERE doc_id % 7 = 0")
+@query(f"WITH RECURSIVE {_CHUNKED} SELECT source || '/' || doc_id || '#L' || byte_start || '-' || byte_end AS address, doc_id FROM chunked JOIN documents USING (doc_id) WHERE (doc_id + byte_start) % 7 = 0")
 def fts_addressed(spark, sf):
     """JN-17, FTS-14: chunks that addresses name; other byte ranges name none."""
     c = _chunks(spark, sf)
-    end = F.when(F.col("doc_id") % 7 == 0, F.col("byte_end")).otherwise(F.col("byte_end") + 1)
-    asked = c.select(F.concat("display", F.lit("#L0-"), end.cast("string")).alias("address"))
+    end = F.when((F.col("doc_id") + F.col("byte_start")) % 7 == 0, F.col("byte_end")).otherwise(F.col("byte_end") + 1)
+    asked = c.select(F.concat("display", F.lit("#L"), F.col("byte_start").cast("string"), F.lit("-"), end.cast("string")).alias("address"))
     return search.addressed(c, asked).select("address", "doc_id")
 
 
@@ -913,20 +918,20 @@ def fts_snippets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", search.hit_line(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("text"), [F.col("lang")]).alias("line"))
 
 
-@query("SELECT source || '/' || doc_id AS source, 'latin-1' AS encoding FROM documents WHERE doc_id % 2 = 0")
+@query(f"WITH RECURSIVE {_CHUNKED} SELECT DISTINCT source || '/' || doc_id AS source, 'latin-1' AS encoding FROM chunked JOIN documents USING (doc_id) WHERE doc_id % 2 = 0")
 def fts_repairs(spark, sf):
     """FTS-18: sources whose chunks were read in another encoding than they have."""
     c = _chunks(spark, sf)
-    known = c.select(F.col("source").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "latin-1").when(F.col("lang") == "fr", "cp1252").alias("encoding"))
+    known = _read_files(spark, sf).select(F.col("source").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "latin-1").when(F.col("lang") == "fr", "cp1252").alias("encoding"))
     return search.repairs(c, known).select(F.col("source").cast("string").alias("source"), "encoding")
 
 
-@query("""WITH d AS (SELECT doc_id, strlen(text) AS size, CASE WHEN doc_id % 2 = 0 THEN 'latin-1' WHEN lang = 'fr' THEN 'cp1252' END AS now, CASE lang WHEN 'en' THEN 'utf-8' WHEN 'fr' THEN 'cp1252' END AS was FROM documents)
+@query(f"""WITH RECURSIVE {_CHUNKED}, d AS (SELECT doc_id, strlen(text) AS size, CASE WHEN doc_id % 2 = 0 THEN 'latin-1' WHEN lang = 'fr' THEN 'cp1252' END AS now, CASE lang WHEN 'en' THEN 'utf-8' WHEN 'fr' THEN 'cp1252' END AS was FROM documents WHERE doc_id IN (SELECT doc_id FROM chunked))
 SELECT CASE WHEN now = was THEN 'current' WHEN doc_id % 11 = 0 THEN 'missing' WHEN size > 3000 THEN 'too large' ELSE 'replaced' END AS cause, count(*) AS sources FROM d WHERE now IS NOT NULL GROUP BY 1""")
 def fts_repair_report(spark, sf):
     """FTS-18: what a pass of repair does with its candidates, by cause."""
     c = _chunks(spark, sf)
-    known = c.select(F.col("source").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "latin-1").when(F.col("lang") == "fr", "cp1252").alias("encoding"))
+    known = _read_files(spark, sf).select(F.col("source").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "latin-1").when(F.col("lang") == "fr", "cp1252").alias("encoding"))
     size = table(spark, sf, "documents").where("doc_id % 11 <> 0").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).cast("binary").alias("source"), F.octet_length("text").alias("size"))
     return search.repair_report(c, known, size, 3000)
 

@@ -353,9 +353,26 @@ def fts_derived_pass(spark, sf):
     return search.with_derived(d.orderBy(F.desc("score"), "address").limit(10), d).withColumn("score", F.round("score", 6))
 
 
-@query(None)
+_T, _M = fixed.CHUNK_BYTES, fixed.CHUNK_MAX_BYTES
+#: chunked (doc_id, byte_start, byte_end): lines in turn, each with the bytes left open before it (b0), whole cuts of the most bytes (k), and what is left open or closed then (b1)
+_CHUNKED = f"""lines AS (SELECT doc_id, i, (strlen(lines[i]) + CASE WHEN i < len(lines) THEN 1 ELSE 0 END)::BIGINT AS bytes FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''), unnest(range(1, len(lines) + 1)) u(i)
+), stops AS (SELECT doc_id, i, sum(bytes) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop, sum(bytes) OVER (PARTITION BY doc_id)::BIGINT AS size FROM lines WHERE bytes > 0
+), walk AS (
+  SELECT doc_id, i, 0::BIGINT AS b0, greatest(0, ceil((stop - {_M}) / {_M}.0))::BIGINT AS k, stop, size FROM stops WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.i, w.b, greatest(0, ceil((s.stop - {_M} - w.b) / {_M}.0))::BIGINT, s.stop, s.size
+  FROM (SELECT doc_id, i, CASE WHEN stop - b0 - {_M} * k >= {_T} OR stop = size THEN stop ELSE b0 + {_M} * k END AS b FROM walk) w JOIN stops s ON s.doc_id = w.doc_id AND s.i = w.i + 1
+), ranges AS (
+  SELECT doc_id, b0 + {_M} * j AS byte_start, b0 + {_M} * (j + 1) AS byte_end FROM walk, unnest(range(k)) u(j)
+  UNION ALL SELECT doc_id, b0 + {_M} * k, stop FROM walk WHERE stop - b0 - {_M} * k >= {_T} OR stop = size
+), chunked AS (
+  SELECT r.doc_id, byte_start, byte_end FROM ranges r JOIN documents d USING (doc_id) WHERE byte_start < byte_end AND NOT regexp_full_match(substr(hex(encode(text)), 2 * byte_start + 1, 2 * (byte_end - byte_start)), '((20|09|0A|0B|0C|0D))*')
+)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKED} SELECT * FROM chunked")
 def fts_chunks(spark, sf):
-    """FTS-01: byte ranges of all chunks; held against a brute-force walk in the tests."""
+    """FTS-01: byte ranges of all chunks."""
     return search.chunks(table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")
 
 
