@@ -6,10 +6,18 @@ events the log of queues, locks and cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import gzip
+import io
+import os
+import tarfile
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import search, segments
+from ..operators import merkle, search, segments
+from ..sources import archives, tree
 from ..sources.commits import Table
 from ..streaming import stateful
 from .more import QUERIES, SQL
@@ -96,6 +104,66 @@ def fts_segments_documents(spark, sf):
     return _index(spark, sf).documents()
 
 
+# --- Trees and containers
+
+
+def _files(d: DataFrame) -> DataFrame:
+    """Documents as files in folders by source and by tens, and the folders themselves."""
+    folder_ = F.concat(F.lit("t/"), "source", F.lit("/"), F.floor(F.col("doc_id") / 10).cast("string"))
+    files = d.select(F.concat(folder_, F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.lit("file").alias("kind"), F.octet_length("text").cast("long").alias("size"), F.col("mtime"))
+    dirs = d.select(F.explode(F.array(F.lit("t"), F.concat(F.lit("t/"), "source"), folder_)).alias("path")).distinct().select("path", F.lit("dir").alias("kind"), F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("mtime"))
+    rows = files.union(dirs)
+    return rows.select(F.col("path").cast("binary").alias("raw"), "path", "kind", "size", "mtime")
+
+
+_FOLDER = "'t/' || source || '/' || (doc_id // 10)"
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_FOLDER} AS folder, source, doc_id % 97 <> 5 AS before, doc_id % 89 <> 3 AS after, doc_id % 61 = 2 AS touched FROM documents
+), f AS (SELECT folder || '/' || doc_id AS path, CASE WHEN NOT before THEN 'added' WHEN NOT after THEN 'removed' ELSE 'changed' END AS change FROM n WHERE before <> after OR (before AND after AND touched)
+), d AS (SELECT unnest(['t', 't/' || source, folder]) AS path, before, after FROM n
+), g AS (SELECT path, bool_or(before) AS b, bool_or(after) AS a FROM d GROUP BY 1)
+SELECT path, change FROM f UNION ALL SELECT path, CASE WHEN b THEN 'removed' ELSE 'added' END FROM g WHERE b <> a""")
+def pth_folder_changes(spark, sf):
+    """SRC-08, AGG-16, AGG-17: what changed between two trees, found by the digests of their folders."""
+    d = table(spark, sf, "documents").withColumn("mtime", F.col("doc_id").cast("double"))
+    old = _files(d.where("doc_id % 97 <> 5"))
+    new = _files(d.where("doc_id % 89 <> 3").withColumn("mtime", F.when(F.col("doc_id") % 61 == 2, F.col("mtime") + 1).otherwise(F.col("mtime"))))
+    where, _ = merkle.unequal(merkle.folders(old), merkle.folders(new))
+    return merkle.changed(old, new, where).select(F.decode("raw", "utf-8").alias("path"), "change")
+
+
+@query("SELECT source || '-' || (doc_id // 100) || ['.zip', '.tar', '.tgz'][(doc_id // 100 % 3)::INT + 1] AS container, doc_id || '.txt' AS member, strlen(text)::BIGINT AS size, 'file' AS kind FROM documents")
+def src_archive_members(spark, sf):
+    """SRC-17, SRC-19: the members of containers of up to a hundred documents each, read as streams where they lie."""
+    path = folder(spark, "archives")
+    top = path.removeprefix("file://")
+    os.makedirs(top, exist_ok=True)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out, part = io.BytesIO(), rows["doc_id"].iloc[0] // 100
+        end = (".zip", ".tar", ".tgz")[part % 3]
+        if end == ".zip":
+            with zipfile.ZipFile(out, "w") as z:
+                for i, said in zip(rows["doc_id"], rows["text"], strict=True):
+                    z.writestr(f"{i}.txt", said)
+        else:
+            with tarfile.open(fileobj=out, mode="w") as t:
+                for i, said in zip(rows["doc_id"], rows["text"], strict=True):
+                    info = tarfile.TarInfo(f"{i}.txt")
+                    info.size = len(said.encode())
+                    t.addfile(info, io.BytesIO(said.encode()))
+        with open(f"{top}/{rows['source'].iloc[0]}-{part}{end}", "wb") as f:
+            f.write(gzip.compress(out.getvalue()) if end == ".tgz" else out.getvalue())
+        return pd.DataFrame({"part": [part]})
+
+    d = table(spark, sf, "documents").select("source", "doc_id", "text")
+    d.groupBy("source", F.floor(F.col("doc_id") / 100)).applyInPandas(pack, "part long").count()
+    tree.register(spark)
+    found = archives.listed(spark.read.format("filetree").load(path), path, 1 << 30)
+    return found.select(F.decode("container", "utf-8").alias("container"), "member", "size", "kind")
+
+
 # --- Stateful events
 
 
