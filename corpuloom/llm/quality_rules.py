@@ -11,8 +11,8 @@ letters are one and with a wider cut: its words are no one's common words, and
 its script may be none of the references'. Too short texts are not judged by
 divergence: their histograms say little.
 
-Texts are read once: counts and histograms are written to the shared folder,
-some 500 bytes a document, and references and verdicts come from them.
+:func:`judge` reads texts once: counts and histograms are written to the shared
+folder, some 500 bytes a document, and references and verdicts come from them.
 """
 
 from __future__ import annotations
@@ -138,6 +138,16 @@ _HELD = {**dict.fromkeys((*_COUNTS, "n_chars"), ("long", pa.int64())), "classes"
 _PREFIX = "__rules_"
 
 
+def _held(texts: pa.Array) -> list[pa.Array]:
+    """The columns of :data:`_HELD` of some texts."""
+    rows = []
+    for text in texts:
+        text = text.as_py() or ""
+        *counts, words = base_counts(text)
+        rows.append((*counts, len(text), *(h.astype("<i4").tobytes() for h in histograms(text, words))))
+    return [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _HELD.values(), strict=True)]
+
+
 def counted(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
     """The ``carried`` columns of every row, and what the rules need of its text, written to the shared folder."""
     columns = [docs[c] for c in carried] + [docs[text_col].alias(f"{_PREFIX}text")]
@@ -147,13 +157,7 @@ def counted(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                rows = []
-                for text in part.column(len(carried)):
-                    text = text.as_py() or ""
-                    *counts, words = base_counts(text)
-                    rows.append((*counts, len(text), *(h.astype("<i4").tobytes() for h in histograms(text, words))))
-                made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _HELD.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], *made], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], *_held(part.column(len(carried)))], schema.names)
 
     return materialise(kept.mapInArrow(run, schema), "counts")
 
@@ -295,17 +299,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns, without a shuffle."""
-    rows = counted(docs, text_col, docs.columns)
-    by, place, width = judge_of(rows, lang_col), docs.columns.index(lang_col), len(docs.columns)
+    """The rows of ``docs`` that the rules keep, with all their columns, without a shuffle.
+
+    Texts are read twice, once for the references and once for the verdicts: to
+    keep them beside their counts would write the whole table once more.
+    """
+    by, text, lang = references(docs, text_col, lang_col), docs.columns.index(text_col), docs.columns.index(lang_col)
+    names = [_PREFIX + n for n in _HELD]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                kept = verdicts(by, part, part.column(place).cast(pa.string()).to_pylist())[6]
-                yield part.select(range(width)).filter(kept)
+                kept = verdicts(by, pa.RecordBatch.from_arrays(_held(part.column(text)), names), part.column(lang).cast(pa.string()).to_pylist())[6]
+                yield part.filter(kept)
 
-    return rows.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
