@@ -450,3 +450,14 @@ def next_at(now: Column, clock: str) -> Column:
     h, m, s = ([int(x) for x in clock.split(":")] + [0])[:3]
     today = F.timestamp_add("SECOND", F.lit(3600 * h + 60 * m + s), F.date_trunc("day", now))
     return F.when(today > now, today).otherwise(F.timestamp_add("DAY", F.lit(1), today))
+
+
+def migrated_head(content: Column) -> Column:
+    """A page whose head's first ``schema:`` line is ``schema_version:``, or is gone if the head has that key already; all other bytes stay. A page without a head or that key is as it was."""
+    head = r"(?s)\A(---\s*\n)(.*?)\n---\s*\n"
+    before, block = F.regexp_extract(content, head, 1), F.regexp_extract(content, head, 2)
+    renamed = F.regexp_replace(block, r"(?s)\A(.*?\n)??schema:", "$1schema_version:")
+    dropped = F.when(block.startswith("schema:"), F.regexp_replace(block, r"\Aschema:[^\n]*", "")).otherwise(F.regexp_replace(block, r"(?s)\A(.*?)\nschema:[^\n]*", "$1"))
+    made = F.when(block.rlike(r"(?:\A|\n)schema_version:"), dropped).otherwise(renamed)
+    rest = F.substr(content, F.length(before) + F.length(block) + 1)
+    return F.when(content.rlike(head) & block.rlike(r"(?:\A|\n)schema:"), F.concat(before, made, rest)).otherwise(content)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import binary, text
+from ..sources.commits import Table
 from . import nearjoin, paths, search
 
 # --- Fixed values. Kinds, states, and what a page's head may hold.
@@ -335,3 +336,11 @@ def described(rows: DataFrame, model_summaries: DataFrame | None = None) -> Data
         return own
     both = own.join(model_summaries, "path", "left")
     return both.withColumn("summary", F.coalesce(F.nullif(F.trim("said"), F.lit("")), F.col("summary"))).withColumn("keywords", F.coalesce("words", F.col("keywords"))).drop("said", "words")
+
+
+def migrate(pages: Table, content: str = "content") -> tuple[int, int]:
+    """Renames the old key in the heads of a committed table of pages: (version, pages changed). Pages that can't be read otherwise are reached too; without one to change there is no commit."""
+    new = pages.read().withColumn("__new", text.migrated_head(F.col(content))).where(F.col("__new") != F.col(content))
+    made = paths.written(new.drop(content).withColumnRenamed("__new", content), "migrated")
+    n = made.count()
+    return (pages.upsert(made), n) if n else (pages.log.latest(), 0)

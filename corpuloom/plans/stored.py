@@ -11,13 +11,14 @@ import io
 import os
 import tarfile
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import merkle, search, segments
-from ..sources import archives, tree
+from ..operators import merkle, search, segments, vault
+from ..sources import archives, files, tree
 from ..sources.commits import Table
 from ..streaming import stateful
 from .more import QUERIES, SQL
@@ -63,6 +64,56 @@ def snk_cache_put(spark, sf):
     return cache.read()
 
 
+def _heads(spark, sf) -> DataFrame:
+    """Documents as pages with heads of old and new keys, with both, with neither, and without a head."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    n = F.col("doc_id") % 5
+    keys = F.when(n == 0, "schema: 1\nkind: note").when(n == 1, "kind: note\nschema:\t2").when(n == 2, "kind: note\nschema_version: 3\nschema: 1").when(n == 3, "schema: 1\nschema_version: 3").otherwise("kind: note\nmyschema: 1")
+    page = F.concat(F.lit("---\nid: d"), F.col("doc_id").cast("string"), F.lit("\n"), keys, F.lit("\n---\n"), "text", F.lit("\nschema: of the body"))
+    return d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 11 == 7, F.concat(F.lit("schema: 1\n"), "text")).otherwise(page).alias("content"))
+
+
+@query(r"""WITH k AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, text, CASE doc_id % 5 WHEN 0 THEN 'schema_version: 1' || chr(10) || 'kind: note' WHEN 1 THEN 'kind: note' || chr(10) || 'schema_version:' || chr(9) || '2' WHEN 2 THEN 'kind: note' || chr(10) || 'schema_version: 3' WHEN 3 THEN 'schema_version: 3' ELSE 'kind: note' || chr(10) || 'myschema: 1' END AS keys FROM documents WHERE text IS NOT NULL)
+SELECT path, CASE WHEN doc_id % 11 = 7 THEN 'schema: 1' || chr(10) || text ELSE '---' || chr(10) || 'id: d' || doc_id || chr(10) || keys || chr(10) || '---' || chr(10) || text || chr(10) || 'schema: of the body' END AS content, doc_id % 11 <> 7 AND doc_id % 5 <> 4 AS changed FROM k""")
+def str_migrate_heads(spark, sf):
+    """STR-23, SNK-05: pages written with the old key's name in their heads, and written again where a migration changes them."""
+    pages = Table(spark, folder(spark, "pages"), "path string, content string", ["path"])
+    first = pages.upsert(_heads(spark, sf))
+    vault.migrate(pages)
+    old = pages.read(first).select("path", F.col("content").alias("was"))
+    return pages.read().join(old, "path").select("path", "content", (F.col("content") != F.col("was")).alias("changed"))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN source || '/x' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN source WHEN 4 THEN NULL ELSE 'y' END AS inside FROM documents")
+def src_contained(spark, sf):
+    """SRC-05: relative paths that stay within a tree, with what their dots come to, and those that don't."""
+    root, n = folder(spark, "root"), F.col("doc_id") % 6
+    top = os.path.realpath(root.removeprefix("file://"))
+    said = F.when(n == 0, F.concat("source", F.lit("/x"))).when(n == 1, F.concat(F.lit("../"), "source")).when(n == 2, F.concat(F.lit("/"), "source")).when(n == 3, F.concat("source", F.lit("/a/.."))).when(n == 4, F.concat(F.lit("c:"), "source")).otherwise(F.lit("a/../y"))
+    rows = tree.checked(table(spark, sf, "documents").select("doc_id", said.alias("said")), "said", root)
+    return rows.select("doc_id", F.expr(f"substring(real, {len(top) + 2})").alias("inside"))
+
+
+@query("SELECT 'p' || doc_id || '.md' AS path, 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'note' ELSE 'topic' END AS kind, 'Title of ' || doc_id AS title, lang || ' ' || source AS tags, (doc_id % 9)::INT AS version, replace(text, chr(13) || chr(10), chr(10)) AS body FROM documents WHERE doc_id % 140 <> 0")
+def src_pages(spark, sf):
+    """SRC-15: Markdown files with heads, one page each; a file without a kind is a fault and no page."""
+    path = folder(spark, "vault")
+    top = path.removeprefix("file://")
+    os.makedirs(top, exist_ok=True)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i, lang, source, said in frame.itertuples(index=False):
+                kind = "" if i % 140 == 0 else f"kind: {'note' if i % 2 == 0 else 'topic'}\n"
+                with open(f"{top}/p{i}.md", "w", encoding="utf-8", newline="") as f:
+                    f.write(f'---\nid: d{i}\n{kind}title: "Title of {i}"\ntags: [{lang}, {source}]\nversion: {i % 9}\n---\n{said}')
+            yield frame[["doc_id"]]
+
+    table(spark, sf, "documents").select("doc_id", "lang", "source", "text").mapInPandas(write, "doc_id long").count()
+    found, _ = files.pages(spark, path)
+    return found.select("path", "id", "kind", "title", F.concat_ws(" ", "tags").alias("tags"), "version", "body")
+
+
 # --- Indexes of segments
 
 

@@ -19,7 +19,8 @@ import os
 import stat
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from .. import schemas
@@ -46,6 +47,24 @@ def assert_outside(corpus: str, derived: str) -> None:
         raise ValueError(f"{derived} lies within {corpus}")
 
 
+def checked(rows: DataFrame, col: str, root: str) -> DataFrame:
+    """The rows with ``real``, the real path of a relative one below ``root``, null where that is refused."""
+    top, place = os.fsencode(root.removeprefix("file://")), rows.columns.index(col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for p in batch.column(place).to_pylist():
+                try:
+                    found.append(None if p is None else contained(top, os.fsencode(p)).decode("utf-8", "replace"))
+                except ValueError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "real"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, real string")
+
+
 class Folders(InputPartition):
     """Folders to list; of the deep ones also what lies below."""
 
