@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import replies
 from ..operators import merkle, search, segments, vault
 from ..sources import archives, files, tree
 from ..sources.commits import Table
@@ -94,6 +95,22 @@ def src_contained(spark, sf):
     return rows.select("doc_id", F.expr(f"substring(real, {len(top) + 2})").alias("inside"))
 
 
+@query("SELECT doc_id, doc_id % 4 IN (1, 3) AS outside FROM documents")
+def src_outside(spark, sf):
+    """SRC-07: places for derived data within the corpus they are derived from are refused, also by way of dots."""
+    corpus, n = F.concat(F.lit("/c/"), "source"), F.col("doc_id") % 4
+    place = F.when(n == 0, F.concat(corpus, F.lit("/derived"))).when(n == 1, F.concat(corpus, F.lit("-derived"))).when(n == 2, F.concat(F.lit("/d/../c/"), "source")).otherwise(F.concat(corpus, F.lit("/../other/"), "lang"))
+    return tree.outside(table(spark, sf, "documents").select("doc_id", corpus.alias("corpus"), place.alias("place")), "corpus", "place").select("doc_id", "outside")
+
+
+@query("""SELECT event_id, array_to_string(list_transform(range(9, -1, -1), lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', (((1700000000000 + event_id * 977) >> (5 * i)) & 31)::INT + 1, 1)), '') AS head , true AS valid, true AS again FROM events""")
+def hsh_ulid(spark, sf):
+    """HSH-09: ids that sort by their time, the same for the same row; the time's digits are the SQL's too."""
+    e = table(spark, sf, "events").select("event_id", (F.lit(1_700_000_000_000) + F.col("event_id") * 977).alias("t"))
+    made = e.withColumn("id", replies.ulid(F.col("t"), F.col("event_id").cast("string"))).withColumn("twin", replies.ulid(F.col("t"), F.col("event_id").cast("string")))
+    return made.select("event_id", F.left("id", F.lit(10)).alias("head"), F.col("id").rlike("^[0-9A-HJKMNP-TV-Z]{26}$").alias("valid"), (F.col("id") == F.col("twin")).alias("again"))
+
+
 @query("SELECT 'p' || doc_id || '.md' AS path, 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'note' ELSE 'topic' END AS kind, 'Title of ' || doc_id AS title, lang || ' ' || source AS tags, (doc_id % 9)::INT AS version, replace(text, chr(13) || chr(10), chr(10)) AS body FROM documents WHERE doc_id % 140 <> 0")
 def src_pages(spark, sf):
     """SRC-15: Markdown files with heads, one page each; a file without a kind is a fault and no page."""

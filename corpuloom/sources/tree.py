@@ -65,6 +65,28 @@ def checked(rows: DataFrame, col: str, root: str) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, real string")
 
 
+def outside(rows: DataFrame, corpus: str, derived: str) -> DataFrame:
+    """The rows with ``outside``: whether their place for derived data (column ``derived``) lies outside of their corpus; null where either is."""
+    at = [rows.columns.index(c) for c in (corpus, derived)]
+
+    def told(a: str | None, b: str | None) -> bool | None:
+        if a is None or b is None:
+            return None
+        try:
+            assert_outside(a, b)
+        except ValueError:
+            return False
+        return True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [told(a, b) for a, b in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], [*batch.schema.names, "outside"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, outside boolean")
+
+
 class Folders(InputPartition):
     """Folders to list; of the deep ones also what lies below."""
 
