@@ -169,3 +169,51 @@ def test_in_flight(spark):
     b = spark.sql("SELECT 1 AS k, TIMESTAMP '2024-01-01 00:10:00' AS ts")
     got = {r["k"]: r["ended"] is None for r in jobs.in_flight(a, b, ["k"]).collect()}
     assert got == {1: False, 2: True}
+
+
+def renamed(page):
+    """The head's old key renamed, or dropped where the new one is there, line by line."""
+    parts = page.split("\n")
+    if parts[0].rstrip() != "---" or "---" not in [p.rstrip() for p in parts[1:]]:
+        return page
+    end = next(i for i, p in enumerate(parts) if i and p.rstrip() == "---")
+    if end == len(parts) - 1 or end == 1:
+        return page
+    head = parts[1:end]
+    at = next((i for i, h in enumerate(head) if h.startswith("schema:")), None)
+    if at is None:
+        return page
+    if any(h.startswith("schema_version:") for h in head):
+        head = head[:at] + head[at + 1 :] if at else ["", *head[1:]]
+    else:
+        head[at] = "schema_version:" + head[at][len("schema:") :]
+    return "\n".join([parts[0], *head, *parts[end:]])
+
+
+def test_heads_are_migrated_and_nothing_else(spark, tmp_path):
+    import itertools
+
+    from corpuloom.functions import text
+    from corpuloom.operators import vault
+    from corpuloom.sources.commits import Table
+
+    lines = ["schema: 1", "schema:", "schema_version: 2", "kind: note", "myschema: 3"]
+    pages = ["---\n" + "\n".join(h) + "\n---\nschema: body\n" for n in (1, 2, 3) for h in itertools.permutations(lines, n)] + ["", "schema: 1", "---\nschema: 1", "--- \nschema: 1\n---\n", "x\n---\nschema: 1\n---\n"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i long, page string")
+    got = dict(df.select("i", text.migrated_head(F.col("page"))).collect())
+    assert {pages[i]: p for i, p in got.items()} == {p: renamed(p) for p in pages}
+    kept = Table(spark, f"file://{tmp_path}/p", "path string, content string", ["path"])
+    kept.upsert(spark.createDataFrame([("a", pages[0]), ("b", "none")], "path string, content string"))
+    assert vault.migrate(kept) == (2, 1) and vault.migrate(kept) == (2, 0)
+    assert {r["path"]: r["content"] for r in kept.read().collect()} == {"a": renamed(pages[0]), "b": "none"}
+
+
+def test_paths_are_checked_by_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    os.symlink("/etc", tmp_path / "in" / "out")
+    rows = spark.createDataFrame([("a/../b", 1), ("out/passwd", 2), ("/a", 3), (None, 4), ("c:x", 5), ("", 6)], "p string, real_ int")
+    got = {r["real_"]: r["real"] for r in tree.checked(rows, "p", str(tmp_path / "in")).collect()}
+    top = os.path.realpath(tmp_path / "in")
+    assert got == {1: top + "/b", 2: None, 3: None, 4: None, 5: None, 6: top}
+    pairs = spark.createDataFrame([("/c", "/c/d"), ("/c", "/cd"), ("/c", None), ("/c", "/c")], "a string, b string")
+    assert [r["outside"] for r in tree.outside(pairs, "a", "b").collect()] == [False, True, None, False]
