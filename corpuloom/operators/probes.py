@@ -68,10 +68,12 @@ def _plain(said: Column) -> Column:
 
 def needles(answers: DataFrame, tasks: DataFrame, by: str = "model") -> DataFrame:
     """(by, score, max_score, passed): 5 points for every task whose needle an answer holds, case, hyphens and white space aside; passed from two. Rows (by, task, answer) and (task, needle)."""
-    asked = answers.select(by).distinct().crossJoin(F.broadcast(tasks))  # tasks are a probe's few
-    met = asked.join(answers, [by, "task"], "left").withColumn("met", F.contains(_plain(F.col("answer")), _plain(F.col("needle"))))
-    right = F.count_if("met")
-    return met.groupBy(by).agg((5.0 * right).alias("score"), (5.0 * F.count(F.lit(1))).alias("max_score"), (right >= 2).alias("passed"))
+    met = answers.join(tasks, "task").groupBy(by).agg(
+        F.count_if(F.contains(_plain(F.col("answer")), _plain(F.col("needle")))).alias("right"), F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("asked"),
+    )
+    every = answers.select(by).distinct().join(met, by, "left").crossJoin(tasks.agg(F.count(F.lit(1)).alias("tasks")))  # one row
+    right, n, asked = (F.coalesce(c, F.lit(0)) for c in ("right", "n", "asked"))
+    return every.select(by, (5.0 * right).alias("score"), (5.0 * (n + F.col("tasks") - asked)).alias("max_score"), (right >= 2).alias("passed"))
 
 
 def subcalls(messages: DataFrame, by: str = "model") -> DataFrame:

@@ -126,11 +126,21 @@ def recovered(cells: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def retention(files: DataFrame, keep: int = 50, by: str | None = None, order: str = "mtime", name: str = "name") -> DataFrame:
-    """Files beyond the newest ``keep`` (of each ``by``, if named)."""
+    """Files beyond the newest ``keep`` (of each ``by``, if named). Without a key only the newest are ranked, ``keep`` rows; files alike in time and name to the last of these are kept with it."""
     from pyspark.sql import Window
 
-    w = (Window.partitionBy(by) if by else Window).orderBy(F.desc(order), name)
-    return files.withColumn("place", F.row_number().over(w)).where(F.col("place") > keep).drop("place")
+    if by is not None:
+        w = Window.partitionBy(by).orderBy(F.desc(order), name)
+        return files.withColumn("place", F.row_number().over(w)).where(F.col("place") > keep).drop("place")
+    newest = files.select(order, name).orderBy(F.desc(order), name).limit(keep).collect()
+    if len(newest) < keep:
+        return files.limit(0)
+    if not keep:
+        return files
+    at, last = newest[-1]
+    after = F.col(name).isNotNull() if last is None else F.coalesce(F.col(name) > last, F.lit(False))
+    beyond = F.col(order).isNull() & after if at is None else F.col(order).isNull() | (F.col(order) < at) | ((F.col(order) == at) & after)
+    return files.where(beyond)
 
 
 def selected(ranked: DataFrame, limit: int | None = None, cited_only: bool = False) -> DataFrame:

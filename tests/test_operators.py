@@ -264,3 +264,22 @@ def test_islands_and_recovery(spark):
     assert sorted((x["length"], x["first"]) for x in traces.islands(rows, "r", "turn", "failed").collect()) == [(1, 3), (2, 0)]
     assert traces.recovered(rows, "r").first()["recovered"] is True
     assert traces.recovered(rows.where("turn < 2"), "r").first()["recovered"] is False
+
+
+def test_retention_ranks_only_what_is_kept(spark):
+    rows = [(f"f{i}", float(i % 7) if i % 5 else None) for i in range(40)] + [(None, 3.0), (None, None)]
+    df = spark.createDataFrame(rows, "name string, mtime double")
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, r[0] or ""))
+    for keep in (0, 1, 9, 20, 35, 41, 42, 60):
+        got = [tuple(r) for r in traces.retention(df, keep).collect()]
+        assert sorted(got, key=str) == sorted(order[keep:], key=str), keep
+    assert "Window" not in traces.retention(df, 9)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_needles_count_every_task(spark):
+    from corpuloom.operators import probes
+
+    answers = spark.createDataFrame([("m", 1, "The-Needle"), ("m", 2, "none"), ("m", 2, "B b"), ("n", 9, "x"), ("o", 1, None)], "model string, task int, answer string")
+    tasks = spark.createDataFrame([(1, "needle"), (2, "bb"), (3, "c")], "task int, needle string")
+    got = sorted(map(tuple, probes.needles(answers, tasks).collect()))
+    assert got == [("m", 10.0, 20.0, True), ("n", 0.0, 15.0, False), ("o", 0.0, 15.0, False)]
