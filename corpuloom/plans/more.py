@@ -7,6 +7,7 @@ numbers, folders, links) is made from its rows by a rule that the SQL repeats.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
@@ -326,13 +327,13 @@ def mng_stop_reasons(spark, sf):
 
 
 @query("""WITH s AS (SELECT sha256(text) AS h, min(text) AS t FROM documents GROUP BY 1), k AS (SELECT sha256(h || chr(0) || '1' || chr(0)) AS key, h, t FROM s), c AS (SELECT sha256(sha256(text) || chr(0) || '1' || chr(0)) AS key FROM documents WHERE doc_id % 4 = 0)
-SELECT 'summarise' AS task, key, lower(substr(t, 1, 20)) AS text FROM k WHERE key NOT IN (SELECT key FROM c)""")
+SELECT 'summarise' AS task, key, md5(t) AS text FROM k WHERE key NOT IN (SELECT key FROM c)""")
 def jn_memo_dedup(spark, sf):
     """JN-22, HSH-04, HSH-05, SNK-03: each content that a cache lacks is derived once."""
     d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("source_hash"), F.col("text").alias("content"), "doc_id")
     key = binary.derivation_key(F.col("source_hash"), F.lit(mining.VERSION), F.lit(""))
     cache = d.where("doc_id % 4 = 0").select(F.lit("summarise").alias("task"), key.alias("key"))
-    return mining.derive(d, cache, lambda rows: rows.select("key", F.lower(F.substring("content", 1, 20)).alias("text")), "summarise")
+    return mining.derive(d, cache, lambda rows: rows.select("key", F.md5(F.col("content").cast("binary")).alias("text")), "summarise")
 
 
 @query("SELECT lang AS task, count(*) AS entries, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
@@ -1229,11 +1230,11 @@ def map_warnings(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat_ws(",", context.call_warnings(F.length("text"), 1000, F.lit(4000), 0.5)).alias("warned"))
 
 
-@query("SELECT doc_id, lower('Say ' || substr(text, 1, 12)) AS answer FROM documents")
+@query("SELECT doc_id, md5('Say ' || text) AS answer FROM documents")
 def map_query(spark, sf):
     """MAP-01, MAP-02, STM-10: a model asked once for each prompt, joined back to every row."""
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("text"))
-    return context.map_query(rows, "Say {text}", lambda prompts: [p.lower() for p in prompts]).select("doc_id", "answer")
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return context.map_query(rows, "Say {text}", lambda prompts: [hashlib.md5(p.encode()).hexdigest() for p in prompts]).select("doc_id", "answer")
 
 
 # --- Aliases
@@ -1263,11 +1264,11 @@ def ali_normal(spark, sf):
 
 
 def _live(spark, sf) -> DataFrame:
-    b = _bodies(spark, sf).where("p_partkey < 25")
+    b = _bodies(spark, sf).groupBy("body").agg(F.min("p_partkey").alias("p_partkey"))
     return b.select(F.concat("body", F.lit("-"), edit.check_symbol(F.col("body"))).alias("alias"), F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit("#L0-9")).alias("address"), "p_partkey")
 
 
-_LIVE = f"a AS (SELECT p_partkey, body || '-' || {_CHECKED} AS alias FROM (SELECT p_partkey, {_BODY} AS body FROM part WHERE p_partkey < 25))"
+_LIVE = f"a AS (SELECT p_partkey, body || '-' || {_CHECKED} AS alias FROM (SELECT min(p_partkey) AS p_partkey, {_BODY} AS body FROM part GROUP BY 2))"
 
 
 @query(f"WITH {_LIVE} SELECT lower(alias) AS written, 'normalised' AS status, alias, 'd' || p_partkey || '#L0-9' AS address FROM a UNION ALL SELECT alias, 'exact', alias, 'd' || p_partkey || '#L0-9' FROM a")
@@ -1278,11 +1279,11 @@ def ali_ladder(spark, sf):
     return aliases.resolve(asked, live).select("written", "status", "alias", "address")
 
 
-@query(f"WITH {_LIVE} SELECT p_partkey, 'see d' || p_partkey || '#L0-9 and ZZZ2-2.' AS text FROM a")
+@query(f"WITH {_LIVE} SELECT p_partkey, 'see d' || p_partkey || '#L0-9 and ZZQX7-2.' AS text FROM a")
 def ali_substitute(spark, sf):
     """ALI-04: aliases in texts replaced by what they mean; unknown ones stay."""
     live = _live(spark, sf)
-    return aliases.substitute(live.withColumn("said", F.concat(F.lit("see "), "alias", F.lit(" and ZZZ2-2."))), live, "p_partkey", "said").select("p_partkey", "text")
+    return aliases.substitute(live.withColumn("said", F.concat(F.lit("see "), "alias", F.lit(" and ZZQX7-2."))), live, "p_partkey", "said").select("p_partkey", "text")
 
 
 @query(f"""WITH {_LIVE}, w AS (SELECT 'no such ' || n_nationkey AS written, 'NOSUCH' || n_nationkey AS normal FROM nation), d AS (SELECT written, alias, row_number() OVER (PARTITION BY written ORDER BY levenshtein(normal, alias), alias) AS place FROM w, a)
