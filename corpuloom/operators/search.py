@@ -114,7 +114,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[Sequence
     if not phrases or any(len(p) > 1 for p in phrases):
         return bm25(*index(docs, id_col, text_col), phrases, every, keep)
     tokens = docs.select(docs[id_col].alias("doc"), text.tokens(F.coalesce(docs[text_col], F.lit(""))).alias("tokens"))
-    tf = F.array(*[F.size(F.filter("tokens", lambda x, t=p[0]: x == t)).cast("long") for p in phrases])
+    is_term = lambda t: lambda x: x == F.lit(t)
+    tf = F.array(*[F.size(F.filter("tokens", is_term(p[0]))).cast("long") for p in phrases])
     rows = tokens.select("doc", F.size("tokens").cast("long").alias("len"), tf.alias("tf")).repartition("doc")  # both uses read this exchange
     return _scored(rows, summary(rows), len(phrases), every, keep)
 
