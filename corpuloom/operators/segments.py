@@ -37,12 +37,18 @@ DOCS = search.DOCS
 _BLOCKS = "slice int, term string, n int, low int, high int, best_tf array<int>, best_len array<int>, at array<int>, docs array<{kind}>, lens array<int>, tfs array<int>, positions array<array<int>>"
 
 
-def frontier(tfs: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The (tf, length) pairs that no other pair has both a larger tf and a smaller length than."""
-    order = np.lexsort((-tfs, lens))
-    tfs, lens = tfs[order], lens[order]
-    best = np.maximum.accumulate(np.concatenate([[0], tfs[:-1]]))
-    return tfs[tfs > best], lens[tfs > best]
+def frontier(tfs: list[int], lens: list[int]) -> tuple[list[int], list[int]]:
+    """The (tf, length) pairs, in ascending order of length, that no other pair has both a larger tf and a smaller length than."""
+    best_tf: list[int] = []
+    best_len: list[int] = []
+    for tf, n in zip(tfs, lens, strict=True):
+        if not best_tf or tf > best_tf[-1]:
+            if best_len and best_len[-1] == n:
+                best_tf[-1] = tf
+            else:
+                best_tf.append(tf)
+                best_len.append(n)
+    return best_tf, best_len
 
 
 def _blocked(rows: DataFrame, kind: str) -> DataFrame:
@@ -52,44 +58,50 @@ def _blocked(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict = {}
         now: tuple | None = None
-        held: list[pa.RecordBatch] = []
-
-        def blocks(last: bool) -> Iterator[tuple]:
-            """The full blocks of the postings held, and what is left of them if they are the term's ``last``."""
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            n = table.num_rows if last else table.num_rows // BLOCK * BLOCK
-            for at in range(0, n, BLOCK):
-                part = table.slice(at, min(BLOCK, n - at))
-                docs, lens, tfs = part.column(2).to_pylist(), part.column(3).to_numpy(), part.column(4).to_numpy()
-                if now[1] == DOCS:
-                    place.update(zip(docs, range(len(place), len(place) + len(docs)), strict=True))
-                own = [place[d] for d in docs]
-                a, b = frontier(tfs, lens)
-                yield (*now, len(docs), own[0], own[-1], a.tolist(), b.tolist(), own, docs, lens.tolist(), tfs.tolist(), part.column(5).to_pylist())
-            held[:] = [table.slice(n)] if n < table.num_rows else []
-
-        schema = pa.schema([("slice", pa.int32()), ("term", pa.string()), *[(c, pa.int32()) for c in ("n", "low", "high")], *[(c, pa.list_(pa.int32())) for c in ("best_tf", "best_len", "at")]])
+        held: list[list] = [[], [], [], []]  # docs, lens, tfs and positions of the term, less than a block of them between batches
+        found: list[tuple] = []
+
+        def block(n: int) -> None:
+            docs, lens, tfs, positions = (h[:n] for h in held)
+            for h in held:
+                del h[:n]
+            if now[1] == DOCS:
+                place.update(zip(docs, range(len(place), len(place) + n), strict=True))
+            own = [place[d] for d in docs]
+            found.append((*now, n, own[0], own[-1], *frontier(tfs, lens), own, docs, lens, tfs, positions))
+
+        def made(kind: pa.DataType) -> pa.RecordBatch:
+            ints = pa.list_(pa.int32())
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), ints, ints, ints, pa.list_(kind), ints, ints, pa.list_(ints)]
+            names = ["slice", "term", "n", "low", "high", "best_tf", "best_len", "at", "docs", "lens", "tfs", "positions"]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+            found.clear()
+            return batch
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            schema_ = pa.schema([*schema, ("docs", pa.list_(batch.schema.field("doc").type)), ("lens", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))])
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            found, begin = [], 0
+            columns, begin = [batch.column(i).to_pylist() for i in range(2, 6)], 0
+            id_kind = batch.schema.field(2).type
             for i in [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]:
                 if keys[begin] != now:
-                    if held:
-                        found.extend(blocks(True))
+                    if held[0]:
+                        block(len(held[0]))
                     if now is None or keys[begin][0] != now[0]:
                         place.clear()
                     now = keys[begin]
-                held.append(batch.slice(begin, i - begin))
-                if sum(b.num_rows for b in held) >= BLOCK:
-                    found.extend(blocks(False))
+                for h, c in zip(held, columns, strict=True):
+                    h.extend(c[begin:i])
+                while len(held[0]) >= BLOCK:
+                    block(BLOCK)
                 begin = i
             if found:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema_.names, f, strict=True)) for f in found], schema_)
-        if held:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema_.names, f, strict=True)) for f in blocks(True)], schema_)
+                yield made(id_kind)
+        if held[0]:
+            block(len(held[0]))
+        if found:
+            yield made(id_kind)
 
     return rows.mapInArrow(run, _BLOCKS.format(kind=kind))
 
