@@ -107,6 +107,17 @@ def test_sniff_and_decode_columns(spark):
     assert [r["t"] for r in got] == ["%PDF-1", "é", "x"]
 
 
+@pytest.mark.parametrize("ends", ["é", "€", "😀"])
+def test_a_character_across_the_end_of_what_is_sniffed_is_text(spark, ends):
+    n = len(ends.encode())
+    whole = [(b"a" * (binary.SNIFF_BYTES - k) + ends.encode() + b" and more",) for k in range(n + 1)]
+    rows = [*whole, (b"a" * (binary.SNIFF_BYTES - 1) + ends.encode()[:1],), (b"a" * (binary.SNIFF_BYTES - 2) + b"\xe9a" + ends.encode(),)]
+    df = spark.createDataFrame([(i, bytearray(d)) for i, (d,) in enumerate(rows)], "i int, d binary")
+    got = [tuple(r["s"]) for r in df.select("i", binary.sniff(F.col("d")).alias("s")).sort("i").collect()]
+    assert got[: n + 1] == [("text", "utf-8")] * (n + 1)
+    assert all(g != ("text", "utf-8") for g in got[n + 1 :])  # a character that the file itself breaks off, and a wrong one before the end
+
+
 def slow_one_edit(a, b):
     if a == b:
         return False
