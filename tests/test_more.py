@@ -74,3 +74,14 @@ def test_next_at(spark):
     now = F.lit("2024-01-01 10:30:00").cast("timestamp")
     got = spark.range(1).select(text.next_at(now, "11:00").alias("a"), text.next_at(now, "10:30:00").alias("b")).first()
     assert (got["a"], got["b"]) == (datetime(2024, 1, 1, 11), datetime(2024, 1, 2, 10, 30))
+
+
+def test_a_note_last_read_now_is_touched_only_if_returned(spark, tmp_path):
+    from corpuloom.plans.more import _NOW
+    from corpuloom.plans.stored import QUERIES
+
+    n = int(_NOW // 3600)  # this page's own last access is the query's now
+    rows = [(n, "no word of the search", "en", "s", 21)] + [(i, "ble ly " + "x " * (i % 7), "en", "s", 10) for i in range(1, 9)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["path"]: (r["access_count"], r["now"]) for r in QUERIES["mem_touched"](spark, str(tmp_path)).collect()}
+    assert got[f"notes/page-{n}.md"] == (0, False) and sum(now for _, now in got.values()) == 5
