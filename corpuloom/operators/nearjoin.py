@@ -1,9 +1,8 @@
-"""Similarity joins by equal keys: strings one edit apart, nearest codes, alike titles.
+"""Similarity joins: strings one edit apart, nearest codes, alike titles.
 
-None of them pairs all with all. Strings one edit apart share a variant with one
-character left out; the nearest codes are found in a trie whose branches have
-bounds; titles that are alike share one of the rarest letters that a bound on
-their likeness leaves.
+Strings one edit apart share a variant with one character left out; the nearest
+codes are found in a trie whose branches have bounds; titles meet in blocks,
+where two bounds on their likeness leave few pairs to compare.
 """
 
 from __future__ import annotations
@@ -162,25 +161,96 @@ def alike(newer: str, older: str, threshold: float) -> bool:
     return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
-def alike_pairs(titles: DataFrame, by: str, threshold: float) -> DataFrame:
-    """(by, older, newer): pairs of distinct titles (by, title, place) of a group whose likeness, the newer first, reaches ``threshold``; ``place`` counts from the newest."""
-    kind = titles.schema[by].dataType.simpleString()
+#: Titles of a block, letters of a title that are compared bit by bit, and the commonest letters and (letter, occurrence) pairs that have columns of their own.
+SIDE, BITS, LETTERS, COLUMNS = 2048, 64, 255, 1024
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = pa.array([rarest(t, threshold) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["g", "title", "place", "letters"])
 
-    rows = titles.select(F.col(by).alias("g"), "title", "place").mapInArrow(cut, f"g {kind}, title string, place long, letters array<string>").withColumn("n", F.length("title"))
-    keyed = rows.select("g", "title", "place", "n", F.explode("letters").alias("letter"))
-    a, b = (keyed.select(F.col("g").alias("g"), "letter", *[F.col(c).alias(f"{c}{i}") for c in ("title", "place", "n")]) for i in (1, 2))
-    same = a.join(b, ["g", "letter"]) if a.schema["g"].nullable is False else a.join(b, a["g"].eqNullSafe(b["g"]) & (a["letter"] == b["letter"])).drop(b["g"]).drop(b["letter"])
-    most = (2 - threshold) / threshold * 1.000001
-    met = same.where((F.col("place1") < F.col("place2")) & (F.col("n1") <= most * F.col("n2")) & (F.col("n2") <= most * F.col("n1"))).select("g", "title1", "place1", "title2", "place2").distinct()
+class _Titles:
+    """What bounds the likeness of titles from above: which letters each has, with repeats, and where.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [alike(x, y, threshold) for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 4, 2])
+    Letters and pairs beyond the commonest have no column: a pair without one
+    counts as shared as often as both titles have such, and letters without one
+    count as equal, so no bound falls below the likeness.
+    """
+
+    def __init__(self, titles: list[str]) -> None:
+        count = Counter(c for t in titles for c in t[:BITS])
+        own = {c: i for i, (c, _) in enumerate(count.most_common(LETTERS))}
+        self.lens = np.array([len(t) for t in titles], np.int64)
+        self.codes = np.full((len(titles), BITS), LETTERS + 1, np.int64)  # the last is past the end and equals nothing
+        self.masks = np.zeros((len(titles), LETTERS + 2), np.uint64)
+        pairs = []
+        for i, t in enumerate(titles):
+            at = [own.get(c, LETTERS) for c in t[:BITS]]
+            self.codes[i, : len(at)] = at
+            np.bitwise_or.at(self.masks[i], at, np.uint64(1) << np.arange(len(at), dtype=np.uint64))
+            pairs.append([(c, k) for c, n in Counter(t).items() for k in range(n)])
+        place = {x: i for i, (x, _) in enumerate(Counter(x for p in pairs for x in p).most_common(COLUMNS))}
+        self.has = np.zeros((len(titles), len(place)), np.float32)
+        for i, p in enumerate(pairs):
+            self.has[i, [place[x] for x in p if x in place]] = 1
+        self.rest = self.lens - self.has.sum(1).astype(np.int64)
+
+    def least(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Letters that alike titles have in common: ratio is twice these by both lengths."""
+        return np.ceil(threshold * (self.lens[a] + self.lens[b]) / 2 - 1e-9)
+
+    def share(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of ``a`` and ``b`` whose letters may suffice, whatever their order."""
+        met = self.has[a] @ self.has[b].T + np.minimum(self.rest[a][:, None], self.rest[b][None, :])
+        x, y = np.nonzero(met >= self.least(a[:, None], b[None, :], threshold))
+        return a[x], b[y]
+
+    def follow(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs' letters may suffice in their order: difflib's matching blocks are a common subsequence.
+
+        Its length comes from one step a letter of b with a bit a letter of a,
+        and letters from the 65th on count as common. Pairs that what is
+        left of b can't save are dropped on the way.
+        """
+        past = np.maximum(self.lens - BITS, 0)
+        need = self.least(a, b, threshold) - past[a] - past[b]
+        alive, v = np.arange(len(a)), np.full(len(a), ~np.uint64(0))
+        most = int(min(BITS, self.lens[b].max(initial=0)))
+        for i in range(most):
+            u = v & self.masks[a[alive], self.codes[b[alive], i]]
+            v = (v + u) | (v - u)
+            if i % 8 == 7 or i == most - 1:
+                left = np.maximum(np.minimum(self.lens[b[alive]], BITS) - i - 1, 0)
+                good = np.bitwise_count(~v) + left >= need[alive]
+                alive, v = alive[good], v[good]
+        return alive if most else alive[need <= 0]
 
-    return met.mapInArrow(check, f"g {kind}, place2 long, place1 long").select(F.col("g").alias(by), F.col("place2").alias("older"), F.col("place1").alias("newer"))
+
+def alike_pairs(titles: DataFrame, by: str, threshold: float) -> DataFrame:
+    """(by, older, newer): pairs of distinct titles (by, title, place) of a group whose likeness, the newer first, reaches ``threshold``; ``place`` counts from the newest.
+
+    Titles of a few dozen letters share some of their rarest with nearly all
+    others, so a join on letters keeps nearly all pairs. Blocks of :data:`SIDE`
+    titles meet instead, each pair of blocks in a task's memory: two bounds
+    (:class:`_Titles`) leave few pairs for difflib. The pairs that are bounded
+    grow with the square of a group's distinct titles.
+    """
+    kind = titles.schema[by].dataType.simpleString()
+    rows = titles.select(F.col(by).alias("g"), "title", "place", F.floor(F.col("place") / SIDE).cast("long").alias("block"))
+    last = rows.groupBy(F.col("g").alias("h")).agg(F.max("block").alias("last"))
+    met = rows.join(last, F.col("g").eqNullSafe(F.col("h"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    keys = ["g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    n = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes of much work would be put together
+    met = met.select(*keys, "title", "place", "block").repartition(n, "g", "i", "j")
+
+    def check(part: pa.Table) -> pa.Table:
+        part = part.sort_by("place")
+        said, place, block = part.column("title").to_pylist(), part.column("place").to_numpy(), part.column("block").to_numpy()
+        all_ = _Titles(said)
+        one, two = (np.flatnonzero(block == part.column(c)[0].as_py()) for c in ("i", "j"))
+        found: list[tuple[int, int]] = []
+        for at in range(0, len(one), 256):
+            a, b = all_.share(one[at : at + 256], two, threshold)
+            a, b = a[a < b], b[a < b]
+            good = all_.follow(a, b, threshold)
+            found.extend((p, q) for p, q in zip(a[good].tolist(), b[good].tolist(), strict=True) if alike(said[p], said[q], threshold))
+        older, newer = ([int(place[f[k]]) for f in found] for k in (1, 0))
+        return pa.table({"g": part.column("g").take(pa.array([0] * len(found), pa.int64())), "older": pa.array(older, pa.int64()), "newer": pa.array(newer, pa.int64())})
+
+    return met.groupBy("g", "i", "j").applyInArrow(check, f"g {kind}, older long, newer long").select(F.col("g").alias(by), "older", "newer")

@@ -178,3 +178,40 @@ def test_prefixes_of_alike_titles_meet():
             like = SequenceMatcher(None, a, b).ratio() >= t
             assert nearjoin.alike(a, b, t) == like
             assert not like or a == b or set(nearjoin.rarest(a, t)) & set(nearjoin.rarest(b, t))
+
+
+@pytest.mark.parametrize(("letters", "columns"), [(255, 1024), (4, 9)])
+def test_bounds_of_titles_lose_no_alike_pair(monkeypatch, letters, columns):
+    import numpy as np
+
+    monkeypatch.setattr(nearjoin, "LETTERS", letters)
+    monkeypatch.setattr(nearjoin, "COLUMNS", columns)
+    r = random.Random(letters)
+    titles = ["", "x", "é" * 70]
+    for n in (8, 30, 63, 64, 65, 90):
+        for _ in range(12):
+            t = [r.choice("aaabcdé ") for _ in range(n)]
+            titles.append("".join(t))
+            for _ in range(r.randrange(n // 3)):
+                t[r.randrange(n)] = r.choice("abñz")
+            titles.append("".join(t))
+    titles = sorted(set(titles))
+    for threshold in (0.3, 0.85, 1.0):
+        held, all_ = nearjoin._Titles(titles), np.arange(len(titles))
+        a, b = held.share(all_, all_, threshold)
+        good = held.follow(a, b, threshold)
+        left = set(zip(a[good].tolist(), b[good].tolist(), strict=True))
+        assert {(i, j) for i in all_ for j in all_ if nearjoin.alike(titles[i], titles[j], threshold)} <= left
+
+
+def test_bounds_of_titles_leave_few_pairs_of_prose():
+    import numpy as np
+
+    r = random.Random(5)
+    parts = "the of and ing tion er ha on ou re ent ly ble at is th ed".split()
+    titles = sorted({"".join(r.choice(parts) + r.choice(["", " "]) for _ in range(30))[:60] for _ in range(600)})
+    held, all_ = nearjoin._Titles(titles), np.arange(len(titles))
+    a, b = held.share(all_, all_, 0.85)
+    keep = a < b
+    left = len(held.follow(a[keep], b[keep], 0.85))
+    assert left <= len(titles)  # of 180,000 pairs, nearly all of which share one of their rarest letters
