@@ -6,6 +6,10 @@ before a row's time is told first, so that results do not depend on how rows fal
 into batches; a timer tells it once no row comes any more. The session must keep
 states in RocksDB (:func:`store_states`). Late rows, behind the watermark, are
 dropped by Spark.
+
+A table is one batch without timers: Spark sorts its rows by key and time, and
+the same steps are taken row by row, so a task holds one key's state and no
+key's rows.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,7 +42,6 @@ class _Processor(StatefulProcessor):
     """Rows carry ``millis``, their time, and ``n``, their order among equal times."""
 
     schema = ""
-    timed = True  # a table has no timers: what would come after a key's last row isn't told
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -62,9 +66,9 @@ class _Processor(StatefulProcessor):
 
     def _keep(self, held: tuple | None, old: int | None) -> None:
         due = self.due(held)
-        if self.timed and old is not None and old != due:
+        if old is not None and old != due:
             self.handle.deleteTimer(old)
-        if self.timed and due is not None and due != old:
+        if due is not None and due != old:
             self.handle.registerTimer(due)
         if held is None:
             self.state.clear()
@@ -86,14 +90,43 @@ class _Processor(StatefulProcessor):
         pass
 
 
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def _run(rows: DataFrame, keys: list[str], processor: _Processor, out: str, ts: str, delay: str, order: str | None) -> DataFrame:
     rows = rows.withColumn("millis", F.unix_millis(F.col(ts).cast("timestamp"))).withColumn("n", F.lit(0).cast("long") if order is None else F.col(order).cast("long"))
-    rows = rows.where(F.col("millis").isNotNull()).withWatermark(ts, delay) if rows.isStreaming else rows.where(F.col("millis").isNotNull())
-    processor.timed = rows.isStreaming
-    told = rows.groupBy(*keys).transformWithState(processor, out, "Append", "EventTime" if rows.isStreaming else "None")
+    rows = rows.where(F.col("millis").isNotNull())
+    if rows.isStreaming:
+        told = rows.withWatermark(ts, delay).groupBy(*keys).transformWithState(processor, out, "Append", "EventTime")
+    else:
+        told = _ordered(rows.drop(ts), keys, processor, out)
     return told.withColumn("at", F.timestamp_millis("millis")).drop("millis")
 
 
+def _ordered(rows: DataFrame, keys: list[str], processor: _Processor, out: str) -> DataFrame:
+    """What a processor tells of a table's rows, by key and in the order of their times."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes of much work would be put together
+    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys, "millis", "n")
+    schema = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in out.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            told: list[Row] = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != now:
+                    now, held = key, None
+                held, rows_ = processor.late(key, held, row["millis"])
+                told += rows_
+                held, rows_ = processor.step(key, held, row)
+                told += rows_
+            if told:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), schema.types, strict=True)], schema=schema)
+
+    return dealt.mapInArrow(run, out)
+
+
 # --- The work queue
 
 

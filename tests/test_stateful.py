@@ -110,3 +110,24 @@ def test_cells_are_stopped_or_extended(spark, tmp_path, batches):
     late = [[{"run": "last", "cell": i, "event": "result", "at": 9000 + 9 * i, "n": 99}] for i in range(2)]
     got = streamed(spark, tmp_path, [*cut(rows, 3, batches), *late], CELL, lambda e: stateful.cells(e, delay="0 seconds", order="n"))
     assert sorted((x["cell"], x["event"], x["requests"], x["seconds"], x["t"]) for x in got if x["run"] == "r") == sorted(want, key=lambda x: (x[0], x[1]))
+
+
+def test_a_table_is_taken_row_by_row(spark):
+    """A key's rows are sorted by Spark, not held by a task, and nothing is kept in a state store."""
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], "vw"[i % 3 % 2], ("acquire", "beat", "release")[i * 5 % 3], START + timedelta(seconds=i * 97 % 4001), i) for i in range(400)]
+    events = spark.createDataFrame(rows, "lock string, worker string, event string, at timestamp, n long")
+    found = stateful.locks(events, order="n")
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "TransformWithState" not in plan
+    want = []
+    for lock in ("a", "b", None):
+        held, step = None, stateful._Lock(stateful.STALE_SECONDS)
+        for r in sorted((r for r in rows if r[0] == lock), key=lambda r: r[3:]):
+            row = {"worker": r[1], "event": r[2], "millis": stateful._millis(r[3])}
+            held, told = step.late((lock,), held, row["millis"])
+            want += told
+            held, told = step.step((lock,), held, row)
+            want += told
+    got = sorted((repr(r["lock"]), r["worker"], r["event"], stateful._millis(r["at"])) for r in found.collect())
+    assert got == sorted((repr(r["lock"]), r["worker"], r["event"], r["millis"]) for r in want)
+    assert stateful.locks(events.limit(0), order="n").count() == 0
