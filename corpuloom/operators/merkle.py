@@ -39,11 +39,12 @@ def folders(entries: DataFrame) -> DataFrame:
     ``folder`` is the path's bytes, a character each, '' for the root; a
     folder's time counts in no digest, its own name in its parent's. Two
     shuffles, whatever the depth: entries are added up by folder, folders by
-    each folder that they lie in.
+    each folder that they lie in. The entries' digests are made once, when this
+    is called.
     """
     limbs = binary.entry_limbs("raw", "kind", "size", "mtime")
     rows = entries.select(_parent(_name(F.col("raw"))).alias("folder"), limbs.alias("d")).select("folder", F.array(*[F.col(f"d.l{i}") for i in range(8)]).alias("limbs"))
-    own = _combined(rows, "folder", F.col("limbs"))
+    own = paths.written(_combined(rows, "folder", F.col("limbs")), "folders")  # read thrice below
     empty = entries.where("kind = 'dir'").select(_name(F.col("raw")).alias("folder")).join(own.select("folder"), "folder", "left_anti").distinct()
     own = own.unionByName(empty.select("folder", F.lit(0).cast("long").alias("n"), F.lit("").alias("digest")))
     parts = F.split("folder", "/")
@@ -61,7 +62,7 @@ def unequal(a: DataFrame, b: DataFrame) -> tuple[DataFrame, int]:
     above; a tree of depth d takes d + 1 of them. Folders with equal digests are
     not gone into.
     """
-    left, right = (t.select(F.col("folder").alias(f"f{s}"), F.col("parent").alias(f"p{s}"), F.col("own").alias(f"o{s}"), F.col("tree").alias(f"t{s}")) for t, s in ((a, "1"), (b, "2")))
+    left, right = (t.select(F.col("folder").alias(f"f{s}"), F.col("parent").alias(f"p{s}"), F.col("own").alias(f"o{s}"), F.col("tree").alias(f"t{s}")) for t, s in ((paths.written(a, "folders"), "1"), (paths.written(b, "folders"), "2")))  # each level reads them
     found, read = [], 0
     at = a.sparkSession.createDataFrame([(None,)], "at string")
     while True:

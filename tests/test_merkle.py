@@ -88,3 +88,8 @@ def test_filters_prune_folders(spark, tmp_path):
         assert {x["path"] for x in entries.where(where).collect()} == {path(x) for x in every if keep(path(x))}
     kinds = spark.read.format("filetree").option("content", "true").load(root).where("kind = 'file'")
     assert {x["content"].decode() for x in kinds.collect()} == {a + b + c for a in ("a", "b", "ba") for b in "xy" for c in "12"}
+
+
+def test_levels_read_folders_and_make_no_digest_again(spark, tmp_path):
+    rows = spark.createDataFrame([(bytearray(f"t/{i % 3}/{i}".encode()), f"t/{i % 3}/{i}", "file", i, 1.0) for i in range(30)], "raw binary, path string, kind string, size long, mtime double")
+    assert "ArrowEvalPython" not in merkle.folders(rows)._jdf.queryExecution().optimizedPlan().toString()
