@@ -341,6 +341,7 @@ def described(rows: DataFrame, model_summaries: DataFrame | None = None) -> Data
 def migrate(pages: Table, content: str = "content") -> tuple[int, int]:
     """Renames the old key in the heads of a committed table of pages: (version, pages changed). Pages that can't be read otherwise are reached too; without one to change there is no commit."""
     new = pages.read().withColumn("__new", text.migrated_head(F.col(content))).where(F.col("__new") != F.col(content))
-    made = paths.written(new.drop(content).withColumnRenamed("__new", content), "migrated")
-    n = made.count()
-    return (pages.upsert(made), n) if n else (pages.log.latest(), 0)
+    if not new.limit(1).count():
+        return pages.log.latest(), 0
+    version = pages.upsert(new.drop(content).withColumnRenamed("__new", content), unique=True)
+    return version, pages.own(version).count()

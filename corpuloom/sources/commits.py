@@ -135,11 +135,14 @@ class Table:
         self.stored = StructType([*self.schema.fields]).add("__gone", "boolean")
         self.log = Log(spark, path)
 
-    def _write(self, rows: DataFrame, gone: Column) -> str:
-        """A part of the rows, one a key: of several the largest."""
+    def _write(self, rows: DataFrame, gone: Column, unique: bool = False) -> str:
+        """A part of the rows, one a key: of several the largest. ``unique`` rows repeat no key and are not shuffled."""
         name = uuid.uuid4().hex
         rest = [f.name for f in self.schema.fields if f.name not in self.key]
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields], gone.alias("__gone"))
+        if unique:
+            rows.select(self.stored.names).write.parquet(f"{self.path}/parts/{name}")
+            return name
         once = rows.groupBy(*self.key).agg(F.max(F.struct(*[F.col(c) for c in (*rest, "__gone")])).alias("__row"))
         once.select(*self.key, "__row.*").select(self.stored.names).write.parquet(f"{self.path}/parts/{name}")
         return name
@@ -154,6 +157,8 @@ class Table:
         return read.withColumn("__seq", seq.cast("long"))
 
     def _merged(self, parts: list[dict]) -> DataFrame:
+        if len(parts) == 1:  # a part has a row a key: nothing to merge, nothing to shuffle
+            return self._parts(parts).where("NOT __gone").select(self.schema.names)
         rest = [c for c in self.stored.names if c not in self.key]
         latest = self._parts(parts).groupBy(*self.key).agg(F.max_by(F.struct(*rest), "__seq").alias("__row"))
         return latest.select(*self.key, "__row.*").where("NOT __gone").select(self.schema.names)
@@ -174,14 +179,19 @@ class Table:
 
         return self.log.commit(change)
 
-    def upsert(self, rows: DataFrame, since: int | None = None) -> int:
+    def own(self, version: int) -> DataFrame:
+        """The rows that a version's upsert brought."""
+        return self._parts([p for p in self.log.state(version)[1]["parts"] if p["seq"] == version]).where("NOT __gone").select(self.schema.names)
+
+    def upsert(self, rows: DataFrame, since: int | None = None, unique: bool = False) -> int:
         """Commits rows by their keys and gives the version.
 
         Concurrent upserts all hold, in the order of their versions. With
         ``since``, the version that the rows were made from, :class:`Conflict`
-        is raised if one of their keys was written after it.
+        is raised if one of their keys was written after it. ``unique`` says
+        that no key repeats, as in what :meth:`read` gives.
         """
-        return self._put(self._write(rows, F.lit(False)), since)
+        return self._put(self._write(rows, F.lit(False), unique), since)
 
     def delete(self, keys: DataFrame, since: int | None = None) -> int:
         """Commits that rows of these keys are gone."""

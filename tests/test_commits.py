@@ -210,3 +210,19 @@ def test_string_ids_and_odd_tables(spark, tmp_path):
     assert index.add(spark.createDataFrame([], "id string, text string"), "id", "text") == 1
     keep = spark.createDataFrame([("b/x.txt",)], "doc string")
     assert [r["doc"] for r in index.search([["cat"]], True, keep=keep).collect()] == ["b/x.txt"]
+
+
+def test_a_single_part_and_unique_rows_are_not_shuffled(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "single"), "k string, v string", ["k"])
+    first = t.upsert(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), (None, "4")], "k string, v string"))
+    one = t.read(first)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"] or "", r["v"]) for r in one.collect()) == [("", "4"), ("a", "2"), ("b", "3")]
+    second = t.upsert(one.where("k = 'b'").withColumn("v", F.lit("5")), unique=True)
+    assert [tuple(r) for r in t.own(second).collect()] == [("b", "5")]
+    t.delete(spark.createDataFrame([("a",)], "k string"))
+    t.compact()
+    assert sorted((r["k"] or "", r["v"]) for r in t.read().collect()) == [("", "4"), ("b", "5")]
+    gone = Table(spark, str(tmp_path / "gone"), "k string, v string", ["k"])
+    gone.delete(spark.createDataFrame([("a",)], "k string"))
+    assert gone.read().count() == 0
