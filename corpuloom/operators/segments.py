@@ -22,93 +22,217 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, text
 from ..sources.commits import Conflict, Log
 from . import search
 
 #: Documents of a slice at most, slices of a segment at least, and postings of a block.
 SLICE_DOCS, MIN_SLICES, BLOCK = 16_384, 8, 128
+#: Tokens that are inverted at a time, and partitions for each slice: few slices share one.
+TOKENS, SPREAD = 1 << 21, 4
 #: Segments of one tier that are merged into one, and how many times larger the next tier is.
 FANOUT, TIER = 4, 10
 DOCS = search.DOCS
 _BLOCKS = "slice int, term string, n int, low int, high int, best_tf array<int>, best_len array<int>, at array<int>, docs array<{kind}>, lens array<int>, tfs array<int>, positions array<array<int>>"
-
-
-def frontier(tfs: list[int], lens: list[int]) -> tuple[list[int], list[int]]:
-    """The (tf, length) pairs, in ascending order of length, that no other pair has both a larger tf and a smaller length than."""
-    best_tf: list[int] = []
-    best_len: list[int] = []
-    for tf, n in zip(tfs, lens, strict=True):
-        if not best_tf or tf > best_tf[-1]:
-            if best_len and best_len[-1] == n:
-                best_tf[-1] = tf
-            else:
-                best_tf.append(tf)
-                best_len.append(n)
-    return best_tf, best_len
-
-
-def _blocked(rows: DataFrame, kind: str) -> DataFrame:
-    """Blocks of rows (slice, term, doc, len, tf, positions), documents as postings of the empty term."""
-    rows = rows.select("slice", "term", "doc", "len", "tf", "positions").repartition("slice").sortWithinPartitions("slice", "term", "len", "doc")
+_RUNS = "slice int, term string, part int, docs array<{kind}>, lens array<int>, at array<int>, tfs array<int>, places array<int>"
+
+
+def _ends(changes: np.ndarray, n: int) -> np.ndarray:
+    """Where runs of equal rows begin, and the end, of n rows of which ``changes`` tells whether each but the first differs from the one before it."""
+    return np.r_[0, np.flatnonzero(changes) + 1, n].astype(np.int64)
+
+
+def _listed(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
+def _inverted(part: pa.RecordBatch, base: int) -> Iterator[pa.RecordBatch]:
+    """Postings by term of rows (slice, doc, len, said: tokens between spaces) of one slice, of which the first is its ``base``-th document; the documents themselves as the empty term."""
+    docs, lens = part.column(1), part.column(2).to_numpy()
+    n, ints, own = part.num_rows, lambda x: pa.array(x.astype(np.int32)), part.column(0)[0].as_py()
+
+    def runs(terms: pa.Array, ends: np.ndarray, of: np.ndarray, tfs: np.ndarray, place_ends: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        same = [pa.array(np.full(len(terms), x, np.int32)) for x in (own, base)]
+        lists = [_listed(ends, x) for x in (docs.take(pa.array(of)), ints(lens[of]), ints(base + of), ints(tfs))]
+        return pa.RecordBatch.from_arrays([same[0], terms, same[1], *lists, _listed(place_ends, ints(places))], ["slice", "term", "part", "docs", "lens", "at", "tfs", "places"])
+
+    yield runs(pa.array([DOCS], pa.string()), np.array([0, n]), np.arange(n), np.ones(n), np.zeros(2), np.empty(0))
+    words = pc.split_pattern(part.column(3), " ").flatten().dictionary_encode()
+    size = np.maximum(lens, 1).astype(np.int64)  # an empty text splits into one empty string
+    of = np.repeat(np.arange(n), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    code = words.indices.to_numpy()
+    code = code.astype(np.uint16) if len(words.dictionary) <= 1 << 16 else code  # short integers are sorted by their digits
+    if not lens.all():
+        of, at, code = (x[np.repeat(lens > 0, size)] for x in (of, at, code))
+    if not len(of):
+        return
+    order = np.argsort(code, kind="stable")
+    of, at, code = of[order], at[order], code[order]
+    first = _ends((code[1:] != code[:-1]) | (of[1:] != of[:-1]), len(of))
+    of, code = of[first[:-1]], code[first[:-1]]
+    ends = _ends(code[1:] != code[:-1], len(code))
+    yield runs(words.dictionary.take(pa.array(code[ends[:-1]])).cast(pa.string()), ends, of, np.diff(first), first[ends], at)
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str, slices: int) -> DataFrame:
+    """Postings of a table's texts, in rows of a term's in some :data:`TOKENS` tokens of a slice. Texts are dealt into slices whole, in one shuffle, and split and inverted there."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int")).repartition(SPREAD * slices, "slice")
+    rows = rows.select("slice", "doc", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    rows = rows.select("slice", "doc", F.size("tokens").alias("len"), F.array_join("tokens", " ").alias("said")).sortWithinPartitions("slice", "len", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict = {}
-        now: tuple | None = None
-        held: list[list] = [[], [], [], []]  # docs, lens, tfs and positions of the term, less than a block of them between batches
-        found: list[tuple] = []
-
-        def block(n: int) -> None:
-            docs, lens, tfs, positions = (h[:n] for h in held)
-            for h in held:
-                del h[:n]
-            if now[1] == DOCS:
-                place.update(zip(docs, range(len(place), len(place) + n), strict=True))
-            own = [place[d] for d in docs]
-            found.append((*now, n, own[0], own[-1], *frontier(tfs, lens), own, docs, lens, tfs, positions))
-
-        def made(kind: pa.DataType) -> pa.RecordBatch:
-            ints = pa.list_(pa.int32())
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), ints, ints, ints, pa.list_(kind), ints, ints, pa.list_(ints)]
-            names = ["slice", "term", "n", "low", "high", "best_tf", "best_len", "at", "docs", "lens", "tfs", "positions"]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
-            found.clear()
-            return batch
-
+        last, base = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            columns, begin = [batch.column(i).to_pylist() for i in range(2, 6)], 0
-            id_kind = batch.schema.field(2).type
-            for i in [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]:
-                if keys[begin] != now:
-                    if held[0]:
-                        block(len(held[0]))
-                    if now is None or keys[begin][0] != now[0]:
-                        place.clear()
-                    now = keys[begin]
-                for h, c in zip(held, columns, strict=True):
-                    h.extend(c[begin:i])
-                while len(held[0]) >= BLOCK:
-                    block(BLOCK)
-                begin = i
-            if found:
-                yield made(id_kind)
-        if held[0]:
-            block(len(held[0]))
-        if found:
-            yield made(id_kind)
+            of, piece = batch.column(0).to_numpy(), np.cumsum(batch.column(2).to_numpy().astype(np.int64)) // TOKENS
+            ends = _ends((of[1:] != of[:-1]) | (piece[1:] != piece[:-1]), len(of)).tolist()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                last, base = (last, base) if of[a] == last else (of[a], 0)
+                yield from _inverted(batch.slice(a, b - a), base)
+                base += b - a
+
+    return rows.mapInArrow(run, _RUNS.format(kind=kind)).sortWithinPartitions("slice", "term", "part")
+
 
-    return rows.mapInArrow(run, _BLOCKS.format(kind=kind))
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of a partition sorted by slice and term, those of a term in a slice together, and where each such group begins, and the end."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        of, term = table.column("slice").to_numpy(), table.column("term").chunk(0).dictionary_encode().indices.to_numpy()
+        ends = _ends((of[1:] != of[:-1]) | (term[1:] != term[:-1]), len(of))
+        if len(ends) > 2:
+            yield table.slice(0, ends[-2]).combine_chunks(), ends[:-1]
+        held = table.slice(ends[-2])
+    if held is not None:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def _flat(table: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists, and how many each row has."""
+    lists = table.column(column).chunk(0)
+    return lists.flatten(), np.diff(lists.offsets.to_numpy())
+
+
+def _cut(most: int, table: pa.Table, row: np.ndarray, group: np.ndarray, docs: pa.Array, lens: np.ndarray, at: np.ndarray, tfs: np.ndarray, positions: pa.ListArray) -> pa.RecordBatch:
+    """Blocks of ``most`` postings in the order of their ``group`` and ``at``; ``row`` is a row of ``table`` with the group's slice and term."""
+    n = len(group)
+    ends = _ends(group[1:] != group[:-1], n)
+    within = np.arange(n) - np.repeat(ends[:-1], np.diff(ends))
+    ends = np.r_[np.flatnonzero(within % most == 0), n]
+    begin, size = ends[:-1], np.diff(ends)
+    block = np.repeat(np.arange(len(begin), dtype=np.int64), size)
+    # a posting whose tf none before it in its block has is on the block's frontier, unless one of its length follows that is too
+    rank = (block << 32) + tfs
+    best = np.flatnonzero(np.r_[True, rank[1:] > np.maximum.accumulate(rank)[:-1]])
+    best = best[~np.r_[(block[best[1:]] == block[best[:-1]]) & (lens[best[1:]] == lens[best[:-1]]), False]]
+    best_ends = np.searchsorted(best, ends)
+    ints = lambda x: pa.array(x.astype(np.int32))
+    of = table.select(["slice", "term"]).take(pa.array(row[begin])).combine_chunks()
+    columns = [of.column(0).chunk(0), of.column(1).chunk(0), ints(size), ints(at[begin]), ints(at[ends[1:] - 1]), _listed(best_ends, ints(tfs[best])), _listed(best_ends, ints(lens[best]))]
+    columns += [_listed(ends, x) for x in (ints(at), docs, ints(lens), ints(tfs), positions)]
+    return pa.RecordBatch.from_arrays(columns, ["slice", "term", "n", "low", "high", "best_tf", "best_len", "at", "docs", "lens", "tfs", "positions"])
+
+
+def _blocked(runs: DataFrame, kind: str) -> DataFrame:
+    """Blocks of :func:`_runs`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in _terms(batches):
+            docs, count = _flat(table, "docs")
+            lens, at, tfs = (_flat(table, c)[0].to_numpy().astype(np.int64) for c in ("lens", "at", "tfs"))
+            places, used = _flat(table, "places")
+            groups = np.repeat(np.arange(len(ends) - 1), np.diff(ends))  # of rows
+            own = np.where(np.repeat(used > 0, count), tfs, 0)  # documents themselves have no places
+            row = np.repeat(np.arange(table.num_rows), count)
+            yield _cut(BLOCK, table, row, groups[row], docs, lens, at, tfs, _listed(np.r_[0, np.cumsum(own)], places))
+
+    return runs.mapInArrow(run, _BLOCKS.format(kind=kind))
+
+
+class _Places:
+    """New places of the documents of a slice that is made of others: by length, then id, without deleted ones."""
+
+    def __init__(self, table: pa.Table) -> None:
+        """``table`` has (unit, docs, lens, at): the blocks of the empty term, and with null places the deleted documents, of each unit, a slice before."""
+        table = table.combine_chunks()
+        gone = ~table.column("at").chunk(0).is_valid().to_numpy(zero_copy_only=False)
+        held, lists = table.filter(pa.array(~gone)).combine_chunks(), table.filter(pa.array(gone))
+        (docs, count), lens, at = _flat(held, "docs"), _flat(held, "lens")[0], _flat(held, "at")[0].to_numpy()
+        unit = np.repeat(held.column("unit").to_numpy(), count)
+        self.units, own = np.unique(unit, return_inverse=True)
+        size = np.bincount(own)
+        self.begin = np.cumsum(size) - size
+        live = np.ones(len(docs), bool)
+        for u, listed in zip(lists.column("unit").to_pylist(), lists.column("docs"), strict=True):
+            mine = np.flatnonzero(unit == u)
+            live[mine] = ~pc.is_in(docs.take(pa.array(mine)), value_set=listed.values).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero(live)
+        rows = pa.table({"len": lens.take(pa.array(kept)), "doc": docs.take(pa.array(kept))})
+        self.to = np.full(len(docs), -1, np.int64)
+        kept = kept[pc.sort_indices(rows, [("len", "ascending"), ("doc", "ascending")]).to_numpy()]
+        self.to[self.begin[own[kept]] + at[kept]] = np.arange(len(kept))
+
+    def of(self, unit: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """New places of documents by their unit and place there; -1 of deleted ones."""
+        return self.to[self.begin[np.searchsorted(self.units, unit)] + at]
+
+
+def _reblocked(blocks: DataFrame, kind: str) -> DataFrame:
+    """Blocks of slices made of others, from the blocks (slice, unit, term, docs, lens, at, tfs, positions) of each, sorted by slice and term; deleted documents of a unit come as the empty term's with null places."""
 
-def _counted(docs: DataFrame, id_col: str, text_col: str, slices: int) -> DataFrame:
-    """(slice, term, doc, len, tf, positions) of a table's texts, and of each document once with the empty term."""
-    return search.counted(docs, id_col, text_col).withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: _Places | None = None
+        for table, ends in _terms(batches):
+            empty = np.flatnonzero(pc.equal(table.column("term"), DOCS).to_numpy()[ends[:-1]])
+            for a, b in zip(np.unique(np.r_[0, empty]), np.unique(np.r_[0, empty, len(ends) - 1])[1:], strict=True):
+                if a in empty:
+                    places = _Places(table.slice(ends[a], ends[a + 1] - ends[a]))
+                yield from remade(table.slice(ends[a], ends[b] - ends[a]).combine_chunks(), ends[a : b + 1] - ends[a], places)
+
+    def remade(table: pa.Table, ends: np.ndarray, places: _Places) -> Iterator[pa.RecordBatch]:
+        group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        known = table.column("at").chunk(0).is_valid().to_numpy(zero_copy_only=False)
+        table, group = table.filter(pa.array(known)).combine_chunks(), group[known]
+        at, count = _flat(table, "at")
+        row = np.repeat(np.arange(table.num_rows), count)
+        to = places.of(table.column("unit").to_numpy()[row], at.to_numpy())
+        kept = np.flatnonzero(to >= 0)
+        if not len(kept):
+            return
+        kept = kept[np.lexsort((to[kept], group[row[kept]]))]
+        lens, tfs = (_flat(table, c)[0].to_numpy()[kept].astype(np.int64) for c in ("lens", "tfs"))
+        docs, positions = (_flat(table, c)[0].take(pa.array(kept)) for c in ("docs", "positions"))
+        yield _cut(BLOCK, table, row[kept], group[row[kept]], docs, lens, to[kept], tfs, positions)
+
+    return blocks.mapInArrow(run, _BLOCKS.format(kind=kind))
+
+
+def _packed(sizes: dict[tuple[str, int], int], most: int) -> list[tuple[str, int, int, int]]:
+    """(owner, slice, to, unit): slices put together, the largest with the smallest that still fit, into ones of ``most`` documents or one slice; a unit is a slice's number."""
+    order = sorted(sizes, key=lambda x: (-sizes[x], x))
+    found, to, low, high = [], 0, 0, len(order) - 1
+    while low <= high:
+        n, mine = sizes[order[low]], [order[low]]
+        low += 1
+        while low <= high and n + sizes[order[high]] <= most:
+            n += sizes[order[high]]
+            mine.append(order[high])
+            high -= 1
+        found += [(*x, to) for x in mine]
+        to += 1
+    return [(*x, unit) for unit, x in enumerate(found)]
 
 
 class Index:
@@ -154,15 +278,22 @@ class Index:
 
     def documents(self) -> DataFrame:
         """(doc, len) of all documents that are there."""
-        return self.postings(terms=[DOCS]).select("doc", F.col("len").cast("long").alias("len"))
+        return self._documents(self.manifest()["segments"]).select("doc", F.col("len").cast("long").alias("len"))
+
+    def _documents(self, segments: list[dict]) -> DataFrame:
+        """(owner, slice, doc, len, at) of all documents that are there."""
+        blocks = self._blocks(segments).where(F.col("term") == DOCS)
+        rows = blocks.select("owner", "slice", F.explode(F.arrays_zip("docs", "lens", "at")).alias("p"))
+        rows = rows.select("owner", "slice", F.col("p.docs").alias("doc"), F.col("p.lens").alias("len"), F.col("p.at").alias("at"))
+        return rows.join(self._gone(segments), ["owner", "slice", "doc"], "left_anti") if any(s["deleted"] for s in segments) else rows
 
     # --- Writing
 
-    def _segment(self, rows: DataFrame) -> dict | None:
-        """Writes counted rows as a segment and tells of it; none of no rows."""
+    def _segment(self, blocks: DataFrame) -> dict | None:
+        """Writes blocks as a segment and tells of it; none of no documents."""
         name = uuid.uuid4().hex
         where = f"{self.path}/data/{name}"
-        _blocked(rows, self.kind).write.parquet(f"{where}/blocks")
+        blocks.write.parquet(f"{where}/blocks")
         blocks = self.spark.read.parquet(f"{where}/blocks")
         blocks.where(F.col("term") != DOCS).groupBy("term").agg(F.sum("n").cast("long").alias("df")).sort("term").write.parquet(f"{where}/terms")
         tokens = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -173,8 +304,26 @@ class Index:
         return max(MIN_SLICES, -(-n // SLICE_DOCS))
 
     def _built(self, docs: DataFrame, id_col: str, text_col: str) -> dict | None:
-        docs = docs.where(docs[id_col].isNotNull()).dropDuplicates([id_col])
-        return self._segment(_counted(docs, id_col, text_col, self._slices(docs.count())))
+        docs = docs.where(docs[id_col].isNotNull())
+        n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+        docs = docs if n == ids else docs.dropDuplicates([id_col])  # which moves the texts once more
+        return self._segment(_blocked(_runs(docs, id_col, text_col, self._slices(ids)), self.kind))
+
+    def _merged(self, group: list[dict]) -> dict | None:
+        """Writes segments as one, without what is deleted: slices are put together whole, and their blocks merged."""
+        blocks, lists = self._blocks(group), self._gone(group)
+        sizes = Counter({(r["owner"], r["slice"]): r["n"] for r in blocks.where(F.col("term") == DOCS).groupBy("owner", "slice").agg(F.sum("n").alias("n")).collect()})  # one row a slice
+        sizes.subtract({(r["owner"], r["slice"]): r["n"] for r in lists.groupBy("owner", "slice").agg(F.count(F.lit(1)).alias("n")).collect()})
+        total = sum(sizes.values())
+        dealt = _packed({x: n for x, n in sizes.items() if n > 0}, min(SLICE_DOCS, -(-total // MIN_SLICES)))
+        if not dealt:
+            return None
+        to = F.broadcast(self.spark.createDataFrame(dealt, "owner string, slice int, to int, unit int"))  # one row a slice
+        gone = lists.groupBy("owner", "slice").agg(F.collect_list("doc").alias("docs")).withColumn("term", F.lit(DOCS))
+        rows = blocks.select("owner", "slice", "term", "docs", "lens", "at", "tfs", "positions").unionByName(gone, allowMissingColumns=True)
+        rows = rows.join(to, ["owner", "slice"]).select(F.col("to").alias("slice"), "unit", "term", "docs", "lens", "at", "tfs", "positions")
+        rows = rows.repartition(SPREAD * (1 + max(x[2] for x in dealt)), "slice").sortWithinPartitions("slice", "term")
+        return self._segment(_reblocked(rows, self.kind))
 
     def _deleted(self, segments: list[dict], ids: DataFrame) -> dict[str, dict]:
         """Writes a deletion list for each segment that holds some of ``ids`` (doc): what each takes away."""
@@ -183,15 +332,44 @@ class Index:
             return found
         name = uuid.uuid4().hex
         where = f"{self.path}/data/{name}"
-        rows = self.postings(segments).join(ids.select("doc").distinct(), "doc", "left_semi")
-        rows.where(F.col("term") == DOCS).select(F.col("owner").alias("segment"), "slice", "doc", "len").write.parquet(f"{where}/docs")
+        rows = self._documents(segments).join(ids.select("doc").distinct(), "doc", "left_semi")
+        rows.select(F.col("owner").alias("segment"), "slice", "doc", "len", "at").write.parquet(f"{where}/docs")
         gone = self.spark.read.parquet(f"{where}/docs")
         for r in gone.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).collect():  # one row a segment
             found[r["segment"]] = {"name": name, "docs": r["n"], "tokens": r["tokens"]}
         if found:
-            rows.where(F.col("term") != DOCS).groupBy("term").agg(F.count(F.lit(1)).alias("df")).sort("term").write.parquet(f"{where}/terms")
+            held = [s for s in segments if s["name"] in found]
+            self._held(held, gone).groupBy("term").agg(F.sum("df").alias("df")).sort("term").write.parquet(f"{where}/terms")
         return found
 
+    def _held(self, segments: list[dict], gone: DataFrame) -> DataFrame:
+        """(term, df): in how many documents of ``gone`` (segment, slice, at) terms are, by some blocks of a slice; of a posting its place is all that is read."""
+        blocks = self._blocks(segments).where(F.col("term") != DOCS).select("owner", "slice", "term", "at")
+        lists = gone.groupBy(F.col("segment").alias("owner"), "slice").agg(F.collect_list("at").alias("at")).withColumn("term", F.lit(DOCS))
+        rows = blocks.unionByName(lists).repartition("owner", "slice").sortWithinPartitions("owner", "slice", "term")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, out = None, np.zeros(0, bool)
+            for batch in batches:
+                keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                ends = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else [0]
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    if keys[a] != last:  # the slice's first row is its deleted documents, if it has any
+                        last, out = keys[a], np.zeros(0, bool)
+                        if batch.column(2)[a].as_py() == DOCS:
+                            at = batch.column(3)[a].values.to_numpy()
+                            out = np.zeros(at.max() + 1, bool)
+                            out[at] = True
+                            a += 1
+                    if a < b and len(out):
+                        lists = batch.column(3).slice(a, b - a)
+                        at, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+                        of = np.repeat(np.arange(b - a), count)[(at < len(out)) & out[np.minimum(at, len(out) - 1)]]
+                        df = np.bincount(of, minlength=b - a)
+                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), pa.array(df.astype(np.int64))], ["term", "df"]).filter(pa.array(df > 0))
+
+        return rows.select("owner", "slice", "term", "at").mapInArrow(run, "term string, df long")
+
     @staticmethod
     def _without(segments: list[dict], gone: dict[str, dict]) -> list[dict]:
         left = []
@@ -250,8 +428,7 @@ class Index:
         names = {s["name"] for g in groups for s in g}
         groups += [[s] for s in segments if s["name"] not in names and self._half_gone(s)]
         for group in groups:
-            rows = self.postings(group).withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(self._slices(sum(s["docs"] for s in group)))).cast("int"))
-            made = self._segment(rows)
+            made = self._merged(group)
             old = {s["name"] for s in group}
             segments = [s for s in segments if s["name"] not in old] + ([made] if made else [])
         return self._commit(base, segments) if groups else base

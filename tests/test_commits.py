@@ -226,3 +226,41 @@ def test_a_single_part_and_unique_rows_are_not_shuffled(spark, tmp_path):
     gone = Table(spark, str(tmp_path / "gone"), "k string, v string", ["k"])
     gone.delete(spark.createDataFrame([("a",)], "k string"))
     assert gone.read().count() == 0
+
+
+def test_changes_take_no_postings_apart(spark, tmp_path, monkeypatch):
+    """Adding, dropping, replacing and merging move texts and blocks whole, not their postings one by one, and make the blocks that their definition has."""
+    monkeypatch.setattr(segments, "BLOCK", 4)
+    monkeypatch.setattr(segments, "MIN_SLICES", 2)
+    monkeypatch.setattr(segments, "TOKENS", 300)
+    with monkeypatch.context() as m:
+        m.setattr(segments.Index, "postings", None)
+        index = segments.Index(spark, f"file://{tmp_path}/i")
+        frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+        docs = dict(random_docs(1, range(80)))
+        index.add(frame(sorted(docs.items())), "id", "text")
+        index.add(frame([(200, ""), (201, "cat"), (3, "cat")]), "id", "text")
+        index.drop(spark.createDataFrame([(i,) for i in (*range(0, 80, 3), 200)], "doc long"))
+        new = random_docs(2, range(70, 95))
+        index.replace(frame(new), "id", "text")
+        index.drop(spark.createDataFrame([(i,) for i in range(90, 95)], "doc long"))
+        docs = {i: t for i, t in ({i: t for i, t in docs.items() if i % 3} | {201: "cat"} | dict(new)).items() if not 90 <= i < 95}
+        same(index, docs, spark, ["the of", "dog"])
+        index.merge(everything=True)
+        same(index, docs, spark, ["the of", "dog"])
+    held = index.postings().collect()
+    fresh = segments.Index(spark, f"file://{tmp_path}/fresh")
+    fresh.add(frame(sorted(docs.items())), "id", "text")
+    plain = lambda rows: sorted((r["term"], r["doc"], r["len"], r["tf"], tuple(r["positions"])) for r in rows)
+    assert plain(held) == plain(fresh.postings().collect()) and len({r["slice"] for r in held}) > 1
+    order = {}
+    for r in index._blocks(index.manifest()["segments"]).sort("slice", "term", "low").collect():
+        if not r["term"]:
+            order |= {(r["slice"], d): (n, d, at) for d, n, at in zip(r["docs"], r["lens"], r["at"])}
+        assert r["n"] == len(r["docs"]) <= 4 and (r["low"], r["high"]) == (r["at"][0], r["at"][-1]) and r["at"] == [order[r["slice"], d][2] for d in r["docs"]]
+        pairs = set(zip(r["tfs"], r["lens"]))
+        best = sorted((n, tf) for tf, n in pairs if not any(a >= tf and b <= n and (a, b) != (tf, n) for a, b in pairs))
+        assert best == list(zip(r["best_len"], r["best_tf"]))
+    for s in {s for s, _ in order}:
+        mine = sorted(x for (of, _), x in order.items() if of == s)
+        assert [at for _, _, at in mine] == list(range(len(mine)))  # places by length, then id
