@@ -5,12 +5,15 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import itertools
 import lzma
+import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from ..functions import fixed, text
 # --- Fixed values. Members of office and book files that carry the words.
 TEXT_MEMBERS = ("word/document.xml", "xl/sharedStrings.xml", "xl/worksheets/", "ppt/slides/", "ppt/notesSlides/", "content.xml", "OEBPS/", "EPUB/", "index.xml")
 MOST_TEXT_MEMBERS = 500
+#: Tasks for each core that read a folder of small files.
+FILE_TASKS = 4
 EVENT_KINDS = ("start", "root_message", "turn_start", "repl_result", "subcall", "guardrail", "corpus_served", "end")
 
 
@@ -63,10 +68,60 @@ def _top_level(ddl: str) -> list[str]:
     return [*parts, ddl[at:]]
 
 
+def _walked(top: str, ending: str) -> Iterator[str]:
+    """Files of an ending below a folder, without the hidden ones that Spark's readers leave out too."""
+    folders = [top]
+    while folders:
+        with os.scandir(folders.pop()) as entries:
+            for e in entries:
+                if e.name.startswith(".") or (e.name.startswith("_") and "=" not in e.name):
+                    continue
+                if e.is_dir():
+                    folders.append(e.path)
+                elif e.name.endswith(ending):
+                    yield e.path
+
+
+def _whole_files(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """(file, value) of all files of an ending below a path.
+
+    Spark's readers list all files on the driver and take 32 small ones a task at
+    most. Below a folder on disk one task tells the names, and tasks whose number
+    doesn't grow with them read the files; other places are left to the readers.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    top = uri.getPath()
+    if uri.getScheme() != "file" or not os.path.isdir(top):
+        reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}")
+        return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (os.fsencode(f) for batch in batches for _ in range(batch.num_rows) for f in _walked(top, ending))
+        while some := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["raw"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda *rows: pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in rows], ["file", "value"])
+        held, data, size = [], [], 0
+        for raw in (r for batch in batches for r in batch.column(0).to_pylist()):
+            with open(raw, "rb") as f:
+                data.append(f.read())
+            held.append(os.fsdecode(raw).encode("utf-8", "replace"))
+            size += len(data[-1])
+            if size > 4 << 20 or len(held) == 1000:
+                yield made(held, data)
+                held, data, size = [], [], 0
+        if held:
+            yield made(held, data)
+
+    dealt = spark.range(1, numPartitions=1).mapInArrow(names, "raw binary").repartition(FILE_TASKS * spark.sparkContext.defaultParallelism, "raw")
+    return dealt.mapInArrow(read, "file binary, value binary").select(F.col("file").cast("string").alias("file"), F.col("value").cast("string").alias("value"))
+
+
 def pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pages, faults): Markdown files with a head between --- lines, and files without a readable one."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
+    files = _whole_files(spark, path, ".md").select("file", F.regexp_replace("value", "\r\n", "\n").alias("value"))
     head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 1)
     rows = files.withColumn("head", head).withColumn("body", F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 2))
     top = spark_path(path)

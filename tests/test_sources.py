@@ -217,3 +217,20 @@ def test_paths_are_checked_by_rows(spark, tmp_path):
     assert got == {1: top + "/b", 2: None, 3: None, 4: None, 5: None, 6: top}
     pairs = spark.createDataFrame([("/c", "/c/d"), ("/c", "/cd"), ("/c", None), ("/c", "/c")], "a string, b string")
     assert [r["outside"] for r in tree.outside(pairs, "a", "b").collect()] == [False, True, None, False]
+
+
+def test_tasks_that_read_pages_do_not_grow_with_the_files(spark, tmp_path):
+    """Pages below a folder are read by a number of tasks that the cores give; hidden files and other endings are left out."""
+    for i in range(40 * files.FILE_TASKS * spark.sparkContext.defaultParallelism):
+        at = tmp_path / f"d{i % 3}" / f"p{i}.md"
+        at.parent.mkdir(exist_ok=True)
+        at.write_bytes(b"---\nid: d%d\nkind: note\n---\r\nbody %d" % (i, i))
+    for other in ("x.txt", "_p.md", ".p.md"):
+        (tmp_path / other).write_text("---\nid: x\nkind: note\n---\n")
+    (tmp_path / "bare.md").write_text("no head")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        found, faults = files.pages(spark, path)
+        assert found.rdd.getNumPartitions() <= files.FILE_TASKS * spark.sparkContext.defaultParallelism
+        rows = {r["path"]: (r["id"], r["body"]) for r in found.collect()}
+        assert rows == {f"d{i % 3}/p{i}.md": (f"d{i}", f"body {i}") for i in range(i + 1)}
+        assert [r["path"] for r in faults.collect()] == ["bare.md"]
